@@ -459,3 +459,128 @@ def describe_fact(spark, sf_dir):
 @register("profile")
 def profile_fact(spark, sf_dir):
     return profile_frame(sales_fact(spark, sf_dir))
+
+
+# ----------------------------------------------------------- drivers, ROMI
+def _sens_sql() -> str:
+    def corr(x, y):
+        return (f"{Q.R(f'CASE WHEN STDDEV_POP(CAST({x} AS DOUBLE)) > 0 AND STDDEV_POP(CAST({y} AS DOUBLE)) > 0 '
+                       f'THEN CORR(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) END', 4)}")
+    t, v = "CAST(Avg_Temp_C AS DOUBLE)", "CAST(Net_Sales_Volume_Litres AS DOUBLE)"
+    return f"""WITH {Q.FACT_CTE[1:]}
+SELECT {Q.KEYS}, COUNT(*) AS n_days,
+  {corr('Competitor_Activity_Index', 'Net_Sales_Revenue_EUR')} AS competitor_sensitivity,
+  {corr('Inflation_Rate_EUR', 'Net_Sales_Revenue_EUR')} AS inflation_sensitivity,
+  {corr('Consumer_Confidence_Index', 'Net_Sales_Revenue_EUR')} AS confidence_sensitivity,
+  {corr('Avg_Temp_C', 'Net_Sales_Volume_Litres')} AS temperature_volume_corr,
+  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_SLOPE({v}, {t}) END', 4)} AS temperature_volume_slope,
+  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_INTERCEPT({v}, {t}) END', 4)} AS temperature_volume_intercept,
+  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 AND STDDEV_POP({v}) > 0 THEN REGR_R2({v}, {t}) END', 4)} AS temperature_volume_r2
+FROM fact GROUP BY {Q.KEYS}"""
+
+
+@register("sensitivity", _sens_sql())
+def sensitivity(spark, sf_dir):
+    return kpi.sensitivity(sales_fact(spark, sf_dir))
+
+
+@register("romi", f"""WITH {Q.FACT_CTE[1:]},
+a AS (SELECT {Q.KEYS}, CAST(COUNT_IF(Marketing_Spend_EUR > 0) AS BIGINT) AS days_with_marketing,
+        CAST(COUNT_IF(NOT (Marketing_Spend_EUR > 0)) AS BIGINT) AS days_without_marketing,
+        SUM(CASE WHEN Marketing_Spend_EUR > 0 THEN Net_Sales_Revenue_EUR END) AS _sw,
+        SUM(CASE WHEN NOT (Marketing_Spend_EUR > 0) THEN Net_Sales_Revenue_EUR END) AS _so,
+        SUM(Marketing_Spend_EUR) AS total_marketing
+      FROM fact GROUP BY {Q.KEYS}),
+b AS (SELECT *, (CAST(_sw AS DOUBLE) / days_with_marketing - CAST(_so AS DOUBLE) / days_without_marketing)
+                * days_with_marketing AS incr,
+             days_with_marketing > 0 AND days_without_marketing > 0 AND total_marketing > 0 AS valid FROM a)
+SELECT {Q.KEYS}, days_with_marketing, days_without_marketing,
+  CASE WHEN valid THEN incr END AS incremental_sales,
+  CASE WHEN valid THEN incr / CAST(total_marketing AS DOUBLE) END AS romi
+FROM b""")
+def romi(spark, sf_dir):
+    return kpi.romi(sales_fact(spark, sf_dir))
+
+
+@register("basic_cards", f"""WITH {Q.DAILY_CTE[1:]}
+SELECT {Q.KEYS}, CAST(SUM(sales_revenue_eur) AS DOUBLE) AS total_sales_revenue,
+  CAST(SUM(gross_profit_eur) AS DOUBLE) AS total_gross_profit,
+  {Q.R('AVG(gross_profit_margin_pct)', 4)} AS avg_gross_margin_pct,
+  CAST(SUM(predicted_operating_cash_flow_eur) AS DOUBLE) AS total_operating_cash_flow
+FROM daily GROUP BY {Q.KEYS}""")
+def basic_cards(spark, sf_dir):
+    out = kpi.as_doubles(kpi.basic_cards(_daily(spark, sf_dir)))
+    return out.withColumn("avg_gross_margin_pct", round_half_up("avg_gross_margin_pct", 4))
+
+
+def _sum_all_sql(freq: str) -> str:
+    pe = ("CAST(DATE_TRUNC('week', date) AS DATE) + 6" if freq == "W" else "LAST_DAY(date)")
+    money = ["sales_revenue_eur", "cogs_eur", "sales_volume_litres", "marketing_spend_eur",
+             "gross_profit_eur", "predicted_operating_cash_flow_eur"]
+    ratios = ["gross_profit_margin_pct", "asp_per_litre_eur", "cogs_per_litre", "marketing_spend_ratio",
+              "revenue_per_euro_marketing", "litres_per_euro_marketing"]
+    cols = [f"CAST(SUM({c}) AS DOUBLE) AS {c}" for c in money]
+    cols += [f"{Q.R(f'SUM({c})', 4)} AS {c}" for c in ratios]
+    cols += ["CAST(SUM(CAST(promotional_event AS INTEGER)) AS BIGINT) AS promotional_event",
+             "CAST(SUM(holiday_indicator) AS BIGINT) AS holiday_indicator"]
+    return (f"WITH {Q.DAILY_CTE[1:]}\nSELECT {Q.KEYS}, {pe} AS period_end, " + ", ".join(cols) +
+            f" FROM daily GROUP BY {Q.KEYS}, {pe}")
+
+
+@register("monthly_sum_all", _sum_all_sql("M"))
+def monthly_sum_all(spark, sf_dir):
+    out = kpi.as_doubles(rollup.rollup_sum_all(_daily(spark, sf_dir), "M"))
+    ratios = ["gross_profit_margin_pct", "asp_per_litre_eur", "cogs_per_litre", "marketing_spend_ratio",
+              "revenue_per_euro_marketing", "litres_per_euro_marketing"]
+    return out.withColumns({c: round_half_up(c, 4) for c in ratios})
+
+
+# ---------------------------------------------------------------- scaffold
+SCAFFOLD_HORIZON = 30
+
+
+def _fact_profile_lists():
+    """Feature lists the generic engine derives for the fact (P4 -> M7)."""
+    numeric = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.PROMO, S.CONFIDENCE, S.INFLATION,
+               S.TEMPERATURE, S.HOLIDAY, S.COMPETITOR]
+    targets = [c for c in numeric if any(k in c.lower() for k in S.TARGET_KEYWORDS)][:3]
+    feats = [c for c in numeric if c not in targets] + list(S.TIME_FEATURES) + [
+        f"{t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS]
+    return targets, feats
+
+
+def _scaffold_sql() -> str:
+    from ..operators.forecast import scaffold_default
+    targets, feats = _fact_profile_lists()
+    consts = []
+    for c in feats:
+        v = scaffold_default(c, targets)
+        if v is not None:
+            consts.append(f"CAST({v!r} AS DOUBLE) AS {c}")
+    d = '"Date"'
+    dow = f"(ISODOW({d}) - 1)"
+    cal = {
+        "year": f"CAST(YEAR({d}) AS INTEGER)", "month": f"CAST(MONTH({d}) AS INTEGER)",
+        "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
+        "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
+        "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
+        "month_sin": Q.R(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "month_cos": Q.R(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "day_sin": Q.R(f"SIN(2.0 * PI() * {dow} / 7)", 6),
+        "day_cos": Q.R(f"COS(2.0 * PI() * {dow} / 7)", 6),
+    }
+    return f"""WITH {Q.FACT_CTE[1:]},
+st AS (SELECT MAX("Date") + 1 AS s FROM fact),
+days AS (SELECT CAST(g AS DATE) AS "Date" FROM st, generate_series(s, s + {SCAFFOLD_HORIZON - 1}, INTERVAL 1 DAY) AS t(g)),
+segs AS (SELECT DISTINCT {Q.KEYS} FROM fact)
+SELECT days."Date", {Q.KEYS}, {', '.join(consts)}, {', '.join(f'{e} AS {n}' for n, e in cal.items())}
+FROM days CROSS JOIN segs"""
+
+
+@register("future_scaffold", _scaffold_sql())
+def future_scaffold(spark, sf_dir):
+    from ..operators.forecast import future_scaffold as scaffold
+    targets, feats = _fact_profile_lists()
+    out = scaffold(sales_fact(spark, sf_dir), S.DATE, KEYS, feats, targets, SCAFFOLD_HORIZON)
+    cyc = ["month_sin", "month_cos", "day_sin", "day_cos"]
+    return out.withColumns({c: round_half_up(c, 6) for c in cyc})
