@@ -584,3 +584,51 @@ def future_scaffold(spark, sf_dir):
     out = scaffold(sales_fact(spark, sf_dir), S.DATE, KEYS, feats, targets, SCAFFOLD_HORIZON)
     cyc = ["month_sin", "month_cos", "day_sin", "day_cos"]
     return out.withColumns({c: round_half_up(c, 6) for c in cyc})
+
+
+# --------------------------------------------------- models (rows-only checks)
+# Model values depend on the tree learner, so these have no SQL oracle.
+# The library default is the original 100 boosting rounds; the registered
+# checks train 20 rounds, because MLlib's cost per round is a fixed number of
+# Spark jobs per tree level (about 0.8 s per round even on small data).
+DOMAIN_MAX_ITER = 20
+
+
+def _domain_scored(spark, sf_dir):
+    from ..operators import models
+    frame = models.domain_feature_frame(sales_fact(spark, sf_dir))
+    fitted = models.train_domain_models(frame, HOLDOUT_CUT, DOMAIN_MAX_ITER)
+    test = frame.filter(F.col(S.DATE) >= F.to_date(F.lit(HOLDOUT_CUT)))
+    return models.domain_predict(test, fitted), fitted, frame
+
+
+@register("gbt_forecast")
+def gbt_forecast(spark, sf_dir):
+    pred, _, _ = _domain_scored(spark, sf_dir)
+    cols = [c for t in S.DOMAIN_TARGETS.values() for c in (t, f"predicted_{t}")]
+    return kpi.as_doubles(pred.select(*KEYS, S.DATE, *cols))
+
+
+@register("comprehensive_forecast")
+def comprehensive_forecast(spark, sf_dir):
+    pred, _, _ = _domain_scored(spark, sf_dir)
+    daily = kpi.daily_kpis(pred, sales=f"predicted_{S.REVENUE}", cogs=f"predicted_{S.COGS}",
+                           volume=f"predicted_{S.VOLUME}")
+    return kpi.forecast_summary(daily, nested=False)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    from ..operators import models
+    _, fitted, frame = _domain_scored(spark, sf_dir)
+    return models.feature_importance(fitted["sales"], frame)
+
+
+@register("model_selection")
+def model_selection(spark, sf_dir):
+    from ..operators import models
+    fact = sales_fact(spark, sf_dir)
+    prep = models.prepare_data(fact, group_cols=KEYS)
+    res = models.train_models(prep, test_size=0.2, method="date",
+                              candidates=models.candidate_regressors(DOMAIN_MAX_ITER, DOMAIN_MAX_ITER))
+    return res.metrics
