@@ -378,30 +378,38 @@ def basic_cards(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS) -> DataFra
 
 # ----------------------------------------------------------------------- A26-A29
 def _guarded_corr(x: str, y: str) -> Column:
-    """Pearson r; NULL when either side is constant (Spark 4 raises there)."""
+    """Pearson r from population moments; NULL when either side is constant.
+
+    Built from ``covar_pop`` / ``stddev_pop`` so the only division sits
+    inside the guard: Spark 4's ``corr`` raises on a constant column under
+    ANSI even when wrapped in ``when`` (the aggregate is evaluated eagerly).
+    """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    ok = (F.stddev_pop(xs) > 0) & (F.stddev_pop(ys) > 0)
-    return F.when(ok, F.corr(xs, ys))
+    sx, sy = F.stddev_pop(xs), F.stddev_pop(ys)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(xs, ys) / (sx * sy))
 
 
 def sensitivity(fact: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, digits: int = 4) -> DataFrame:
     """Driver sensitivities per scenario (A26-A28), one aggregation:
 
     competitor index vs revenue, inflation and confidence vs revenue, and
-    temperature vs volume (r, slope, intercept, R^2 of the linear fit).
+    temperature vs volume (r, slope, intercept, R^2 of the least-squares line).
     """
     t, v = F.col(TEMPERATURE).cast("double"), F.col(VOLUME).cast("double")
-    ok = (F.stddev_pop(t) > 0) & (F.stddev_pop(v) > 0)
-    r = lambda c: round_half_up(c, digits)
+    vt = F.var_pop(t)
+    slope = F.when(vt > 0, F.covar_pop(t, v) / vt)
+    intercept = F.when(vt > 0, F.avg(v) - F.covar_pop(t, v) / vt * F.avg(t))
+    r = _guarded_corr(TEMPERATURE, VOLUME)
+    rnd = lambda c: round_half_up(c, digits)
     return fact.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"),
-        r(_guarded_corr(COMPETITOR, REVENUE)).alias("competitor_sensitivity"),
-        r(_guarded_corr(INFLATION, REVENUE)).alias("inflation_sensitivity"),
-        r(_guarded_corr(CONFIDENCE, REVENUE)).alias("confidence_sensitivity"),
-        r(_guarded_corr(TEMPERATURE, VOLUME)).alias("temperature_volume_corr"),
-        r(F.when(F.stddev_pop(t) > 0, F.regr_slope(v, t))).alias("temperature_volume_slope"),
-        r(F.when(F.stddev_pop(t) > 0, F.regr_intercept(v, t))).alias("temperature_volume_intercept"),
-        r(F.when(ok, F.regr_r2(v, t))).alias("temperature_volume_r2"),
+        rnd(_guarded_corr(COMPETITOR, REVENUE)).alias("competitor_sensitivity"),
+        rnd(_guarded_corr(INFLATION, REVENUE)).alias("inflation_sensitivity"),
+        rnd(_guarded_corr(CONFIDENCE, REVENUE)).alias("confidence_sensitivity"),
+        rnd(r).alias("temperature_volume_corr"),
+        rnd(slope).alias("temperature_volume_slope"),
+        rnd(intercept).alias("temperature_volume_intercept"),
+        rnd(r * r).alias("temperature_volume_r2"),
     )
 
 

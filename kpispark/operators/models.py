@@ -209,7 +209,8 @@ def train_models(prep: PreparedData, test_size: float = 0.2, method: str | None
     finally:
         train.unpersist()
         test.unpersist()
-    return TrainResult({t: models[(t, m)] for t, m in best.items()}, models, table, best)
+    ordered = {t: models[(t, best[t])] for t in prep.targets if t in best}
+    return TrainResult(ordered, models, table, {t: best[t] for t in ordered})
 
 
 # ---------------------------------------------------------------------- M8
