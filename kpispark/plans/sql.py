@@ -26,22 +26,26 @@ def D(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-def _dec(c: str) -> str:
-    return f"CAST({c} AS DECIMAL(15,2))"
+def _c(c: str) -> str:
+    return f"CAST(ROUND({c} * 100) AS BIGINT)"
+
+
+def _money(total: str, digits: int) -> str:
+    return f"CAST(CAST({total} AS DECIMAL(20,0)) / {10 ** digits} AS DECIMAL(24,6))"
 
 
 FACT_CTE = f"""
 fact0 AS (
   SELECT CAST(l.l_shipdate AS DATE) AS "Date",
          r.r_name AS Country, c.c_mktsegment AS Channel, p.p_type AS Product_Category,
-         CAST(SUM({_dec('l.l_extendedprice')} * (1 - {_dec('l.l_discount')})) AS DECIMAL(24,6)) AS Net_Sales_Revenue_EUR,
-         CAST(SUM({_dec('l.l_quantity')} * {_dec('p.p_retailprice')} * 0.60) AS DECIMAL(24,6)) AS COGS_EUR,
-         CAST(SUM({_dec('l.l_quantity')}) AS DECIMAL(24,6)) AS Net_Sales_Volume_Litres,
-         CAST(SUM({_dec('l.l_extendedprice')} * {_dec('l.l_tax')}) AS DECIMAL(24,6)) AS Marketing_Spend_EUR,
+         {_money(f"SUM({_c('l.l_extendedprice')} * (100 - {_c('l.l_discount')}))", 4)} AS Net_Sales_Revenue_EUR,
+         {_money(f"SUM({_c('l.l_quantity')} * {_c('p.p_retailprice')} * 60)", 6)} AS COGS_EUR,
+         {_money(f"SUM({_c('l.l_quantity')})", 2)} AS Net_Sales_Volume_Litres,
+         {_money(f"SUM({_c('l.l_extendedprice')} * {_c('l.l_tax')})", 4)} AS Marketing_Spend_EUR,
          MAX(CASE WHEN l.l_discount >= 0.08 THEN 1 ELSE 0 END) AS Promotional_Event,
-         CAST(SUM({_dec('l.l_quantity')}) AS DOUBLE) / COUNT(*) AS Consumer_Confidence_Index,
-         CAST(SUM({_dec('l.l_tax')}) AS DOUBLE) / COUNT(*) AS Inflation_Rate_EUR,
-         CAST(SUM({_dec('l.l_discount')}) AS DOUBLE) / COUNT(*) AS Competitor_Activity_Index
+         CAST(SUM({_c('l.l_quantity')}) AS DOUBLE) / 100.0 / COUNT(*) AS Consumer_Confidence_Index,
+         CAST(SUM({_c('l.l_tax')}) AS DOUBLE) / 100.0 / COUNT(*) AS Inflation_Rate_EUR,
+         CAST(SUM({_c('l.l_discount')}) AS DOUBLE) / 100.0 / COUNT(*) AS Competitor_Activity_Index
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
