@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +60,19 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in list(group_cols) + list(order_cols)] + [F.col("_tb")]
-    numbered = (df.withColumn("_tb", _tiebreak(df))
-                  .repartitionByRange(n, *keys)
-                  .sortWithinPartitions(*keys)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_rip", F.monotonically_increasing_id()
-                              - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    src = df.withColumn("_tb", _tiebreak(df))
+    if materialize:
+        # the range partitioner samples its input in a separate job; keep the
+        # input for the second (numbering) job instead of recomputing it
+        src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = (src.repartitionByRange(n, *keys)
+                   .sortWithinPartitions(*keys)
+                   .withColumn("_pid", F.spark_partition_id())
+                   .withColumn("_rip", F.monotonically_increasing_id()
+                               - F.shiftleft(F.col("_pid").cast("long"), 33)))
     if materialize:
         numbered = cut_lineage(numbered)
+        src.unpersist()
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # Bounded by the number of partitions: a single-partition window is fine here.
     offsets = counts.select(

@@ -90,3 +90,33 @@ def scenario_grid(scenarios: DataFrame, date_start: str = "start_date", date_end
     one row per scenario day (M11 input).  Row count = sum of range lengths."""
     return scenarios.withColumn("Date", F.explode(F.sequence(F.col(date_start).cast("date"),
                                                              F.col(date_end).cast("date"))))
+
+
+def generate_forecast(history: DataFrame, models, prep, horizon: int = 30,
+                      base_values: Mapping[str, object] | None = None, per_segment: bool = True):
+    """Scaffold -> predict -> per-target totals (M10 = M9 -> M8 -> A22).
+
+    Returns (forecast rows, summary).  ``models`` maps target -> PipelineModel,
+    ``prep`` is the ``PreparedData`` the models were trained on.
+    """
+    from .metrics import forecast_totals
+    from .models import predict
+    grid = future_scaffold(history, prep.date_column, prep.categorical, prep.numerical, prep.targets,
+                           horizon, base_values, per_segment)
+    rows = predict(grid, models, prep)
+    return rows, forecast_totals(rows, prep.date_column)
+
+
+def comprehensive_forecast(scenario_rows: DataFrame, models, keys: Sequence[str] = S.SEGMENT_KEYS):
+    """Domain forecast: score scenario rows with the three domain models,
+    derive the row KPIs and summarise per scenario (M11 -> M12).
+
+    ``scenario_rows`` carries the exogenous columns of the 18/16 features for
+    every (segment, day); returns (daily KPI rows, one summary row per segment).
+    """
+    from .kpi import daily_kpis, forecast_summary
+    from .models import domain_predict
+    scored = domain_predict(scenario_rows, models)
+    daily = daily_kpis(scored, keys=keys, sales=f"predicted_{S.REVENUE}", cogs=f"predicted_{S.COGS}",
+                       volume=f"predicted_{S.VOLUME}")
+    return daily, forecast_summary(daily, keys)

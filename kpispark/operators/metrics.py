@@ -199,9 +199,12 @@ def _by_target(metrics: DataFrame, metric: str, target: str) -> Column:
     return F.max(F.when(F.col("target") == target, F.col(metric)))
 
 
-def recommendations(holdout: DataFrame) -> DataFrame:
-    """Recommendation list from holdout metrics (P18): 8 conditional rules,
-    then 5 general ones, first 10 kept; one row per recommendation."""
+def recommendations(holdout: DataFrame, variant: str = "report") -> DataFrame:
+    """Recommendation list from holdout metrics (P18), one row each.
+
+    ``report``: 8 conditional rules then 5 general ones, first 10 kept.
+    ``console``: 4 conditional rules (MAPE x3, any R^2 < 0.7) then 3 general.
+    """
     g = holdout.agg(*[_by_target(holdout, m, t).alias(f"{t}_{m}")
                       for t in TARGET_ORDER for m in ("mape", "r2", "bias_pct")])
     rules = [
@@ -214,8 +217,18 @@ def recommendations(holdout: DataFrame) -> DataFrame:
         (F.abs(F.col("cogs_bias_pct")) > S.REC_BIAS_LIMIT, S.REC_COGS_BIAS),
         (F.abs(F.col("volume_bias_pct")) > S.REC_BIAS_LIMIT, S.REC_VOLUME_BIAS),
     ]
+    general = S.REC_GENERAL
+    if variant == "console":
+        rules = [
+            (F.col("sales_mape") > S.REC_MAPE_LIMIT, S.CONSOLE_SALES_MAPE),
+            (F.col("cogs_mape") > S.REC_MAPE_LIMIT, S.CONSOLE_COGS_MAPE),
+            (F.col("volume_mape") > S.REC_MAPE_LIMIT, S.CONSOLE_VOLUME_MAPE),
+            ((F.col("sales_r2") < S.REC_R2_LIMIT) | (F.col("cogs_r2") < S.REC_R2_LIMIT)
+             | (F.col("volume_r2") < S.REC_R2_LIMIT), S.CONSOLE_ANY_R2),
+        ]
+        general = S.CONSOLE_GENERAL
     items = [F.when(F.coalesce(cond, F.lit(False)), F.lit(text)) for cond, text in rules]
-    items += [F.lit(text) for text in S.REC_GENERAL]
+    items += [F.lit(text) for text in general]
     arr = F.slice(F.filter(F.array(*items), lambda x: x.isNotNull()), 1, S.REC_LIMIT)
     return g.select(F.posexplode(arr).alias("pos", "recommendation")).select(
         (F.col("pos") + 1).alias("rec_no"), "recommendation")
@@ -275,3 +288,11 @@ def forecast_totals(df: DataFrame, date_col: str, prefix: str = "predicted_") ->
     return long.groupBy("target").agg(
         F.min("_d").alias("start_date"), F.max("_d").alias("end_date"),
         F.sum("value").alias("total"), F.avg("value").alias("avg_daily"), F.max("value").alias("peak"))
+
+
+# ------------------------------------------------------------------------- O5
+def last_rows(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+    """The last ``n`` rows in (order_cols) order, e.g. the latest days of a
+    prepared frame for a sample forecast (O5).  A top-k: each task keeps n rows,
+    the driver merges at most n x tasks rows."""
+    return df.orderBy(*[F.col(c).desc() for c in order_cols]).limit(n)

@@ -632,3 +632,106 @@ def model_selection(spark, sf_dir):
     res = models.train_models(prep, test_size=0.2, method="date",
                               candidates=models.candidate_regressors(DOMAIN_MAX_ITER, DOMAIN_MAX_ITER))
     return res.metrics
+
+
+# ------------------------------------------------- generic preparation (M7)
+def _cal_sql(d: str = '"Date"') -> dict[str, str]:
+    dow = f"(ISODOW({d}) - 1)"
+    return {
+        "year": f"CAST(YEAR({d}) AS INTEGER)", "month": f"CAST(MONTH({d}) AS INTEGER)",
+        "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
+        "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
+        "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
+        "month_sin": Q.R(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "month_cos": Q.R(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "day_sin": Q.R(f"SIN(2.0 * PI() * {dow} / 7)", 6),
+        "day_cos": Q.R(f"COS(2.0 * PI() * {dow} / 7)", 6),
+    }
+
+
+FACT_COLS = [S.DATE, *KEYS, S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.PROMO, S.CONFIDENCE, S.INFLATION,
+             S.TEMPERATURE, S.HOLIDAY, S.COMPETITOR]
+MONEY_COLS = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING]
+
+
+def _prepared_sql() -> str:
+    targets, _ = _fact_profile_lists()
+    lags = [f"{t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS]
+    lag_exprs = ", ".join(f"LAG({t}, {k}) OVER w AS {t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS)
+    cols = [f"CAST({c} AS DOUBLE) AS {c}" if c in MONEY_COLS else c for c in FACT_COLS]
+    cols += [f"{e} AS {n}" for n, e in _cal_sql().items()]
+    cols += [f"CAST({c} AS DOUBLE) AS {c}" for c in lags]
+    return f"""WITH {Q.FACT_CTE[1:]},
+p AS (SELECT *, {lag_exprs} FROM fact WINDOW w AS (PARTITION BY {Q.KEYS} ORDER BY "Date"))
+SELECT {', '.join(cols)} FROM p WHERE {' AND '.join(f'{c} IS NOT NULL' for c in lags)}"""
+
+
+@register("prepared_data", _prepared_sql())
+def prepared_data(spark, sf_dir):
+    from ..operators import models
+    prep = models.prepare_data(sales_fact(spark, sf_dir))
+    cyc = ["month_sin", "month_cos", "day_sin", "day_cos"]
+    return kpi.as_doubles(prep.data).withColumns({c: round_half_up(c, 6) for c in cyc})
+
+
+@register("sample_tail", f"""WITH {Q.FACT_CTE[1:]}
+SELECT "Date", {Q.KEYS}, CAST(Net_Sales_Revenue_EUR AS DOUBLE) AS Net_Sales_Revenue_EUR FROM fact
+ORDER BY "Date" DESC, Country DESC, Channel DESC, Product_Category DESC LIMIT 30""")
+def sample_tail(spark, sf_dir):
+    f = sales_fact(spark, sf_dir).select(S.DATE, *KEYS, S.REVENUE)
+    return kpi.as_doubles(metrics.last_rows(f, 30, [S.DATE, *KEYS]))
+
+
+@register("kpi_rejects", f"""WITH {Q.FACT_CTE[1:]}
+SELECT {Q.KEYS}, "Date", {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in MONEY_COLS)} FROM fact
+WHERE {' OR '.join(f'{c} < 0' for c in MONEY_COLS)}""")
+def kpi_rejects(spark, sf_dir):
+    f = sales_fact(spark, sf_dir).select(*KEYS, S.DATE, *MONEY_COLS)
+    return kpi.as_doubles(kpi.kpi_rejects(f, MONEY_COLS))
+
+
+def _console_recs_sql() -> str:
+    g = ", ".join(f"MAX(CASE WHEN target = '{t}' THEN {m} END) AS {t}_{m}"
+                  for t in metrics.TARGET_ORDER for m in ("mape", "r2"))
+    lim, r2 = S.REC_MAPE_LIMIT, S.REC_R2_LIMIT
+    rules = [(f"sales_mape > {lim}", S.CONSOLE_SALES_MAPE), (f"cogs_mape > {lim}", S.CONSOLE_COGS_MAPE),
+             (f"volume_mape > {lim}", S.CONSOLE_VOLUME_MAPE),
+             (f"(sales_r2 < {r2} OR cogs_r2 < {r2} OR volume_r2 < {r2})", S.CONSOLE_ANY_R2)]
+    rules += [("TRUE", t) for t in S.CONSOLE_GENERAL]
+    items = "\n  UNION ALL ".join(f"SELECT {i} AS ord, '{t}' AS txt FROM g WHERE COALESCE({c}, FALSE)"
+                                  for i, (c, t) in enumerate(rules))
+    return f"""WITH {Q.SCORED_CTE[1:]},
+h AS (SELECT target, {Q.metric_sql(digits=None)} FROM scored WHERE date >= DATE '{HOLDOUT_CUT}' GROUP BY target),
+g AS (SELECT {g} FROM h),
+items AS ({items})
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY ord) AS INTEGER) AS rec_no, txt AS recommendation
+FROM items QUALIFY rec_no <= {S.REC_LIMIT}"""
+
+
+@register("recommendations_console", _console_recs_sql())
+def recommendations_console(spark, sf_dir):
+    h = metrics.holdout_metrics(_scored(spark, sf_dir), HOLDOUT_CUT, digits=None)
+    return metrics.recommendations(h, variant="console")
+
+
+# ------------------------------------------------------ the events series
+@register("events_weekly", """WITH d AS (
+  SELECT CAST(ts AS DATE) AS date, event_type, COUNT(*) AS event_count,
+         CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DECIMAL(24,6)) AS value_amount
+  FROM events GROUP BY 1, 2)
+SELECT event_type, CAST(DATE_TRUNC('week', date) AS DATE) + 6 AS period_end,
+  CAST(SUM(event_count) AS BIGINT) AS event_count, CAST(SUM(value_amount) AS DOUBLE) AS value_amount,
+  """ + Q.R("AVG(CAST(value_amount AS DOUBLE))", 4) + """ AS avg_daily_value, COUNT(*) AS days
+FROM d GROUP BY 1, 2""")
+def events_weekly(spark, sf_dir):
+    from ..sources.testtables import events_daily
+    d = events_daily(spark, sf_dir).withColumn("avg_daily_value", F.col("value_amount").cast("double"))
+    out = rollup.rollup(d, "W", keys=["event_type"], sum_cols=["event_count", "value_amount"],
+                        mean_cols=["avg_daily_value"], date_col="date")
+    return kpi.as_doubles(out).withColumn("avg_daily_value", round_half_up("avg_daily_value", 4))
+
+
+@register("events_profile")
+def events_profile(spark, sf_dir):
+    from ..sources.testtables import read_table
+    return profile_frame(read_table(spark, sf_dir, "events"))

@@ -81,6 +81,16 @@ REC_GENERAL = [
     "Validate model performance across different market conditions",
 ]
 REC_LIMIT = 10
+# Recommendation texts (console variant), in order.
+CONSOLE_SALES_MAPE = "Sales model may benefit from additional features or hyperparameter tuning"
+CONSOLE_COGS_MAPE = "COGS model may need more training data or feature engineering"
+CONSOLE_VOLUME_MAPE = "Volume model may benefit from additional features or hyperparameter tuning"
+CONSOLE_ANY_R2 = "Consider ensemble methods or more sophisticated algorithms"
+CONSOLE_GENERAL = [
+    "Regular model retraining recommended (monthly/quarterly)",
+    "Monitor prediction accuracy on new data continuously",
+    "Consider A/B testing predictions against business forecasts",
+]
 # Recommendation thresholds.
 REC_MAPE_LIMIT = 15.0
 REC_R2_LIMIT = 0.7
