@@ -34,15 +34,16 @@ KPI_COLUMNS = ["gross_profit_eur", "gross_profit_margin_pct", "asp_per_litre_eur
 DAILY = [D_DATE, D_SALES, D_COGS, D_VOLUME, D_MARKETING, D_PROMO] + KPI_COLUMNS
 
 
-def _is_decimal(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.DecimalType)
+def _decimal_cols(df: DataFrame) -> set[str]:
+    """Names of DECIMAL columns (one schema round trip)."""
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
 
 
-def _clamp(df: DataFrame, col: str) -> Column:
-    return clamp0_money(col) if _is_decimal(df, col) else clamp0(col)
+def _clamp(dec: set[str], col: str) -> Column:
+    return clamp0_money(col) if col in dec else clamp0(col)
 
 
-def _round_measure(df: DataFrame, col: Column, decimal: bool, digits: int) -> Column:
+def _round_measure(col: Column, decimal: bool, digits: int) -> Column:
     return F.round(col, digits) if decimal else round_half_up(col, digits)
 
 
@@ -64,15 +65,16 @@ def daily_kpis(df: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, date: str = DA
     clamped inputs and are rounded once; the measures themselves are rounded
     for the output row, and period summaries sum these rounded fields (Q2).
     """
-    s, c, v, m = (_clamp(df, x) for x in (sales, cogs, volume, marketing))
-    dec = {x: _is_decimal(df, x) for x in (sales, cogs, volume, marketing)}
+    decs = _decimal_cols(df)
+    s, c, v, m = (_clamp(decs, x) for x in (sales, cogs, volume, marketing))
+    dec = {x: x in decs for x in (sales, cogs, volume, marketing)}
     kpis = business_kpis(s, c, v, m, digits=digits, exact=all(dec.values()))
     cols = [F.col(k) for k in keys] + [
         F.col(date).cast("date").alias(D_DATE),
-        _round_measure(df, s, dec[sales], digits).alias(D_SALES),
-        _round_measure(df, c, dec[cogs], digits).alias(D_COGS),
-        _round_measure(df, v, dec[volume], digits).alias(D_VOLUME),
-        _round_measure(df, m, dec[marketing], digits).alias(D_MARKETING),
+        _round_measure(s, dec[sales], digits).alias(D_SALES),
+        _round_measure(c, dec[cogs], digits).alias(D_COGS),
+        _round_measure(v, dec[volume], digits).alias(D_VOLUME),
+        _round_measure(m, dec[marketing], digits).alias(D_MARKETING),
         F.col(promo).cast("boolean").alias(D_PROMO),
     ] + [col.alias(name) for name, col in kpis.items()]
     if holiday is not None and holiday in df.columns:
@@ -93,8 +95,9 @@ def kpi_standalone(df: DataFrame, sales: str, cogs: str, volume: str, marketing:
     negative = F.lit(False)
     for x in inputs:
         negative = negative | F.coalesce(x < 0, F.lit(False))
-    s, c, v = (_clamp(df, x) for x in (sales, cogs, volume))
-    m = _clamp(df, marketing) if marketing else F.lit(0.0)
+    decs = _decimal_cols(df)
+    s, c, v = (_clamp(decs, x) for x in (sales, cogs, volume))
+    m = _clamp(decs, marketing) if marketing else F.lit(0.0)
     kpis = business_kpis(s, c, v, m, digits=digits)
     kpis["cogs_ratio_pct"] = cogs_ratio_pct(s, c, digits)
     out = [F.when(~negative, col).alias(name) for name, col in kpis.items()]

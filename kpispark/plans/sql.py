@@ -27,11 +27,12 @@ def D(x: str) -> str:
 
 
 def _c(c: str) -> str:
-    return f"CAST(ROUND({c} * 100) AS BIGINT)"
+    return f"CAST(FLOOR({c} * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT)"
 
 
 def _money(total: str, digits: int) -> str:
-    return f"CAST(CAST({total} AS DECIMAL(20,0)) / {10 ** digits} AS DECIMAL(24,6))"
+    step = "0." + "0" * (digits - 1) + "1"
+    return f"CAST(CAST({total} AS DECIMAL(18,0)) * {step} AS DECIMAL(24,6))"
 
 
 FACT_CTE = f"""

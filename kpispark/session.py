@@ -66,3 +66,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (from file sizes and projections; no data pass)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is under ``limit_bytes``.
+
+    The limit defaults to ``spark.sql.autoBroadcastJoinThreshold`` (-1 disables
+    broadcasting).  Above the limit the frame is returned unchanged and the
+    join falls back to a shuffle (sort-merge) join, with AQE free to
+    re-plan from run-time sizes.  Use it on one pruned base-table scan, whose
+    estimate is reliable; the estimate of a join result is not.
+    """
+    from pyspark.sql import functions as F
+    if limit_bytes is None:
+        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        limit_bytes = int(str(conf).lower().replace("b", "")) if conf else 10485760
+    if limit_bytes < 0:
+        return df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df

@@ -23,21 +23,44 @@ Scale notes
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import holiday_rule
 from ..schema import (CHANNEL, COGS, COMPETITOR, CONFIDENCE, COUNTRY, DATE, HOLIDAY, INFLATION,
                       MARKETING, MONEY, PRODUCT, PROMO, REVENUE, TEMPERATURE, VOLUME)
-from ..session import table_path
+from ..session import broadcast_if_small, estimated_bytes, table_path
 
 # Fixed values of the adapter (ours): cost share of retail price (60 %), promo threshold.
 COGS_SHARE_PCT = 60
 PROMO_DISCOUNT = 0.08
 
 
+# Declared schemas of the driver tables (DDL).  Reading with a schema skips
+# Spark's footer-inference job on every read; the Parquet reader still checks
+# the declared types against the files.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def _cents(c: str):
@@ -49,12 +72,22 @@ def _cents(c: str):
     would.  A 64-bit sum overflows only beyond 9.2e14 currency units per
     group, and then raises (ANSI) rather than wrapping.
     """
-    return F.round(F.col(c) * 100).cast("long")
+    # floor(x*100 + 0.5) is plain IEEE arithmetic (Spark's round() on a
+    # double goes through BigDecimal, several times slower) and gives the
+    # same integer in any engine
+    return F.floor(F.col(c) * 100 + F.lit(0.5)).cast("long")
 
 
 def _units_to_money(total, scale_digits: int):
-    """Integer units of 10^-scale_digits -> exact MONEY decimal."""
-    return (total.cast("decimal(20,0)") / F.lit(10 ** scale_digits)).cast(MONEY)
+    """Integer units of 10^-scale_digits -> exact MONEY decimal.
+
+    A multiply by the exact constant 1E-k (a division would go through
+    BigDecimal division with a MathContext).  A per-group total must stay
+    below 10^18 units (COGS is the largest: 1e-6 units, about 1e17 per
+    (day, segment) even at 100 TB); beyond that the cast raises.
+    """
+    step = F.lit(Decimal(1).scaleb(-scale_digits))     # 1E-k as an exact decimal literal
+    return (total.cast("decimal(18,0)") * step).cast(MONEY)
 
 
 def _avg_exact(c: str):
@@ -70,22 +103,34 @@ def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .select("n_nationkey", COUNTRY))
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", F.col("c_mktsegment").alias(CHANNEL))
-    return cust.join(geo, cust.c_nationkey == geo.n_nationkey).select("c_custkey", COUNTRY, CHANNEL)
+    # decide on the customer scan (a reliable estimate); adding the fixed-size
+    # geography does not change its row count
+    small = estimated_bytes(cust) <= _broadcast_limit(spark)
+    seg = cust.join(geo, cust.c_nationkey == geo.n_nationkey).select("c_custkey", COUNTRY, CHANNEL)
+    return F.broadcast(seg) if small else seg
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    return int(str(conf).lower().replace("b", ""))
 
 
 def enriched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their segment columns and part price (all joins inner)."""
+    """Line items with their segment columns and part price (all joins inner).
+
+    lineitem is the stream side of every join.  Each dimension (orders,
+    customer segment, part) is broadcast only when its own scan is estimated
+    under the broadcast threshold; otherwise the join is a shuffle join that
+    AQE can still re-plan and de-skew (a hot order / customer / part key is
+    split by AQE's skew-join handling).
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         F.col("l_shipdate").cast("date").alias(DATE))
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = read_table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_type").alias(PRODUCT), "p_retailprice")
+    orders = broadcast_if_small(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    part = broadcast_if_small(read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias(PRODUCT), "p_retailprice"))
     cust = customer_segments(spark, sf_dir)
-    # lineitem is the stream side of every join; each build side is a single
-    # pruned scan whose size Spark can estimate (without CBO a join result's
-    # estimate is the product of its inputs, which would make Spark broadcast
-    # lineitem instead).  Small sides become broadcasts, large ones sort-merge.
     return (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(cust, F.col("o_custkey") == cust.c_custkey)
               .join(part, li.l_partkey == part.p_partkey))
