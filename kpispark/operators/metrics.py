@@ -51,19 +51,20 @@ CANDIDATES = {"naive_lag1": 1, "naive_lag7": 7, "naive_lag30": 30}
 
 
 def candidate_scored(fact: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, date_col: str = DATE) -> DataFrame:
-    """Scored frame for several deterministic candidate predictors (seasonal naive)."""
+    """Scored frame for several deterministic candidate predictors (seasonal naive).
+
+    One pass: each lagged row is expanded into (target x candidate) rows by a
+    single ``inline``, instead of a union that would re-read the input per
+    candidate.
+    """
     lags = sorted(set(CANDIDATES.values()))
     lagged = drop_incomplete(domain_lags(fact, keys, date_col, lags=lags),
                              [f"{c}_lag{k}" for c in S.DOMAIN_TARGETS.values() for k in lags])
-    parts = []
-    for order, (model, k) in enumerate(CANDIDATES.items()):
-        pairs = {t: (c, f"{c}_lag{k}") for t, c in S.DOMAIN_TARGETS.items()}
-        parts.append(stack_targets(lagged, pairs, keys, date_col)
-                     .withColumn("model", F.lit(model)).withColumn("model_order", F.lit(order)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    entries = F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(c).alias("actual"), F.col(f"{c}_lag{k}").alias("predicted"),
+                 F.lit(model).alias("model"), F.lit(order).alias("model_order"))
+        for order, (model, k) in enumerate(CANDIDATES.items()) for t, c in S.DOMAIN_TARGETS.items()])
+    return lagged.select(F.col(date_col).cast("date").alias("date"), *keys, F.inline(entries))
 
 
 # ---------------------------------------------------------------------- A15/A16

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.calendar import full_calendar
-from ..functions.exprs import cogs_ratio_pct, round_half_up
+from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_half_up
 from ..operators import features, kpi, metrics, rollup
 from ..operators.profile import describe, profile_frame
 from ..sources.testtables import sales_fact
@@ -52,7 +52,6 @@ SELECT {Q.KEYS}, "Date",
 FROM fact""")
 def cogs_ratio(spark, sf_dir):
     f = sales_fact(spark, sf_dir)
-    from ..functions.exprs import clamp0_money
     return f.select(*KEYS, S.DATE, cogs_ratio_pct(clamp0_money(S.REVENUE), clamp0_money(S.COGS)).alias(
         "cogs_ratio_pct"))
 
