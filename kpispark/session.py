@@ -44,13 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder when the setting is absent (tests, local runs).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() or None
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. Spark Connect)
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir() or None
     if not current:
         current = tempfile.mkdtemp(prefix="kpispark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -70,8 +75,11 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (from file sizes and projections; no data pass)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001 - no plan handle: report "unknown, large"
+        return 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
