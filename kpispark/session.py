@@ -52,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir() or None
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not str(master).startswith("local"):
+            # a machine-local folder would leave checkpoint files on each
+            # executor's own disk: a cluster must name a shared folder
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/object store) "
+                               "before running operators that checkpoint")
         current = tempfile.mkdtemp(prefix="kpispark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and sc.getCheckpointDir() is None:
