@@ -164,6 +164,23 @@ def split(prep: PreparedData, test_size: float = 0.2, method: str | None = None,
     return train, test
 
 
+def fit_all(jobs: Mapping, train: DataFrame, parallelism: int = 4) -> dict:
+    """Fit independent pipelines concurrently (key -> Pipeline => key -> model).
+
+    Each fit is a sequence of small Spark jobs (a few per tree level); running
+    several fits from a thread pool keeps the cluster busy, as
+    ``CrossValidator(parallelism=...)`` does.  Results do not depend on the
+    order of completion.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    keys = list(jobs)
+    if parallelism <= 1 or len(keys) <= 1:
+        return {k: jobs[k].fit(train) for k in keys}
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(keys))) as pool:
+        fitted = list(pool.map(lambda k: jobs[k].fit(train), keys))
+    return dict(zip(keys, fitted))
+
+
 # ---------------------------------------------------------------- M4, M6
 @dataclass
 class TrainResult:
@@ -175,7 +192,7 @@ class TrainResult:
 
 def train_models(prep: PreparedData, test_size: float = 0.2, method: str | None = None,
                  candidates: Mapping[str, Callable[[], object]] | None = None, scale: bool = True,
-                 cut: str | None = None) -> TrainResult:
+                 cut: str | None = None, parallelism: int = 4) -> TrainResult:
     """Fit every candidate for every target, score the test split, keep the
     best R^2 per target (first candidate wins ties) (M4, M6, M18).
 
@@ -187,14 +204,14 @@ def train_models(prep: PreparedData, test_size: float = 0.2, method: str | None
     train, test = split(prep, test_size, method, cut)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    models, scored = {}, []
+    scored = []
     try:
+        pipes = {(t, name): target_pipeline(prep.numerical, prep.categorical, t, make(), scale)
+                 for t in prep.targets for name, make in candidates.items()}
+        models = fit_all(pipes, train, parallelism)
         for target in prep.targets:
-            for order, (name, make) in enumerate(candidates.items()):
-                pipe = target_pipeline(prep.numerical, prep.categorical, target, make(), scale)
-                model = pipe.fit(train)
-                models[(target, name)] = model
-                pred = score(test, model)
+            for order, name in enumerate(candidates):
+                pred = score(test, models[(target, name)])
                 scored.append(pred.select(F.lit(target).alias("target"), F.lit(name).alias("model"),
                                           F.lit(order).alias("model_order"),
                                           F.col(target).cast("double").alias("actual"),
@@ -362,16 +379,17 @@ def check_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def train_domain_models(frame: DataFrame, cut: str, max_iter: int = 100) -> dict[str, PipelineModel]:
+def train_domain_models(frame: DataFrame, cut: str, max_iter: int = 100,
+                        parallelism: int = 3) -> dict[str, PipelineModel]:
     """Sales and COGS on the 18 features, volume on the 16 (M3), trained on date < cut."""
     train = frame.filter(F.col(S.DATE) < F.to_date(F.lit(cut))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        out = {}
+        pipes = {}
         for key, target in S.DOMAIN_TARGETS.items():
             feats = S.VOLUME_FEATURES if key == "volume" else S.SALES_FEATURES
             num = [c for c in feats if c not in DOMAIN_CATEGORICAL]
-            pipe = target_pipeline(num, DOMAIN_CATEGORICAL, target, domain_regressor(max_iter))
-            out[key] = pipe.fit(train)
+            pipes[key] = target_pipeline(num, DOMAIN_CATEGORICAL, target, domain_regressor(max_iter))
+        out = fit_all(pipes, train, parallelism)
     finally:
         train.unpersist()
     return out
