@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import MONEY
+from ..schema import HOLIDAYS_FORECAST, HOLIDAYS_RESTAURANT, HOLIDAYS_SALES_DATA, MONEY  # noqa: F401
 
 
 def _c(x) -> Column:
@@ -119,12 +119,6 @@ def promo_day_rule(day_of_month) -> Column:
     return F.when((d % 7 == 0) | (d % 15 == 0), F.lit(1)).otherwise(F.lit(0))
 
 
-# Holiday calendars as (month, day) pairs.
-HOLIDAYS_FORECAST = [(12, 25)]
-HOLIDAYS_SALES_DATA = [(1, 1), (12, 25), (4, 1), (4, 2), (4, 3)]
-HOLIDAYS_RESTAURANT = [(12, 24), (12, 25), (12, 31)]
-
-
 def holiday_rule(date_col, days=HOLIDAYS_SALES_DATA) -> Column:
     """1 when (month, day) is in the calendar, else 0."""
     d = _c(date_col)

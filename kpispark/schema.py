@@ -48,6 +48,12 @@ VOLUME_FEATURES = [
 PRODUCT_CATEGORY_MULTIPLIERS = {"Beer": 1.2, "Wine": 1.0, "Spirits": 1.5, "RTD": 0.8}
 VOLUME_BASE_MULTIPLIERS = {"Beer": 1.3, "Wine": 1.0, "Spirits": 0.7, "RTD": 1.1}
 
+# Holiday calendars as (month, day) pairs - forecast days, the
+# sales history, the restaurant demo.
+HOLIDAYS_FORECAST = [(12, 25)]
+HOLIDAYS_SALES_DATA = [(1, 1), (12, 25), (4, 1), (4, 2), (4, 3)]
+HOLIDAYS_RESTAURANT = [(12, 24), (12, 25), (12, 31)]
+
 # Name keywords that mark a numeric column as a potential target.
 TARGET_KEYWORDS = ["revenue", "sales", "profit", "volume", "amount", "value", "cost"]
 # The generic calendar features, in order.
