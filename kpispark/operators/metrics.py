@@ -283,12 +283,15 @@ def prediction_summary_wide(df: DataFrame, prefix: str = "predicted_") -> DataFr
 def forecast_totals(df: DataFrame, date_col: str, prefix: str = "predicted_") -> DataFrame:
     """Per target: total, daily mean and peak of the forecast, plus its date span."""
     cols = [c for c in df.columns if c.startswith(prefix)]
+    # values keep their type while summed (exact for DECIMAL predictions)
     long = df.select(F.col(date_col).cast("date").alias("_d"), F.inline(F.array(*[
-        F.struct(F.lit(c[len(prefix):]).alias("target"), F.col(c).cast("double").alias("value"))
-        for c in cols])))
+        F.struct(F.lit(c[len(prefix):]).alias("target"), F.col(c).alias("value")) for c in cols])))
+    total = F.sum("value")
     return long.groupBy("target").agg(
         F.min("_d").alias("start_date"), F.max("_d").alias("end_date"),
-        F.sum("value").alias("total"), F.avg("value").alias("avg_daily"), F.max("value").alias("peak"))
+        total.cast("double").alias("total"),
+        (total.cast("double") / F.count("value")).alias("avg_daily"),
+        F.max("value").cast("double").alias("peak"))
 
 
 # ------------------------------------------------------------------------- O5

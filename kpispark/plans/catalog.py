@@ -734,3 +734,60 @@ def events_weekly(spark, sf_dir):
 def events_profile(spark, sf_dir):
     from ..sources.testtables import read_table
     return profile_frame(read_table(spark, sf_dir, "events"))
+
+
+# ------------------------------------------------- calendar rules, F23, A22
+@register("calendar_rules", f"""WITH {Q.FACT_CTE[1:]},
+d AS (SELECT DISTINCT "Date" FROM fact)
+SELECT "Date",
+  CASE WHEN DAYOFMONTH("Date") % 7 = 0 OR DAYOFMONTH("Date") % 15 = 0 THEN 1 ELSE 0 END AS promo_rule,
+  CASE WHEN MONTH("Date") = 12 AND DAYOFMONTH("Date") = 25 THEN 1 ELSE 0 END AS holiday_forecast,
+  CASE WHEN (MONTH("Date") = 1 AND DAYOFMONTH("Date") = 1) OR (MONTH("Date") = 12 AND DAYOFMONTH("Date") = 25)
+         OR (MONTH("Date") = 4 AND DAYOFMONTH("Date") IN (1, 2, 3)) THEN 1 ELSE 0 END AS holiday_sales_data,
+  CASE WHEN MONTH("Date") = 12 AND DAYOFMONTH("Date") IN (24, 25, 31) THEN 1 ELSE 0 END AS holiday_restaurant,
+  {Q.R('1.0 + 0.2 * SIN(2.0 * PI() * DAYOFYEAR("Date") / 365)', 6)} AS seasonal_factor
+FROM d""")
+def calendar_rules(spark, sf_dir):
+    from ..functions import exprs as E
+    d = sales_fact(spark, sf_dir).select(S.DATE).distinct()
+    return d.select(S.DATE,
+                    E.promo_day_rule(F.dayofmonth(S.DATE)).alias("promo_rule"),
+                    E.holiday_rule(S.DATE, S.HOLIDAYS_FORECAST).alias("holiday_forecast"),
+                    E.holiday_rule(S.DATE, S.HOLIDAYS_SALES_DATA).alias("holiday_sales_data"),
+                    E.holiday_rule(S.DATE, S.HOLIDAYS_RESTAURANT).alias("holiday_restaurant"),
+                    round_half_up(E.seasonal_factor(F.dayofyear(S.DATE)), 6).alias("seasonal_factor"))
+
+
+def _summary_ratio_sql() -> str:
+    return f"""WITH s AS ({_summary_sql()})
+SELECT {Q.KEYS}, avg_revenue_per_euro_marketing AS marketing_roi,
+  total_operating_cash_flow_eur / CAST(total_days AS DOUBLE) AS operating_cash_flow_per_day,
+  CAST(promo_days_count AS DOUBLE) / CAST(total_days AS DOUBLE) * 100 AS promo_days_pct,
+  CAST(holiday_days_count AS DOUBLE) / CAST(total_days AS DOUBLE) * 100 AS holiday_days_pct
+FROM s"""
+
+
+@register("summary_ratios", _summary_ratio_sql())
+def summary_ratios(spark, sf_dir):
+    s = kpi.summary_ratios(kpi.forecast_summary(_daily(spark, sf_dir), nested=False))
+    return s.select(*KEYS, "marketing_roi", "operating_cash_flow_per_day", "promo_days_pct", "holiday_days_pct")
+
+
+@register("forecast_totals", f"""WITH {Q.FACT_CTE[1:]}{Q._lag_cte([1])},
+w AS (SELECT "Date", Net_Sales_Revenue_EUR_lag1 AS predicted_sales, COGS_EUR_lag1 AS predicted_cogs,
+             Net_Sales_Volume_Litres_lag1 AS predicted_volume
+      FROM lagged WHERE Net_Sales_Revenue_EUR_lag1 IS NOT NULL AND COGS_EUR_lag1 IS NOT NULL
+        AND Net_Sales_Volume_Litres_lag1 IS NOT NULL AND "Date" >= DATE '{HOLDOUT_CUT}'),
+l AS (SELECT "Date", 'sales' AS target, predicted_sales AS value FROM w
+      UNION ALL SELECT "Date", 'cogs', predicted_cogs FROM w
+      UNION ALL SELECT "Date", 'volume', predicted_volume FROM w)
+SELECT target, MIN("Date") AS start_date, MAX("Date") AS end_date, CAST(SUM(value) AS DOUBLE) AS total,
+  CAST(SUM(value) AS DOUBLE) / COUNT(value) AS avg_daily, CAST(MAX(value) AS DOUBLE) AS peak
+FROM l GROUP BY target""")
+def forecast_totals(spark, sf_dir):
+    from ..operators.features import domain_lags, drop_incomplete
+    lagged = drop_incomplete(domain_lags(sales_fact(spark, sf_dir)),
+                             [f"{t}_lag1" for t in S.DOMAIN_TARGETS.values()])
+    wide = lagged.filter(F.col(S.DATE) >= F.to_date(F.lit(HOLDOUT_CUT))).select(
+        S.DATE, *[F.col(f"{c}_lag1").alias(f"predicted_{t}") for t, c in S.DOMAIN_TARGETS.items()])
+    return metrics.forecast_totals(wide, S.DATE)
