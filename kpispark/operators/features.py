@@ -9,13 +9,13 @@ Two lag strategies
                which has exactly one row per (segment, date), so a group never
                exceeds the number of calendar days however large the input.
 ``positions``  Skew-proof: every row gets its global position in
-               (group, date, tie-break) order (``global_positions``), then
-               ``lag k`` is an equi-join of the frame with itself on
-               (group, position) = (group, position + k).  Range partitioning
-               splits a hot group over many tasks, and the join keys are
-               high-cardinality, so no task ever holds a whole group.  Required
-               when there is no group at all (W3), where a window would run
-               in a single task.
+               (group, date, tie-break) order (``global_positions``); positions
+               are cut into fixed-size blocks, each block gets the tail of the
+               previous one, and ``lag`` runs per block.  Range partitioning
+               splits a hot group over many tasks and a block never exceeds its
+               fixed size, so no task ever holds a whole group.  Required when
+               there is no group at all (W3), where a window would run in a
+               single task.
 """
 
 from __future__ import annotations
@@ -84,9 +84,20 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
 
 def lag_features(df: DataFrame, target_cols: Sequence[str], group_cols: Sequence[str] | None = None,
                  date_col: str = DATE, lags: Sequence[int] = DEFAULT_LAGS,
-                 strategy: str = "positions") -> DataFrame:
+                 strategy: str = "positions", block_rows: int | None = None) -> DataFrame:
     """``<target>_lag<k>`` for every target and lag: the value k rows earlier in
-    the same group, ordered by date (row lag, not calendar lag) (W1-W3)."""
+    the same group, ordered by date (row lag, not calendar lag) (W1-W3).
+
+    ``positions``: rows are numbered globally (``global_positions``) and cut
+    into blocks of ``block_rows`` consecutive positions.  Each block also
+    receives the last ``max(lags)`` rows of the block before it ("carry-in"),
+    so ``lag`` over a window per block sees every source row it needs; a lag
+    value is kept only when its source row is in the same group.  One shuffle
+    for all lags, and no window partition ever exceeds block_rows + max(lags)
+    rows, however the groups are skewed.  By default a block is
+    rows / shuffle partitions (one count over the checkpointed rows), so the
+    window work spreads over as many tasks as the shuffle has partitions.
+    """
     group_cols = list(group_cols or [])
     names = [(t, k, f"{t}_lag{k}") for t in target_cols for k in lags]
     if strategy == "window":
@@ -96,13 +107,26 @@ def lag_features(df: DataFrame, target_cols: Sequence[str], group_cols: Sequence
         return df.withColumns({name: F.lag(F.col(t), k).over(w) for t, k, name in names})
     if strategy != "positions":
         raise ValueError(f"unknown strategy {strategy!r}")
+    reach = max(lags)
     indexed = global_positions(df, [date_col], group_cols)
-    out = indexed
-    for k in lags:
-        src = indexed.select(*[F.col(g) for g in group_cols], (F.col(POS) + k).alias(POS),
-                             *[F.col(t).alias(f"{t}_lag{k}") for t in target_cols])
-        out = out.join(src, group_cols + [POS], "left")
-    return out.select(*df.columns, *[name for _, _, name in names])
+    if block_rows is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        block_rows = -(-indexed.count() // max(parts, 1))
+    block_rows = max(int(block_rows), reach + 1)
+    block = F.floor(F.col(POS) / F.lit(block_rows))
+    own = indexed.withColumn("_blk", block).withColumn("_carry", F.lit(False))
+    carry = (indexed.filter(F.col(POS) % F.lit(block_rows) >= F.lit(block_rows - reach))
+                    .withColumn("_blk", block + 1).withColumn("_carry", F.lit(True)))
+    both = own.unionByName(carry)
+    w = Window.partitionBy("_blk").orderBy(POS)
+    gkey = F.struct(*[F.col(g) for g in group_cols]) if group_cols else None
+
+    def same_group(k: int) -> Column:
+        return F.lit(True) if gkey is None else (F.lag(gkey, k).over(w) == gkey)
+
+    lagged = both.withColumns({name: F.when(same_group(k), F.lag(F.col(t), k).over(w))
+                               for t, k, name in names})
+    return lagged.filter(~F.col("_carry")).select(*df.columns, *[name for _, _, name in names])
 
 
 def domain_lags(fact: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, date_col: str = DATE,

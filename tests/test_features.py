@@ -61,3 +61,15 @@ def test_date_split_and_report(spark):
     assert tr.count() + te.count() == f.count()
     rep = {r.split: r for r in features.split_report(features.label_date_split(f, "2024-01-01")).collect()}
     assert rep["train"].max_date < dt.date(2024, 1, 1) <= rep["test"].min_date
+
+
+def test_positions_lag_across_small_blocks(spark):
+    # 31-row blocks with lags up to 30: most lags cross a block boundary via carry-in rows
+    f = sales_fixture(spark, days=35).select(*S.SEGMENT_KEYS, S.DATE, S.REVENUE)
+    a = features.lag_features(f, [S.REVENUE], S.SEGMENT_KEYS, S.DATE, [1, 7, 30], "window")
+    b = features.lag_features(f, [S.REVENUE], S.SEGMENT_KEYS, S.DATE, [1, 7, 30], "positions", block_rows=31)
+    assert b.count() == a.count()
+    assert a.exceptAll(b).count() == 0
+    u = features.lag_features(f.groupBy(S.DATE).agg(F.sum(S.REVENUE).alias("r")), ["r"], [], S.DATE, [1, 7],
+                              "positions", block_rows=8).orderBy(S.DATE).collect()
+    assert u[0].r_lag1 is None and u[8].r_lag1 == u[7].r and u[9].r_lag7 == u[2].r
