@@ -22,3 +22,21 @@ def test_broadcast_only_below_the_size_check(spark):
 def test_declared_schema_matches_files(spark):
     li = read_table(spark, "/root/testdata/sf0.001", "lineitem")
     assert li.count() > 0 and dict(li.dtypes)["l_shipdate"] == "timestamp_ntz"
+
+
+def test_fact_joins_fall_back_to_shuffle_when_over_the_size_check(spark):
+    from kpispark.sources.testtables import sales_fact
+    sf = "/root/testdata/sf0.001"
+    small_plan = sales_fact(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in small_plan
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = sales_fact(spark, sf)
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        # orders, customer and part are joined by shuffle; only the fixed-size
+        # nation / region code tables stay broadcast
+        assert plan.count("SortMergeJoin") == 3
+        assert big.count() == sales_fact(spark, sf).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
