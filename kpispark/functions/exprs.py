@@ -49,11 +49,26 @@ def cap(x, lo: float = -100.0, hi: float = 100.0) -> Column:
 
 
 def round_half_up(x, digits: int = 2) -> Column:
-    """Round a double to ``digits`` places through an exact decimal.
+    """Round a double to ``digits`` places: ``floor(x * 10^d + 0.5) / 10^d``.
+
+    Plain IEEE arithmetic, so it stays in generated code (no BigDecimal) and
+    gives the same double in any engine.  It rounds the double product
+    ``x * 10^d`` half up, so it can differ from Python's correctly rounded,
+    half-even ``round`` by one unit in the last place at (near-)ties:
+    2.675 * 100 is exactly 267.5 in binary, giving 2.68 where Python gives
+    2.67.  Never yields -0.0.
+    """
+    scale = float(10 ** digits)
+    return F.floor(_c(x).cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
+def round_stat(x, digits: int = 4) -> Column:
+    """Rounding for statistics (means, std, correlations, sin/cos).
 
-    Rounding via ``decimal(38,6)`` gives the same answer in Spark and in SQL
-    engines at binary ties (a plain ``round(double)`` does not) and never
-    yields ``-0.0``.
+    Goes through ``decimal(38,6)`` first: that absorbs the last-bit
+    differences that summation order or the math library introduce between
+    engines, which the floor form would turn into a different last digit at a
+    tie.  Costs a BigDecimal step, so it is used on aggregates, not rows.
     """
     return F.round(_c(x).cast("decimal(38,6)"), digits).cast("double")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import (business_kpis, clamp0, clamp0_money, cogs_ratio_pct, round_half_up,
-                               safe_div)
+                               round_stat, safe_div)
 from ..schema import (COGS, COMPETITOR, CONFIDENCE, DATE, HOLIDAY, INFLATION, MARKETING, PROMO,
                       REVENUE, SEGMENT_KEYS, TEMPERATURE, VOLUME)
 
@@ -403,7 +403,7 @@ def sensitivity(fact: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, digits: int
     slope = F.when(vt > 0, F.covar_pop(t, v) / vt)
     intercept = F.when(vt > 0, F.avg(v) - F.covar_pop(t, v) / vt * F.avg(t))
     r = _guarded_corr(TEMPERATURE, VOLUME)
-    rnd = lambda c: round_half_up(c, digits)
+    rnd = lambda c: round_stat(c, digits)
     return fact.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"),
         rnd(_guarded_corr(COMPETITOR, REVENUE)).alias("competitor_sensitivity"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.exprs import error, error_pct, round_half_up, within
+from ..functions.exprs import error, error_pct, round_half_up, round_stat, within
 from ..schema import DATE, SEGMENT_KEYS
 from .features import domain_lags, drop_incomplete
 
@@ -103,7 +103,7 @@ def metric_exprs(actual: str = "actual", predicted: str = "predicted") -> list[C
 
 def rounded(df: DataFrame, digits: int = 4, cols: Sequence[str] = METRICS) -> DataFrame:
     """Round metric columns through an exact decimal (engine-independent)."""
-    return df.withColumns({c: round_half_up(c, digits) for c in cols if c in df.columns})
+    return df.withColumns({c: round_stat(c, digits) for c in cols if c in df.columns})
 
 
 def accuracy(scored: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.calendar import full_calendar
-from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_half_up
+from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_half_up, round_stat
 from ..operators import features, kpi, metrics, rollup
 from ..operators.profile import describe, profile_frame
 from ..sources.testtables import sales_fact
@@ -191,7 +191,7 @@ def _rollup_sql(freq: str, dense: bool = False) -> str:
     sums = ", ".join(f"SUM({c}) AS {c}" for c in rollup.SUM_COLS)
     means = ", ".join(f"AVG({c}) AS {c}" for c in rollup.MEAN_COLS)
     out_sums = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in rollup.SUM_COLS)
-    out_means = ", ".join(f"{Q.R(c, 4)} AS {c}" for c in rollup.MEAN_COLS)
+    out_means = ", ".join(f"{Q.RS(c, 4)} AS {c}" for c in rollup.MEAN_COLS)
     base = f"""WITH {Q.DAILY_CTE[1:]},
 agg AS (SELECT {Q.KEYS}, {pe} AS period_end, {sums}, {means}, COUNT(*) AS days
         FROM daily GROUP BY {Q.KEYS}, {pe})"""
@@ -208,12 +208,12 @@ agg AS (SELECT {Q.KEYS}, {pe} AS period_end, {sums}, {means}, COUNT(*) AS days
 b AS (SELECT {Q.KEYS}, {lo} AS lo, {hi} AS hi FROM daily GROUP BY {Q.KEYS}),
 spine AS (SELECT {Q.KEYS}, {label} AS period_end FROM b, generate_series(lo, hi, {step}) AS s(g))
 SELECT spine.Country, spine.Channel, spine.Product_Category, spine.period_end, {fill},
-  {', '.join(f'{Q.R("agg." + c, 4)} AS {c}' for c in rollup.MEAN_COLS)}, COALESCE(agg.days, 0) AS days
+  {', '.join(f'{Q.RS("agg." + c, 4)} AS {c}' for c in rollup.MEAN_COLS)}, COALESCE(agg.days, 0) AS days
 FROM spine LEFT JOIN agg USING (Country, Channel, Product_Category, period_end)"""
 
 
 def _round_means(df: DataFrame) -> DataFrame:
-    return kpi.as_doubles(df).withColumns({c: round_half_up(c, 4) for c in rollup.MEAN_COLS})
+    return kpi.as_doubles(df).withColumns({c: round_stat(c, 4) for c in rollup.MEAN_COLS})
 
 
 @register("weekly_rollup", _rollup_sql("W"))
@@ -246,10 +246,10 @@ def _calendar_sql() -> str:
         "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
         "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
         "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.R(f"SIN({two_pi} * MONTH({d}) / 12)", 6),
-        "month_cos": Q.R(f"COS({two_pi} * MONTH({d}) / 12)", 6),
-        "day_sin": Q.R(f"SIN({two_pi} * {dow} / 7)", 6),
-        "day_cos": Q.R(f"COS({two_pi} * {dow} / 7)", 6),
+        "month_sin": Q.RS(f"SIN({two_pi} * MONTH({d}) / 12)", 6),
+        "month_cos": Q.RS(f"COS({two_pi} * MONTH({d}) / 12)", 6),
+        "day_sin": Q.RS(f"SIN({two_pi} * {dow} / 7)", 6),
+        "day_cos": Q.RS(f"COS({two_pi} * {dow} / 7)", 6),
     }
     return f"WITH {Q.FACT_CTE[1:]}\nSELECT {Q.KEYS}, {d}, " + ", ".join(
         f"{e} AS {n}" for n, e in feats.items()) + " FROM fact"
@@ -260,7 +260,7 @@ def calendar_features(spark, sf_dir):
     f = sales_fact(spark, sf_dir)
     feats = full_calendar(F.col(S.DATE))
     cyc = {"month_sin", "month_cos", "day_sin", "day_cos"}
-    return f.select(*KEYS, S.DATE, *[(round_half_up(c, 6) if n in cyc else c).alias(n)
+    return f.select(*KEYS, S.DATE, *[(round_stat(c, 6) if n in cyc else c).alias(n)
                                      for n, c in feats.items()])
 
 
@@ -351,7 +351,7 @@ def rolling_metrics(spark, sf_dir):
 
 @register("rolling_average", _rolling_cte().replace("{metrics}", Q.metric_sql(digits=None)) +
           "\nSELECT target, COUNT(*) AS n_windows, " +
-          ", ".join(f"{Q.R(f'AVG({m})', 4)} AS {m}" for m in Q.METRIC_NAMES) +
+          ", ".join(f"{Q.RS(f'AVG({m})', 4)} AS {m}" for m in Q.METRIC_NAMES) +
           " FROM per GROUP BY target")
 def rolling_average(spark, sf_dir):
     return metrics.rolling_average(_scored(spark, sf_dir))
@@ -414,7 +414,7 @@ def recommendations(spark, sf_dir):
 m AS (SELECT target, model, model_order, {Q.metric_sql(digits=None)}
       FROM cands WHERE date >= DATE '{HOLDOUT_CUT}' GROUP BY target, model, model_order),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target ORDER BY r2 DESC NULLS LAST, model_order) AS rank FROM m)
-SELECT target, model, model_order, n, {', '.join(f'{Q.R(c, 4)} AS {c}' for c in ['mae', 'rmse', 'r2', 'mape'])},
+SELECT target, model, model_order, n, {', '.join(f'{Q.RS(c, 4)} AS {c}' for c in ['mae', 'rmse', 'r2', 'mape'])},
   CAST(rank AS INTEGER) AS rank, rank = 1 AS is_best FROM r""")
 def best_model(spark, sf_dir):
     c = metrics.candidate_scored(sales_fact(spark, sf_dir))
@@ -432,12 +432,12 @@ def detailed_predictions(spark, sf_dir):
 
 
 @register("prediction_summary", f"""WITH {Q.SCORED_CTE[1:]}
-SELECT target, {Q.R('AVG(CAST(predicted AS DOUBLE))', 4)} AS mean, MIN(CAST(predicted AS DOUBLE)) AS min,
-  MAX(CAST(predicted AS DOUBLE)) AS max, {Q.R('STDDEV_SAMP(CAST(predicted AS DOUBLE))', 4)} AS std
+SELECT target, {Q.RS('AVG(CAST(predicted AS DOUBLE))', 4)} AS mean, MIN(CAST(predicted AS DOUBLE)) AS min,
+  MAX(CAST(predicted AS DOUBLE)) AS max, {Q.RS('STDDEV_SAMP(CAST(predicted AS DOUBLE))', 4)} AS std
 FROM scored GROUP BY target""")
 def prediction_summary(spark, sf_dir):
     out = metrics.prediction_summary(_scored(spark, sf_dir))
-    return out.withColumns({"mean": round_half_up("mean", 4), "std": round_half_up("std", 4)})
+    return out.withColumns({"mean": round_stat("mean", 4), "std": round_stat("std", 4)})
 
 
 # ------------------------------------------------------------------ profile
@@ -448,11 +448,11 @@ DESCRIBE_COLS = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.CONFIDENCE, S.INFLA
 @register("describe", f"""WITH {Q.FACT_CTE[1:]},
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS v FROM fact"
                              for c in DESCRIBE_COLS)})
-SELECT column_name, COUNT(v) AS count, {Q.R('AVG(v)', 4)} AS mean, {Q.R('STDDEV_SAMP(v)', 4)} AS std,
+SELECT column_name, COUNT(v) AS count, {Q.RS('AVG(v)', 4)} AS mean, {Q.RS('STDDEV_SAMP(v)', 4)} AS std,
   MIN(v) AS min, MAX(v) AS max FROM long GROUP BY column_name""")
 def describe_fact(spark, sf_dir):
     out = describe(sales_fact(spark, sf_dir), DESCRIBE_COLS, quartiles=False)
-    return out.withColumns({"mean": round_half_up("mean", 4), "std": round_half_up("std", 4)})
+    return out.withColumns({"mean": round_stat("mean", 4), "std": round_stat("std", 4)})
 
 
 @register("profile")
@@ -463,7 +463,7 @@ def profile_fact(spark, sf_dir):
 # ----------------------------------------------------------- drivers, ROMI
 def _sens_sql() -> str:
     def corr(x, y):
-        return (f"{Q.R(f'CASE WHEN STDDEV_POP(CAST({x} AS DOUBLE)) > 0 AND STDDEV_POP(CAST({y} AS DOUBLE)) > 0 '
+        return (f"{Q.RS(f'CASE WHEN STDDEV_POP(CAST({x} AS DOUBLE)) > 0 AND STDDEV_POP(CAST({y} AS DOUBLE)) > 0 '
                        f'THEN CORR(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) END', 4)}")
     t, v = "CAST(Avg_Temp_C AS DOUBLE)", "CAST(Net_Sales_Volume_Litres AS DOUBLE)"
     return f"""WITH {Q.FACT_CTE[1:]}
@@ -472,9 +472,9 @@ SELECT {Q.KEYS}, COUNT(*) AS n_days,
   {corr('Inflation_Rate_EUR', 'Net_Sales_Revenue_EUR')} AS inflation_sensitivity,
   {corr('Consumer_Confidence_Index', 'Net_Sales_Revenue_EUR')} AS confidence_sensitivity,
   {corr('Avg_Temp_C', 'Net_Sales_Volume_Litres')} AS temperature_volume_corr,
-  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_SLOPE({v}, {t}) END', 4)} AS temperature_volume_slope,
-  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_INTERCEPT({v}, {t}) END', 4)} AS temperature_volume_intercept,
-  {Q.R(f'CASE WHEN STDDEV_POP({t}) > 0 AND STDDEV_POP({v}) > 0 THEN REGR_R2({v}, {t}) END', 4)} AS temperature_volume_r2
+  {Q.RS(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_SLOPE({v}, {t}) END', 4)} AS temperature_volume_slope,
+  {Q.RS(f'CASE WHEN STDDEV_POP({t}) > 0 THEN REGR_INTERCEPT({v}, {t}) END', 4)} AS temperature_volume_intercept,
+  {Q.RS(f'CASE WHEN STDDEV_POP({t}) > 0 AND STDDEV_POP({v}) > 0 THEN REGR_R2({v}, {t}) END', 4)} AS temperature_volume_r2
 FROM fact GROUP BY {Q.KEYS}"""
 
 
@@ -504,12 +504,12 @@ def romi(spark, sf_dir):
 @register("basic_cards", f"""WITH {Q.DAILY_CTE[1:]}
 SELECT {Q.KEYS}, CAST(SUM(sales_revenue_eur) AS DOUBLE) AS total_sales_revenue,
   CAST(SUM(gross_profit_eur) AS DOUBLE) AS total_gross_profit,
-  {Q.R('AVG(gross_profit_margin_pct)', 4)} AS avg_gross_margin_pct,
+  {Q.RS('AVG(gross_profit_margin_pct)', 4)} AS avg_gross_margin_pct,
   CAST(SUM(predicted_operating_cash_flow_eur) AS DOUBLE) AS total_operating_cash_flow
 FROM daily GROUP BY {Q.KEYS}""")
 def basic_cards(spark, sf_dir):
     out = kpi.as_doubles(kpi.basic_cards(_daily(spark, sf_dir)))
-    return out.withColumn("avg_gross_margin_pct", round_half_up("avg_gross_margin_pct", 4))
+    return out.withColumn("avg_gross_margin_pct", round_stat("avg_gross_margin_pct", 4))
 
 
 def _sum_all_sql(freq: str) -> str:
@@ -519,7 +519,7 @@ def _sum_all_sql(freq: str) -> str:
     ratios = ["gross_profit_margin_pct", "asp_per_litre_eur", "cogs_per_litre", "marketing_spend_ratio",
               "revenue_per_euro_marketing", "litres_per_euro_marketing"]
     cols = [f"CAST(SUM({c}) AS DOUBLE) AS {c}" for c in money]
-    cols += [f"{Q.R(f'SUM({c})', 4)} AS {c}" for c in ratios]
+    cols += [f"{Q.RS(f'SUM({c})', 4)} AS {c}" for c in ratios]
     cols += ["CAST(SUM(CAST(promotional_event AS INTEGER)) AS BIGINT) AS promotional_event",
              "CAST(SUM(holiday_indicator) AS BIGINT) AS holiday_indicator"]
     return (f"WITH {Q.DAILY_CTE[1:]}\nSELECT {Q.KEYS}, {pe} AS period_end, " + ", ".join(cols) +
@@ -531,7 +531,7 @@ def monthly_sum_all(spark, sf_dir):
     out = kpi.as_doubles(rollup.rollup_sum_all(_daily(spark, sf_dir), "M"))
     ratios = ["gross_profit_margin_pct", "asp_per_litre_eur", "cogs_per_litre", "marketing_spend_ratio",
               "revenue_per_euro_marketing", "litres_per_euro_marketing"]
-    return out.withColumns({c: round_half_up(c, 4) for c in ratios})
+    return out.withColumns({c: round_stat(c, 4) for c in ratios})
 
 
 # ---------------------------------------------------------------- scaffold
@@ -563,10 +563,10 @@ def _scaffold_sql() -> str:
         "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
         "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
         "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.R(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "month_cos": Q.R(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "day_sin": Q.R(f"SIN(2.0 * PI() * {dow} / 7)", 6),
-        "day_cos": Q.R(f"COS(2.0 * PI() * {dow} / 7)", 6),
+        "month_sin": Q.RS(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "month_cos": Q.RS(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "day_sin": Q.RS(f"SIN(2.0 * PI() * {dow} / 7)", 6),
+        "day_cos": Q.RS(f"COS(2.0 * PI() * {dow} / 7)", 6),
     }
     return f"""WITH {Q.FACT_CTE[1:]},
 st AS (SELECT MAX("Date") + 1 AS s FROM fact),
@@ -582,7 +582,7 @@ def future_scaffold(spark, sf_dir):
     targets, feats = _fact_profile_lists()
     out = scaffold(sales_fact(spark, sf_dir), S.DATE, KEYS, feats, targets, SCAFFOLD_HORIZON)
     cyc = ["month_sin", "month_cos", "day_sin", "day_cos"]
-    return out.withColumns({c: round_half_up(c, 6) for c in cyc})
+    return out.withColumns({c: round_stat(c, 6) for c in cyc})
 
 
 # --------------------------------------------------- models (rows-only checks)
@@ -641,10 +641,10 @@ def _cal_sql(d: str = '"Date"') -> dict[str, str]:
         "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
         "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
         "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.R(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "month_cos": Q.R(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "day_sin": Q.R(f"SIN(2.0 * PI() * {dow} / 7)", 6),
-        "day_cos": Q.R(f"COS(2.0 * PI() * {dow} / 7)", 6),
+        "month_sin": Q.RS(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "month_cos": Q.RS(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "day_sin": Q.RS(f"SIN(2.0 * PI() * {dow} / 7)", 6),
+        "day_cos": Q.RS(f"COS(2.0 * PI() * {dow} / 7)", 6),
     }
 
 
@@ -670,7 +670,7 @@ def prepared_data(spark, sf_dir):
     from ..operators import models
     prep = models.prepare_data(sales_fact(spark, sf_dir))
     cyc = ["month_sin", "month_cos", "day_sin", "day_cos"]
-    return kpi.as_doubles(prep.data).withColumns({c: round_half_up(c, 6) for c in cyc})
+    return kpi.as_doubles(prep.data).withColumns({c: round_stat(c, 6) for c in cyc})
 
 
 @register("sample_tail", f"""WITH {Q.FACT_CTE[1:]}
@@ -720,14 +720,14 @@ def recommendations_console(spark, sf_dir):
   FROM events GROUP BY 1, 2)
 SELECT event_type, CAST(DATE_TRUNC('week', date) AS DATE) + 6 AS period_end,
   CAST(SUM(event_count) AS BIGINT) AS event_count, CAST(SUM(value_amount) AS DOUBLE) AS value_amount,
-  """ + Q.R("AVG(CAST(value_amount AS DOUBLE))", 4) + """ AS avg_daily_value, COUNT(*) AS days
+  """ + Q.RS("AVG(CAST(value_amount AS DOUBLE))", 4) + """ AS avg_daily_value, COUNT(*) AS days
 FROM d GROUP BY 1, 2""")
 def events_weekly(spark, sf_dir):
     from ..sources.testtables import events_daily
     d = events_daily(spark, sf_dir).withColumn("avg_daily_value", F.col("value_amount").cast("double"))
     out = rollup.rollup(d, "W", keys=["event_type"], sum_cols=["event_count", "value_amount"],
                         mean_cols=["avg_daily_value"], date_col="date")
-    return kpi.as_doubles(out).withColumn("avg_daily_value", round_half_up("avg_daily_value", 4))
+    return kpi.as_doubles(out).withColumn("avg_daily_value", round_stat("avg_daily_value", 4))
 
 
 @register("events_profile")
@@ -745,7 +745,7 @@ SELECT "Date",
   CASE WHEN (MONTH("Date") = 1 AND DAYOFMONTH("Date") = 1) OR (MONTH("Date") = 12 AND DAYOFMONTH("Date") = 25)
          OR (MONTH("Date") = 4 AND DAYOFMONTH("Date") IN (1, 2, 3)) THEN 1 ELSE 0 END AS holiday_sales_data,
   CASE WHEN MONTH("Date") = 12 AND DAYOFMONTH("Date") IN (24, 25, 31) THEN 1 ELSE 0 END AS holiday_restaurant,
-  {Q.R('1.0 + 0.2 * SIN(2.0 * PI() * DAYOFYEAR("Date") / 365)', 6)} AS seasonal_factor
+  {Q.RS('1.0 + 0.2 * SIN(2.0 * PI() * DAYOFYEAR("Date") / 365)', 6)} AS seasonal_factor
 FROM d""")
 def calendar_rules(spark, sf_dir):
     from ..functions import exprs as E
@@ -755,7 +755,7 @@ def calendar_rules(spark, sf_dir):
                     E.holiday_rule(S.DATE, S.HOLIDAYS_FORECAST).alias("holiday_forecast"),
                     E.holiday_rule(S.DATE, S.HOLIDAYS_SALES_DATA).alias("holiday_sales_data"),
                     E.holiday_rule(S.DATE, S.HOLIDAYS_RESTAURANT).alias("holiday_restaurant"),
-                    round_half_up(E.seasonal_factor(F.dayofyear(S.DATE)), 6).alias("seasonal_factor"))
+                    round_stat(E.seasonal_factor(F.dayofyear(S.DATE)), 6).alias("seasonal_factor"))
 
 
 def _summary_ratio_sql() -> str:

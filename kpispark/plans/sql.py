@@ -2,9 +2,9 @@
 
 Each string is self-contained over the driver's views.  The conventions
 mirror the Spark plans exactly: money summed as DECIMAL and cast to double
-once, ratios in double, presentation rounding through ``DECIMAL(38,6)``
-(the same result in both engines, see ``functions.exprs.round_half_up``),
-and statistics computed in double rounded to 4 places.
+once, ratios in double, presentation rounding as floor(x * 10^d + 0.5) / 10^d
+(plain IEEE arithmetic, the same result in both engines, see
+``functions.exprs.round_half_up``), statistics in double rounded to 4 places.
 """
 
 from __future__ import annotations
@@ -14,10 +14,18 @@ from .. import schema as S
 KEYS = "Country, Channel, Product_Category"
 
 
-def R(x: str, d: int = 2) -> str:
+def RS(x: str, d: int = 4) -> str:
+    """Rounding for statistics (means, std, correlations, sin/cos): through
+    DECIMAL(38,6) first, which absorbs the last-bit differences of
+    engine-specific summation orders and math libraries."""
     return f"CAST(ROUND(CAST(({x}) AS DECIMAL(38,6)), {d}) AS DOUBLE)"
 
 
+def R(x: str, d: int = 2) -> str:
+    scale = f"CAST({float(10 ** d)!r} AS DOUBLE)"
+    return f"(FLOOR(CAST(({x}) AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})"
+
+
 def safe_div(n: str, d: str) -> str:
     return f"(CASE WHEN CAST({d} AS DOUBLE) > 0 THEN CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) ELSE 0.0 END)"
 
@@ -160,7 +168,7 @@ def metric_sql(y: str = "actual", p: str = "predicted", digits: int | None = 4)
     E = f"({Y} - {P})"
     sse = f"SUM({E} * {E})"
     sst = f"(COUNT(*) * VAR_POP({Y}))"
-    r = (lambda x: x) if digits is None else (lambda x: R(x, digits))
+    r = (lambda x: x) if digits is None else (lambda x: RS(x, digits))
     within = lambda t: (f"AVG(CASE WHEN {Y} <> 0 AND ABS({E} / {Y}) <= {t} "
                         f"THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100")
     parts = [

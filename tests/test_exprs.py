@@ -26,8 +26,11 @@ def test_cap(spark):
 
 
 def test_round_half_up_ties(spark):
-    out = one(spark, E.round_half_up("x", 2), [(2.675,), (0.125,), (-2.675,), (-2.4e-16,)], "x double")
-    assert out == [2.68, 0.13, -2.68, 0.0]
+    vals = [2.675, 0.125, -2.675, -2.4e-16, 1.005, 44.445, 123456.785, 7.0, -0.006]
+    out = one(spark, E.round_half_up("x", 2), [(v,) for v in vals], "x double")
+    # floor(x * 100 + 0.5) / 100 in IEEE doubles, the same in every engine
+    assert out == [math.floor(v * 100.0 + 0.5) / 100.0 for v in vals]
+    assert out[:4] == [2.68, 0.13, -2.67, 0.0] and out[4] == 1.0 and out[-1] == -0.01
     assert math.copysign(1.0, out[3]) == 1.0
 
 
