@@ -53,9 +53,10 @@ def global_positions(df: DataFrame, order_cols: Sequence[str], group_cols: Seque
     the partition count, not the data - so its prefix sum runs in one small
     task and is broadcast back.
 
-    With ``materialize`` the numbered rows are checkpointed to the shared
-    checkpoint folder first, so both uses of them (counts and rows) read the
-    same fixed data even if executors are lost and tasks re-run.
+    With ``materialize`` the numbered rows are written to the shared
+    checkpoint folder first (``session.cut_lineage``), so both uses of them
+    (counts and rows) read the same fixed data even if executors are lost and
+    tasks re-run.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
