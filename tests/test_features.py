@@ -73,3 +73,13 @@ def test_positions_lag_across_small_blocks(spark):
     u = features.lag_features(f.groupBy(S.DATE).agg(F.sum(S.REVENUE).alias("r")), ["r"], [], S.DATE, [1, 7],
                               "positions", block_rows=8).orderBy(S.DATE).collect()
     assert u[0].r_lag1 is None and u[8].r_lag1 == u[7].r and u[9].r_lag7 == u[2].r
+
+
+def test_positions_lag_hot_key_spans_many_blocks(spark):
+    base = dt.date(2000, 1, 1)
+    hot = [("hot", base + dt.timedelta(days=i), float(i)) for i in range(3000)]
+    cold = [(f"k{j}", base + dt.timedelta(days=i), float(100 * j + i)) for j in range(40) for i in range(5)]
+    df = spark.createDataFrame(hot + cold, "g string, d date, v double")
+    a = features.lag_features(df, ["v"], ["g"], "d", [1, 7, 30], "window")
+    b = features.lag_features(df, ["v"], ["g"], "d", [1, 7, 30], "positions", block_rows=100)
+    assert b.count() == 3200 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
