@@ -167,3 +167,24 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy("date", "event_type").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.sum(F.col("value").cast("decimal(15,2)")).cast(MONEY).alias("value_amount"))
+
+
+def write_sales_fact(spark: SparkSession, sf_dir: str, path: str, mode: str = "overwrite") -> None:
+    """Materialise the fact once per data load (Parquet, partitioned by year).
+
+    At scale the 6-way join over the line items is the expensive part of
+    every report; writing the fact once lets all summaries, rollups and
+    accuracy tables start from a table bounded by days x segments.  Filters
+    on ``year`` prune whole directories; filters on ``Date`` alone are pushed
+    to the Parquet reader (row-group statistics), not turned into partition
+    filters.
+    """
+    (sales_fact(spark, sf_dir).withColumn("year", F.year(DATE))
+        .repartition("year").write.mode(mode).partitionBy("year").parquet(path))
+
+
+def read_sales_fact(spark: SparkSession, path: str) -> DataFrame:
+    """Read a fact written by ``write_sales_fact`` (same columns, same order;
+    the ``year`` partition column is dropped)."""
+    df = spark.read.parquet(path)
+    return df.select(*[c for c in df.columns if c != "year"])

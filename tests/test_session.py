@@ -40,3 +40,21 @@ def test_fact_joins_fall_back_to_shuffle_when_over_the_size_check(spark):
         assert big.count() == sales_fact(spark, sf).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_materialised_fact_roundtrip(spark):
+    import tempfile
+    from kpispark.operators import kpi
+    from kpispark.sources.testtables import read_sales_fact, sales_fact, write_sales_fact
+    sf = "/root/testdata/sf0.001"
+    with tempfile.TemporaryDirectory() as d:
+        write_sales_fact(spark, sf, d + "/fact")
+        back = read_sales_fact(spark, d + "/fact")
+        live = sales_fact(spark, sf)
+        assert back.columns == live.columns
+        assert back.exceptAll(live).count() == 0 and live.exceptAll(back).count() == 0
+        a = kpi.period_totals(kpi.daily_kpis(back)).exceptAll(kpi.period_totals(kpi.daily_kpis(live)))
+        assert a.count() == 0
+        raw = spark.read.parquet(d + "/fact")
+        plan = raw.filter("year >= 2000")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year" in plan
