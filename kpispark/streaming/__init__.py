@@ -4,5 +4,7 @@ The original tool has no streaming path: every operator reads a complete
 table.  Nothing here adds one.  Note for users: the row-level operators
 (``functions.*`` and ``operators.kpi.daily_kpis``) are stateless column
 expressions, so they apply unchanged to a streaming DataFrame; the period
-summaries need complete periods and are batch operators.
+summaries need complete periods and are batch operators.  A test streams
+the materialised fact through ``daily_kpis`` into the memory sink and checks
+the rows equal the batch result.
 """
