@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.calendar import full_calendar
-from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_half_up, round_stat
+from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_stat
 from ..operators import features, kpi, metrics, rollup
 from ..operators.profile import describe, profile_frame
 from ..sources.testtables import sales_fact
