@@ -31,8 +31,12 @@ def _norm(v):
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    s = queries()[name](spark, SF).toPandas()
+    sdf = queries()[name](spark, SF)
+    s = sdf.toPandas()
     d = duck.sql(oracle_sql()[name]).df()
+    stypes = {f.name: str(f.type) for f in sdf.toArrow().schema}
+    dtypes = {f.name: str(f.type) for f in duck.sql(oracle_sql()[name]).arrow().schema}
+    assert stypes == dtypes
     cols = sorted(s.columns)
     assert cols == sorted(d.columns)
     srows = sorted(tuple(_norm(v) for v in r) for r in s[cols].itertuples(index=False))
