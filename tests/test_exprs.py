@@ -87,3 +87,11 @@ def test_lookup_default_and_seasonal(spark):
 def test_within_zero_actual_is_miss(spark):
     out = one(spark, E.within("a", "p", 0.1), [(100.0, 95.0), (100.0, 80.0), (0.0, 0.0)], "a double, p double")
     assert out == [1.0, 0.0, 0.0]
+
+
+def test_flag_date_and_numeric_helpers(spark):
+    df = spark.createDataFrame([(1, dt.date(2024, 3, 5), "2.5"), (0, dt.date(2024, 12, 31), "x")],
+                               "f int, d date, s string")
+    rows = df.select(E.flag_to_bool("f").alias("b"), E.date_to_iso("d").alias("iso"),
+                     E.try_numeric("s").alias("n")).collect()
+    assert [(r.b, r.iso, r.n) for r in rows] == [(True, "2024-03-05", 2.5), (False, "2024-12-31", None)]
