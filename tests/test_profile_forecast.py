@@ -68,3 +68,13 @@ def test_dataset_info_distinct_and_coercion(spark):
     assert not profile.distinct_below(df, "customer_visits", limit=2)
     raw = spark.createDataFrame([("1.5",), ("abc",), (None,)], "x string")
     assert [r.x for r in profile.coerce_numeric(raw, ["x", "missing"]).collect()] == [1.5, None, None]
+
+
+def test_scenario_grid_rows_per_scenario_day(spark):
+    sc = spark.createDataFrame([("Germany", "Off-Trade", "Beer", dt.date(2025, 1, 1), dt.date(2025, 1, 30)),
+                                ("Spain", "On-Trade", "Wine", dt.date(2025, 2, 1), dt.date(2025, 2, 7))],
+                               "Country string, Channel string, Product_Category string, start_date date, "
+                               "end_date date")
+    g = forecast.scenario_grid(sc)
+    counts = {r.Country: r["count"] for r in g.groupBy("Country").count().collect()}
+    assert counts == {"Germany": 30, "Spain": 7}
