@@ -113,3 +113,13 @@ def test_romi(spark):
     r = kpi.romi(df, ["seg"], "s", "m").collect()[0]
     assert r.incremental_sales == (110.0 - 70.0) * 2
     assert r.romi == 80.0 / 20.0
+
+
+def test_segment_maps_general_form(spark):
+    daily = kpi.daily_kpis(sales_fixture(spark, days=4))
+    m = {r.Country: r.sales_by_channel for r in kpi.segment_maps(daily, [S.COUNTRY], [S.CHANNEL]).collect()}
+    totals = {r[0]: r[1] for r in daily.groupBy(S.COUNTRY).agg(F.sum("sales_revenue_eur")).collect()}
+    assert set(m) == set(totals)
+    for country, per_channel in m.items():
+        assert len(per_channel) == 3
+        assert abs(sum(per_channel.values()) - float(totals[country])) < 0.05
