@@ -144,7 +144,8 @@ def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         owner, hashes = owner[by], hashes[by]
     # the first of equal features of a text stays
     by = np.lexsort((hashes, owner))
-    again = np.concatenate(([False], (owner[by][1:] == owner[by][:-1]) & (hashes[by][1:] == hashes[by][:-1])))
+    again = np.zeros(len(owner), bool)
+    again[1:] = (owner[by][1:] == owner[by][:-1]) & (hashes[by][1:] == hashes[by][:-1])
     keep = np.ones(len(owner), bool)
     keep[by[again]] = False
     owner, hashes = owner[keep], hashes[keep]
