@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_ML=1 to add the model-training queries, BENCH_QUERIES=a,b to pick.
+     BENCH_QUERIES=a,b to pick.
 Each query runs to completion into Spark's ``noop`` sink (full execution,
 nothing collected to the driver).
 """
@@ -19,8 +19,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from kpispark.plans import ORACLE, QUERIES  # noqa: E402
 from kpispark.session import get_session  # noqa: E402
 
-ML = ["gbt_forecast", "comprehensive_forecast", "feature_importance", "model_selection"]
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -28,7 +26,7 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", max(cpus, 8), app_name="kpispark-bench",
                         **{"spark.driver.memory": "16g"})
     picked = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    names = picked or [q for q in QUERIES if q not in ML or os.environ.get("BENCH_ML") == "1"]
+    names = picked or list(QUERIES)
     # warm-up: JVM, Parquet footers and codegen for the shared fact plan
     QUERIES["period_totals"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -9,7 +9,6 @@ it runs distributed.  Sub-packages:
 * ``sources``    - readers, writers and the adapter over the driver tables
 * ``operators``  - KPI summaries, rollups, features, metrics, models, forecasts
 * ``plans``      - the registered queries and their DuckDB oracle SQL
-* ``streaming``  - applying the stateless row operators to streaming frames
 """
 
 __version__ = "0.1.0"

@@ -112,13 +112,15 @@ def lag_features(df: DataFrame, target_cols: Sequence[str], group_cols: Sequence
     indexed = global_positions(df, [date_col], group_cols)
     if block_rows is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Parquet footers answer this count without reading rows
         block_rows = -(-indexed.count() // max(parts, 1))
     block_rows = max(int(block_rows), reach + 1)
     block = F.floor(F.col(POS) / F.lit(block_rows))
-    own = indexed.withColumn("_blk", block).withColumn("_carry", F.lit(False))
-    carry = (indexed.filter(F.col(POS) % F.lit(block_rows) >= F.lit(block_rows - reach))
-                    .withColumn("_blk", block + 1).withColumn("_carry", F.lit(True)))
-    both = own.unionByName(carry)
+    # one read: a row goes to its own block and, near the block's end, to the next one too
+    own = F.struct(block.alias("_blk"), F.lit(False).alias("_carry"))
+    carry = F.struct((block + 1).alias("_blk"), F.lit(True).alias("_carry"))
+    both = indexed.select("*", F.inline(F.when(
+        F.col(POS) % F.lit(block_rows) >= F.lit(block_rows - reach), F.array(own, carry)).otherwise(F.array(own))))
     w = Window.partitionBy("_blk").orderBy(POS)
     gkey = F.struct(*[F.col(g) for g in group_cols]) if group_cols else None
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.calendar import full_calendar
+from ..functions.calendar import add_basic_calendar, full_calendar
+from ..functions.exprs import holiday_rule, promo_day_rule, round_half_up, round_stat
 
 CALENDAR_NAMES = set(S.TIME_FEATURES)
 
@@ -54,28 +55,23 @@ def future_scaffold(history: DataFrame, date_col: str, categorical: Sequence[str
     """Future rows for ``horizon`` days after the history's last date (M9).
 
     ``per_segment=True`` emits every distinct segment of the history for each
-    day; ``False`` reproduces the original's single row per day with
+    day; categorical columns given in ``base_values`` take that value in every
+    row, also one that the history never had.  ``False`` reproduces the original's single row per day with
     categorical values from ``base_values`` or 'default' (Q17).  Calendar
     features are added at the end (F13).
     """
-    if not 1 <= horizon <= 366:
-        raise ValueError("horizon must be between 1 and 366 days")
+    if not 1 <= horizon <= S.MAX_HORIZON:
+        raise ValueError(f"horizon must be between 1 and {S.MAX_HORIZON} days")
     base_values = dict(base_values or {})
-    if start is None:
-        first = history.agg(F.date_add(F.max(F.col(date_col).cast("date")), 1).alias("_start"))
-    else:
-        first = history.sparkSession.range(1).select(F.to_date(F.lit(start)).alias("_start"))
-    days = first.select(F.explode(F.sequence(F.col("_start"), F.date_add(F.col("_start"), horizon - 1)))
-                        .alias(date_col))
-    if per_segment and categorical:
-        segs = history.select(*categorical).distinct()
-        for c in categorical:
-            if c in base_values:
-                segs = segs.filter(F.col(c) == F.lit(base_values[c]))
-        grid = days.crossJoin(segs)
-    else:
-        grid = days.select(date_col, *[F.lit(str(base_values.get(c, S.CATEGORICAL_DEFAULT))).alias(c)
-                                       for c in categorical])
+    free = [c for c in categorical if c not in base_values] if per_segment else []
+    day = F.max(F.col(date_col).cast("date"))
+    # one pass: last date per segment, then over the (few) segments
+    segs = history.groupBy(*free).agg(day.alias("_last"))
+    first = F.date_add(F.max("_last").over(Window.partitionBy(F.lit(1))), 1) if start is None else F.to_date(F.lit(start))
+    fixed = [F.lit(str(base_values.get(c, S.CATEGORICAL_DEFAULT))).alias(c) if c not in free else F.col(c)
+             for c in categorical]
+    grid = segs.withColumn("_start", first).select(
+        F.explode(F.sequence(F.col("_start"), F.date_add(F.col("_start"), horizon - 1))).alias(date_col), *fixed)
     fills: dict[str, Column] = {}
     for c in numerical:
         v = scaffold_default(c, targets, base_values)
@@ -92,6 +88,44 @@ def scenario_grid(scenarios: DataFrame, date_start: str = "start_date", date_end
                                                              F.col(date_end).cast("date"))))
 
 
+def future_rows(fact: DataFrame, horizon: int = 30, lag_source: str = "last_observed",
+                keys: Sequence[str] = S.SEGMENT_KEYS) -> DataFrame:
+    """Scenario rows of the domain forecast: ``horizon`` days after each segment's last date.
+
+    Exogenous columns: volume, marketing and the three indexes are the
+    segment's averages; promotion and holiday follow the day rules,
+    temperature its yearly course; F12 calendar columns are added.  The lag
+    columns are constants (``lag_source='constant'``: 300,000, 120,000 and
+    0.95 x volume) or the segment's last values (``'last_observed'``).  One
+    aggregate over the fact, then days x segments rows.
+    """
+    if lag_source not in ("constant", "last_observed"):
+        raise ValueError(f"unknown lag_source {lag_source!r}")
+    if not 1 <= horizon <= S.MAX_HORIZON:
+        raise ValueError(f"horizon must be between 1 and {S.MAX_HORIZON} days")
+
+    def mean(c: str) -> Column:
+        return round_half_up(F.sum(c).cast("double") / F.count(c)).cast(S.MONEY)
+    lagged = {S.REVENUE: S.FUTURE_REVENUE_LAG, S.COGS: S.FUTURE_COGS_LAG, S.VOLUME: None}
+    seg = fact.groupBy(*keys).agg(
+        F.max(S.DATE).alias("_last"), mean(S.VOLUME).alias(S.VOLUME), mean(S.MARKETING).alias(S.MARKETING),
+        *[round_stat(F.avg(c), 4).alias(c) for c in (S.CONFIDENCE, S.INFLATION, S.COMPETITOR)],
+        *[F.max_by(F.col(c).cast(S.MONEY), S.DATE).alias(f"{c}_lag1") for c in lagged])
+    if lag_source == "constant":
+        share = F.col(S.VOLUME) * F.lit(S.FUTURE_VOLUME_LAG_SHARE)
+        seg = seg.withColumns({f"{c}_lag1": (F.lit(v) if v is not None else share).cast(S.MONEY) for c, v in lagged.items()})
+    rows = seg.withColumn(S.DATE, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))).drop("_last")
+    temp = F.lit(15.0) + F.lit(10.0) * F.sin(F.lit(2.0) * F.pi() * F.dayofyear(S.DATE) / F.lit(365))
+    return add_basic_calendar(rows.withColumns({
+        S.PROMO: promo_day_rule(F.dayofmonth(S.DATE)), S.HOLIDAY: holiday_rule(S.DATE, S.HOLIDAYS_FORECAST),
+        S.TEMPERATURE: F.round(temp.cast("decimal(38,10)"), 6).cast("double")}), S.DATE)
+
+
+def naive_predictor(rows: DataFrame) -> DataFrame:
+    """Predict every target by its lag column."""
+    return rows.withColumns({f"predicted_{c}": F.col(f"{c}_lag1") for c in S.DOMAIN_TARGETS.values()})
+
+
 def generate_forecast(history: DataFrame, models, prep, horizon: int = 30,
                       base_values: Mapping[str, object] | None = None, per_segment: bool = True):
     """Scaffold -> predict -> per-target totals (M10 = M9 -> M8 -> A22).
@@ -108,15 +142,16 @@ def generate_forecast(history: DataFrame, models, prep, horizon: int = 30,
 
 
 def comprehensive_forecast(scenario_rows: DataFrame, models, keys: Sequence[str] = S.SEGMENT_KEYS):
-    """Domain forecast: score scenario rows with the three domain models,
-    derive the row KPIs and summarise per scenario (M11 -> M12).
+    """Domain forecast: score scenario rows, derive the row KPIs and summarise per scenario (M11 -> M12).
 
-    ``scenario_rows`` carries the exogenous columns of the 18/16 features for
-    every (segment, day); returns (daily KPI rows, one summary row per segment).
+    ``scenario_rows`` carries the columns of the 18/16 features for every
+    (segment, day), see ``future_rows``.  ``models`` are the three domain
+    models or a function that adds the ``predicted_`` columns.  Returns (daily
+    KPI rows, one summary row per segment).
     """
     from .kpi import daily_kpis, forecast_summary
     from .models import domain_predict
-    scored = domain_predict(scenario_rows, models)
+    scored = models(scenario_rows) if callable(models) else domain_predict(scenario_rows, models)
     daily = daily_kpis(scored, keys=keys, sales=f"predicted_{S.REVENUE}", cogs=f"predicted_{S.COGS}",
                        volume=f"predicted_{S.VOLUME}")
     return daily, forecast_summary(daily, keys)

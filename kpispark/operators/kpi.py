@@ -120,9 +120,10 @@ def attach_holiday(daily: DataFrame, calendar: DataFrame, date: str = D_DATE,
                    cal_order: str | None = None) -> DataFrame:
     """Left-join a holiday calendar on date; dates missing from it get 0.
 
-    The calendar is first reduced to one row per date (with ``cal_order``,
-    the last row by that order wins, as a later dict entry would; otherwise
-    the max flag).  The reduced calendar has at most one row per calendar day,
+    The calendar is first reduced to one row per date: with ``cal_order``
+    the last row by that order wins, as a later dict entry would.  Rows of a
+    table have no order of their own, so without ``cal_order`` the larger
+    flag is taken.  The reduced calendar has at most one row per calendar day,
     a bounded size, and the join is left to AQE, which broadcasts it when
     small.
     """
@@ -308,8 +309,9 @@ def performance_days(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS) -> Da
     """Best / worst sales day and highest-margin day as 11-field records.
 
     Ties go to the earliest date (the original scans days in date order and
-    keeps the first extreme).  ``max_by``/``min_by`` over an ordering struct
-    are ordinary aggregates: partial on the map side, no sort, no collect.
+    keeps the first extreme).  ``max_by``/``min_by`` combine on the map side;
+    their struct buffers make Spark sort each task's rows by key first
+    (SortAggregate), which is bounded by the daily rows of a task.
     """
     day_num = F.unix_date(F.col(D_DATE))
     return daily.groupBy(*keys).agg(
@@ -319,15 +321,22 @@ def performance_days(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS) -> Da
             "highest_margin_day"))
 
 
+def segment_map_rows(maps: DataFrame, keys: Sequence[str], dims: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
+    """The maps of ``segment_maps`` as rows: keys, dimension, segment_value, sales, volume."""
+    def entries(d: str) -> Column:
+        return F.transform(F.map_entries(f"sales_by_{d.lower()}"), lambda e: F.struct(
+            F.lit(d).alias("dimension"), e["key"].alias("segment_value"), e["value"].alias("sales"),
+            F.element_at(f"volume_by_{d.lower()}", e["key"]).alias("volume")))
+    return maps.select(*keys, F.inline(F.flatten(F.array(*[entries(d) for d in dims]))))
+
+
 def best_worst_flat(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
-    """A7 flattened to scalars (date, sales, margin of each of the three days)."""
+    """A7 flattened: all 11 fields of each of the three days."""
     p = performance_days(daily, keys)
     cols = [F.col(k) for k in keys]
     for name in ("best_day_sales", "worst_day_sales", "highest_margin_day"):
         short = name.replace("_sales", "").replace("_day", "")
-        cols += [F.col(f"{name}.{D_DATE}").alias(f"{short}_date"),
-                 F.col(f"{name}.{D_SALES}").alias(f"{short}_sales_revenue_eur"),
-                 F.col(f"{name}.gross_profit_margin_pct").alias(f"{short}_gross_profit_margin_pct")]
+        cols += [F.col(f"{name}.{c}").alias(f"{short}_{c}") for c in DAY_FIELDS]
     return p.select(*cols)
 
 

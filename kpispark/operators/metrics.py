@@ -68,36 +68,45 @@ def candidate_scored(fact: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, date_c
 
 
 # ---------------------------------------------------------------------- A15/A16
-def metric_exprs(actual: str = "actual", predicted: str = "predicted") -> list[Column]:
+def metric_exprs(actual: str = "actual", predicted: str = "predicted", zero_mape: str = "skip") -> list[Column]:
     """The 12 accuracy metrics as one aggregation (A15), guarded (Q7-Q10).
 
     R^2 uses SST = n * var_pop(y) (never sum(y^2) - n*mean^2); constant actuals
-    give 1 for a perfect fit, else 0.  MAPE averages rows with a non-zero
-    actual; ``zero_actual_rows`` reports the others.  Within-x% counts a zero
-    actual as a miss but keeps it in the denominator.
+    give 1 for a perfect fit, else 0.  Only rows with both values count;
+    ``excluded_rows`` tells the others.  Within-x% counts a zero actual as a
+    miss but keeps it in the denominator.  ``zero_mape``: 'skip' averages the
+    rows with a non-zero actual (``zero_actual_rows`` reports the others);
+    'keep' is the plain form, infinite as soon as a zero actual is missed
+    (and NaN where it is hit exactly).
     """
-    y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    both = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
+    y, p = F.when(both, F.col(actual).cast("double")), F.when(both, F.col(predicted).cast("double"))
     e = y - p
     sse = F.sum(e * e)
-    sst = F.count(F.lit(1)) * F.var_pop(y)
+    n = F.count_if(both)
+    sst = n * F.var_pop(y)
     r2 = F.when(sst == 0, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(1 - sse / sst)
+    ape = F.when(y != 0, F.abs(e / y))
+    if zero_mape == "keep":
+        ape = F.when(y == 0, F.when(e == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(ape)
     mean_y = F.avg(y)
     bias = F.avg(p - y)
     return [
-        F.count(F.lit(1)).alias("n"),
+        n.alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         r2.alias("r2"),
-        (F.avg(F.when(y != 0, F.abs(e / y))) * 100).alias("mape"),
+        (F.avg(ape) * 100).alias("mape"),
         mean_y.alias("mean_actual"),
         F.avg(p).alias("mean_predicted"),
         F.stddev_pop(y).alias("std_actual"),
         F.stddev_pop(p).alias("std_predicted"),
         bias.alias("bias"),
         F.when(mean_y != 0, bias / mean_y * 100).alias("bias_pct"),
-        (F.avg(within(y, p, 0.1)) * 100).alias("within_10_pct"),
-        (F.avg(within(y, p, 0.2)) * 100).alias("within_20_pct"),
+        (F.avg(F.when(both, within(y, p, 0.1))) * 100).alias("within_10_pct"),
+        (F.avg(F.when(both, within(y, p, 0.2))) * 100).alias("within_20_pct"),
         F.count_if(y == 0).alias("zero_actual_rows"),
+        F.count_if(~both).alias("excluded_rows"),
     ]
 
 
@@ -149,7 +158,7 @@ def rolling_metrics(scored: DataFrame, window_days: int = 30, n_windows: int = 5
             .withColumn("window_start", F.date_add(F.col("_start"), (F.col("window_id") - 1) * window_days))
             .withColumn("window_end", F.date_add(F.col("window_start"), window_days))
             .drop("_start"))
-    cols = ["target", "window_id", "window_start", "window_end", "n", *METRICS, "zero_actual_rows"]
+    cols = ["target", "window_id", "window_start", "window_end", "n", *METRICS, "zero_actual_rows", "excluded_rows"]
     out = out.select(*cols)
     return out if digits is None else rounded(out, digits)
 

@@ -18,10 +18,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,10 @@ def preprocessing_stages(numerical: Sequence[str], categorical: Sequence[str], p
                          scale: bool = False) -> tuple[list, str]:
     """Stages turning feature columns into one vector column (M1/M2).
 
-    Unseen categories map to an all-zero one-hot block (``keep`` puts them in
-    an extra last slot that ``dropLast`` removes); every seen value keeps its
-    own slot.  Other columns are dropped by the assembler.
+    Unseen categories map to an all-zero one-hot block: ``keep`` indexes them
+    last, and the encoder, which knows that index from the column's metadata,
+    drops its slot (``dropLast``).  Every seen value keeps its own slot, in
+    order of falling frequency.  Other columns are dropped by the assembler.
     """
     stages, parts = [], []
     if numerical:
@@ -56,7 +58,7 @@ def preprocessing_stages(numerical: Sequence[str], categorical: Sequence[str], p
         idx = [f"{prefix}__{c}_idx" for c in categorical]
         ohe = [f"{prefix}__{c}_ohe" for c in categorical]
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
         parts.extend(ohe)
     out = f"{prefix}__features"
     stages.append(VectorAssembler(inputCols=parts, outputCol=out))
@@ -106,6 +108,7 @@ class PreparedData:
     categorical: list[str]
     date_column: str | None
     lags: list[int] = field(default_factory=lambda: list(S.DEFAULT_LAGS))
+    group_cols: list[str] | None = None       # how the lags were grouped (default: by every categorical column)
 
     def schema_dict(self) -> dict:
         return {"numerical_features": self.numerical, "categorical_features": self.categorical,
@@ -133,7 +136,8 @@ def prepare_data(df: DataFrame, targets: Sequence[str] | None = None, group_cols
         data = lag_features(data, targets, groups, prof.date, lags, strategy="positions")
         numerical += [f"{t}_lag{k}" for t in targets for k in lags]
     data = drop_incomplete(data)
-    return PreparedData(data, prof, targets, numerical, categorical, prof.date, list(lags))
+    return PreparedData(data, prof, targets, numerical, categorical, prof.date, list(lags),
+                        list(group_cols) if group_cols is not None else None)
 
 
 # ---------------------------------------------------------------- M5
@@ -154,7 +158,7 @@ def split(prep: PreparedData, test_size: float = 0.2, method: str | None = None,
         else:
             c = F.to_date(F.lit(cut))
         return data.filter(d < c), data.filter(d >= c)
-    groups = [c for c in prep.categorical]
+    groups = list(prep.categorical) if prep.group_cols is None else prep.group_cols
     indexed = global_positions(data, [prep.date_column], groups)
     n = indexed.agg(F.count(F.lit(1)).alias("_n"))
     cut_idx = F.floor(F.col("_n").cast("double") * F.lit(1.0 - test_size))
@@ -173,14 +177,55 @@ def fit_all(jobs: Mapping, train: DataFrame, parallelism: int = 4) -> dict:
     order of completion.
     """
     from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
     keys = list(jobs)
     if parallelism <= 1 or len(keys) <= 1:
         return {k: jobs[k].fit(train) for k in keys}
+    fit = inheritable_thread_target(train.sparkSession)(lambda k: jobs[k].fit(train))
     with ThreadPoolExecutor(max_workers=min(parallelism, len(keys))) as pool:
-        fitted = list(pool.map(lambda k: jobs[k].fit(train), keys))
+        fitted = list(pool.map(fit, keys))
     return dict(zip(keys, fitted))
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def training_frame(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """``df`` persisted in as many partitions as its rows are worth.
+
+    A tree level is one job over all partitions, so a small frame in many
+    partitions spends its time on scheduling; a large one keeps its own.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = max(1, -(-kept.count() // rows_per_partition))
+    if wanted >= kept.rdd.getNumPartitions():
+        return kept
+    packed = kept.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    packed.count()
+    kept.unpersist()
+    return packed
+
+
+def fit_shared(train: DataFrame, numerical: Sequence[str], categorical: Sequence[str],
+               jobs: Mapping[tuple[str, str], object], scale: bool, parallelism: int = 4) -> dict:
+    """Fit one regressor per (target, name) on vectors that are built once.
+
+    The preprocessing does not depend on the target, so it is fitted once;
+    each result is still a whole pipeline (preprocessing + regressor).
+    """
+    stages, feats = preprocessing_stages(numerical, categorical, "_m_", scale)
+    prep = Pipeline(stages=stages).fit(train)
+    targets = sorted({t for t, _ in jobs})
+    vectors = training_frame(prep.transform(train).select(feats, *[F.col(t).cast("double").alias(t) for t in targets]))
+    try:
+        fitted = fit_all({k: r.copy().setFeaturesCol(feats).setLabelCol(k[0]).setPredictionCol(f"predicted_{k[0]}")
+                          for k, r in jobs.items()}, vectors, parallelism)
+    finally:
+        vectors.unpersist()
+    return {k: PipelineModel(stages=[*prep.stages, m]) for k, m in fitted.items()}
+
+
 # ---------------------------------------------------------------- M4, M6
 @dataclass
 class TrainResult:
@@ -203,12 +248,12 @@ def train_models(prep: PreparedData, test_size: float = 0.2, method: str | None
     candidates = candidates or candidate_regressors()
     train, test = split(prep, test_size, method, cut)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    test = training_frame(test)
     scored = []
     try:
-        pipes = {(t, name): target_pipeline(prep.numerical, prep.categorical, t, make(), scale)
-                 for t in prep.targets for name, make in candidates.items()}
-        models = fit_all(pipes, train, parallelism)
+        models = fit_shared(train, prep.numerical, prep.categorical,
+                            {(t, name): make() for t in prep.targets for name, make in candidates.items()},
+                            scale, parallelism)
         for target in prep.targets:
             for order, name in enumerate(candidates):
                 pred = score(test, models[(target, name)])
@@ -221,8 +266,10 @@ def train_models(prep: PreparedData, test_size: float = 0.2, method: str | None
             long = long.unionByName(s)
         table = long.groupBy("target", "model", "model_order").agg(*M.metric_exprs()).select(
             "target", "model", "model_order", "n", "mae", "rmse", "r2", "mape")
-        table = M.select_best(table).persist()
-        best = {r["target"]: r["model"] for r in table.filter("is_best").select("target", "model").collect()}
+        # targets x candidates rows
+        rows = M.select_best(table).collect()
+        table = train.sparkSession.createDataFrame(rows, M.select_best(table).schema)
+        best = {r["target"]: r["model"] for r in rows if r["is_best"]}
     finally:
         train.unpersist()
         test.unpersist()
@@ -249,30 +296,31 @@ def predict(df: DataFrame, models: Mapping[str, PipelineModel], prep: PreparedDa
 
 
 # --------------------------------------------------------------------- M13
+def slot_names(stages: Sequence) -> list[str]:
+    """Names of the feature vector's slots, from the fitted stages.
+
+    The vector is the numeric block (slot i is the assembler's i-th input,
+    scaled or not) followed by one block per categorical column, whose slots
+    are ``<column>_<value>`` in the indexer's order.
+    """
+    names = []
+    for st in stages:
+        if isinstance(st, VectorAssembler) and st.getOutputCol().endswith("__num"):
+            names += st.getInputCols()
+        elif isinstance(st, StringIndexerModel):
+            for c, labels in zip(st.getInputCols(), st.labelsArray):
+                names += [f"{c}_{v}" for v in labels]
+    return names
+
+
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     """(feature, importance) sorted descending.
 
-    Slot names come from the assembled vector's ML attributes (scaled numeric
-    slots are mapped back to their input column; one-hot slots are
-    ``<column>_<value>``).  Models without importances give zeros.
+    Slots are named by ``slot_names``.  Models without importances give zeros.
     """
     spark = sample.sparkSession
     reg = model.stages[-1]
-    feats_col = reg.getFeaturesCol()
-    schema = model.transform(sample.limit(0)).schema
-    attrs = schema[feats_col].metadata.get("ml_attr", {}).get("attrs", {})
-    slots = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
-    num_inputs = []
-    for st in model.stages:
-        if isinstance(st, VectorAssembler) and st.getOutputCol().endswith("__num"):
-            num_inputs = st.getInputCols()
-    names = []
-    for idx, name in slots:
-        if "__num" in name and num_inputs:
-            k = int(name.rsplit("_", 1)[-1]) if name.rsplit("_", 1)[-1].isdigit() else idx
-            names.append(num_inputs[k] if k < len(num_inputs) else name)
-        else:
-            names.append(name.split("__", 2)[-1].replace("_ohe_", "_") if "__" in name else name)
+    names = slot_names(model.stages)
     if hasattr(reg, "featureImportances"):
         imp = reg.featureImportances.toArray().tolist()
     elif hasattr(reg, "coefficients"):
@@ -296,44 +344,93 @@ def voting_predict(df: DataFrame, models: Sequence[PipelineModel], target: str)
     return data.withColumn(f"predicted_{target}", mean).drop(*[f"_vote_{i}" for i in range(len(cols))])
 
 
+def contiguous_folds(data: DataFrame, folds: int, order_cols: Sequence[str]) -> DataFrame:
+    """Add ``_fold``: ``folds`` contiguous runs of rows in the given order, of sizes that differ by one at most."""
+    indexed = global_positions(data, list(order_cols))
+    n = indexed.agg(F.count(F.lit(1)).alias("_n"))
+    # the first n % folds runs have one row more
+    small, more = F.floor(F.col("_n") / folds), F.col("_n") % folds
+    head = more * (small + 1)
+    fold = F.when(F.col("_pos") < head, F.floor(F.col("_pos") / (small + 1))).otherwise(
+        more + F.floor((F.col("_pos") - head) / F.greatest(small, F.lit(1))))
+    return indexed.crossJoin(F.broadcast(n)).withColumn("_fold", fold.cast("int")).drop("_pos", "_n")  # one row
+
+
+@dataclass
+class RidgeModel:
+    """A fitted linear combination of columns."""
+    columns: list[str]
+    coefficients: list[float]
+    intercept: float
+    output: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = [F.col(c) * F.lit(w) for c, w in zip(self.columns, self.coefficients)]
+        return df.withColumn(self.output, sum(terms, F.lit(self.intercept)))
+
+
+def ridge(data: DataFrame, columns: Sequence[str], target: str, alpha: float = 1.0) -> RidgeModel:
+    """Ridge regression: least squares + ``alpha`` times the squared weights, intercept free.
+
+    The few columns' co-moments come from two aggregates (means, then centred
+    products); the k x k system is solved on the driver.  Rows with a NULL in
+    any of the columns are left out.
+    """
+    names = [*columns, target]
+    x = data.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    means = x.agg(*[F.avg(c).alias(c) for c in names]).first()
+    if means[target] is None:
+        raise ValueError("no complete rows")
+    centred = [F.col(c) - F.lit(means[c]) for c in names]
+    got = x.agg(*[F.sum(centred[i] * centred[j]).alias(f"{i}_{j}") for i in range(len(names)) for j in range(i + 1)]).first()
+    moment = np.array([[got[f"{max(i, j)}_{min(i, j)}"] for j in range(len(names))] for i in range(len(names))])
+    w = np.linalg.solve(moment[:-1, :-1] + alpha * np.eye(len(columns)), moment[:-1, -1])
+    return RidgeModel(list(columns), [float(v) for v in w],
+                      float(means[target] - sum(v * means[c] for v, c in zip(w, columns))), f"predicted_{target}")
+
+
 def stacking_fit(train: DataFrame, prep: PreparedData, target: str,
                  candidates: Mapping[str, Callable[[], object]], folds: int = 5,
-                 reg_param: float = 1.0, scale: bool = True):
-    """Stacking (M16): out-of-fold predictions of each base model feed a
-    ridge meta-learner (``LinearRegression`` with an L2 penalty only).
+                 alpha: float = 1.0, scale: bool = True, parallelism: int = 4):
+    """Stacking (M16): out-of-fold predictions of each base model feed a ridge meta-learner.
 
-    Folds are ``pmod(hash(row), k)``: deterministic and independent of
-    partitioning.  Returns (base models fitted on all rows, meta model).
+    Folds are contiguous runs of rows in date order (in the order of all
+    columns without a date).  All fits (folds x candidates, and the final
+    ones) are independent and run concurrently.  Returns (base models fitted
+    on all rows, meta model).
     """
-    data = train.withColumn("_fold", F.pmod(F.xxhash64(*[F.col(c) for c in train.columns]), F.lit(folds)))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    order = [prep.date_column] if prep.date_column else list(train.columns)
+    data = training_frame(contiguous_folds(train, folds, order))
+    names = list(candidates)
     try:
+        out, final = {}, {}
+        for k in range(folds):
+            part = data.filter(F.col("_fold") != k)
+            fitted = fit_shared(part, prep.numerical, prep.categorical,
+                                {(target, n): candidates[n]() for n in names}, scale, parallelism)
+            for n in names:
+                out[(k, n)] = fitted[(target, n)]
+        final = fit_shared(data, prep.numerical, prep.categorical, {(target, n): candidates[n]() for n in names},
+                           scale, parallelism)
         oof = None
         for k in range(folds):
-            fit_part, hold = data.filter(F.col("_fold") != k), data.filter(F.col("_fold") == k)
-            part = hold
-            for i, (name, make) in enumerate(candidates.items()):
-                m = target_pipeline(prep.numerical, prep.categorical, target, make(), scale).fit(fit_part)
-                part = score(part, m).withColumnRenamed(f"predicted_{target}", f"_base_{i}")
+            part = data.filter(F.col("_fold") == k)
+            for i, n in enumerate(names):
+                part = score(part, out[(k, n)]).withColumnRenamed(f"predicted_{target}", f"_base_{i}")
+            part = part.select(target, *[f"_base_{i}" for i in range(len(names))])
             oof = part if oof is None else oof.unionByName(part)
-        base_cols = [f"_base_{i}" for i in range(len(candidates))]
-        meta_in = VectorAssembler(inputCols=base_cols, outputCol="_meta_x").transform(oof)
-        meta = LinearRegression(featuresCol="_meta_x", labelCol=target, regParam=reg_param,
-                                elasticNetParam=0.0, predictionCol=f"predicted_{target}").fit(meta_in)
-        bases = [target_pipeline(prep.numerical, prep.categorical, target, make(), scale).fit(data)
-                 for make in candidates.values()]
+        meta = ridge(oof.persist(StorageLevel.MEMORY_AND_DISK), [f"_base_{i}" for i in range(len(names))], target, alpha)
+        oof.unpersist()
     finally:
         data.unpersist()
-    return bases, meta
+    return [final[(target, n)] for n in names], meta
 
 
 def stacking_predict(df: DataFrame, bases: Sequence[PipelineModel], meta, target: str) -> DataFrame:
     data = df
     for i, m in enumerate(bases):
         data = score(data, m).withColumnRenamed(f"predicted_{target}", f"_base_{i}")
-    cols = [f"_base_{i}" for i in range(len(bases))]
-    data = VectorAssembler(inputCols=cols, outputCol="_meta_x").transform(data)
-    return meta.transform(data).drop("_meta_x", *cols)
+    return meta.transform(data).drop(*[f"_base_{i}" for i in range(len(bases))])
 
 
 # --------------------------------------------------------------------- M17
@@ -342,20 +439,25 @@ def time_series_cv(prep: PreparedData, target: str, cut_dates: Sequence[str], ma
     """Expanding-window validation (M17): fold i trains on date < cut_i and
     tests on cut_i <= date < cut_{i+1} (the last fold runs to the end)."""
     d = F.col(prep.date_column).cast("date")
-    rows = None
     cuts = [F.to_date(F.lit(c)) for c in cut_dates]
-    for i, c in enumerate(cuts):
-        train = prep.data.filter(d < c)
-        test = prep.data.filter(d >= c)
-        if i + 1 < len(cuts):
-            test = test.filter(d < cuts[i + 1])
-        model = target_pipeline(prep.numerical, prep.categorical, target, make_regressor(), scale).fit(train)
-        s = score(test, model).select(F.lit(i + 1).alias("fold"), F.lit(cut_dates[i]).alias("cut"),
-                                      F.col(target).cast("double").alias("actual"),
-                                      F.col(f"predicted_{target}").alias("predicted"))
-        m = s.groupBy("fold", "cut").agg(*M.metric_exprs())
-        rows = m if rows is None else rows.unionByName(m)
-    return rows
+    data = training_frame(prep.data)
+    try:
+        scored = None
+        for i, c in enumerate(cuts):
+            test = data.filter(d >= c)
+            if i + 1 < len(cuts):
+                test = test.filter(d < cuts[i + 1])
+            model = fit_shared(data.filter(d < c), prep.numerical, prep.categorical, {(target, "cv"): make_regressor()},
+                               scale)[(target, "cv")]
+            part = score(test, model).select(F.lit(i + 1).alias("fold"), F.lit(cut_dates[i]).alias("cut"),
+                                             F.col(target).cast("double").alias("actual"),
+                                             F.col(f"predicted_{target}").alias("predicted"))
+            scored = part if scored is None else scored.unionByName(part)
+        table = scored.groupBy("fold", "cut").agg(*M.metric_exprs())
+        # one row per fold
+        return data.sparkSession.createDataFrame(table.collect(), table.schema)
+    finally:
+        data.unpersist()
 
 
 # ------------------------------------------------------------- domain path
@@ -382,12 +484,12 @@ def check_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def train_domain_models(frame: DataFrame, cut: str, max_iter: int = 100,
                         parallelism: int = 3) -> dict[str, PipelineModel]:
     """Sales and COGS on the 18 features, volume on the 16 (M3), trained on date < cut."""
-    train = frame.filter(F.col(S.DATE) < F.to_date(F.lit(cut))).persist(StorageLevel.MEMORY_AND_DISK)
+    train = training_frame(frame.filter(F.col(S.DATE) < F.to_date(F.lit(cut))))
     try:
         pipes = {}
         for key, target in S.DOMAIN_TARGETS.items():
             feats = S.VOLUME_FEATURES if key == "volume" else S.SALES_FEATURES
-            num = [c for c in feats if c not in DOMAIN_CATEGORICAL]
+            num = [c for c in check_features(train, feats).columns if c not in DOMAIN_CATEGORICAL]
             pipes[key] = target_pipeline(num, DOMAIN_CATEGORICAL, target, domain_regressor(max_iter))
         out = fit_all(pipes, train, parallelism)
     finally:

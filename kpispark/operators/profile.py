@@ -1,9 +1,9 @@
 """Schema profiling and dataset description.
 
-Profiling reads the schema on the driver and runs *one* aggregation for all
-columns' distinct counts (HyperLogLog, so memory per column is fixed) plus a
-100-row probe for string date columns.  It returns a small ``TableProfile``
-(one entry per column), never data.
+Profiling reads the schema on the driver and runs *one* aggregation over all
+rows: whether every value of a string column parses as a date, and distinct
+counts (HyperLogLog, so memory per column is fixed).  It returns a small
+``TableProfile`` (one entry per column), never data.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from .features import global_positions
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -49,7 +50,7 @@ def profile(df: DataFrame, date_override: str | None = None,
 
     Rules (Q12-Q13): a date/timestamp column, or any column whose name contains
     "date" (the last hit wins; every hit leaves the feature set), or a string
-    column whose first 100 non-null values all parse as dates.  Numeric types
+    column whose non-null values all parse as dates (one at least).  Numeric types
     are numerical; names containing a target keyword are potential targets.
     Strings are categorical, as are other types with < 20 distinct values.
     """
@@ -57,22 +58,16 @@ def profile(df: DataFrame, date_override: str | None = None,
     fields = df.schema.fields
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)
                and "date" not in f.name.lower()]
-    parses: dict[str, bool] = {}
-    if strings:
-        probe = df.select(*strings).limit(S.DATE_PROBE_ROWS)
-        row = probe.agg(*[
-            (F.count(F.col(c)) > 0).alias(f"{c}__some") for c in strings
-        ] + [
-            F.bool_and(F.col(c).isNull() | _parse_any(c).isNotNull()).alias(f"{c}__all") for c in strings
-        ]).collect()[0]
-        parses = {c: bool(row[f"{c}__some"]) and bool(row[f"{c}__all"]) for c in strings}
     others = [f.name for f in fields
               if not isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType,
                                              T.TimestampNTZType) + NUMERIC_TYPES)]
-    distinct = {}
-    if others:
-        r = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).collect()[0]
-        distinct = {c: r[c] for c in others}
+    # one aggregate over all rows: do all values parse, and how many differ
+    aggs = [F.coalesce(F.bool_and(F.col(c).isNull() | _parse_any(c).isNotNull()) & (F.count(F.col(c)) > 0),
+                       F.lit(False)).alias(c) for c in strings]
+    aggs += [F.approx_count_distinct(c).alias(c) for c in others]
+    row = df.agg(*aggs).collect()[0] if aggs else {}
+    parses = {c: bool(row[c]) for c in strings}
+    distinct = {c: row[c] for c in others}
     for f in fields:
         name, dt = f.name, f.dataType
         is_date_type = isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -118,23 +113,43 @@ def dataset_info(df: DataFrame, prof: TableProfile | None = None, sample_rows: i
             "sample": [r.asDict() for r in df.limit(sample_rows).collect()]}
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, quartiles: bool = True,
-             accuracy: int = 10000) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, quartiles: bool = True) -> DataFrame:
     """count / mean / sample std / min / quartiles / max per numeric column.
 
-    Long output, one row per column, all in one aggregation.  Quartiles use
-    ``percentile_approx`` (bounded memory per column); exact percentiles would
-    need every value of a column in one task.
+    Long output, one row per column.  Counts, means and extremes are one wide
+    aggregate whose single row is unpivoted.  Quartiles interpolate linearly
+    between the two rows around (n - 1) q: all values are put in (column,
+    value) order by ``global_positions``, which never holds a column in one
+    task, and only the needed positions are kept.
     """
     cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)])
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])))
-    aggs = [F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"), F.max("v").alias("max")]
-    if quartiles:
-        aggs += [F.percentile_approx("v", p, accuracy).alias(n)
-                 for p, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]]
-    return long.groupBy("column_name").agg(*aggs)
+    v = {c: F.col(c).cast("double") for c in cols}
+    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"_{i}")
+                   for i, (c, x) in enumerate(v.items())])
+    stats = one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cols))])))
+    if not quartiles:
+        return stats
+    stats = stats.persist()
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), x.alias("v")) for c, x in v.items()])))
+    placed = global_positions(long.filter(F.col("v").isNotNull()), ["v"], ["column_name"])
+    # one row per column: where it starts, and the positions around each quartile
+    start = F.sum("count").over(Window.orderBy("column_name")) - F.col("count")
+    marks = stats.select("column_name", "count", start.alias("_start"))
+    marks = marks.select("*", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_q"), F.lit(q).alias("_share")) for q, n in QUARTILES])))
+    at = F.col("_share") * (F.col("count") - 1)
+    marks = marks.select("column_name", "_q", (F.col("_start") + F.floor(at)).alias("_lo"),
+                         (F.col("_start") + F.ceil(at)).alias("_hi"), (at - F.floor(at)).alias("_part"))
+    near = placed.join(F.broadcast(marks), "column_name").filter(F.col("_pos").between(F.col("_lo"), F.col("_hi")))
+    low = F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("v")))
+    high = F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("v")))
+    value = near.groupBy("column_name", "_q").agg((low + (high - low) * F.max("_part")).alias("_v"))
+    wide = value.groupBy("column_name").pivot("_q", [n for _, n in QUARTILES]).agg(F.first("_v"))
+    return stats.join(F.broadcast(wide), "column_name", "left")
+
+
+QUARTILES = [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]
 
 
 def distinct_below(df: DataFrame, col: str, limit: int = S.CATEGORICAL_MAX_DISTINCT,

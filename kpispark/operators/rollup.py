@@ -2,15 +2,15 @@
 
 Periods follow the calendar-resample convention: a week is labelled by its
 Sunday (weeks run Monday-Sunday), a month by its last day.  Rollups are one
-``groupBy(keys, period)``; the dense variant joins a per-key spine of
-periods whose length is bounded by the calendar span, not the row count.
+``groupBy(keys, period)``; the dense variant fills each key's gaps from the
+rollup itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,26 +55,25 @@ def rollup_sum_all(daily: DataFrame, freq: str = "W", keys: Sequence[str] = SEGM
                                                else F.col(c)).alias(c) for c in numeric])
 
 
-def period_spine(daily: DataFrame, freq: str, keys: Sequence[str] = SEGMENT_KEYS,
-                 date_col: str = D_DATE) -> DataFrame:
-    """Every period label between each key's first and last period."""
-    b = daily.groupBy(*keys).agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    if freq == "W":
-        seq = F.sequence(period_end(F.col("_lo"), "W"), period_end(F.col("_hi"), "W"),
-                         F.expr("INTERVAL 7 DAYS"))
-        return b.select(*keys, F.explode(seq).alias("period_end"))
-    starts = F.sequence(F.trunc(F.col("_lo"), "month"), F.trunc(F.col("_hi"), "month"),
-                        F.expr("INTERVAL 1 MONTH"))
-    return (b.select(*keys, F.explode(starts).alias("_m"))
-             .select(*keys, F.last_day(F.col("_m")).alias("period_end")))
-
-
 def dense_rollup(daily: DataFrame, freq: str = "W", keys: Sequence[str] = SEGMENT_KEYS,
                  sum_cols: Sequence[str] = SUM_COLS, mean_cols: Sequence[str] = MEAN_COLS,
                  date_col: str = D_DATE) -> DataFrame:
-    """A9 including empty periods inside the range: sums 0, means NULL."""
+    """A9 including empty periods inside the range: sums 0, means NULL.
+
+    Each period of the rollup is expanded by the empty ones up to the key's
+    next period (a window over the rollup, whose groups are bounded by the
+    calendar span).  No spine and no join, so the input is read once.
+    """
     agg = rollup(daily, freq, keys, sum_cols, mean_cols, date_col)
-    spine = period_spine(daily, freq, keys, date_col)
-    out = spine.join(agg, [*keys, "period_end"], "left")
-    fill = {c: F.coalesce(F.col(c), F.lit(0).cast(agg.schema[c].dataType)) for c in [*sum_cols, "days"]}
-    return out.withColumns(fill)
+    w = Window.partitionBy(*keys).orderBy("period_end")
+    step = F.expr("INTERVAL 7 DAYS" if freq == "W" else "INTERVAL 1 MONTH")
+    # months advance from their first days, so that every month has a label
+    first = F.col("period_end") if freq == "W" else F.trunc("period_end", "month")
+    out = agg.withColumn("_first", first).withColumn("_next", F.lead("_first").over(w))
+    last = F.coalesce(F.date_sub("_next", 1), F.col("_first"))
+    out = out.withColumn("_p", F.explode(F.sequence(F.col("_first"), last, step)))
+    own = F.col("_p") == F.col("_first")
+    label = F.col("_p") if freq == "W" else F.last_day("_p")
+    zero = {c: F.when(own, F.col(c)).otherwise(F.lit(0).cast(agg.schema[c].dataType)) for c in [*sum_cols, "days"]}
+    return out.select(*keys, label.alias("period_end"), *[zero[c].alias(c) for c in sum_cols],
+                      *[F.when(own, F.col(c)).alias(c) for c in mean_cols], zero["days"].alias("days"))

@@ -1,8 +1,9 @@
 """Registered queries: name -> Spark plan over the driver tables, plus the
 matching DuckDB oracle SQL (``ORACLE``) where one exists.
 
-Every query reads the whole given tables (through ``sales_fact`` or
-``events_daily``); none runs on fixed input, none samples or caps rows.
+Every query reads the whole given tables (through ``sales_fact``,
+``events_daily`` or a table itself); none runs on fixed input, none samples or
+caps rows, other than the top-k reports whose feature that is.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .. import schema as S
 from ..functions.calendar import full_calendar
 from ..functions.exprs import clamp0_money, cogs_ratio_pct, round_stat
 from ..operators import features, kpi, metrics, rollup
-from ..operators.profile import describe, profile_frame
-from ..sources.testtables import sales_fact
+from ..operators.profile import QUARTILES, coerce_numeric, describe, fill_missing_features, profile_frame
+from ..sources.testtables import read_table, sales_fact
 from . import sql as Q
 
 HOLDOUT_CUT = "2000-01-01"
@@ -107,18 +108,21 @@ def promo_impact(spark, sf_dir):
     return kpi.promo_impact(_daily(spark, sf_dir))
 
 
+# The calendar comes from the orders: one row per finished order, flagged
+# when urgent; days repeat (the last order number wins) and some days are missing.
 @register("holiday_lift", f"""WITH {Q.DAILY_CTE[1:]},
-cal AS (SELECT "Date" AS _hd, MAX(Holiday_Indicator) AS _hf FROM fact GROUP BY 1),
+cal AS (SELECT CAST(o_orderdate AS DATE) AS _hd, ARG_MAX(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END, o_orderkey) AS _hf
+        FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
 j AS (SELECT d.* EXCLUDE (holiday_indicator), COALESCE(CAST(cal._hf AS INTEGER), 0) AS holiday_indicator
       FROM daily d LEFT JOIN cal ON d.date = cal._hd),
 t AS (SELECT {Q.KEYS}, {Q.HOLIDAY_AGG} FROM j GROUP BY {Q.KEYS})
 SELECT {Q.KEYS}, {Q.HOLIDAY_COLS}, holiday_days_count, non_holiday_days_count FROM t""")
 def holiday_lift(spark, sf_dir):
-    fact = sales_fact(spark, sf_dir)
-    daily = kpi.daily_kpis(fact, holiday=None)
-    # The calendar is a per-date table; here it is derived from the fact.
-    withh = kpi.attach_holiday(daily, fact.select(S.DATE, S.HOLIDAY))
-    return kpi.holiday_lift(withh)
+    daily = kpi.daily_kpis(sales_fact(spark, sf_dir), holiday=None)
+    orders = read_table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    cal = orders.select(F.col("o_orderdate").cast("date").alias(S.DATE), "o_orderkey",
+                        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias(S.HOLIDAY))
+    return kpi.holiday_lift(kpi.attach_holiday(daily, cal, cal_order="o_orderkey"))
 
 
 @register("summary_averages", f"""WITH {Q.DAILY_CTE[1:]},
@@ -149,9 +153,9 @@ def _best_sql() -> str:
     }
     ctes = []
     for name, order in rank.items():
-        ctes.append(f"""{name} AS (SELECT {Q.KEYS}, date AS {name}_date,
-   CAST(sales_revenue_eur AS DOUBLE) AS {name}_sales_revenue_eur,
-   gross_profit_margin_pct AS {name}_gross_profit_margin_pct
+        fields = ", ".join(f"{c if c in (kpi.D_DATE, kpi.D_PROMO) else f'CAST({c} AS DOUBLE)'} AS {name}_{c}"
+                           for c in kpi.DAY_FIELDS)
+        ctes.append(f"""{name} AS (SELECT {Q.KEYS}, {fields}
  FROM daily QUALIFY ROW_NUMBER() OVER (PARTITION BY {Q.KEYS} ORDER BY {order}) = 1)""")
         cols.append(f"{name}.* EXCLUDE ({Q.KEYS})")
     return (f"WITH {Q.DAILY_CTE[1:]},\n" + ",\n".join(ctes) +
@@ -185,6 +189,42 @@ def forecast_summary(spark, sf_dir):
     return kpi.forecast_summary(_daily(spark, sf_dir), nested=False)
 
 
+def _summary_full_sql(ctes: str | None = None) -> str:
+    """A8 with the three days of A7 (all fields) and the totals of A6 by each of the segment's own values."""
+    base = _summary_sql() if ctes is None else _summary_sql().replace(f"WITH {Q.DAILY_CTE[1:]}", f"WITH {ctes}")
+    head, body = base.split("\nSELECT ", 1)
+    best = _best_sql()
+    days = best[best.index(Q.DAILY_CTE[1:]) + len(Q.DAILY_CTE) - 1:].split("\nSELECT ")[0]
+    maps = ", ".join(f"{Q.R(f'CAST(total_{m} AS DOUBLE)')} AS {m}_by_{d.lower()}" for d in KEYS for m in ("sales", "volume"))
+    using = f"USING ({Q.KEYS})"
+    return (f"{head}{days},\nsummary AS (SELECT {body}),\nmaps AS (SELECT {Q.KEYS}, {maps} FROM t)\n"
+            f"SELECT * FROM summary JOIN maps {using} JOIN best {using} JOIN worst {using} JOIN highest_margin {using}")
+
+
+def _flat_summary(s: DataFrame) -> DataFrame:
+    """The nested summary with each map's entry of the segment itself and each day's fields as columns."""
+    maps = [f"{m}_by_{d.lower()}" for d in KEYS for m in ("sales", "volume")]
+    days = {"best_day_sales": "best", "worst_day_sales": "worst", "highest_margin_day": "highest_margin"}
+    plain = [c for c in s.columns if c not in maps and c not in days]
+    return s.select(*plain, *[F.col(f"{m}_by_{d.lower()}")[F.col(d)].alias(f"{m}_by_{d.lower()}")
+                              for d in KEYS for m in ("sales", "volume")],
+                    *[F.col(f"{name}.{c}").alias(f"{short}_{c}") for name, short in days.items() for c in kpi.DAY_FIELDS])
+
+
+@register("forecast_summary_full", _summary_full_sql())
+def forecast_summary_full(spark, sf_dir):
+    return _flat_summary(kpi.forecast_summary(_daily(spark, sf_dir)))
+
+
+@register("segment_maps", f"""WITH {Q.DAILY_CTE[1:]},
+long AS ({' UNION ALL '.join(f"SELECT Country, '{d}' AS dimension, {d} AS segment_value, sales_revenue_eur AS s, sales_volume_litres AS v FROM daily"
+                             for d in KEYS)})
+SELECT Country, dimension, segment_value, {Q.R('CAST(SUM(s) AS DOUBLE)')} AS sales, {Q.R('CAST(SUM(v) AS DOUBLE)')} AS volume
+FROM long GROUP BY ALL""")
+def segment_maps(spark, sf_dir):
+    return kpi.segment_map_rows(kpi.segment_maps(_daily(spark, sf_dir), [S.COUNTRY]), [S.COUNTRY])
+
+
 # ------------------------------------------------------------------ rollups
 def _rollup_sql(freq: str, dense: bool = False) -> str:
     pe = ("CAST(DATE_TRUNC('week', date) AS DATE) + 6" if freq == "W" else "LAST_DAY(date)")
@@ -237,22 +277,24 @@ def monthly_rollup_dense(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- features
-def _calendar_sql() -> str:
-    d = '"Date"'
+def _cal_sql(d: str = '"Date"') -> dict[str, str]:
+    """The 11 calendar features (F13) of a date column in SQL."""
     dow = f"(ISODOW({d}) - 1)"
-    two_pi = "2.0 * PI()"
-    feats = {
+    return {
         "year": f"CAST(YEAR({d}) AS INTEGER)", "month": f"CAST(MONTH({d}) AS INTEGER)",
         "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
         "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
         "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.RS(f"SIN({two_pi} * MONTH({d}) / 12)", 6),
-        "month_cos": Q.RS(f"COS({two_pi} * MONTH({d}) / 12)", 6),
-        "day_sin": Q.RS(f"SIN({two_pi} * {dow} / 7)", 6),
-        "day_cos": Q.RS(f"COS({two_pi} * {dow} / 7)", 6),
+        "month_sin": Q.RS(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "month_cos": Q.RS(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
+        "day_sin": Q.RS(f"SIN(2.0 * PI() * {dow} / 7)", 6),
+        "day_cos": Q.RS(f"COS(2.0 * PI() * {dow} / 7)", 6),
     }
-    return f"WITH {Q.FACT_CTE[1:]}\nSELECT {Q.KEYS}, {d}, " + ", ".join(
-        f"{e} AS {n}" for n, e in feats.items()) + " FROM fact"
+
+
+def _calendar_sql() -> str:
+    return f"WITH {Q.FACT_CTE[1:]}\nSELECT {Q.KEYS}, \"Date\", " + ", ".join(
+        f"{e} AS {n}" for n, e in _cal_sql().items()) + " FROM fact"
 
 
 @register("calendar_features", _calendar_sql())
@@ -264,6 +306,9 @@ def calendar_features(spark, sf_dir):
                                      for n, c in feats.items()])
 
 
+FACT_COLS = [S.DATE, *KEYS, S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.PROMO, S.CONFIDENCE, S.INFLATION,
+             S.TEMPERATURE, S.HOLIDAY, S.COMPETITOR]
+MONEY_COLS = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING]
 LAG_TARGETS = [S.REVENUE, S.COGS, S.VOLUME]
 
 
@@ -445,17 +490,47 @@ DESCRIBE_COLS = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.CONFIDENCE, S.INFLA
                  S.COMPETITOR]
 
 
+def _quartile_sql(q: float) -> str:
+    at = f"CAST({q!r} AS DOUBLE) * (n - 1)"
+    low, high = (f"MAX(CASE WHEN pos = {fn}({at}) THEN v END)" for fn in ("FLOOR", "CEIL"))
+    return f"{low} + ({high} - {low}) * (MAX({at}) - FLOOR(MAX({at})))"
+
+
 @register("describe", f"""WITH {Q.FACT_CTE[1:]},
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS v FROM fact"
-                             for c in DESCRIBE_COLS)})
+                             for c in DESCRIBE_COLS)}),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY v) - 1 AS pos,
+                  COUNT(*) OVER (PARTITION BY column_name) AS n FROM long WHERE v IS NOT NULL)
 SELECT column_name, COUNT(v) AS count, {Q.RS('AVG(v)', 4)} AS mean, {Q.RS('STDDEV_SAMP(v)', 4)} AS std,
-  MIN(v) AS min, MAX(v) AS max FROM long GROUP BY column_name""")
+  MIN(v) AS min, MAX(v) AS max,
+  {', '.join(f"{Q.RS(_quartile_sql(q), 4)} AS {name}" for q, name in QUARTILES)}
+FROM placed GROUP BY column_name""")
 def describe_fact(spark, sf_dir):
-    out = describe(sales_fact(spark, sf_dir), DESCRIBE_COLS, quartiles=False)
-    return out.withColumns({"mean": round_stat("mean", 4), "std": round_stat("std", 4)})
-
-
-@register("profile")
+    out = describe(sales_fact(spark, sf_dir), DESCRIBE_COLS)
+    return out.withColumns({c: round_stat(c, 4) for c in ("mean", "std", "p25", "p50", "p75")})
+
+
+def _profile_sql(cols: dict[str, str], ctes: str, table: str) -> str:
+    """Roles of a table's columns (name -> SQL column) by the profiling rules, over all rows."""
+    formats = "['%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%m/%d/%Y', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S']"
+    parts = []
+    for i, (name, c) in enumerate(cols.items()):
+        parts.append(f"""SELECT {i} AS ord, '{name}' AS column_name, ANY_VALUE(TYPEOF({c})) AS t, COUNT(DISTINCT {c}) AS d,
+  COUNT({c}) > 0 AND COUNT({c}) = COUNT(TRY_STRPTIME(CAST({c} AS VARCHAR), {formats})) AS parses FROM {table}""")
+    keywords = " OR ".join(f"CONTAINS(LOWER(column_name), '{k}')" for k in S.TARGET_KEYWORDS)
+    return f"""WITH {ctes}
+raw AS ({' UNION ALL '.join(parts)}),
+typed AS (SELECT *, CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'INTEGER' THEN 'int' WHEN t = 'TIMESTAMP' THEN 'timestamp_ntz'
+  ELSE LOWER(t) END AS data_type FROM raw),
+roles AS (SELECT *, CASE WHEN data_type IN ('date', 'timestamp_ntz') OR CONTAINS(LOWER(column_name), 'date')
+    OR (data_type = 'string' AND parses) THEN 'date'
+  WHEN data_type IN ('int', 'bigint', 'double') OR data_type LIKE 'decimal%' THEN 'numerical'
+  WHEN data_type = 'string' OR d < {S.CATEGORICAL_MAX_DISTINCT} THEN 'categorical' ELSE 'ignored' END AS role FROM typed)
+SELECT column_name, data_type, role, role = 'numerical' AND ({keywords}) AS potential_target,
+  role = 'date' AND ord = MAX(CASE WHEN role = 'date' THEN ord END) OVER () AS is_date_column FROM roles"""
+
+
+@register("profile", _profile_sql({c: f'"{c}"' for c in FACT_COLS}, f"{Q.FACT_CTE[1:]},", "fact"))
 def profile_fact(spark, sf_dir):
     return profile_frame(sales_fact(spark, sf_dir))
 
@@ -534,6 +609,14 @@ def monthly_sum_all(spark, sf_dir):
     return out.withColumns({c: round_stat(c, 4) for c in ratios})
 
 
+@register("weekly_sum_all", _sum_all_sql("W"))
+def weekly_sum_all(spark, sf_dir):
+    out = kpi.as_doubles(rollup.rollup_sum_all(_daily(spark, sf_dir), "W"))
+    ratios = ["gross_profit_margin_pct", "asp_per_litre_eur", "cogs_per_litre", "marketing_spend_ratio",
+              "revenue_per_euro_marketing", "litres_per_euro_marketing"]
+    return out.withColumns({c: round_stat(c, 4) for c in ratios})
+
+
 # ---------------------------------------------------------------- scaffold
 SCAFFOLD_HORIZON = 30
 
@@ -556,18 +639,7 @@ def _scaffold_sql() -> str:
         v = scaffold_default(c, targets)
         if v is not None:
             consts.append(f"CAST({v!r} AS DOUBLE) AS {c}")
-    d = '"Date"'
-    dow = f"(ISODOW({d}) - 1)"
-    cal = {
-        "year": f"CAST(YEAR({d}) AS INTEGER)", "month": f"CAST(MONTH({d}) AS INTEGER)",
-        "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
-        "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
-        "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.RS(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "month_cos": Q.RS(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "day_sin": Q.RS(f"SIN(2.0 * PI() * {dow} / 7)", 6),
-        "day_cos": Q.RS(f"COS(2.0 * PI() * {dow} / 7)", 6),
-    }
+    cal = _cal_sql()
     return f"""WITH {Q.FACT_CTE[1:]},
 st AS (SELECT MAX("Date") + 1 AS s FROM fact),
 days AS (SELECT CAST(g AS DATE) AS "Date" FROM st, generate_series(s, s + {SCAFFOLD_HORIZON - 1}, INTERVAL 1 DAY) AS t(g)),
@@ -585,74 +657,158 @@ def future_scaffold(spark, sf_dir):
     return out.withColumns({c: round_stat(c, 6) for c in cyc})
 
 
-# --------------------------------------------------- models (rows-only checks)
-# Model values depend on the tree learner, so these have no SQL oracle.
-# The library default is the original 100 boosting rounds; the registered
-# checks train 20 rounds, because MLlib's cost per round is a fixed number of
-# Spark jobs per tree level (about 0.8 s per round even on small data).
-DOMAIN_MAX_ITER = 20
+# ------------------------------------------------------------------ models
+# Predicted values depend on the tree learner, so the queries that return them
+# have no SQL oracle; what is determined without it has one below.
+_FITTED: dict[tuple[str, str], dict] = {}
 
 
-def _domain_scored(spark, sf_dir):
+def _domain_models(spark, sf_dir):
+    """The three domain models (100 rounds), trained once per session and table folder."""
     from ..operators import models
-    frame = models.domain_feature_frame(sales_fact(spark, sf_dir))
-    fitted = models.train_domain_models(frame, HOLDOUT_CUT, DOMAIN_MAX_ITER)
-    test = frame.filter(F.col(S.DATE) >= F.to_date(F.lit(HOLDOUT_CUT)))
-    return models.domain_predict(test, fitted), fitted, frame
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        frame = models.domain_feature_frame(sales_fact(spark, sf_dir))
+        _FITTED[key] = models.train_domain_models(frame, HOLDOUT_CUT)
+    return _FITTED[key]
 
 
 @register("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
-    pred, _, _ = _domain_scored(spark, sf_dir)
+    from ..operators import models
+    frame = models.domain_feature_frame(sales_fact(spark, sf_dir))
+    test = frame.filter(F.col(S.DATE) >= F.to_date(F.lit(HOLDOUT_CUT)))
+    pred = models.domain_predict(test, _domain_models(spark, sf_dir))
     cols = [c for t in S.DOMAIN_TARGETS.values() for c in (t, f"predicted_{t}")]
     return kpi.as_doubles(pred.select(*KEYS, S.DATE, *cols))
 
 
 @register("comprehensive_forecast")
 def comprehensive_forecast(spark, sf_dir):
-    pred, _, _ = _domain_scored(spark, sf_dir)
-    daily = kpi.daily_kpis(pred, sales=f"predicted_{S.REVENUE}", cogs=f"predicted_{S.COGS}",
-                           volume=f"predicted_{S.VOLUME}")
-    return kpi.forecast_summary(daily, nested=False)
+    from ..operators import forecast
+    rows = kpi.as_doubles(forecast.future_rows(sales_fact(spark, sf_dir), SCAFFOLD_HORIZON))
+    _, summary = forecast.comprehensive_forecast(rows, _domain_models(spark, sf_dir))
+    return _flat_summary(summary)
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     from ..operators import models
-    _, fitted, frame = _domain_scored(spark, sf_dir)
-    return models.feature_importance(fitted["sales"], frame)
+    return models.feature_importance(_domain_models(spark, sf_dir)["sales"], sales_fact(spark, sf_dir))
 
 
 @register("model_selection")
 def model_selection(spark, sf_dir):
     from ..operators import models
-    fact = sales_fact(spark, sf_dir)
-    prep = models.prepare_data(fact, group_cols=KEYS)
-    res = models.train_models(prep, test_size=0.2, method="date",
-                              candidates=models.candidate_regressors(DOMAIN_MAX_ITER, DOMAIN_MAX_ITER))
-    return res.metrics
+    prep = models.prepare_data(sales_fact(spark, sf_dir), group_cols=KEYS)
+    return models.train_models(prep, test_size=0.2, method="positional").metrics
 
 
-# ------------------------------------------------- generic preparation (M7)
-def _cal_sql(d: str = '"Date"') -> dict[str, str]:
-    dow = f"(ISODOW({d}) - 1)"
-    return {
-        "year": f"CAST(YEAR({d}) AS INTEGER)", "month": f"CAST(MONTH({d}) AS INTEGER)",
-        "day": f"CAST(DAYOFMONTH({d}) AS INTEGER)", "day_of_week": f"CAST({dow} AS INTEGER)",
-        "day_of_year": f"CAST(DAYOFYEAR({d}) AS INTEGER)", "week_of_year": f"CAST(WEEKOFYEAR({d}) AS INTEGER)",
-        "quarter": f"CAST(QUARTER({d}) AS INTEGER)",
-        "month_sin": Q.RS(f"SIN(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "month_cos": Q.RS(f"COS(2.0 * PI() * MONTH({d}) / 12)", 6),
-        "day_sin": Q.RS(f"SIN(2.0 * PI() * {dow} / 7)", 6),
-        "day_cos": Q.RS(f"COS(2.0 * PI() * {dow} / 7)", 6),
-    }
+def _unseen(c: str) -> str:
+    """A tenth of the days has a country that training never saw."""
+    return f"CASE WHEN DAYOFMONTH(\"Date\") % 10 = 0 THEN 'elsewhere' ELSE {c} END"
 
 
-FACT_COLS = [S.DATE, *KEYS, S.VOLUME, S.REVENUE, S.COGS, S.MARKETING, S.PROMO, S.CONFIDENCE, S.INFLATION,
-             S.TEMPERATURE, S.HOLIDAY, S.COMPETITOR]
-MONEY_COLS = [S.VOLUME, S.REVENUE, S.COGS, S.MARKETING]
+@register("one_hot_features", f"""WITH {Q.FACT_CTE[1:]},
+tr AS (SELECT * FROM fact WHERE "Date" < DATE '{HOLDOUT_CUT}'),
+te AS (SELECT "Date", {_unseen('Country')} AS Country, Channel, Product_Category FROM fact WHERE "Date" >= DATE '{HOLDOUT_CUT}'),
+{', '.join(f"""l{i} AS (SELECT {c}, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS slot FROM tr GROUP BY {c})"""
+           for i, c in enumerate(KEYS))}
+SELECT te."Date", te.Country, te.Channel, te.Product_Category,
+  {', '.join(f"CAST(COALESCE(l{i}.slot, -1) AS INTEGER) AS {c.lower()}_slot" for i, c in enumerate(KEYS))},
+  {', '.join(f"CAST((SELECT COUNT(*) FROM l{i}) AS INTEGER) AS {c.lower()}_slots" for i, c in enumerate(KEYS))}
+FROM te {' '.join(f"LEFT JOIN l{i} ON l{i}.{c} = te.{c}" for i, c in enumerate(KEYS))}""")
+def one_hot_features(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import models
+    f = sales_fact(spark, sf_dir).select(S.DATE, *KEYS)
+    train, test = features.date_split(f, HOLDOUT_CUT)
+    test = test.withColumn(S.COUNTRY, F.when(F.dayofmonth(S.DATE) % 10 == 0, "elsewhere").otherwise(F.col(S.COUNTRY)))
+    stages, _ = models.preprocessing_stages([], KEYS, "_m")
+    out = Pipeline(stages=stages).fit(train).transform(test)
+    ones = {c: vector_to_array(f"_m__{c}_ohe") for c in KEYS}
+    return out.select(S.DATE, *KEYS, *[(F.array_position(v, 1.0) - 1).cast("int").alias(f"{c.lower()}_slot") for c, v in ones.items()],
+                      *[F.size(v).alias(f"{c.lower()}_slots") for c, v in ones.items()])
+
+
+DOMAIN_NUMERIC = [c for c in S.SALES_FEATURES if c not in KEYS]
+
+
+@register("feature_slots", f"""WITH {Q.FACT_CTE[1:]}{Q._lag_cte([1])},
+tr AS (SELECT * FROM lagged WHERE "Date" < DATE '{HOLDOUT_CUT}' AND Net_Sales_Revenue_EUR_lag1 IS NOT NULL
+         AND COGS_EUR_lag1 IS NOT NULL AND Net_Sales_Volume_Litres_lag1 IS NOT NULL),
+named AS ({' UNION ALL '.join(f"SELECT 0 AS part, {i} AS ord, '{c}' AS feature" for i, c in enumerate(DOMAIN_NUMERIC))}
+  {' '.join(f"UNION ALL SELECT {i + 1}, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}), '{c}_' || {c} FROM tr GROUP BY {c}"
+            for i, c in enumerate(KEYS))})
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY part, ord) - 1 AS INTEGER) AS slot, feature FROM named""")
+def feature_slots(spark, sf_dir):
+    from pyspark.ml import Pipeline
+
+    from ..operators import models
+    frame = models.domain_feature_frame(sales_fact(spark, sf_dir))
+    train = features.date_split(frame, HOLDOUT_CUT)[0]
+    stages, _ = models.preprocessing_stages(DOMAIN_NUMERIC, KEYS, "_m")
+    names = models.slot_names(Pipeline(stages=stages).fit(train).stages)
+    return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+
+
+# ------------------------------------------------------- future rows
+def _future_cte(lag_source: str) -> str:
+    def mean(c):
+        return f"CAST({Q.R(f'CAST(SUM({c}) AS DOUBLE) / COUNT({c})')} AS DECIMAL(24,6))"
+    lags = {c: f"ARG_MAX({c}, \"Date\")" for c in LAG_TARGETS}
+    if lag_source == "constant":
+        lags = {S.REVENUE: f"CAST({S.FUTURE_REVENUE_LAG} AS DECIMAL(24,6))", S.COGS: f"CAST({S.FUTURE_COGS_LAG} AS DECIMAL(24,6))",
+                S.VOLUME: f"CAST(CAST({mean(S.VOLUME)} AS DOUBLE) * CAST({S.FUTURE_VOLUME_LAG_SHARE} AS DOUBLE) AS DECIMAL(24,6))"}
+    return f"""seg AS (SELECT {Q.KEYS}, MAX("Date") AS _last, {mean(S.VOLUME)} AS {S.VOLUME}, {mean(S.MARKETING)} AS {S.MARKETING},
+  {', '.join(f"{Q.RS(f'AVG({c})', 4)} AS {c}" for c in (S.CONFIDENCE, S.INFLATION, S.COMPETITOR))},
+  {', '.join(f"{e} AS {c}_lag1" for c, e in lags.items())} FROM fact GROUP BY {Q.KEYS}),
+days AS (SELECT seg.*, _last + CAST(i AS INTEGER) AS "Date" FROM seg, generate_series(1, {SCAFFOLD_HORIZON}) AS g(i)),
+future AS (SELECT * EXCLUDE (_last),
+  CASE WHEN DAYOFMONTH("Date") % 7 = 0 OR DAYOFMONTH("Date") % 15 = 0 THEN 1 ELSE 0 END AS Promotional_Event,
+  CASE WHEN MONTH("Date") = 12 AND DAYOFMONTH("Date") = 25 THEN 1 ELSE 0 END AS Holiday_Indicator,
+  CAST(ROUND(CAST(15.0 + 10.0 * SIN(2.0 * PI() * DAYOFYEAR("Date") / 365) AS DECIMAL(38,10)), 6) AS DOUBLE) AS Avg_Temp_C,
+  {', '.join(f"{_cal_sql()[c]} AS {c}" for c in ("day_of_week", "month", "year", "day_of_year", "week_of_year"))} FROM days)"""
+
+
+FUTURE_MONEY = [S.VOLUME, S.MARKETING, *[f"{c}_lag1" for c in LAG_TARGETS]]
+
+
+def _future_sql(lag_source: str) -> str:
+    out = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FUTURE_MONEY)
+    return (f"WITH {Q.FACT_CTE[1:]},\n{_future_cte(lag_source)}\nSELECT * EXCLUDE ({', '.join(FUTURE_MONEY)}), {out} FROM future")
+
 
+@register("future_rows", _future_sql("last_observed"))
+def future_rows(spark, sf_dir):
+    from ..operators import forecast
+    return kpi.as_doubles(forecast.future_rows(sales_fact(spark, sf_dir), SCAFFOLD_HORIZON))
 
+
+@register("future_rows_constant", _future_sql("constant"))
+def future_rows_constant(spark, sf_dir):
+    from ..operators import forecast
+    return kpi.as_doubles(forecast.future_rows(sales_fact(spark, sf_dir), SCAFFOLD_HORIZON, "constant"))
+
+
+def _naive_forecast_sql() -> str:
+    daily = Q.DAILY_CTE[len(Q.FACT_CTE):].replace("FROM fact", "FROM scored").strip().lstrip(",")
+    scored = f"""scored AS (SELECT {Q.KEYS}, "Date", Promotional_Event, Holiday_Indicator, Marketing_Spend_EUR,
+  Net_Sales_Revenue_EUR_lag1 AS Net_Sales_Revenue_EUR, COGS_EUR_lag1 AS COGS_EUR,
+  Net_Sales_Volume_Litres_lag1 AS Net_Sales_Volume_Litres FROM future)"""
+    return _summary_full_sql(f"{Q.FACT_CTE[1:]},\n{_future_cte('last_observed')},\n{scored},\n{daily}")
+
+
+@register("naive_comprehensive_forecast", _naive_forecast_sql())
+def naive_comprehensive_forecast(spark, sf_dir):
+    from ..operators import forecast
+    rows = forecast.future_rows(sales_fact(spark, sf_dir), SCAFFOLD_HORIZON)
+    return _flat_summary(forecast.comprehensive_forecast(rows, forecast.naive_predictor)[1])
+
+
+# ------------------------------------------------- generic preparation (M7)
 def _prepared_sql() -> str:
     targets, _ = _fact_profile_lists()
     lags = [f"{t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS]
@@ -681,6 +837,70 @@ def sample_tail(spark, sf_dir):
     return kpi.as_doubles(metrics.last_rows(f, 30, [S.DATE, *KEYS]))
 
 
+def _prepared_tail_sql() -> str:
+    targets, _ = _fact_profile_lists()
+    lags = [f"{t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS]
+    lag_exprs = ", ".join(f"LAG({t}, {k}) OVER w AS {t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS)
+    return f"""WITH {Q.FACT_CTE[1:]},
+p AS (SELECT *, {lag_exprs} FROM fact WINDOW w AS (PARTITION BY {Q.KEYS} ORDER BY "Date"))
+SELECT "Date", {Q.KEYS}, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in [S.REVENUE, *lags])} FROM p
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in lags)}
+ORDER BY Country DESC, Channel DESC, Product_Category DESC, "Date" DESC LIMIT 30"""
+
+
+@register("prepared_tail", _prepared_tail_sql())
+def prepared_tail(spark, sf_dir):
+    """The last rows of the prepared frame, which is in segment-then-date order."""
+    targets, _ = _fact_profile_lists()
+    f = sales_fact(spark, sf_dir).select(S.DATE, *KEYS, *targets)
+    data = features.drop_incomplete(features.lag_features(f, targets, KEYS, S.DATE, S.DEFAULT_LAGS, strategy="window"))
+    lags = [f"{t}_lag{k}" for t in targets for k in S.DEFAULT_LAGS]
+    return kpi.as_doubles(metrics.last_rows(data, 30, [*KEYS, S.DATE]).select(S.DATE, *KEYS, S.REVENUE, *lags))
+
+
+# Signed and missing inputs (P16, F1, F7): account balances go below zero, and
+# customers without orders have no volume.
+_ACCOUNTS = """acc AS (SELECT c_custkey, CAST(ANY_VALUE(c_acctbal) AS DOUBLE) AS sales, CAST(ANY_VALUE(c_acctbal) * 0.5 AS DOUBLE) AS cogs,
+  CAST(COUNT(o_orderkey) AS DOUBLE) * CASE WHEN COUNT(o_orderkey) = 0 THEN NULL ELSE 1 END AS volume,
+  CAST(100 AS DOUBLE) AS marketing
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"""
+
+
+def _accounts(spark, sf_dir) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("volume"))
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("sales"),
+                                                     (F.col("c_acctbal") * 0.5).alias("cogs"))
+    return c.join(orders, c.c_custkey == orders.o_custkey, "left").select(
+        "c_custkey", "sales", "cogs", "volume", F.lit(100.0).alias("marketing"))
+
+
+@register("account_rejects", f"""WITH {_ACCOUNTS}
+SELECT c_custkey, sales, cogs, volume, marketing FROM acc WHERE sales < 0 OR cogs < 0 OR volume < 0 OR marketing < 0""")
+def account_rejects(spark, sf_dir):
+    return kpi.kpi_rejects(_accounts(spark, sf_dir), ["sales", "cogs", "volume", "marketing"])
+
+
+def _account_kpis_sql() -> str:
+    s, c, v, m = (f"(CASE WHEN {x} > 0 THEN {x} ELSE CAST(0 AS DOUBLE) END)" for x in ("sales", "cogs", "volume", "marketing"))
+    bad = "COALESCE(sales < 0, FALSE) OR COALESCE(cogs < 0, FALSE) OR COALESCE(volume < 0, FALSE) OR COALESCE(marketing < 0, FALSE)"
+    k = {
+        "gross_profit_eur": Q.R(f"{s} - {c}"),
+        "gross_profit_margin_pct": Q.R(f"LEAST(GREATEST({Q.safe_div(f'({s} - {c}) * 100', s)}, -100.0), 100.0)"),
+        "asp_per_litre_eur": Q.R(Q.safe_div(s, v)), "predicted_operating_cash_flow_eur": Q.R(f"{s} - {c} - {m}"),
+        "cogs_per_litre": Q.R(Q.safe_div(c, v)), "marketing_spend_ratio": Q.R(Q.safe_div(f"{m} * 100", s)),
+        "revenue_per_euro_marketing": Q.R(Q.safe_div(s, m)), "litres_per_euro_marketing": Q.R(Q.safe_div(v, m)),
+        "cogs_ratio_pct": Q.R(Q.safe_div(f"{c} * 100", s)),
+    }
+    return f"""WITH {_ACCOUNTS}
+SELECT c_custkey, sales, cogs, volume, marketing, {', '.join(f'CASE WHEN NOT ({bad}) THEN {e} END AS {n}' for n, e in k.items())},
+  CASE WHEN {bad} THEN 'rejected: all input values must be non-negative' ELSE 'ok' END AS validation_status FROM acc"""
+
+
+@register("account_kpis", _account_kpis_sql())
+def account_kpis(spark, sf_dir):
+    return kpi.kpi_standalone(_accounts(spark, sf_dir), "sales", "cogs", "volume", "marketing")
+
+
 @register("kpi_rejects", f"""WITH {Q.FACT_CTE[1:]}
 SELECT {Q.KEYS}, "Date", {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in MONEY_COLS)} FROM fact
 WHERE {' OR '.join(f'{c} < 0' for c in MONEY_COLS)}""")
@@ -730,9 +950,9 @@ def events_weekly(spark, sf_dir):
     return kpi.as_doubles(out).withColumn("avg_daily_value", round_stat("avg_daily_value", 4))
 
 
-@register("events_profile")
+@register("events_profile", _profile_sql({c: c for c in ("event_id", "ts", "user_id", "event_type", "value", "props")},
+                                          "", "events"))
 def events_profile(spark, sf_dir):
-    from ..sources.testtables import read_table
     return profile_frame(read_table(spark, sf_dir, "events"))
 
 
@@ -791,3 +1011,117 @@ def forecast_totals(spark, sf_dir):
     wide = lagged.filter(F.col(S.DATE) >= F.to_date(F.lit(HOLDOUT_CUT))).select(
         S.DATE, *[F.col(f"{c}_lag1").alias(f"predicted_{t}") for t, c in S.DOMAIN_TARGETS.items()])
     return metrics.forecast_totals(wide, S.DATE)
+
+
+# ---------------------------------------------------------- reports
+def _report(spark, sf_dir) -> dict[str, DataFrame]:
+    from ..operators import report
+    return report.accuracy_report(_scored(spark, sf_dir), HOLDOUT_CUT)
+
+
+def _pivot_sql(source: str, scope: list[str]) -> str:
+    cols = ", ".join(f"MAX(CASE WHEN target = '{t}' THEN {m} END) AS {t}_{m}" for t in metrics.TARGET_ORDER
+                     for m in ("mape", "r2", "mae"))
+    return f"SELECT {', '.join(scope)}, {cols} FROM ({source}) GROUP BY {', '.join(scope)}"
+
+
+@register("report_holdout", f"""WITH {Q.SCORED_CTE[1:]},
+h AS (SELECT target, {Q.metric_sql()} FROM scored WHERE date >= DATE '{HOLDOUT_CUT}' GROUP BY target),
+l AS ({' UNION ALL '.join(f"SELECT target, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM h" for m in metrics.METRICS)})
+SELECT metric, {', '.join(f"MAX(CASE WHEN target = '{t}' THEN value END) AS {t}" for t in metrics.TARGET_ORDER)} FROM l GROUP BY metric""")
+def report_holdout(spark, sf_dir):
+    return _report(spark, sf_dir)["holdout"]
+
+
+@register("report_rolling", _pivot_sql(ORACLE["rolling_metrics"], ["window_id", "window_start", "window_end"]))
+def report_rolling(spark, sf_dir):
+    return _report(spark, sf_dir)["rolling_windows"]
+
+
+@register("report_segments", _pivot_sql(ORACLE["segment_metrics"], ["segment_type", "segment_value"]))
+def report_segments(spark, sf_dir):
+    return _report(spark, sf_dir)["segments"]
+
+
+def _executive_sql() -> str:
+    h, r, recs = ORACLE["accuracy_rating"], ORACLE["rolling_average"], ORACLE["recommendations"]
+    parts = [f"SELECT 100 AS ord, 'holdout' AS section, target || '.{m}' AS key, CAST({m} AS DOUBLE) AS number, NULL AS txt FROM ({h})"
+             for m in metrics.METRICS]
+    parts.append(f"SELECT 200, 'rating', target, NULL, rating FROM ({h})")
+    parts += [f"SELECT {300 + i}, 'rolling_average', target || '.{m}', CAST({m} AS DOUBLE), NULL FROM ({r})"
+              for i, m in enumerate(("mape", "r2"))]
+    parts.append(f"SELECT 400 + rec_no, 'recommendation', CAST(rec_no AS VARCHAR), NULL, recommendation FROM ({recs})")
+    return "SELECT CAST(ord AS INTEGER) AS ord, section, key, number, txt FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("report_summary", _executive_sql())
+def report_summary(spark, sf_dir):
+    """K3; numbers are read back from their text, as engines write doubles differently."""
+    out = _report(spark, sf_dir)["executive_summary"]
+    told = F.col("section").isin("holdout", "rolling_average")
+    return out.select("ord", "section", "key", F.when(told, F.col("value").cast("double")).alias("number"),
+                      F.when(~told, F.col("value")).alias("txt"))
+
+
+# ------------------------------------------------ coercion, defaults, lookups
+@register("coerced_numbers", """SELECT p_partkey, TRY_CAST(SPLIT_PART(p_name, ' ', 2) AS DOUBLE) AS second_word,
+  TRY_CAST(p_brand AS DOUBLE) AS p_brand, CAST(p_size AS DOUBLE) AS p_size FROM part""")
+def coerced_numbers(spark, sf_dir):
+    """P20 on words that are numbers for some rows or none."""
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("second_word"), "p_brand", "p_size")
+    return coerce_numeric(part, ["second_word", "p_brand", "p_size"])
+
+
+@register("filled_features", f"""WITH {Q.FACT_CTE[1:]}
+SELECT {Q.KEYS}, "Date", CAST(Avg_Temp_C AS DOUBLE) AS Avg_Temp_C, CAST(1000 AS DOUBLE) AS sales_lag7,
+  CAST(20 AS DOUBLE) AS other_temp, CAST(1 AS DOUBLE) AS base_rate, CAST(1 AS DOUBLE) AS price_index, CAST(0 AS DOUBLE) AS unknown,
+  'default' AS region FROM fact""")
+def filled_features(spark, sf_dir):
+    """A column that is there stays, absent ones are filled by their names."""
+    f = sales_fact(spark, sf_dir).select(*KEYS, S.DATE, S.TEMPERATURE)
+    return fill_missing_features(f, [S.TEMPERATURE, "sales_lag7", "other_temp", "base_rate", "price_index", "unknown"], ["region"])
+
+
+SEGMENT_MULTIPLIERS = {"AUTOMOBILE": 1.2, "BUILDING": 0.8, "MACHINERY": 1.5}  # ours; the other segments get the default
+
+
+@register("segment_multipliers", f"""WITH {Q.FACT_CTE[1:]}
+SELECT {Q.KEYS}, "Date", CASE {' '.join(f"WHEN Channel = '{k}' THEN CAST({v} AS DOUBLE)" for k, v in SEGMENT_MULTIPLIERS.items())}
+  ELSE CAST(1 AS DOUBLE) END AS multiplier FROM fact""")
+def segment_multipliers(spark, sf_dir):
+    """F17."""
+    from ..functions.exprs import lookup
+    return sales_fact(spark, sf_dir).select(*KEYS, S.DATE, lookup(S.CHANNEL, SEGMENT_MULTIPLIERS).alias("multiplier"))
+
+
+@register("basic_calendar", f"""WITH {Q.FACT_CTE[1:]}
+SELECT {Q.KEYS}, "Date", STRFTIME("Date", '%Y-%m-%d') AS iso_date, Promotional_Event = 1 AS is_promo,
+  {', '.join(f"{_cal_sql()[c]} AS {c}" for c in ("day_of_week", "month", "year", "day_of_year", "week_of_year"))} FROM fact""")
+def basic_calendar(spark, sf_dir):
+    """F12 and F21."""
+    from ..functions.calendar import add_basic_calendar
+    from ..functions.exprs import date_to_iso, flag_to_bool
+    f = sales_fact(spark, sf_dir).select(*KEYS, S.DATE, date_to_iso(S.DATE).alias("iso_date"), flag_to_bool(S.PROMO).alias("is_promo"))
+    return add_basic_calendar(f, S.DATE)
+
+
+@register("parsed_dates", """SELECT o_orderkey, STRFTIME(TRY_CAST(CASE WHEN o_orderpriority = '5-LOW' THEN o_orderpriority
+  ELSE STRFTIME(o_orderdate, '%Y-%m-%d') END AS DATE), '%d.%m.%Y') AS o_orderdate FROM orders""")
+def parsed_dates(spark, sf_dir):
+    """S4 on text of which a part is no date."""
+    from ..sources.io import parse_dates
+    text = F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderpriority")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("o_orderdate"))
+    return parse_dates(orders, "o_orderdate", "yyyy-MM-dd").withColumn("o_orderdate", F.date_format("o_orderdate", "dd.MM.yyyy"))
+
+
+@register("model_inputs", f"""WITH {Q.FACT_CTE[1:]}{Q._lag_cte([1])}
+SELECT {', '.join(f"CAST({c} AS DOUBLE) AS {c}" if c in MONEY_COLS or c.endswith('_lag1') else f"{_cal_sql()[c]} AS {c}"
+                  if c in _cal_sql() else c for c in S.SALES_FEATURES)} FROM lagged
+WHERE Net_Sales_Revenue_EUR_lag1 IS NOT NULL AND COGS_EUR_lag1 IS NOT NULL AND Net_Sales_Volume_Litres_lag1 IS NOT NULL""")
+def model_inputs(spark, sf_dir):
+    """The 18 features of the sales and COGS models, in order."""
+    from ..operators import models
+    return kpi.as_doubles(models.check_features(models.domain_feature_frame(sales_fact(spark, sf_dir)), S.SALES_FEATURES))

@@ -186,6 +186,7 @@ def metric_sql(y: str = "actual", p: str = "predicted", digits: int | None = 4)
         f"{r(within('0.1'))} AS within_10_pct",
         f"{r(within('0.2'))} AS within_20_pct",
         f"CAST(COUNT_IF({Y} = 0) AS BIGINT) AS zero_actual_rows",
+        f"CAST(COUNT_IF({Y} IS NULL OR {P} IS NULL) AS BIGINT) AS excluded_rows",
     ]
     return ",\n  ".join(parts)
 

@@ -44,10 +44,6 @@ VOLUME_FEATURES = [
     "Country", "Channel", "Product_Category",
 ]
 
-# Category multipliers (missing category -> 1.0).
-PRODUCT_CATEGORY_MULTIPLIERS = {"Beer": 1.2, "Wine": 1.0, "Spirits": 1.5, "RTD": 0.8}
-VOLUME_BASE_MULTIPLIERS = {"Beer": 1.3, "Wine": 1.0, "Spirits": 0.7, "RTD": 1.1}
-
 # Holiday calendars as (month, day) pairs - forecast days, the
 # sales history, the restaurant demo.
 HOLIDAYS_FORECAST = [(12, 25)]
@@ -63,7 +59,6 @@ TIME_FEATURES = ["year", "month", "day", "day_of_week", "day_of_year",
 # Default lags of the generic engine; categorical cut-off.
 DEFAULT_LAGS = [1, 7, 30]
 CATEGORICAL_MAX_DISTINCT = 20
-DATE_PROBE_ROWS = 100
 
 # Accuracy rating bands (MAPE <=, R2 >=) in order.
 RATING_BANDS = [(5.0, 0.9, "EXCELLENT"), (10.0, 0.8, "GOOD"), (20.0, 0.6, "FAIR")]
@@ -113,6 +108,12 @@ SCAFFOLD_OTHER_LAG = 100.0
 SCAFFOLD_TEMP = 20.0
 SCAFFOLD_SPEND = 1000.0
 SCAFFOLD_RATE = 1.0
+# Lag columns of future rows without history, and the share of volume that its lag takes.
+FUTURE_REVENUE_LAG = 300000.0
+FUTURE_COGS_LAG = 120000.0
+FUTURE_VOLUME_LAG_SHARE = 0.95
+# Longest forecast in days.
+MAX_HORIZON = 365
 # Defaults for features missing at prediction time.
 PREDICT_LAG = 1000.0
 PREDICT_TEMP = 20.0

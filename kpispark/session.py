@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -82,10 +84,36 @@ def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
     if how == "checkpoint":
         return df.checkpoint(eager=True)
     path = os.path.join(folder, f"kpispark-{uuid.uuid4().hex}")
+    _WRITTEN.append((df.sparkSession, path))
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# copies that this process has written: (session, path)
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release() -> int:
+    """Delete the copies that ``cut_lineage`` has written so far; returns how many.
+
+    Call it when no DataFrame that reads them is needed any more.  It also
+    runs when the process ends, so a session leaves no copies behind.
+    """
+    gone = 0
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        except Exception:  # noqa: BLE001 - the JVM may have ended before Python
+            return gone
+    return gone
+
+
+atexit.register(release)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -99,6 +127,19 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def parse_bytes(text: str) -> int:
+    """A size as Spark settings write it: ``10485760``, ``10485760b``, ``100MB``, ``1g``, ``-1``."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", str(text).strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m[1]) * 1024 ** " kmgtp".index(m[2] or " ")
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1: no broadcasts)."""
+    return parse_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760") or "10485760")
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its estimated size is under ``limit_bytes``.
 
@@ -110,8 +151,7 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFra
     """
     from pyspark.sql import functions as F
     if limit_bytes is None:
-        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        limit_bytes = int(str(conf).lower().replace("b", "")) if conf else 10485760
+        limit_bytes = broadcast_limit(df.sparkSession)
     if limit_bytes < 0:
         return df
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df

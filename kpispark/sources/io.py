@@ -63,35 +63,40 @@ def write_report(tables: Mapping[str, DataFrame], path: str, mode: str = "overwr
 
 def save_models(models: Mapping[str, PipelineModel], model_dir: str, metrics: DataFrame | None = None,
                 schema: Mapping | None = None) -> None:
-    """One Spark ML pipeline directory per target (K5), the metric table and
-    the data schema as metadata (K6), including the date column (Q19)."""
+    """One Spark ML pipeline directory per target (K5), the metric table (rows
+    are appended to those of earlier runs) and the data schema as metadata
+    (K6), including the date column (Q19)."""
     for target, model in models.items():
         model.write().overwrite().save(os.path.join(model_dir, "models", target))
     if metrics is not None:
-        metrics.write.mode("overwrite").parquet(os.path.join(model_dir, "model_metrics"))
+        metrics.write.mode("append").parquet(os.path.join(model_dir, "model_metrics"))
     if schema is not None:
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(dict(schema)),)], "schema_json string") \
              .coalesce(1).write.mode("overwrite").json(os.path.join(model_dir, "schema"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows exists."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_model(path: str) -> tuple[PipelineModel | None, bool]:
-    """Load one pipeline; a missing or unreadable model gives (None, False)."""
-    try:
-        return PipelineModel.load(path), True
-    except Exception:  # noqa: BLE001 - absent model is a normal state here
+    """Load one pipeline; a missing model gives (None, False), any other fault is raised."""
+    spark = SparkSession.getActiveSession()
+    if not path_exists(spark, os.path.join(path, "metadata")):
         return None, False
+    return PipelineModel.load(path), True
 
 
 def load_models(spark: SparkSession, model_dir: str, targets: Sequence[str] | None = None
                 ) -> tuple[dict[str, PipelineModel], DataFrame | None, dict | None]:
     """Models per target, the metrics table and the schema."""
     schema = None
-    try:
-        row = spark.read.json(os.path.join(model_dir, "schema")).collect()
+    if path_exists(spark, os.path.join(model_dir, "schema")):
+        row = spark.read.schema("schema_json string").json(os.path.join(model_dir, "schema")).collect()
         schema = json.loads(row[0]["schema_json"]) if row else None
-    except Exception:  # noqa: BLE001
-        schema = None
     if targets is None:
         targets = (schema or {}).get("target_columns", [])
     models = {}
@@ -99,8 +104,6 @@ def load_models(spark: SparkSession, model_dir: str, targets: Sequence[str] | No
         m, ok = load_model(os.path.join(model_dir, "models", t))
         if ok:
             models[t] = m
-    try:
-        metrics = spark.read.parquet(os.path.join(model_dir, "model_metrics"))
-    except Exception:  # noqa: BLE001
-        metrics = None
+    table = os.path.join(model_dir, "model_metrics")
+    metrics = spark.read.parquet(table) if path_exists(spark, table) else None
     return models, metrics, schema

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import holiday_rule
 from ..schema import (CHANNEL, COGS, COMPETITOR, CONFIDENCE, COUNTRY, DATE, HOLIDAY, INFLATION,
                       MARKETING, MONEY, PRODUCT, PROMO, REVENUE, TEMPERATURE, VOLUME)
-from ..session import broadcast_if_small, estimated_bytes, table_path
+from ..session import broadcast_if_small, broadcast_limit, estimated_bytes, table_path
 
 # Fixed values of the adapter (ours): cost share of retail price (60 %), promo threshold.
 COGS_SHARE_PCT = 60
@@ -105,16 +105,11 @@ def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_nationkey", F.col("c_mktsegment").alias(CHANNEL))
     # decide on the customer scan (a reliable estimate); adding the fixed-size
     # geography does not change its row count
-    small = estimated_bytes(cust) <= _broadcast_limit(spark)
+    small = estimated_bytes(cust) <= broadcast_limit(spark)
     seg = cust.join(geo, cust.c_nationkey == geo.n_nationkey).select("c_custkey", COUNTRY, CHANNEL)
     return F.broadcast(seg) if small else seg
 
 
-def _broadcast_limit(spark: SparkSession) -> int:
-    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    return int(str(conf).lower().replace("b", ""))
-
-
 def enriched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their segment columns and part price (all joins inner).
 

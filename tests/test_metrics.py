@@ -104,3 +104,18 @@ def test_naive_scored_rows_and_identity(spark):
 def test_rmse_ge_mae_property(spark):
     rows = M.accuracy(M.naive_scored(sales_fixture(spark, days=20))).collect()
     assert all(r.rmse >= r.mae - 1e-9 for r in rows)
+
+
+def test_rows_without_a_value_are_left_out_and_told(spark):
+    rows = [("t", float(i), float(i) + 1) for i in range(10)]
+    holes = rows + [("t", None, 5.0)] * 10 + [("t", 5.0, None)]
+    schema = "target string, actual double, predicted double"
+    a, b = (M.accuracy(spark.createDataFrame(x, schema)).first() for x in (rows, holes))
+    assert (b.n, b.excluded_rows, a.excluded_rows) == (10, 11, 0)
+    assert all(abs(a[m] - b[m]) < 1e-9 for m in M.METRICS)
+
+
+def test_mape_can_keep_zero_actuals(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "actual double, predicted double")
+    skip, keep = (df.agg(*M.metric_exprs(zero_mape=z)).first().mape for z in ("skip", "keep"))
+    assert skip == 50.0 and keep == float("inf")

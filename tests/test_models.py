@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import numpy as np
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from kpispark import schema as S
@@ -39,5 +41,53 @@ def test_domain_models_and_voting(spark):
     assert {f"predicted_{t}" for t in S.DOMAIN_TARGETS.values()} <= set(pred.columns)
     with_check = models.check_features(frame, S.SALES_FEATURES)
     assert len(with_check.columns) == 18
-    v = models.voting_predict(frame.limit(10), [fitted["sales"], fitted["sales"]], S.REVENUE)
-    assert v.filter(F.col(f"predicted_{S.REVENUE}").isNull()).count() == 0
+    other = models.target_pipeline([S.VOLUME], [], S.REVENUE, models.domain_regressor(2)).fit(frame)
+    few = frame.orderBy(S.DATE, *S.SEGMENT_KEYS).limit(10).persist()
+    name = f"predicted_{S.REVENUE}"
+    each = [{(r[S.DATE], *[r[k] for k in S.SEGMENT_KEYS]): r[name] for r in models.score(few, m).collect()}
+            for m in (fitted["sales"], other)]
+    v = {(r[S.DATE], *[r[k] for k in S.SEGMENT_KEYS]): r[name]
+         for r in models.voting_predict(few, [fitted["sales"], other], S.REVENUE).collect()}
+    assert any(abs(each[0][k] - each[1][k]) > 1e-6 for k in v)
+    assert all(abs(v[k] - (each[0][k] + each[1][k]) / 2) < 1e-6 for k in v)
+
+
+def test_one_hot_gives_seen_values_a_slot_and_unseen_ones_none(spark):
+    train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "c string, y double")
+    stages, out = models.preprocessing_stages(["y"], ["c"], "_m")
+    fitted = Pipeline(stages=stages).fit(train)
+    rows = fitted.transform(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("new", 1.0), (None, 1.0)], "c string, y double"))
+    assert [r[out].toArray().tolist() for r in rows.collect()] == [[1, 1, 0], [1, 0, 1], [1, 0, 0], [1, 0, 0]]
+    assert models.slot_names(fitted.stages) == ["y", "c_a", "c_b"]
+
+
+def test_importance_names_follow_the_input_order(spark):
+    rows = [(float(i % 7), float(i), float(i % 3), 10.0 * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "price_1 double, price_0 double, price_2 double, t double")
+    model = models.target_pipeline(["price_1", "price_0", "price_2"], [], "t", models.domain_regressor(3), scale=True).fit(df)
+    assert models.feature_importance(model, df).first().feature == "price_0"
+
+
+def test_positional_split_uses_the_lags_groups(spark):
+    df = demo_ecommerce(spark, days=40)
+    prep = models.prepare_data(df, targets=["daily_sales"], group_cols=["region"])
+    _, test = models.split(prep, method="positional")
+    assert {r[0] for r in test.select("region").distinct().collect()} == {"West"}
+
+
+def test_ridge_equals_the_closed_form(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) * [1, 5, 0.2] + 2
+    y = x @ [2.0, -1.0, 0.5] + rng.normal(size=60)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, y double")
+    fitted = models.ridge(df, ["a", "b", "c"], "y", 1.0)
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = np.linalg.solve(xc.T @ xc + np.eye(3), xc.T @ yc)
+    assert np.allclose(fitted.coefficients, want, atol=1e-9)
+    assert abs(fitted.intercept - (y.mean() - x.mean(0) @ want)) < 1e-6
+
+
+def test_folds_are_contiguous(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(23)], "d int, v double").repartition(4)
+    got = models.contiguous_folds(df, 5, ["d"]).orderBy("d").collect()
+    assert [r["_fold"] for r in got] == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4

@@ -78,3 +78,40 @@ def test_scenario_grid_rows_per_scenario_day(spark):
     g = forecast.scenario_grid(sc)
     counts = {r.Country: r["count"] for r in g.groupBy("Country").count().collect()}
     assert counts == {"Germany": 30, "Spain": 7}
+
+
+def test_date_probe_reads_every_value(spark):
+    days = [f"2024-01-{i % 28 + 1:02d}" for i in range(150)]
+    late = spark.createDataFrame([(d,) for d in days + ["free text"] * 850], "c string")
+    assert profile.profile(late).categorical == ["c"]
+    nulls = spark.createDataFrame([(None,)] * 150 + [(d,) for d in days], "c string")
+    assert profile.profile(nulls).date == "c"
+    assert profile.profile(spark.createDataFrame([(None,)], "c string")).categorical == ["c"]
+
+
+def test_quartiles_interpolate_like_a_sorted_array(spark):
+    import numpy as np
+    x = np.random.default_rng(3).normal(size=101)
+    df = spark.createDataFrame([(float(v), None if i % 10 == 0 else float(i)) for i, v in enumerate(x)], "a double, b double")
+    got = {r.column_name: r for r in profile.describe(df, ["a", "b"]).collect()}
+    b = [i for i in range(101) if i % 10]
+    for name, values in (("a", x), ("b", b)):
+        assert np.allclose([got[name][c] for c in ("p25", "p50", "p75")], np.percentile(values, [25, 50, 75]))
+
+
+def test_scaffold_keeps_rows_of_unseen_base_values(spark):
+    hist = sales_fixture(spark, days=3)
+    out = forecast.future_scaffold(hist, S.DATE, S.SEGMENT_KEYS, [], [], horizon=4, base_values={S.COUNTRY: "Italy"})
+    assert out.count() == 4 * 12 and {r[0] for r in out.select(S.COUNTRY).distinct().collect()} == {"Italy"}
+    import pytest
+    with pytest.raises(ValueError):
+        forecast.future_scaffold(hist, S.DATE, S.SEGMENT_KEYS, [], [], horizon=366)
+
+
+def test_future_rows_lag_sources(spark):
+    hist = sales_fixture(spark, days=5)
+    rows = forecast.future_rows(hist, 3, "constant").collect()
+    assert len(rows) == 3 * 48 and {r[f"{S.REVENUE}_lag1"] for r in rows} == {300000}
+    last = {tuple(r[k] for k in S.SEGMENT_KEYS): r[S.REVENUE] for r in hist.filter(hist[S.DATE] == "2023-12-05").collect()}
+    for r in forecast.future_rows(hist, 3).collect():
+        assert abs(float(r[f"{S.REVENUE}_lag1"]) - last[tuple(r[k] for k in S.SEGMENT_KEYS)]) < 1e-5

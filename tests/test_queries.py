@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from kpispark.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -29,13 +30,13 @@ def _norm(v):
     return repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = queries()[name](spark, SF)
+    sdf = QUERIES[name](spark, SF)
     s = sdf.toPandas()
-    d = duck.sql(oracle_sql()[name]).df()
+    d = duck.sql(ORACLE[name]).df()
     stypes = {f.name: str(f.type) for f in sdf.toArrow().schema}
-    dtypes = {f.name: str(f.type) for f in duck.sql(oracle_sql()[name]).arrow().schema}
+    dtypes = {f.name: str(f.type) for f in duck.sql(ORACLE[name]).arrow().schema}
     assert stypes == dtypes
     cols = sorted(s.columns)
     assert cols == sorted(d.columns)

@@ -58,3 +58,23 @@ def test_materialised_fact_roundtrip(spark):
         raw = spark.read.parquet(d + "/fact")
         plan = raw.filter("year >= 2000")._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_threshold_is_read_as_spark_writes_it(spark):
+    from kpispark.sources.testtables import sales_fact
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for text, size in (("100MB", 100 << 20), ("-1", -1), ("10485760b", 10485760), ("1g", 1 << 30), ("64k", 64 << 10)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+            assert session.broadcast_limit(spark) == size
+            assert sales_fact(spark, "/root/testdata/sf0.001").columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_written_copies_can_be_released(spark):
+    import os
+    df = session.cut_lineage(spark.range(10).toDF("x"))
+    path = session._WRITTEN[-1][1]
+    assert df.count() == 10 and os.path.isdir(path)
+    assert session.release() >= 1 and not os.path.exists(path)
