@@ -1,20 +1,21 @@
 """Mixing documents to target domain weights by soft membership, by built-in functions only.
 
-The labelled table splits its documents into domains (``good``, ``low``
-quality, ``toxic``).  A naive Bayes classifier over binned text features,
-counted from the labelled documents, gives every document a posterior over
-the domains, kept on a grid of 1/``GRID``.  A document of n tokens and
+The labelled table splits its documents into domains: ``low`` quality, and
+good ones in English or in ``other`` languages.  A naive Bayes classifier over
+binned text features, counted from the labelled documents, gives every
+document a posterior over the domains, kept on a grid of 1/``GRID`` (language
+tags of unlabelled documents are not read).  A document of n tokens and
 posterior p adds n * p to the domains' expected totals, so rates x >= 0 have
 to solve
 
-    least squares over x >= least_rate of  sum_d x_d n_d p_d  against  budget * weights
+    least squares over least_rate <= x <= most_rate of  sum_d x_d n_d p_d  against  budget * weights
 
 Documents of equal posterior have equal rates (the gradient with respect to a
 document, a token counting as the unit, is p_d . g): the tokens are summed per
 grid point first, and at most (GRID + 1) (GRID + 2) / 2 rows take part in the
 iterations, whatever the input.  A step is
 
-    x <- max(least_rate, y - p . (M + ridge)^-1 g(y)),   y = x + momentum * (x - previous x)
+    x <- clip(y - p . (M + ridge)^-1 g(y)),   y = x + momentum * (x - previous x)
 
 with g the residual as a share of all tokens (one distributed sum per step)
 and M the token-weighted second moment of the posteriors, which scales the
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
+DOMAINS = ("english", "other", "low")
+TARGETS = {"english": 0.55, "other": 0.37, "low": 0.08}
+SLACK = 1.05      # of the default budget over the least at which every domain has least_rate
+MOST_RATE = 16.0  # times that a document may be taken
 GRID = 200
-STEPS, CLOSE, RIDGE = 100, 1e-7, 1e-6
+STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-6
 
 _CUTS = {
     "upper": (0.0, 0.01, 0.02, 0.04, 0.08, 0.2, 0.5),      # capitals per character
@@ -45,10 +48,10 @@ _CUTS = {
     "width": (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 12.0),    # characters per token
     "tokens": (0.0, 4.0, 16.0, 64.0, 128.0, 256.0, 512.0, 1024.0, 4096.0),
     "repeat": (0.0, 0.02, 0.1, 0.25, 0.5, 0.75),           # share of lines that repeat an earlier one
+    "accent": (0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.5),  # bytes beyond one per character
 }
-_LANGS = 16  # hash bins of the language tag
-FEATURES = (*_CUTS, "lang")
-BINS = {**{k: len(v) + 1 for k, v in _CUTS.items()}, "lang": _LANGS}
+FEATURES = tuple(_CUTS)
+BINS = {k: len(v) + 1 for k, v in _CUTS.items()}
 
 
 def _bin(value: Column, cuts) -> Column:
@@ -59,41 +62,42 @@ def _bin(value: Column, cuts) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and one bin per feature, of whole texts (null: empty)."""
+    """doc_id, n_tokens, one bin per feature of whole texts (null: empty), and whether the tag says English."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lang = F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(_LANGS)).cast("int")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False)) if "lang" in docs.columns else F.lit(False)
     raw = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("chars"),
         F.regexp_count(text, F.lit(r"\S+")).alias("tokens"), F.regexp_count(text, F.lit("[A-Z]")).alias("upper"),
         F.regexp_count(text, F.lit(r"[#$%&*|!@^~=<>{}\[\]\\]")).alias("symbol"),
         F.regexp_count(text, F.lit("[0-9]")).alias("digit"),
-        F.split(text, F.lit("\n"), -1).alias("lines"), (lang if "lang" in docs.columns else F.lit(0)).alias("lang"))
+        (F.octet_length(text) - F.length(text)).alias("accent"), F.split(text, F.lit("\n"), -1).alias("lines"),
+        english.alias("english"))
     chars = F.greatest(F.col("chars"), F.lit(1))
     value = {
         "upper": F.col("upper") / chars, "symbol": F.col("symbol") / chars, "digit": F.col("digit") / chars,
+        "accent": F.col("accent") / chars,
         "width": chars / F.greatest(F.col("tokens"), F.lit(1)), "tokens": F.col("tokens").cast("double"),
         "repeat": 1.0 - F.size(F.array_distinct("lines")) / F.size("lines"),
     }
     return raw.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"),
-                      *[_bin(value[k], _CUTS[k]).alias(k) for k in _CUTS], "lang")
+                      *[_bin(value[k], _CUTS[k]).alias(k) for k in _CUTS], "english")
 
 
 def fit_classifier(feats: DataFrame, labels: DataFrame) -> dict:
     """Smoothed log counts per feature, bin and domain from all labelled documents.
 
-    Rows without doc_id or with both labels null are left out; a null label
-    counts as 0; conflicting rows of a doc_id count as toxic, then as low.
-    Without any label all domains are equally likely.
+    Rows without doc_id or quality are left out; conflicting rows of a doc_id
+    count as low.  Without any label all domains are equally likely.
     """
-    domain = F.when(F.max(F.coalesce("toxic", F.lit(0))) == 1, 2).when(F.min(F.coalesce("quality", F.lit(0))) == 0, 1).otherwise(0)
-    named = (labels.where("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)")
-             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(domain.alias("domain")))
-    rows = feats.join(named, "doc_id").select("domain", F.explode(F.array(*[
+    named = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality")))
+    domain = F.when(F.col("quality") == 0, 2).when(F.col("english"), 0).otherwise(1)
+    rows = feats.join(named, "doc_id").select(domain.alias("domain"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("feature"), F.col(k).alias("bin")) for i, k in enumerate(FEATURES)])).alias("f"))
     counts = {k: np.zeros((BINS[k], len(DOMAINS))) for k in FEATURES}
     for r in rows.groupBy("f.feature", "f.bin", "domain").count().collect():  # features x bins x domains rows at most
         counts[FEATURES[r["feature"]]][r["bin"], r["domain"]] = r["count"]
-    size = counts["lang"].sum(0)
+    size = counts[FEATURES[0]].sum(0)
     return {"prior": np.log((size + 1) / (size.sum() + len(DOMAINS))),
             "tables": {k: np.log((c + 0.5) / (c.sum(0) + 0.5 * len(c))) for k, c in counts.items()}}
 
@@ -109,33 +113,33 @@ def posterior(feats: DataFrame, model: dict) -> DataFrame:
     cells = [F.floor(F.exp(x - top) / total * GRID + 0.5 / len(DOMAINS)).cast("int") for x in logits[:-1]]
     first = feats.select("doc_id", "n_tokens", *[logit(k).alias(f"_l{k}") for k in range(len(DOMAINS))])
     cut = first.select("doc_id", "n_tokens", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    return cut.select("doc_id", "n_tokens", (F.col("c0") / GRID).alias("p_good"),
-                      (F.least(F.col("c1"), GRID - F.col("c0")) / GRID).alias("p_low"),
-                      (F.greatest(GRID - F.col("c0") - F.col("c1"), F.lit(0)) / GRID).alias("p_toxic"))
+    return cut.select("doc_id", "n_tokens", (F.col("c0") / GRID).alias("p_english"),
+                      (F.least(F.col("c1"), GRID - F.col("c0")) / GRID).alias("p_other"),
+                      (F.greatest(GRID - F.col("c0") - F.col("c1"), F.lit(0)) / GRID).alias("p_low"))
 
 
-def _rate(steps: list[tuple[float, list[float]]], least_rate: float) -> Column:
-    """The rate after ``steps`` (momentum, scaled residual), from 1, for a row's posterior."""
-    if not steps:
-        return F.lit(max(1.0, least_rate))
-    told = F.array(*[F.array(F.lit(float(b)), *[F.lit(float(v)) for v in g]) for b, g in steps])
+def _rate(steps: list[tuple[float, list[float]]], least_rate: float, most_rate: float, momentum: float = 0.0) -> Column:
+    """The rate after ``steps`` (momentum, scaled residual), from 1, for a row's posterior.
+
+    With ``momentum`` the point ahead of it, where the next residual is taken.
+    """
     start = max(1.0, least_rate)
+    if not steps:
+        return F.lit(start)
+    # one literal: building it number by number would cost the driver a call each
+    told = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(f"{v!r}D" for v in (b, *g)) + ")" for b, g in steps) + ")")
     zero = F.struct(F.lit(start).alias("x"), F.lit(start).alias("old"))
 
     def step(acc, s):
         y = acc["x"] + s[0] * (acc["x"] - acc["old"])
         move = sum((F.col(f"p_{d}") * s[i + 1] for i, d in enumerate(DOMAINS)), F.lit(0.0))
-        return F.struct(F.greatest(F.lit(float(least_rate)), y - move).alias("x"), acc["x"].alias("old"))
-    return F.aggregate(told, zero, step, lambda acc: acc["x"])
-
-
-def _ahead(steps, momentum: float, least_rate: float) -> Column:
-    """The point at which the next residual is taken."""
-    x, old = _rate(steps, least_rate), _rate(steps[:-1], least_rate)
-    return x + F.lit(float(momentum)) * (x - old) if steps else x
+        return F.struct(F.least(F.lit(float(most_rate)), F.greatest(F.lit(float(least_rate)), y - move)).alias("x"),
+                        acc["x"].alias("old"))
+    return F.aggregate(told, zero, step, lambda acc: acc["x"] + F.lit(float(momentum)) * (acc["x"] - acc["old"]))
 
 
-def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | None, least_rate: float):
+def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | None, least_rate: float, most_rate: float):
     """Residual steps that take the rates to the least-squares solution over ``classes`` (p_*, w)."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     total = classes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
@@ -148,8 +152,9 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | Non
     moment = np.array([[got[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     weights = np.array([targets.get(d, 0.0) for d in DOMAINS])
     weights = weights / weights.sum()
-    if budget is None:  # the least budget at which no domain has to shrink below least_rate
-        scale = max(1.0, max((least_rate * got[f"m{i}"] / w for i, w in enumerate(weights) if w > 0), default=1.0))
+    if budget is None:  # room for every domain at least_rate and SLACK more, as posteriors are soft
+        needed = max((least_rate * got[f"m{i}"] / w for i, w in enumerate(weights) if w > 0), default=0.0)
+        scale = max(1.0, SLACK * needed)
     else:
         scale = budget / total
     scaled = np.linalg.inv(moment + RIDGE * np.eye(k))
@@ -158,7 +163,7 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | Non
     for _ in range(STEPS):
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum = (t - 1) / after if len(steps) > 1 else 0.0
-        x = _ahead(steps, momentum, least_rate)
+        x = _rate(steps, least_rate, most_rate, momentum)
         now = classes.agg(*[F.sum(share * x * a) for a in p]).first()
         g = np.array([float(v) for v in now]) - scale * weights
         move = scaled @ g
@@ -172,12 +177,12 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | Non
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
-                 budget: float | None = None, least_rate: float = 0.0) -> DataFrame:
-    """Per document: doc_id, n_tokens, p_good, p_low, p_toxic, domain, rate, copies.
+                 budget: float | None = None, least_rate: float = 0.0, most_rate: float = MOST_RATE) -> DataFrame:
+    """Per document: doc_id, n_tokens, p_english, p_other, p_low, domain, rate, copies.
 
     ``targets`` are the domains' shares of the mixed tokens (scaled to 1),
-    ``budget`` the mixed tokens (default: as many as there are, or more where
-    ``least_rate`` asks for it).  ``copies`` rounds the rate by the document's
+    ``budget`` the mixed tokens (default: as many as there are, or ``SLACK`` x
+    what ``least_rate`` asks for).  ``copies`` rounds the rate by the document's
     hash, so that it is right on average and the same in every run.  A null
     text has no tokens; a null doc_id is never labelled; repeated rows are
     documents of their own with equal rates; an empty table stays empty.
@@ -185,16 +190,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     wanted = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
     feats = cut_lineage(features(docs.select(*wanted)))
     probs = cut_lineage(posterior(feats, fit_classifier(feats, labels)))
-    classes = cut_lineage(probs.groupBy("p_good", "p_low", "p_toxic").agg(F.sum("n_tokens").cast("double").alias("w"))
+    grid = [f"p_{d}" for d in DOMAINS]
+    classes = cut_lineage(probs.groupBy(*grid).agg(F.sum("n_tokens").cast("double").alias("w"))
                           .coalesce(4))
-    steps = fit_rates(classes, targets, budget, least_rate)
-    rates = classes.select("p_good", "p_low", "p_toxic", F.round(_rate(steps, least_rate), 9).alias("rate"))
-    likeliest = F.when((F.col("p_good") >= F.col("p_low")) & (F.col("p_good") >= F.col("p_toxic")), "good").when(
-        F.col("p_low") >= F.col("p_toxic"), "low").otherwise("toxic")
+    steps = fit_rates(classes, targets, budget, least_rate, most_rate)
+    rates = classes.select(*grid, F.round(_rate(steps, least_rate, most_rate), 9).alias("rate"))
+    likeliest = F.when((F.col("p_english") >= F.col("p_other")) & (F.col("p_english") >= F.col("p_low")), "english").when(
+        F.col("p_other") >= F.col("p_low"), "other").otherwise("low")
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1_000_000)) / 1e6
     # the classes are grid points: 20,301 rows at most
-    return (probs.join(F.broadcast(rates), ["p_good", "p_low", "p_toxic"])
-            .select("doc_id", "n_tokens", "p_good", "p_low", "p_toxic", likeliest.alias("domain"), "rate",
+    return (probs.join(F.broadcast(rates), grid)
+            .select("doc_id", "n_tokens", *grid, likeliest.alias("domain"), "rate",
                     F.floor(F.col("rate") + chance).cast("long").alias("copies")))
 
 

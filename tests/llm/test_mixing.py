@@ -4,27 +4,33 @@ import random
 
 import numpy as np
 
-from kpispark.llm.mixing import TARGETS, mix, mixing_rates
+from kpispark.llm.mixing import SLACK, TARGETS, mix, mixing_rates
 
 from .fixtures import EDGE, documents, empty, labels
 
 
 def corpus(n=600):
+    """Documents of three kinds; their texts tell the kind, ids divisible by 3 have no label."""
     rnd = random.Random(7)
     texts, lab = [], []
     for i in range(n):
-        kind = rnd.choices([0, 1, 2], [0.6, 0.25, 0.15])[0]
+        kind = rnd.choices([0, 1, 2], [0.55, 0.3, 0.15])[0]
         words = [rnd.choice(["alpha", "beta", "gamma", "of", "the"]) for _ in range(rnd.randint(5, 60))]
         if kind == 1:
-            words = [w + "%%%" for w in words]
+            words = [w.replace("a", "é") for w in words]
         if kind == 2:
-            words = [w.upper() for w in words]
-        texts.append(" ".join(words))
+            words = [w + "%%%" for w in words]
+        texts.append((" ".join(words), kind))
         if i % 3:
-            lab.append((i, int(kind != 1), int(kind == 2)))
+            lab.append((i, int(kind != 2), 0))
     return texts, lab
 
 
+def tagged(spark, texts):
+    rows = [(i, t, "fr" if k == 1 else "en", "s", len(t), "clash", 1) for i, (t, k) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int")
+
+
 def solve(p, w, t, least, steps=200_000):
     """Dense projected gradient on the same objective."""
     x = np.ones(len(w))
@@ -40,14 +46,14 @@ def solve(p, w, t, least, steps=200_000):
 
 def test_rates_meet_targets(spark):
     texts, lab = corpus()
-    for least, budget, targets in ((0.0, None, TARGETS), (1.0, None, {"good": 0.7, "low": 0.18, "toxic": 0.12}), (0.0, 5000.0, TARGETS)):
-        got = mixing_rates(documents(spark, texts, extra=False), labels(spark, lab), targets, budget, least).toPandas()
+    for least, budget, targets in ((0.0, None, TARGETS), (1.0, None, {"english": 0.5, "other": 0.33, "low": 0.17}), (0.0, 5000.0, TARGETS)):
+        got = mixing_rates(tagged(spark, texts), labels(spark, lab), targets, budget, least).toPandas()
         assert len(got) == len(texts) and (got["rate"] >= least).all()
-        p, w, x = got[["p_good", "p_low", "p_toxic"]].to_numpy(), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
+        p, w, x = got[["p_english", "p_other", "p_low"]].to_numpy(), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
         assert np.allclose(p.sum(1), 1) and (p >= 0).all()
         total = (p * (w * x)[:, None]).sum(0)
         want = np.array(list(targets.values()))
-        scale = budget / w.sum() if budget else max(1.0, *(least * (p * w[:, None]).sum(0) / w.sum() / want))
+        scale = budget / w.sum() if budget else max(1.0, SLACK * (least * (p * w[:, None]).sum(0) / w.sum() / want).max())
         dense = solve(p, w, scale * want, least)
         best = (p * (w * dense)[:, None]).sum(0)
         target = scale * want * w.sum()
@@ -58,14 +64,14 @@ def test_rates_meet_targets(spark):
 
 def test_posteriors_follow_labels(spark):
     texts, lab = corpus()
-    got = mixing_rates(documents(spark, texts, extra=False), labels(spark, lab)).toPandas().set_index("doc_id")
-    truth = {i: "toxic" if t else ("good" if q else "low") for i, q, t in lab}
-    assert np.mean([got.loc[i, "domain"] == d for i, d in truth.items()]) > 0.95
+    got = mixing_rates(tagged(spark, texts), labels(spark, lab)).toPandas().set_index("doc_id")
+    names = ("english", "other", "low")
+    assert np.mean([got.loc[i, "domain"] == names[k] for i, (_, k) in enumerate(texts)]) > 0.97
 
 
 def test_mix_repeats_rows_and_keeps_columns(spark):
     texts, lab = corpus()
-    docs = documents(spark, texts)
+    docs = tagged(spark, texts)
     rates = {r["doc_id"]: r["copies"] for r in mixing_rates(docs, labels(spark, lab), least_rate=1.0).collect()}
     out = mix(docs, labels(spark, lab), least_rate=1.0)
     assert out.columns == docs.columns
