@@ -11,10 +11,11 @@ ones, and a document is scored by them.
 Learning takes three passes: the character model over the whole corpus; words
 of a bounded, hash-chosen sample of labelled documents (``max_train``), where
 texts that share a sketch count once, so that groups of copies don't vote
-many times; then scoring.  A word's weight is the lower end of the 95 % Wilson
-interval of the share of toxic texts among those that have it; a document's
-score is the largest weight among its words, or the toxic share of the
-training texts without any such word.
+many times; then scoring.  Features are words and, where several words share
+them, beginnings of 4 to 6 letters, so that inflected forms are known too.  A feature's weight
+is the lower end of the 90 % Wilson interval of the share of toxic texts among
+those that have it; a document's score is the largest weight among its words,
+or the toxic share of the training texts without any such feature.
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import slices
 
 THRESHOLD = 0.7
 MAX_TRAIN = 40_000    # labelled documents that the lexicon is learnt from
 MAX_LEXICON = 20_000  # words kept, by weight
-MIN_TEXTS, MIN_WEIGHT = 6, 0.5
+MIN_TEXTS, MIN_WEIGHT = 5, 0.6
+STEMS = (4, 5, 6)     # letters of a word's beginning that are a feature
+ONE_WORD = 0.8        # a beginning whose texts mostly have one and the same word is none
+Z = 1.645             # of the Wilson interval
 CACHE = 200_000       # tokens that a worker remembers
 
 # Characters and the letters that they stand for in disguised words.
@@ -94,7 +99,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         if c in " \t\n":
             arcs += [("", -0.1), (" ", -0.5)]
         elif c in SEPARATORS or not arcs:
-            arcs.append(("", -0.5 if c in SEPARATORS else -3.0))
+            # dropping a letter's place is cheap for the language model, so a look-alike has to be worth a letter
+            arcs.append(("", -6.0 if arcs else -0.5 if c in SEPARATORS else -3.0))
         out.append(arcs)
     return out
 
@@ -126,20 +132,58 @@ def disguised(token: str) -> bool:
                                           or bool(_TRIPLE.search(token)))
 
 
-def words_of_token(token: str, model: CharModel | None) -> set[str]:
-    """Plain and restored words of one lower-case token."""
+def squeezed(word: str) -> str:
+    """A word with runs of a letter taken once, marked as such."""
+    return "~" + "".join(c for i, c in enumerate(word) if i == 0 or word[i - 1] != c)
+
+
+def _letters_apart(token: str) -> str | None:
+    """The characters of a token that alternates them with separators, else None."""
+    odd = token[1::2]
+    if len(token) < 5 or not all(c in SEPARATORS for c in odd) or any(c.isspace() for c in token[::2]):
+        return None
+    return token[::2]
+
+
+def words_of_token(token: str, model: CharModel | None, inside: bool = False) -> set[str]:
+    """Plain and restored words of one lower-case token; restored ones also ``squeezed``.
+
+    With ``inside``, every run of 4 to 12 letters within a token whose letters
+    stand apart, as such a token may hold several words.
+    """
     bare = token.strip(EDGE)
     if bare.isalpha() and not _TRIPLE.search(bare):
         if bare.isascii() or not any(c in LOOKALIKES for c in bare):
             return {bare}
     out = set(_WORD.findall(token))
     if model is not None:
-        core = _DECORATION.sub("", token).strip(EDGE)
-        if disguised(core):
+        core = _DECORATION.sub("", token).rstrip(EDGE).lstrip(EDGE.replace("!", ""))
+        if core[:1] == "!" and not disguised(core[1:]):  # a sign before a plain word, or its first letter
             out.update(x for x in restore(core, model).split() if len(x) > 1)
+            core = core.lstrip(EDGE)
+        if disguised(core):
+            readings = restore(core, model).split()
+            if "1" in core or "|" in core:  # i and l look alike in either sign: the reading with l counts too
+                readings += restore(core.replace("1", "l").replace("|", "l"), model).split()
+            close = _letters_apart(" ".join(core.split()))
+            if close is not None:
+                whole = [close]
+                if disguised(close):
+                    whole = restore(close, model).split() + restore(close.replace("1", "l").replace("|", "l"), model).split()
+                readings += whole
+                if inside:
+                    out.update(w[i:i + n] for w in whole for i in range(len(w) - 3) for n in range(4, 13) if i + n <= len(w))
+            out.update(x for x in readings if len(x) > 1)
+            out.update(squeezed(x) for x in readings if len(x) > 3)
     return out
 
 
+def weight_of(word: str, lexicon: dict[str, float]) -> float:
+    """Largest weight among a word's features."""
+    one = lexicon.get(word) or (lexicon.get(word[:-1], 0.0) if word.endswith("s") else 0.0)
+    return max(one, *(lexicon.get("^" + word[:k], 0.0) for k in STEMS if len(word) > k), 0.0)
+
+
 def tokens_of(text: str) -> set[str]:
     """Lower-case tokens of a text; a row of single characters is one token."""
     low = text.lower()
@@ -182,7 +226,7 @@ def char_model(docs: DataFrame) -> dict[str, int]:
     return dict(zip(got["gram"], got["n"].astype(int)))
 
 
-def wilson_low(hits, n, z: float = 1.96):
+def wilson_low(hits, n, z: float = Z):
     """Lower end of the Wilson interval of a share."""
     p = hits / n
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
@@ -206,7 +250,7 @@ def _train_rows(grams: dict[str, int]):
                 plain = (t or "").lower().split()
                 sketch.append(min((" ".join(plain[i:i + 5]) for i in range(max(1, len(plain) - 4))),
                                   key=_stable, default=""))
-                words.append(sorted(got))
+                words.append(sorted(w for w in got if w[0] != "~"))
             yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.string()), rb.column("toxic").cast(pa.int32()),
                                               pa.array(words, pa.list_(pa.string()))], ["sketch", "toxic", "words"])
     return run
@@ -235,20 +279,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     rows = (texts.mapInArrow(_train_rows(grams), "sketch string, toxic int, words array<string>")
             .groupBy("sketch").agg(F.avg("toxic").alias("toxic"), F.min("words").alias("words"))
             .select(F.when(F.col("toxic") >= 0.5, 1).otherwise(0).alias("toxic"), "words"))
-    counted = (rows.select("toxic", F.explode("words").alias("word")).groupBy("word")
-               .agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")))
-    low = "(h + 1.9208 - 1.96 * sqrt(h * (n - h) / n + 0.9604)) / (n + 3.8416)"
-    best = (counted.where(f"hits >= {MIN_TEXTS}").selectExpr("word", "double(hits) AS h", "double(n) AS n")
-            .selectExpr("word", f"{low} AS weight").where(f"weight >= {MIN_WEIGHT}")
-            .orderBy(F.desc("weight"), "word").limit(MAX_LEXICON).toPandas())
-    lexicon = dict(zip(best["word"], best["weight"].astype(float)))
-    found = F.exists("words", lambda w: w.isin(sorted(lexicon))) if lexicon else F.lit(False)
-    rest = rows.where(~found).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = cut_lineage(rows)
+    stems = F.flatten(F.transform("words", lambda w: F.concat(F.array(w), *[
+        F.when(F.length(w) > k, F.array(F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(k))))).otherwise(
+            F.array().cast("array<string>")) for k in STEMS])))
+    told = rows.select("toxic", F.explode(F.array_distinct(stems)).alias("feature"))
+    # features of enough toxic texts: bounded by those texts, so by max_train
+    hits = cut_lineage(told.where("toxic = 1").groupBy("feature").agg(F.count("*").alias("h")).where(f"h >= {MIN_TEXTS}"))
+    single = hits.where("feature NOT LIKE '^%'").select("h", F.explode(F.array(*[
+        F.concat(F.lit("^"), F.substr("feature", F.lit(1), F.lit(k))) for k in STEMS])).alias("feature"))
+    single = single.groupBy("feature").agg(F.max("h").alias("one"))
+    hits = hits.join(single, "feature", "left").where(
+        f"feature NOT LIKE '^%' OR coalesce(one, 0) < {ONE_WORD} * h").drop("one")
+    misses = told.where("toxic = 0").join(F.broadcast(hits.select("feature")), "feature").groupBy("feature").agg(
+        F.count("*").alias("m"))
+    counted = hits.join(misses, "feature", "left").selectExpr("feature", "double(h) AS h", "double(h + coalesce(m, 0)) AS n")
+    z2 = Z * Z
+    low = f"(h + {z2 / 2} - {Z} * sqrt(h * (n - h) / n + {z2 / 4})) / (n + {z2})"
+    best = (counted.selectExpr("feature", f"{low} AS weight").where(f"weight >= {MIN_WEIGHT}")
+            .orderBy(F.desc("weight"), "feature").limit(MAX_LEXICON).toPandas())
+    lexicon = dict(zip(best["feature"], best["weight"].astype(float)))
+    known = {w for w in lexicon if w[0] != "^"}
+    begin = {w[1:] for w in lexicon if w[0] == "^"}
+
+    def has(w):
+        out = w.isin(sorted(known)) if known else F.lit(False)
+        for k in STEMS:
+            own = sorted(x for x in begin if len(x) == k)
+            out = out | ((F.length(w) > k) & F.substr(w, F.lit(1), F.lit(k)).isin(own)) if own else out
+        return out
+    rest = rows.where(~F.exists("words", has)).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     return {"grams": grams, "lexicon": lexicon, "base": min(0.5, (rest[1] + 0.05) / (rest[0] + 1.0))}
 
 
 def _scorer(model: dict):
-    lexicon, base = model["lexicon"], model["base"]
+    lexicon, base = dict(model["lexicon"]), model["base"]
+    lexicon |= {squeezed(w): p for w, p in lexicon.items() if w[0] != "^" and len(w) > 3}
 
     @F.pandas_udf("score double, evidence string")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -258,10 +324,10 @@ def _scorer(model: dict):
 
         def look(token):
             got = miss
-            for w in words_of_token(token, chars):
-                p = lexicon.get(w) or (lexicon.get(w[:-1], 0.0) if w.endswith("s") else 0.0)
+            for w in words_of_token(token, chars, inside=True):
+                p = weight_of(w, lexicon)
                 if p:
-                    got = max(got, (p, w))
+                    got = max(got, (p, w.removeprefix("~")))
             if len(cache) > CACHE:
                 cache.clear()
             cache[token] = got
