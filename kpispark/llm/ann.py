@@ -13,8 +13,9 @@ What survives all blocks is scored exactly on the original vectors.
 Bounded, documented choices: centroids are fitted on at most ``SAMPLE``
 vectors of smallest hash; the number of lists to probe is the least that finds
 ``TARGET`` of the sample's own neighbours; the k-th best distance within the
-sample bounds every query's distance to beat from the start.  Every vector is
-indexed.
+sample bounds every query's distance to beat from the start, and the sample's
+best are results too, so that a query gets k of them whatever its lists hold.
+Every vector is indexed.
 
 Copies are found once: equal vectors are one candidate that keeps its k + 1
 least ids (no other copy can be in a result, as ties go to smaller ids), and
@@ -78,7 +79,7 @@ def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Plan:
     """What the driver fits on the bounded sample; shipped to the workers."""
 
-    def __init__(self, sample: np.ndarray, ceiling: float, count: int, k: int):
+    def __init__(self, sample: np.ndarray, sample_ids: list, ceiling: float, count: int, k: int):
         rng = np.random.default_rng(17)
         self.k, self.ceiling, d = k, ceiling, sample.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0]
@@ -104,7 +105,7 @@ class Plan:
         self.probes = int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))]) + 1
         if count <= 4 * k * n_lists:  # small tables: every list
             self.probes = n_lists
-        self.sample, self.sample_lifted = sample, lifted
+        self.sample, self.sample_lifted, self.sample_ids = sample, lifted, sample_ids
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Rotated vectors with the coordinate that makes norms equal (0 for queries)."""
@@ -127,6 +128,13 @@ class Plan:
         return np.partition(gaps, self.k, axis=1)[:, self.k] * (1 + 1e-9) + 1e-12
 
 
+    def of_sample(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, sample vector) of the k + 1 best of the sample."""
+        n = min(self.k + 1, len(self.sample))
+        best = np.argpartition(-(v @ self.sample.T), n - 1, axis=1)[:, :n]
+        return np.repeat(np.arange(len(v)), n), best.ravel()
+
+
 def _rows(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.zeros((0, 0))
 
@@ -168,8 +176,8 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
     if not found[0]:
         return spark.createDataFrame([], empty)
     base = cut_lineage(_distinct(rows, k))
-    picked = base.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(SAMPLE).select("v").toPandas()["v"]
-    plan = Plan(_rows(picked), float(found[1]), int(found[0]), k)
+    picked = base.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(SAMPLE).select("v", "ids").toPandas()
+    plan = Plan(_rows(picked["v"]), [list(x) for x in picked["ids"]], float(found[1]), int(found[0]), k)
     shared = spark.sparkContext.broadcast(plan)
 
     def assign(batches):
@@ -263,8 +271,18 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
         return pd.DataFrame(cols)
     hits = (visits.groupBy("shard", "chunk").cogroup(shards.groupBy("shard", "chunk"))
             .applyInPandas(search, "key long, ids array<long>, score double"))
+
+    def known(batches):
+        for pdf in batches:
+            if len(pdf):
+                p = shared.value
+                v = _rows(pdf["v"])
+                a, b = p.of_sample(v)
+                yield pd.DataFrame({"key": pdf["key"].to_numpy()[a], "ids": [p.sample_ids[j] for j in b],
+                                    "score": _dot(v[a], p.sample[b])})
+    hits = hits.unionByName(wanted.mapInPandas(known, "key long, ids array<long>, score double"))
     # k + 1 best rows of every distinct query, then its own id goes
-    each = hits.select("key", F.explode("ids").alias("vec_id"), "score")
+    each = hits.select("key", F.explode("ids").alias("vec_id"), "score").distinct()
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     top = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
