@@ -45,7 +45,7 @@ WIDTH = 5            # words in a shingle
 PERCENT = 75         # least similarity, in hundredths
 ORDERS = 3           # global token orders whose filters are intersected
 HEAVY_SHARE = 512    # heavy: in at least 1/512 of a batch's documents (and in 8)
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
 TILE_SETS = 1024     # sets on a side of a verification tile
 BROADCAST_ROWS = 500_000  # of (key, label) pairs: 8 MB of data; larger tables are joined by shuffle
 
@@ -375,7 +375,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     by = np.argsort(heavy)
     heavy, times = heavy[by], listed["n"].to_numpy(np.int64)[by]
 
-    buckets = min(shuffle_width(spark, total / BUCKET_TOKENS), 0xFFFE)
+    buckets = shuffle_width(spark, total / BUCKET_TOKENS)
     sets = cut_lineage(members.where("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.count("*").alias("weight"), F.min("doc_id").alias("least")))
     homes = (sets.select(F.expr(f"int(pmod(pmod(key, {buckets}) + if(key < 0, {pow(2, 64, buckets)}, 0), {buckets}))")

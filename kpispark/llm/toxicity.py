@@ -41,7 +41,7 @@ MIN_TEXTS, MIN_WEIGHT = 5, 0.6
 STEMS = (4, 5, 6)     # letters of a word's beginning that are a feature
 ONE_WORD = 0.8        # a beginning whose texts mostly have one and the same word is none
 Z = 1.645             # of the Wilson interval
-CACHE = 200_000       # tokens that a worker remembers
+CACHE = 100_000       # tokens that a worker remembers
 
 # Characters and the letters that they stand for in disguised words.
 LOOKALIKES = {
