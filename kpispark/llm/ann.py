@@ -40,7 +40,7 @@ LISTS = 1024         # lists at most
 TARGET = 0.985       # share of the sample's neighbours that probing has to find
 EPSILON = 2.1
 BLOCK = 16           # coordinates between two tests
-SHARD, CHUNK = 8192, 2048
+SHARD, CHUNK = 2048, 2048
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
