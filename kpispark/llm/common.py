@@ -14,7 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch at most; documents are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session's Arrow batches are cut to ``BATCH_ROWS`` rows if they are larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

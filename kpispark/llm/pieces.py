@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 150_000      # chunks that a worker remembers
+CACHE = 80_000      # chunks that a worker remembers
 LONG = 48            # longer chunks are merged one by one with a heap
 ROWS = 4096          # chunks that advance together
 
