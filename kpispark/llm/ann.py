@@ -11,10 +11,13 @@ distance to beat - the test of the hypothesis that it is still near enough.
 What survives all blocks is scored exactly on the original vectors.
 
 Bounded, documented choices: centroids are fitted on at most ``SAMPLE``
-vectors of smallest hash; the number of lists to probe is the least that finds
-``TARGET`` of the sample's own neighbours; the k-th best distance within the
-sample bounds every query's distance to beat from the start, and the sample's
-best are results too, so that a query gets k of them whatever its lists hold.
+vectors of smallest hash, without the ``HELD`` first of them; these are asked
+for their neighbours in the whole table, and the number of lists to probe is
+the least that finds ``TARGET`` of those.  The (k + 1)-th best distance within
+the sample bounds every query's distance to beat from the start.  All results
+come from the scan of probed lists: a query for which it finds fewer than
+k + 1 vectors within that bound, though the sample has as many, probes
+``WIDER`` times the lists, and in the end all of them without early tests.
 Every vector is indexed.
 
 Copies are found once: equal vectors are one candidate that keeps its k + 1
@@ -37,7 +40,9 @@ from ..session import cut_lineage
 K = 20
 SAMPLE = 8192        # vectors that centroids and probes are fitted on
 LISTS = 1024         # lists at most
-TARGET = 0.985       # share of the sample's neighbours that probing has to find
+HELD = 512           # sample vectors kept from the centroids, at most a quarter
+TARGET = 0.985       # share of the held-out vectors' neighbours that probing has to find
+WIDER = 4            # times the lists of the round before, for queries that found too few
 EPSILON = 2.1
 BLOCK = 16           # coordinates between two tests
 SHARD, CHUNK = 2048, 2048
@@ -79,12 +84,15 @@ def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Plan:
     """What the driver fits on the bounded sample; shipped to the workers."""
 
-    def __init__(self, sample: np.ndarray, sample_ids: list, ceiling: float, count: int, k: int):
+    def __init__(self, sample: np.ndarray, sample_keys: np.ndarray, ceiling: float, count: int, k: int):
         rng = np.random.default_rng(17)
         self.k, self.ceiling, d = k, ceiling, sample.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0]
-        lifted = self.lift(sample)
-        n_lists = int(min(LISTS, max(1, round(math.sqrt(count))), len(sample)))
+        self.sample_lifted = self.lift(sample)
+        held = min(HELD, len(sample) // 4)  # a sample of three or less is asked as it is
+        self.held, self.held_keys = sample[:held or len(sample)], sample_keys[:held or len(sample)]
+        lifted = self.sample_lifted[held:]
+        n_lists = int(min(LISTS, max(1, round(math.sqrt(count))), len(lifted)))
         centers = lifted[rng.choice(len(lifted), n_lists, replace=False)]
         for _ in range(12):
             near = self._nearest(lifted, centers, 1)[:, 0]
@@ -93,19 +101,12 @@ class Plan:
             size = np.bincount(near, minlength=n_lists)
             centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers)
         self.centers = centers
-        # probes: ranks of the lists that hold the sample's neighbours of some of its own vectors
-        asked = np.arange(min(512, len(sample)))
-        home = self._nearest(lifted, centers, 1)[:, 0]
-        product = sample[asked] @ sample.T
-        product[asked, asked] = -np.inf
-        near = np.argsort(-product, axis=1)[:, :min(k, max(1, len(sample) - 1))]
-        order = np.argsort(self._gaps(self.lift(sample[asked], True), centers), axis=1)
-        rank = np.argsort(order, axis=1)
-        needed = np.sort(np.take_along_axis(rank, home[near], 1).ravel())
-        self.probes = int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))]) + 1
-        if count <= 4 * k * n_lists:  # small tables: every list
-            self.probes = n_lists
-        self.sample, self.sample_lifted, self.sample_ids = sample, lifted, sample_ids
+
+    def probes(self, at: np.ndarray, lists: np.ndarray) -> int:
+        """Lists to probe, from the (held-out vector, list) of neighbours in the whole table."""
+        order = np.argsort(self._gaps(self.lift(self.held, True), self.centers), axis=1)
+        needed = np.sort(np.argsort(order, axis=1)[at, lists])
+        return int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))]) + 1 if len(needed) else 1
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Rotated vectors with the coordinate that makes norms equal (0 for queries)."""
@@ -125,14 +126,7 @@ class Plan:
         gaps = (lifted * lifted).sum(1)[:, None] + (self.sample_lifted ** 2).sum(1) - 2 * lifted @ self.sample_lifted.T
         if gaps.shape[1] <= self.k:
             return np.full(len(lifted), np.inf)
-        return np.partition(gaps, self.k, axis=1)[:, self.k] * (1 + 1e-9) + 1e-12
-
-
-    def of_sample(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, sample vector) of the k + 1 best of the sample."""
-        n = min(self.k + 1, len(self.sample))
-        best = np.argpartition(-(v @ self.sample.T), n - 1, axis=1)[:, :n]
-        return np.repeat(np.arange(len(v)), n), best.ravel()
+        return np.partition(gaps, self.k, axis=1)[:, self.k] * (1 + 1e-9) + 1e-9 * self.ceiling
 
 
 def _rows(column) -> np.ndarray:
@@ -146,21 +140,44 @@ def scan_list(plan: Plan, q, ql, x, xl, bound, block: int = BLOCK):
     for at in range(0, dims, block):
         to = min(dims, at + block)
         a, b = ql[:, at:to], xl[:, at:to]
+        slack = (1 + EPSILON / math.sqrt(to)) ** 2 if to < dims else 1 + 1e-9
         if alive_q is None:
             gaps = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-            keep = gaps * (dims / to) <= bound[:, None] * (1 + EPSILON / math.sqrt(to)) ** 2
+            keep = gaps * (dims / to) <= bound[:, None] * slack
             alive_q, alive_x = np.nonzero(keep)
             partial = gaps[alive_q, alive_x]
         else:
             diff = a[alive_q] - b[alive_x]
             partial = partial + (diff * diff).sum(1)
-            slack = (1 + EPSILON / math.sqrt(to)) ** 2 if to < dims else 1 + 1e-9
-            keep = partial * (dims / to) <= bound[alive_q] * slack + 1e-12
+            keep = partial * (dims / to) <= bound[alive_q] * slack
             alive_q, alive_x, partial = alive_q[keep], alive_x[keep], partial[keep]
     return alive_q, alive_x
 
 
-def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def _probes(listed: DataFrame, shared, k: int) -> int:
+    """Lists to probe: the held-out vectors' k nearest in the whole table, by one pass over it."""
+    def ask(batches):
+        p = shared.value
+        score = np.full((len(p.held), k), -np.inf)
+        home = np.zeros((len(p.held), k), np.int32)
+        for pdf in batches:
+            if len(pdf):
+                product = p.held @ _rows(pdf["v"]).T
+                product[p.held_keys[:, None] == pdf["key"].to_numpy()] = -np.inf
+                score = np.hstack((score, product))
+                home = np.hstack((home, np.broadcast_to(pdf["list"].to_numpy(np.int32), product.shape)))
+                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, home = np.take_along_axis(score, best, 1), np.take_along_axis(home, best, 1)
+        at, place = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"at": at.astype(np.int32), "list": home[at, place], "score": score[at, place]})
+    best = Window.partitionBy("at").orderBy(F.desc("score"), "list")
+    found = (listed.select("key", "v", "list").mapInPandas(ask, "at int, list int, score double")
+             .withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("at", "list").toPandas())  # HELD * k rows
+    return shared.value.probes(found["at"].to_numpy(int), found["list"].to_numpy(int))
+
+
+def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id", column: str = "embedding",
+            sample: int = SAMPLE) -> DataFrame:
     """The k nearest by inner product: query_id, rank (from 1), vec_id, score.
 
     ``queries`` is a condition on the id column (say ``"vec_id % 20 = 0"``); a
@@ -176,8 +193,8 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
     if not found[0]:
         return spark.createDataFrame([], empty)
     base = cut_lineage(_distinct(rows, k))
-    picked = base.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(SAMPLE).select("v", "ids").toPandas()
-    plan = Plan(_rows(picked["v"]), [list(x) for x in picked["ids"]], float(found[1]), int(found[0]), k)
+    picked = base.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(sample).select("v", "key").toPandas()
+    plan = Plan(_rows(picked["v"]), picked["key"].to_numpy(), float(found[1]), int(found[0]), k)
     shared = spark.sparkContext.broadcast(plan)
 
     def assign(batches):
@@ -207,8 +224,34 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
     asked = rows.where(F.expr(queries.replace(id_column, "id"))).select("v", F.col("id"))
     wanted = asked.groupBy("v").agg(F.count("*").alias("c")).select(F.xxhash64("v").alias("key"), "v")
     wanted = cut_lineage(wanted)
-    chunks = max(1, math.ceil(wanted.count() / CHUNK))
+    probes, n_lists, least = _probes(listed, shared, k), len(plan.centers), min(k + 1, base.count())
+    hits, short, left = None, wanted, wanted.count()
+    while left or hits is None:
+        got = cut_lineage(_scan(short, max(1, math.ceil(left / CHUNK)), shared, listed, dealt, first, parts, probes))
+        hits = got if hits is None else hits.unionByName(got)
+        if probes >= n_lists:
+            break
+        enough = got.groupBy("key").count().where(F.col("count") >= least)
+        short = cut_lineage(short.join(enough, "key", "left_anti").select("key", "v"))
+        left, probes = short.count(), min(n_lists, WIDER * probes)
+    # k + 1 best rows of every distinct query, then its own id goes
+    each = hits.select("key", F.explode("ids").alias("vec_id"), "score").distinct()
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    top = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
+    named = asked.select(F.xxhash64("v").alias("key"), F.col("id").alias("query_id"))
+    mine = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return (named.join(top, "key").select("query_id", F.posexplode(mine).alias("pos", "hit"))
+            .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
+                    F.col("hit.score").alias("score")))
+
+
+def _scan(wanted: DataFrame, chunks: int, shared, listed: DataFrame, dealt: DataFrame, first: dict, parts: dict,
+          probes: int) -> DataFrame:
+    """Per query and shard the best k + 1 vectors (and ties) of the lists nearest to it: key, ids, score.
 
+    With all lists probed all coordinates are one block: nothing is abandoned on a part of them.
+    """
     def visit(batches):
         for pdf in batches:
             if not len(pdf):
@@ -218,7 +261,7 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
             lifted = p.lift(v, True)
             bound = p.first_bound(lifted)
             out = {"shard": [], "row": [], "lists": []}
-            for i, lists in enumerate(p._nearest(lifted, p.centers, max(2, p.probes))[:, :p.probes]):
+            for i, lists in enumerate(p._nearest(lifted, p.centers, max(2, probes))[:, :probes]):
                 by: dict[int, list[int]] = {}
                 for name in lists.tolist():
                     for s in range(first.get(name, 0), first.get(name, 0) + parts.get(name, 0)):
@@ -244,6 +287,7 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
             q, x = _rows(left["v"]), _rows(right["v"])
             ql, xl = p.lift(q, True), p.lift(x)
             bound = left["bound"].to_numpy().copy()
+            block = BLOCK if probes < p.centers.shape[0] else ql.shape[1]
             probed = np.zeros((len(left), p.centers.shape[0]), bool)
             for i, names in enumerate(left["lists"]):
                 probed[i, list(names)] = True
@@ -253,7 +297,7 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
                 qi, xi = np.flatnonzero(probed[:, name]), np.flatnonzero(list_of == name)
                 if not len(qi):
                     continue
-                a, b = scan_list(p, q[qi], ql[qi], x[xi], xl[xi], bound[qi])
+                a, b = scan_list(p, q[qi], ql[qi], x[xi], xl[xi], bound[qi], block)
                 got_q.append(qi[a])
                 got_x.append(xi[b])
                 got_s.append(_dot(q[qi[a]], x[xi[b]]))
@@ -269,25 +313,5 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_column: str = "vec_id",
             keep = s >= last[a]
             cols = {"key": left["key"].to_numpy()[a[keep]], "ids": right["ids"].to_numpy()[b[keep]], "score": s[keep]}
         return pd.DataFrame(cols)
-    hits = (visits.groupBy("shard", "chunk").cogroup(shards.groupBy("shard", "chunk"))
+    return (visits.groupBy("shard", "chunk").cogroup(shards.groupBy("shard", "chunk"))
             .applyInPandas(search, "key long, ids array<long>, score double"))
-
-    def known(batches):
-        for pdf in batches:
-            if len(pdf):
-                p = shared.value
-                v = _rows(pdf["v"])
-                a, b = p.of_sample(v)
-                yield pd.DataFrame({"key": pdf["key"].to_numpy()[a], "ids": [p.sample_ids[j] for j in b],
-                                    "score": _dot(v[a], p.sample[b])})
-    hits = hits.unionByName(wanted.mapInPandas(known, "key long, ids array<long>, score double"))
-    # k + 1 best rows of every distinct query, then its own id goes
-    each = hits.select("key", F.explode("ids").alias("vec_id"), "score").distinct()
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    top = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    named = asked.select(F.xxhash64("v").alias("key"), F.col("id").alias("query_id"))
-    mine = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (named.join(top, "key").select("query_id", F.posexplode(mine).alias("pos", "hit"))
-            .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
-                    F.col("hit.score").alias("score")))

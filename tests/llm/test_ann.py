@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from kpispark.llm import ann
 from kpispark.llm.ann import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, v string"
@@ -73,3 +74,23 @@ def test_unusable_vectors_and_few_rows(spark):
     assert sorted(r["vec_id"] for r in again) == [3, 20]
     assert nearest(frame(spark, []), "vec_id % 20 = 0").count() == 0
     assert nearest(frame(spark, [(20, [1.0, 2.0])]), "vec_id % 20 = 0").count() == 0
+
+
+def test_scan_alone_finds_neighbours_of_a_table_many_times_the_sample(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 24))
+    x = centers[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 24))
+    rows = list(enumerate(x))
+    want = brute(rows)
+    got = {}
+    for r in nearest(frame(spark, rows), "vec_id % 20 = 0", sample=240).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(g) == 20 for g in got.values())
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.95 * 20 * len(want)
+
+
+def test_results_come_from_the_scan_only(spark, monkeypatch):
+    nothing = (np.zeros(0, int), np.zeros(0, int))
+    monkeypatch.setattr(ann, "scan_list", lambda *a, **b: nothing)
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    assert nearest(frame(spark, list(enumerate(x))), "vec_id % 20 = 0").count() == 0
