@@ -6,7 +6,9 @@ read as a lattice: every observed character offers the characters that it may
 stand for (or nothing), runs offer one or two letters, and Viterbi decoding
 picks the path that a character trigram model finds likeliest.  The model is
 counted over the words of all documents.  The restored words join the plain
-ones, and a document is scored by them.
+ones, and a document is scored by them.  A word of letters only with a doubled
+one (``idioot``) is read so too, unless it is an ordinary spelling: one that
+two clean training texts or more have, and as many as toxic ones.
 
 Learning takes three passes: the character model over the whole corpus; words
 of a bounded, hash-chosen sample of labelled documents (``max_train``), where
@@ -41,6 +43,7 @@ MIN_TEXTS, MIN_WEIGHT = 5, 0.6
 STEMS = (4, 5, 6)     # letters of a word's beginning that are a feature
 ONE_WORD = 0.8        # a beginning whose texts mostly have one and the same word is none
 Z = 1.645             # of the Wilson interval
+ORDINARY = 2          # clean training texts that an ordinary spelling with a doubled letter has at least
 CACHE = 100_000       # tokens that a worker remembers
 
 # Characters and the letters that they stand for in disguised words.
@@ -55,6 +58,7 @@ INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…-_/\\"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 _DECORATION = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
@@ -145,17 +149,32 @@ def _letters_apart(token: str) -> str | None:
     return token[::2]
 
 
-def words_of_token(token: str, model: CharModel | None, inside: bool = False) -> set[str]:
+def _doubled(words: set[str], model: CharModel, ordinary: frozenset[str]) -> set[str]:
+    """Readings of the words that have a doubled letter and are no ordinary spellings, squeezed ones too."""
+    out: set[str] = set()
+    for w in words:
+        if len(w) > 3 and _DOUBLE.search(w) and w not in ordinary:
+            readings = restore(w, model).split()
+            out.update(x for x in readings if len(x) > 1)
+            out.add(squeezed(w))
+    return out
+
+
+def words_of_token(token: str, model: CharModel | None, inside: bool = False,
+                   ordinary: frozenset[str] | None = None) -> set[str]:
     """Plain and restored words of one lower-case token; restored ones also ``squeezed``.
 
     With ``inside``, every run of 4 to 12 letters within a token whose letters
-    stand apart, as such a token may hold several words.
+    stand apart, as such a token may hold several words.  With ``ordinary``,
+    words with a doubled letter that are not among them are restored too.
     """
     bare = token.strip(EDGE)
     if bare.isalpha() and not _TRIPLE.search(bare):
         if bare.isascii() or not any(c in LOOKALIKES for c in bare):
-            return {bare}
+            return {bare} if ordinary is None or model is None else {bare} | _doubled({bare}, model, ordinary)
     out = set(_WORD.findall(token))
+    if ordinary is not None and model is not None:
+        out |= _doubled(out, model, ordinary)
     if model is not None:
         core = _DECORATION.sub("", token).rstrip(EDGE).lstrip(EDGE.replace("!", ""))
         if core[:1] == "!" and not disguised(core[1:]):  # a sign before a plain word, or its first letter
@@ -309,7 +328,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
             out = out | ((F.length(w) > k) & F.substr(w, F.lit(1), F.lit(k)).isin(own)) if own else out
         return out
     rest = rows.where(~F.exists("words", has)).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    return {"grams": grams, "lexicon": lexicon, "base": min(0.5, (rest[1] + 0.05) / (rest[0] + 1.0))}
+    # spellings of at most max_train texts
+    doubled = rows.select("toxic", F.explode("words").alias("w")).where(F.rlike("w", F.lit(r"(\p{L})\1")))
+    plain = doubled.groupBy("w").agg(F.sum("toxic").alias("h"), F.count("*").alias("n")).where(
+        f"n - h >= {ORDINARY} AND n - h >= h").select("w").toPandas()
+    return {"grams": grams, "lexicon": lexicon, "base": min(0.5, (rest[1] + 0.05) / (rest[0] + 1.0)),
+            "ordinary": frozenset(plain["w"])}
 
 
 def _scorer(model: dict):
@@ -324,7 +348,7 @@ def _scorer(model: dict):
 
         def look(token):
             got = miss
-            for w in words_of_token(token, chars, inside=True):
+            for w in words_of_token(token, chars, inside=True, ordinary=model["ordinary"]):
                 p = weight_of(w, lexicon)
                 if p:
                     got = max(got, (p, w.removeprefix("~")))

@@ -78,3 +78,23 @@ def test_edge_cases_and_columns(spark):
     assert toxicity_scores(docs, labels(spark, [])).count() == len(EDGE) + 2
     assert drop_toxic(docs, lab).columns == docs.columns and drop_toxic(docs, lab).count() == len(EDGE) + 2
     assert fit(docs, lab)["lexicon"] == {}
+
+
+def test_one_extra_letter_hides_no_word(spark):
+    texts, toxic = planted()
+    seen = ["idioot", "iddiot", "trrash", "patheetic", "stuupid", "say stuupid, now", "IDIOOT's"]
+    clean = ["committee", "balloon", "coffee"]  # ordinary spellings stay what they are
+    rows = texts + [f"balloon committee coffee tree number {i}" for i in range(40)]
+    lab = labels(spark, [(i, 1, y) for i, y in enumerate(toxic + [0] * 40)])
+    docs = documents(spark, rows + [f"ba lo {w} ri ten" for w in seen + clean], extra=False)
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, lab).collect()}
+    assert all(got[len(rows) + i]["predicted"] == 1 for i in range(len(seen)))
+    assert all(got[len(rows) + len(seen) + i]["predicted"] == 0 for i in range(len(clean)))
+
+
+def test_an_ordinary_doubled_word_is_not_its_toxic_neighbour(spark):
+    texts = [f"filler lorem lose x{i}" if i % 2 else f"filler lorem loose x{i}" for i in range(400)]
+    lab = labels(spark, [(i, 1, i % 2) for i in range(400)])
+    got = toxicity_scores(documents(spark, [*texts, "lorem loose", "lorem losse"], extra=False), lab).collect()
+    said = {r["doc_id"]: r["predicted"] for r in got}
+    assert said[400] == 0 and said[401] == 1 and all(said[i] == i % 2 for i in range(400))
