@@ -21,12 +21,17 @@ with g the residual as a share of all tokens (one distributed sum per step)
 and M the token-weighted second moment of the posteriors, which scales the
 three directions alike.  A rate is a function of the posterior and the
 residuals so far, so the driver keeps only three numbers per step, and the
-same fold over them gives every document its rate in the end.
+same fold over them gives every document its rate in the end.  Rates have no
+upper bound unless ``most_rate`` is given.  The steps end when the residual is
+gone, or when a step no longer moves the rates: then no rates come nearer.
+What is left of the targets is returned by ``fit_rates`` and warned of by
+``mixing_rates``, as is a fit that ``STEPS`` did not bring to its end.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,9 +42,9 @@ from ..session import cut_lineage
 DOMAINS = ("english", "other", "low")
 TARGETS = {"english": 0.55, "other": 0.37, "low": 0.08}
 SLACK = 1.05      # of the default budget over the least at which every domain has least_rate
-MOST_RATE = 16.0  # times that a document may be taken
 GRID = 200
 STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-6
+UNMET = 1e-3      # share of the mixed tokens that a domain may miss without a warning
 
 _CUTS = {
     "upper": (0.0, 0.01, 0.02, 0.04, 0.08, 0.2, 0.5),      # capitals per character
@@ -118,7 +123,7 @@ def posterior(feats: DataFrame, model: dict) -> DataFrame:
                       (F.greatest(GRID - F.col("c0") - F.col("c1"), F.lit(0)) / GRID).alias("p_low"))
 
 
-def _rate(steps: list[tuple[float, list[float]]], least_rate: float, most_rate: float, momentum: float = 0.0) -> Column:
+def _rate(steps: list[tuple[float, list[float]]], least_rate: float, most_rate: float | None, momentum: float = 0.0) -> Column:
     """The rate after ``steps`` (momentum, scaled residual), from 1, for a row's posterior.
 
     With ``momentum`` the point ahead of it, where the next residual is taken.
@@ -134,17 +139,24 @@ def _rate(steps: list[tuple[float, list[float]]], least_rate: float, most_rate:
     def step(acc, s):
         y = acc["x"] + s[0] * (acc["x"] - acc["old"])
         move = sum((F.col(f"p_{d}") * s[i + 1] for i, d in enumerate(DOMAINS)), F.lit(0.0))
-        return F.struct(F.least(F.lit(float(most_rate)), F.greatest(F.lit(float(least_rate)), y - move)).alias("x"),
-                        acc["x"].alias("old"))
+        x = F.greatest(F.lit(float(least_rate)), y - move)
+        x = x if most_rate is None else F.least(F.lit(float(most_rate)), x)
+        return F.struct(x.alias("x"), acc["x"].alias("old"))
     return F.aggregate(told, zero, step, lambda acc: acc["x"] + F.lit(float(momentum)) * (acc["x"] - acc["old"]))
 
 
-def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | None, least_rate: float, most_rate: float):
-    """Residual steps that take the rates to the least-squares solution over ``classes`` (p_*, w)."""
+def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | None, least_rate: float,
+              most_rate: float | None = None) -> tuple[list[tuple[float, list[float]]], dict[str, float], bool]:
+    """Residual steps that take the rates to the least-squares solution over ``classes`` (p_*, w).
+
+    With them what the rates bring beyond each domain's target (negative:
+    short of it) as a share of the mixed tokens, and whether the steps ended
+    at the solution.
+    """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     total = classes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     if not total:
-        return []
+        return [], dict.fromkeys(DOMAINS, 0.0), True
     share = F.col("w") / F.lit(float(total))
     got = classes.agg(*[F.sum(share * a).alias(f"m{i}") for i, a in enumerate(p)],
                       *[F.sum(share * a * b).alias(f"h{i}{j}") for i, a in enumerate(p) for j, b in enumerate(p) if j >= i]).first()
@@ -159,30 +171,42 @@ def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | Non
         scale = budget / total
     scaled = np.linalg.inv(moment + RIDGE * np.eye(k))
     steps: list[tuple[float, list[float]]] = []
-    t, before, still = 1.0, None, 0
+
+    def residual(x):
+        now = classes.agg(*[F.sum(share * x * a) for a in p]).first()
+        return np.array([float(v) for v in now]) - scale * weights
+    t, before, done = 1.0, None, False
     for _ in range(STEPS):
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum = (t - 1) / after if len(steps) > 1 else 0.0
-        x = _rate(steps, least_rate, most_rate, momentum)
-        now = classes.agg(*[F.sum(share * x * a) for a in p]).first()
-        g = np.array([float(v) for v in now]) - scale * weights
+        ahead = _rate(steps, least_rate, most_rate, momentum)
+        g = residual(ahead)
         move = scaled @ g
+        if momentum == 0.0 and np.abs(g).max() < CLOSE:
+            done = True  # these rates meet the targets
+            break
         steps.append((momentum, [float(v) for v in move]))
         t = after
-        still = still + 1 if before is not None and np.abs(g - before).max() < CLOSE else 0
+        if np.abs(g).max() < CLOSE or before is not None and np.abs(g - before).max() < CLOSE:
+            # a step from there that moves no token leads nowhere else: the solution
+            moved = classes.agg(F.sum(share * F.abs(_rate(steps, least_rate, most_rate) - ahead))).first()[0]
+            if moved < 10 * CLOSE:
+                done = True
+                break
         before = g
-        if np.abs(g).max() < CLOSE or still > 1:
-            break
-    return steps
+    left = residual(_rate(steps, least_rate, most_rate)) / scale
+    return steps, dict(zip(DOMAINS, left.tolist())), done
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
-                 budget: float | None = None, least_rate: float = 0.0, most_rate: float = MOST_RATE) -> DataFrame:
+                 budget: float | None = None, least_rate: float = 0.0, most_rate: float | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, p_english, p_other, p_low, domain, rate, copies.
 
     ``targets`` are the domains' shares of the mixed tokens (scaled to 1),
     ``budget`` the mixed tokens (default: as many as there are, or ``SLACK`` x
-    what ``least_rate`` asks for).  ``copies`` rounds the rate by the document's
+    what ``least_rate`` asks for), ``most_rate`` a bound of the rates if there
+    is to be one.  Targets that no rates meet are warned of with what is left.
+    ``copies`` rounds the rate by the document's
     hash, so that it is right on average and the same in every run.  A null
     text has no tokens; a null doc_id is never labelled; repeated rows are
     documents of their own with equal rates; an empty table stays empty.
@@ -193,7 +217,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     grid = [f"p_{d}" for d in DOMAINS]
     classes = cut_lineage(probs.groupBy(*grid).agg(F.sum("n_tokens").cast("double").alias("w"))
                           .coalesce(4))
-    steps = fit_rates(classes, targets, budget, least_rate, most_rate)
+    steps, left, done = fit_rates(classes, targets, budget, least_rate, most_rate)
+    if not done or max(map(abs, left.values())) > UNMET:
+        told = ", ".join(f"{d} {v:+.4f}" for d, v in left.items())
+        warnings.warn(f"mixing targets not met ({'no rates come nearer' if done else f'stopped after {STEPS} steps'}); "
+                      f"shares beyond the targets: {told}", stacklevel=2)
     rates = classes.select(*grid, F.round(_rate(steps, least_rate, most_rate), 9).alias("rate"))
     likeliest = F.when((F.col("p_english") >= F.col("p_other")) & (F.col("p_english") >= F.col("p_low")), "english").when(
         F.col("p_other") >= F.col("p_low"), "other").otherwise("low")

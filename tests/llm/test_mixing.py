@@ -1,8 +1,10 @@
 """Mixing rates against a dense solver, and the mixed documents' token totals."""
 
 import random
+import warnings
 
 import numpy as np
+import pytest
 
 from kpispark.llm.mixing import SLACK, TARGETS, mix, mixing_rates
 
@@ -86,3 +88,49 @@ def test_edge_cases(spark):
         assert len(out) == len(EDGE) + 2 and all(r["rate"] >= 0 and r["copies"] >= 0 for r in out)
     assert mixing_rates(empty(spark), labels(spark, [])).count() == 0
     assert mix(empty(spark), labels(spark, [])).count() == 0
+
+
+def rare(n=3000):
+    """A corpus with one low document in 1,000, all labelled."""
+    rnd = random.Random(11)
+    texts, lab = [], []
+    for i in range(n):
+        kind = 2 if i % 1000 == 7 else int(rnd.random() < 0.4)
+        words = [rnd.choice(["alpha", "beta", "gamma", "of", "the"]) for _ in range(rnd.randint(20, 60))]
+        words = [w.replace("a", "é") for w in words] if kind == 1 else [w + "%%%" for w in words] if kind == 2 else words
+        texts.append((" ".join(words), kind))
+        lab.append((i, int(kind != 2), 0))
+    return texts, lab
+
+
+def shares(got):
+    w = (got["n_tokens"] * got["rate"]).to_numpy()
+    total = (got[["p_english", "p_other", "p_low"]].to_numpy() * w[:, None]).sum(0)
+    return total / got["n_tokens"].sum()
+
+
+def test_a_rare_domain_meets_its_target(spark):
+    texts, lab = rare()
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="mixing targets")
+        got = mixing_rates(tagged(spark, texts), labels(spark, lab)).toPandas()
+    assert np.abs(shares(got) - np.array(list(TARGETS.values()))).max() < 1e-3
+    assert got["rate"].max() > 16
+
+
+def test_what_is_left_of_the_targets_is_told(spark):
+    texts, lab = rare()
+    with pytest.warns(UserWarning, match="mixing targets not met .*low -0"):
+        got = mixing_rates(tagged(spark, texts), labels(spark, lab), most_rate=16.0).toPandas()
+    assert got["rate"].max() <= 16
+
+
+def test_rates_are_as_near_as_the_dense_solver(spark):
+    texts, lab = corpus()
+    for least, targets in ((0.0, TARGETS), (1.0, {"english": 0.5, "other": 0.33, "low": 0.17})):
+        got = mixing_rates(tagged(spark, texts), labels(spark, lab), targets, None, least).toPandas()
+        p, w = got[["p_english", "p_other", "p_low"]].to_numpy(), got["n_tokens"].to_numpy(float)
+        want = np.array(list(targets.values()))
+        target = max(1.0, SLACK * (least * (p * w[:, None]).sum(0) / w.sum() / want).max()) * want
+        best = (p * (w * solve(p, w, target, least))[:, None]).sum(0) / w.sum()
+        assert np.abs(shares(got) - target).max() <= np.abs(best - target).max() + 1e-3
