@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
+from .bpe import bpe_round_trip
 from .chat import chat_digest
 from .common import table
 from .fingerprints import compare_fingerprints
@@ -79,3 +80,8 @@ def op9_prefix_target_chat(spark, sf_dir):
 @_query
 def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_backtracking_bpe(spark, sf_dir):
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
