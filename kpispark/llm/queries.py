@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .bpe import bpe_round_trip
 from .chat import chat_digest
+from .collocations import collocations
 from .common import table
 from .fingerprints import compare_fingerprints
 from .licenses import license_scan
@@ -85,3 +86,8 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 @_query
 def op12_backtracking_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_misra_gries_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
