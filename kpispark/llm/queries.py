@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import bpe_round_trip
@@ -12,6 +13,7 @@ from .chat import chat_digest
 from .collocations import collocations
 from .common import table
 from .fingerprints import compare_fingerprints
+from .hard_negatives import hard_negatives
 from .licenses import license_scan
 from .mixing import mixing_rates
 from .ngram_join import ngram_components
@@ -91,3 +93,9 @@ def op12_backtracking_bpe(spark, sf_dir):
 @_query
 def op11_misra_gries_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_cover_tree_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), "id % 50 = 0", label=moved)
