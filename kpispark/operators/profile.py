@@ -164,24 +164,21 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})
 
 
+def feature_default(name: str) -> float:
+    """Value of a numeric feature that is missing when scoring, by name rule."""
+    low = name.lower()
+    if "lag" in low:
+        return float(S.PREDICT_LAG)
+    if "temp" in low:
+        return float(S.PREDICT_TEMP)
+    if "rate" in low or "index" in low:
+        return float(S.PREDICT_RATE)
+    return 0.0
+
+
 def fill_missing_features(df: DataFrame, numerical: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Add absent feature columns with name-rule defaults (P22): categorical
     'default'; names with 'lag' 1000; 'temp' 20; 'rate'/'index' 1; else 0."""
-    add = {}
-    for c in categorical:
-        if c not in df.columns:
-            add[c] = F.lit(S.CATEGORICAL_DEFAULT)
-    for c in numerical:
-        if c in df.columns:
-            continue
-        low = c.lower()
-        if "lag" in low:
-            v = S.PREDICT_LAG
-        elif "temp" in low:
-            v = S.PREDICT_TEMP
-        elif "rate" in low or "index" in low:
-            v = S.PREDICT_RATE
-        else:
-            v = 0.0
-        add[c] = F.lit(float(v))
+    add = {c: F.lit(S.CATEGORICAL_DEFAULT) for c in categorical if c not in df.columns}
+    add |= {c: F.lit(feature_default(c)) for c in numerical if c not in df.columns}
     return df.withColumns(add) if add else df
