@@ -2,21 +2,24 @@
 
 Profiling reads the schema on the driver and runs *one* aggregation over all
 rows: whether every value of a string column parses as a date, and distinct
-counts (HyperLogLog, so memory per column is fixed).  It returns a small
-``TableProfile`` (one entry per column), never data.
+counts (a set of the smallest hashes, so memory per column is fixed and small
+counts are exact).  It returns a small ``TableProfile`` (one entry per
+column), never data.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from .features import global_positions
+from .selection import quantile, quantile_ranks, values_at
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -40,8 +43,46 @@ class TableProfile:
         return asdict(self)
 
 
-def _parse_any(c: str):
-    return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in DATE_FORMATS])
+#: Digit pattern of each format: a value can only fit the format whose pattern it has.
+DATE_SHAPES = {re.sub("[yMdHms]", "9", f.replace("'T'", "T")): f for f in DATE_FORMATS}
+
+
+def date_shape(c: Column) -> Column:
+    """The value's digit pattern where its length is that of a date pattern, else null."""
+    lengths = sorted({len(s) for s in DATE_SHAPES})
+    return F.when(F.octet_length(c).isin(lengths), F.translate(c, "0123456789", "9999999999"))
+
+
+def parse_by_shape(c: Column, shape: Column) -> Column:
+    """The timestamp of a value by the one format that its shape fits, else null: at most one parse a value."""
+    out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for s, f in DATE_SHAPES.items():
+        out = out.when(shape == s, F.try_to_timestamp(c, F.lit(f)))
+    return out
+
+
+def date_shapes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A small histogram per string column: (column_name, format, n, parsed); format null for values of no date shape.
+
+    Nulls are not counted.  One pass with map-side counts, one row per column
+    and format.
+    """
+    fmt = F.create_map(*[F.lit(x) for pair in DATE_SHAPES.items() for x in pair])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in cols])))
+    long = long.where("v IS NOT NULL").withColumn("shape", date_shape(F.col("v")))
+    long = long.select("column_name", F.try_element_at(fmt, F.col("shape")).alias("format"),
+                       parse_by_shape(F.col("v"), F.col("shape")).isNotNull().alias("ok"))
+    return long.groupBy("column_name", "format").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("parsed"))
+
+
+def distinct_estimate(c: str, as_text: bool = False) -> Column:
+    """Distinct values of a column by a mergeable set of the smallest value hashes (a theta sketch).
+
+    Exact while there are fewer than 2**12 of them; of fixed size whatever the
+    values' frequencies; nulls do not count.
+    """
+    value = F.col(c).cast("string") if as_text else F.col(c)  # maps have no hash of their own
+    return F.theta_sketch_estimate(F.theta_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value))))
 
 
 def profile(df: DataFrame, date_override: str | None = None,
@@ -62,12 +103,14 @@ def profile(df: DataFrame, date_override: str | None = None,
               if not isinstance(f.dataType, (T.StringType, T.DateType, T.TimestampType,
                                              T.TimestampNTZType) + NUMERIC_TYPES)]
     # one aggregate over all rows: do all values parse, and how many differ
-    aggs = [F.coalesce(F.bool_and(F.col(c).isNull() | _parse_any(c).isNotNull()) & (F.count(F.col(c)) > 0),
-                       F.lit(False)).alias(c) for c in strings]
-    aggs += [F.approx_count_distinct(c).alias(c) for c in others]
-    row = df.agg(*aggs).collect()[0] if aggs else {}
+    shapes = {c: f"_shape_{i}" for i, c in enumerate(strings)}
+    shaped = df.select(*strings, *others, *[date_shape(F.col(c)).alias(s) for c, s in shapes.items()])
+    aggs = [((F.count(F.col(c)) == F.count(parse_by_shape(F.col(c), F.col(s)))) & (F.count(F.col(c)) > 0)).alias(c)
+            for c, s in shapes.items()]
+    aggs += [distinct_estimate(c, isinstance(df.schema[c].dataType, T.MapType)).alias(c) for c in others]
+    row = shaped.agg(*aggs).collect()[0] if aggs else {}
     parses = {c: bool(row[c]) for c in strings}
-    distinct = {c: row[c] for c in others}
+    distinct = {c: row[c] or 0 for c in others}
     for f in fields:
         name, dt = f.name, f.dataType
         is_date_type = isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -117,46 +160,35 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, quartiles: bool =
     """count / mean / sample std / min / quartiles / max per numeric column.
 
     Long output, one row per column.  Counts, means and extremes are one wide
-    aggregate whose single row is unpivoted.  Quartiles interpolate linearly
-    between the two rows around (n - 1) q: all values are put in (column,
-    value) order by ``global_positions``, which never holds a column in one
-    task, and only the needed positions are kept.
+    aggregate; quartiles interpolate linearly between the two values around
+    (n - 1) q, which radix selection finds (``selection``).  The columns are
+    kept in Spark's cache meanwhile, so the input is computed once.
     """
     cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)])
-    v = {c: F.col(c).cast("double") for c in cols}
-    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"_{i}")
-                   for i, (c, x) in enumerate(v.items())])
-    stats = one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cols))])))
-    if not quartiles:
-        return stats
-    stats = stats.persist()
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), x.alias("v")) for c, x in v.items()])))
-    placed = global_positions(long.filter(F.col("v").isNotNull()), ["v"], ["column_name"])
-    # one row per column: where it starts, and the positions around each quartile
-    start = F.sum("count").over(Window.orderBy("column_name")) - F.col("count")
-    marks = stats.select("column_name", "count", start.alias("_start"))
-    marks = marks.select("*", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("_q"), F.lit(q).alias("_share")) for q, n in QUARTILES])))
-    at = F.col("_share") * (F.col("count") - 1)
-    marks = marks.select("column_name", "_q", (F.col("_start") + F.floor(at)).alias("_lo"),
-                         (F.col("_start") + F.ceil(at)).alias("_hi"), (at - F.floor(at)).alias("_part"))
-    near = placed.join(F.broadcast(marks), "column_name").filter(F.col("_pos").between(F.col("_lo"), F.col("_hi")))
-    low = F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("v")))
-    high = F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("v")))
-    value = near.groupBy("column_name", "_q").agg((low + (high - low) * F.max("_part")).alias("_v"))
-    wide = value.groupBy("column_name").pivot("_q", [n for _, n in QUARTILES]).agg(F.first("_v"))
-    return stats.join(F.broadcast(wide), "column_name", "left")
+    fields = "column_name string, count long, mean double, std double, min double, max double"
+    fields += "".join(f", {n} double" for _, n in QUARTILES) if quartiles else ""
+    if not cols:
+        return df.sparkSession.createDataFrame([], fields)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        one = values.agg(*[F.struct(F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).alias(f"_{i}")
+                           for i, c in enumerate(cols)]).first()
+        rows = [[c, *one[f"_{i}"]] for i, c in enumerate(cols)]
+        if quartiles:
+            shares = [q for q, _ in QUARTILES]
+            found = values_at(values, {c: quantile_ranks(n, shares) for c, n, *_ in rows})
+            rows = [[*r, *[quantile(found, r[0], r[1], q) for q in shares]] for r in rows]
+    finally:
+        values.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], fields)
 
 
 QUARTILES = [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]
 
 
-def distinct_below(df: DataFrame, col: str, limit: int = S.CATEGORICAL_MAX_DISTINCT,
-                   exact: bool = False) -> bool:
-    """Distinct count < limit (A20); HyperLogLog unless ``exact``."""
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    return df.agg(fn(col).alias("n")).collect()[0]["n"] < limit
+def distinct_below(df: DataFrame, col: str, limit: int = S.CATEGORICAL_MAX_DISTINCT) -> bool:
+    """Distinct count < limit (A20), exact for limits up to 2**12 (see ``distinct_estimate``)."""
+    return (df.agg(distinct_estimate(col).alias("n")).first()["n"] or 0) < limit
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
