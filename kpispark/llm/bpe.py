@@ -2,12 +2,12 @@
 
 Merging pairs by rank splits a chunk in exactly one way, and a split is that
 one if and only if every two neighbours would stay apart when merged alone.
-So a chunk needs no merging: an Aho-Corasick automaton over the reversed
-tokens gives the longest token that begins at every byte; the encoder takes
-the longest token, checks it against the last one in the table of compatible
-pairs, goes on to shorter tokens and, where none fits, marks the byte as no
-boundary and steps back.  As the split of a prefix is unique too, a byte is
-marked once at most, so the time is linear.
+So a chunk needs no merging: an Aho-Corasick automaton over the tokens gives
+the longest one that begins at a byte (those of a whole chunk, one after the
+other, in one pass); the encoder takes it, checks it against the last one in
+the table of compatible pairs, goes on to shorter tokens and, where none fits,
+marks the byte as no boundary and steps back.  As the split of a prefix is
+unique too, a byte is marked once at most, so the time is linear.
 
 Two tokens are compatible if no merge joins them across their border: a right
 end a of the first and a left end b of the second, as they are while either
@@ -37,7 +37,7 @@ from pyspark.sql.types import StringType
 from .common import slices
 
 MODEL = "byte_bpe_50k.json"
-CACHE = 60_000       # chunks that a worker remembers, twice
+CACHE = 100_000      # chunks that a worker remembers, twice
 LONG = 64            # longer chunks (characters) are not remembered
 HUGE = 1 << 20       # texts (characters) whose chunks are not listed at once
 PAIRS = 400_000      # pairs of tokens that a worker remembers
@@ -45,6 +45,7 @@ NEVER = 1 << 60
 
 # The pre-tokenizer's pattern, and the bytes that its alphabet writes as themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""  # the same, for ASCII texts
 PLAIN_BYTES = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
 
@@ -85,9 +86,10 @@ class Bpe:
         for b, i in self.ids.items():
             self.shorter[i] = next((self.ids[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.ids), -1)
         self.lengths = self.sizes.tolist()
+        self.reach = max(map(len, self.ids))  # bytes of the longest token
         self.automaton = ahocorasick.Automaton()
         for b, i in self.ids.items():
-            self.automaton.add_word(b[::-1].decode("latin-1"), i)
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
 
     def _merges(self, merges: list, of: dict[bytes, int], alphabet: dict[str, int]) -> None:
@@ -140,11 +142,10 @@ class Bpe:
         if one is not None:
             return [one]
         n, size, lengths, shorter = len(chunk), self.size, self.lengths, self.shorter
+        text, match = chunk.decode("latin-1"), self.automaton.iter_long
         longest = [-1] * n
-        for end, t in self.automaton.iter(chunk[::-1].decode("latin-1")):
-            at = n - 1 - end
-            if longest[at] < 0 or lengths[t] > lengths[longest[at]]:
-                longest[at] = t
+        for end, t in match(text):  # longest matches one after the other: the path if all neighbours fit
+            longest[end + 1 - lengths[t]] = t
         closed = bytearray(n + 1)
         path: list[int] = []
         at, t = 0, longest[0]
@@ -163,7 +164,10 @@ class Bpe:
             if t >= 0:
                 path.append(t)
                 at += lengths[t]
-                t = longest[at] if at < n else -1
+                if at < n:
+                    t = longest[at]
+                    if t < 0:
+                        t = longest[at] = next(match(text[at:at + self.reach]))[1]
             else:
                 closed[at] = 1
                 t = path.pop()
@@ -186,7 +190,7 @@ class Encoder(dict):
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.old, self.pairs = bpe, {}, {}
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         longest_first = sorted(bpe.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
 
@@ -210,10 +214,10 @@ class Encoder(dict):
                          for i, p in enumerate(parts)])
 
     def _plain(self, text: str) -> bytes:
-        look = self.__getitem__
+        look, pattern = self.__getitem__, self.ascii if text.isascii() else self.pattern
         if len(text) > HUGE:  # chunk by chunk: a list of all of them would be many times the text
-            return b"".join([look(m[0]) for m in self.pattern.finditer(text)])
-        return b"".join(map(look, self.pattern.findall(text)))
+            return b"".join([look(m[0]) for m in pattern.finditer(text)])
+        return b"".join(map(look, pattern.findall(text)))
 
 
 def add_ids(docs: DataFrame, bpe: Bpe, column: str = "ids") -> DataFrame:
@@ -223,11 +227,9 @@ def add_ids(docs: DataFrame, bpe: Bpe, column: str = "ids") -> DataFrame:
     whole, so repeated rows are alike and an empty table stays empty.  A
     column of that name is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bpe)  # the vocabulary's size, whatever the input
-
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(bpe)
         for col in batches:
             rows = []
             for rb in slices([pa.RecordBatch.from_arrays([col], ["t"])], "t"):
@@ -247,12 +249,10 @@ def _rows(col: pa.Array) -> Iterator[np.ndarray | None]:
 
 def add_text(tokens: DataFrame, bpe: Bpe, column: str = "text", ids: str = "ids") -> DataFrame:
     """``tokens`` with the text that its ids stand for (null ids: null); broken UTF-8 becomes U+FFFD."""
-    shared = tokens.sparkSession.sparkContext.broadcast(bpe)
-
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
-            yield pa.array([None if r is None else shared.value.decode(r).decode("utf-8", "replace") for r in _rows(col)],
+            yield pa.array([None if r is None else bpe.decode(r).decode("utf-8", "replace") for r in _rows(col)],
                            pa.string())
     return tokens.withColumn(column, decode(F.col(ids)))
 
