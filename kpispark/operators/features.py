@@ -177,10 +177,23 @@ def positional_split(df: DataFrame, order_cols: Sequence[str], test_size: float
                    .drop("_n"))
 
 
-def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random train/test split when there is no date column (M5)."""
-    train, test = df.randomSplit([1.0 - test_size, test_size], seed=seed)
-    return train, test
+def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
+                 key_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Random train/test split when there is no date column (M5).
+
+    Rows are ordered by a digest of ``seed`` and their content (``key_cols``
+    if these tell the rows apart, else every column as text); the first
+    floor(n * (1 - test_size)) train.  The share is exact, and the split is
+    the same for any partitioning, recomputation or order of the input.
+    Copies of a row have one digest and are interchangeable.
+    """
+    cols = list(key_cols or df.columns)
+    # null and empty differ, and no value can run into the next one
+    text = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+            for c in cols]
+    keyed = df.withColumn("_digest", F.md5(F.concat_ws("|", F.lit(str(seed)), *text)))
+    tagged = positional_split(keyed, ["_digest"], test_size).drop("_digest", "position")
+    return (tagged.where("split = 'train'").drop("split"), tagged.where("split = 'test'").drop("split"))
 
 
 def split_report(df: DataFrame, split_col: str = "split", date_col: str = DATE) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.calendar import add_basic_calendar, full_calendar
 from ..functions.exprs import holiday_rule, promo_day_rule, round_half_up, round_stat
+from ..session import cut_lineage
 
 CALENDAR_NAMES = set(S.TIME_FEATURES)
 
@@ -64,13 +65,19 @@ def future_scaffold(history: DataFrame, date_col: str, categorical: Sequence[str
         raise ValueError(f"horizon must be between 1 and {S.MAX_HORIZON} days")
     base_values = dict(base_values or {})
     free = [c for c in categorical if c not in base_values] if per_segment else []
-    day = F.max(F.col(date_col).cast("date"))
-    # one pass: last date per segment, then over the (few) segments
-    segs = history.groupBy(*free).agg(day.alias("_last"))
-    first = F.date_add(F.max("_last").over(Window.partitionBy(F.lit(1))), 1) if start is None else F.to_date(F.lit(start))
+    # the segments, and their last date of all as one more row of the same pass (a grouping set)
+    last = F.max(F.col(date_col).cast("date")).alias("_last")
+    if free and start is None:
+        both = cut_lineage(history.groupingSets([[F.col(c) for c in free], []], *free).agg(
+            last, F.grouping_id().alias("_set")))
+        whole = both.where("_set <> 0").agg(F.max("_last").alias("_start"))
+        segs = both.where("_set = 0").select(*free).crossJoin(F.broadcast(whole))  # one row
+    else:
+        segs = history.groupBy(*free).agg(last.alias("_start"))
+    first = F.date_add("_start", 1) if start is None else F.to_date(F.lit(start))
     fixed = [F.lit(str(base_values.get(c, S.CATEGORICAL_DEFAULT))).alias(c) if c not in free else F.col(c)
              for c in categorical]
-    grid = segs.withColumn("_start", first).select(
+    grid = segs.where("_start IS NOT NULL").withColumn("_start", first).select(
         F.explode(F.sequence(F.col("_start"), F.date_add(F.col("_start"), horizon - 1))).alias(date_col), *fixed)
     fills: dict[str, Column] = {}
     for c in numerical:

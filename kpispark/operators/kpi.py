@@ -270,27 +270,57 @@ def segment_totals(daily: DataFrame, dims: Sequence[str] = SEGMENT_KEYS) -> Data
     return out.select("dimension", "segment_value", "total_sales", "total_volume")
 
 
+def _map_sets(keys: Sequence[str], dims: Sequence[str]) -> list[str]:
+    """Dimensions whose maps need a grouping of their own: those that the keys do not fix."""
+    return [d for d in dims if d not in keys]
+
+
+def _by_set(daily: DataFrame, keys: Sequence[str], dims: Sequence[str], exprs: Sequence[Column]) -> DataFrame:
+    """``exprs`` per (keys) and per (keys, d) for every free dimension, one pass; ``_set`` is 0 or the d's number."""
+    free = _map_sets(keys, dims)
+    if not free:
+        return daily.groupBy(*keys).agg(*exprs, F.lit(0).alias("_set"))
+    sets = [[F.col(k) for k in keys]] + [[F.col(k) for k in [*keys, d]] for d in free]
+    which = F.lit(0)
+    for i, d in enumerate(free):
+        which = F.when(F.grouping(d) == 0, i + 1).otherwise(which)
+    return daily.groupingSets(sets, *[F.col(c) for c in [*keys, *free]]).agg(*exprs, which.alias("_set"))
+
+
+def _folded(grouped: DataFrame, keys: Sequence[str], dims: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """Back to one row per key: ``carried`` columns of the key's own row, and the maps from the others."""
+    free = _map_sets(keys, dims)
+
+    def entry(d: str, v: str) -> Column:
+        return F.struct(F.col(d), round_half_up(F.col(v).cast("double")))
+    names = {"sales": "_map_sales", "volume": "_map_volume"}
+    if not free:
+        return grouped.select(*keys, *carried, *[F.map_from_entries(F.array(entry(d, c))).alias(f"{m}_by_{d.lower()}")
+                                                 for d in dims for m, c in names.items()])
+    own = F.col("_set") == 0
+    # a key's few rows: one for itself, one per value of each free dimension
+    maps = []
+    for d in dims:
+        here = F.col("_set") == free.index(d) + 1 if d in free else own
+        maps += [F.map_from_entries(F.collect_list(F.when(here & F.col(d).isNotNull(), entry(d, c)))).alias(f"{m}_by_{d.lower()}")
+                 for m, c in names.items()]
+    return grouped.groupBy(*keys).agg(*[F.max(F.when(own, F.col(c))).alias(c) for c in carried], *maps)
+
+
+def _map_sums() -> list[Column]:
+    return [F.sum(D_SALES).alias("_map_sales"), F.sum(D_VOLUME).alias("_map_volume")]
+
+
 def segment_maps(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS,
                  dims: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Per scenario: sales and volume by each dimension as MAP<string,double>.
 
-    When the scenario key contains the dimension (the original's one-segment
-    request) each map has the single entry {value: total}.
+    One aggregate over the daily rows (grouping sets for dimensions that the
+    key leaves open).  When the scenario key contains the dimension (the
+    original's one-segment request) each map has the single entry {value:
+    total}.
     """
-    aggs = []
-    for d in dims:
-        per = daily.groupBy(*keys, d).agg(F.sum(D_SALES).cast("double").alias("_s"),
-                                          F.sum(D_VOLUME).cast("double").alias("_v"))
-        m = per.groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(d), round_half_up("_s")))).alias(
-                f"sales_by_{d.lower()}"),
-            F.map_from_entries(F.collect_list(F.struct(F.col(d), round_half_up("_v")))).alias(
-                f"volume_by_{d.lower()}"))
-        aggs.append(m)
-    out = aggs[0]
-    for m in aggs[1:]:
-        out = out.join(m, list(keys)) if keys else out.crossJoin(m)
-    return out
+    return _folded(_by_set(daily, keys, dims, _map_sums()), keys, dims, [])
 
 
 # --------------------------------------------------------------------------- A7
@@ -300,25 +330,40 @@ DAY_FIELDS = [D_DATE, D_SALES, "gross_profit_eur", "gross_profit_margin_pct",
               D_PROMO]
 
 
-def _day_struct() -> Column:
-    return F.struct(*[F.col(c).cast("double").alias(c) if c not in (D_DATE, D_PROMO) else F.col(c)
-                      for c in DAY_FIELDS])
+DAYS = {"best_day_sales": (D_SALES, 1), "worst_day_sales": (D_SALES, -1), "highest_margin_day": ("gross_profit_margin_pct", 1)}
+#: Days fit 7 digits of a key, hundredths (rounded fields) the rest of 38.
+_DAY_RANGE = 10_000_000
+
+
+def _day_key(field: str, sign: int) -> Column:
+    """One number that orders days by a field of two decimals, rising or falling, then by the earlier date.
+
+    A primitive key: ``max_by`` of a column by it keeps two primitive values,
+    so all three days with all their fields fit one hash aggregate.
+    """
+    hundredths = F.round(F.col(field).cast("decimal(28,2)") * 100, 0).cast("decimal(29,0)")
+    return (hundredths * F.lit(sign) * F.lit(_DAY_RANGE).cast("decimal(8,0)")
+            + (F.lit(_DAY_RANGE // 2) - F.unix_date(F.col(D_DATE))).cast("decimal(8,0)")).cast("decimal(38,0)")
+
+
+def _day_exprs() -> list[Column]:
+    keyed = {name: _day_key(*by) for name, by in DAYS.items()}
+    return [F.max_by(F.col(c).cast("double") if c not in (D_DATE, D_PROMO) else F.col(c), key).alias(f"_{name}_{c}")
+            for name, key in keyed.items() for c in DAY_FIELDS]
+
+
+def _day_structs() -> list[Column]:
+    return [F.struct(*[F.col(f"_{name}_{c}").alias(c) for c in DAY_FIELDS]).alias(name) for name in DAYS]
 
 
 def performance_days(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Best / worst sales day and highest-margin day as 11-field records.
 
     Ties go to the earliest date (the original scans days in date order and
-    keeps the first extreme).  ``max_by``/``min_by`` combine on the map side;
-    their struct buffers make Spark sort each task's rows by key first
-    (SortAggregate), which is bounded by the daily rows of a task.
+    keeps the first extreme).  Sales and margin are the rounded fields of two
+    decimals.  One hash aggregate, combined on the map side.
     """
-    day_num = F.unix_date(F.col(D_DATE))
-    return daily.groupBy(*keys).agg(
-        F.max_by(_day_struct(), F.struct(F.col(D_SALES), -day_num)).alias("best_day_sales"),
-        F.min_by(_day_struct(), F.struct(F.col(D_SALES), day_num)).alias("worst_day_sales"),
-        F.max_by(_day_struct(), F.struct(F.col("gross_profit_margin_pct"), -day_num)).alias(
-            "highest_margin_day"))
+    return daily.groupBy(*keys).agg(*_day_exprs()).select(*keys, *_day_structs())
 
 
 def segment_map_rows(maps: DataFrame, keys: Sequence[str], dims: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
@@ -345,11 +390,18 @@ def forecast_summary(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, neste
                      digits: int = 2) -> DataFrame:
     """The full period summary per scenario (A8): A1-A5 in one aggregation,
     plus segment maps (A6) and the three performance days (A7) when
-    ``nested``.  ``daily`` must carry ``holiday_indicator`` (see J1).
+    ``nested``, from the same pass over the daily rows.  ``daily`` must carry
+    ``holiday_indicator`` (see J1).
     """
-    agg = daily.groupBy(*keys).agg(
-        F.min(D_DATE).alias("period_start"), F.max(D_DATE).alias("period_end"),
-        *_totals_exprs(), *_holiday_exprs())
+    exprs = [F.min(D_DATE).alias("period_start"), F.max(D_DATE).alias("period_end"), *_totals_exprs(), *_holiday_exprs()]
+    extra = []
+    if nested:
+        grouped = _by_set(daily, keys, SEGMENT_KEYS, [*exprs, *_day_exprs(), *_map_sums()])
+        carried = [c for c in grouped.columns if c not in (*keys, *SEGMENT_KEYS, "_set", "_map_sales", "_map_volume")]
+        agg = _folded(grouped, keys, SEGMENT_KEYS, carried)
+        extra = [f"{m}_by_{d.lower()}" for d in SEGMENT_KEYS for m in ("sales", "volume")] + _day_structs()
+    else:
+        agg = daily.groupBy(*keys).agg(*exprs)
     totals = {f"total_{a}": F.round(F.col(f"total_{b}"), digits).cast("double") for a, b in [
         ("sales_revenue_eur", "sales"), ("cogs_eur", "cogs"), ("volume_litres", "volume"),
         ("marketing_spend_eur", "marketing"), ("gross_profit_eur", "gross_profit"),
@@ -361,10 +413,7 @@ def forecast_summary(daily: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, neste
     cols += [F.col("promo_days_count"), F.col("non_promo_days_count")]
     cols += [c.alias(n) for n, c in holiday_columns(digits).items()]
     cols += [F.col("holiday_days_count"), F.col("non_holiday_days_count")]
-    out = agg.select(*cols)
-    if nested:
-        out = out.join(segment_maps(daily, keys), list(keys)).join(performance_days(daily, keys), list(keys))
-    return out
+    return agg.select(*cols, *extra)
 
 
 def summary_ratios(summary: DataFrame) -> DataFrame:

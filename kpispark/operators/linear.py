@@ -269,3 +269,16 @@ def stack_predict(df: DataFrame, stack: DataFrame, bases: Mapping[str, Sequence[
     data = data.withColumn("_base", F.struct(*base_predictions("_bases", bases)))
     values = {b: F.col(f"_base.`{b}`") for b in bases}
     return data.select(*original, _dot(F.col("_meta.weights"), F.col("_meta.intercept"), list(bases), values).alias(f"predicted_{target}"))
+
+
+# ------------------------------------------------------------------ voting (M15), importances
+def vote(df: DataFrame, columns: Sequence[str], output: str) -> DataFrame:
+    """Mean of several predictions as a column; null where one of them is."""
+    return df.withColumn(output, sum((F.col(c).cast("double") for c in columns), F.lit(0.0)) / F.lit(float(len(columns))))
+
+
+def importances(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, target, feature, importance, rank): absolute weights, the largest first, ties by name."""
+    long = models.select(*by, "target", F.explode("weights").alias("feature", "weight"))
+    order = Window.partitionBy(*by, "target").orderBy(F.desc("importance"), "feature")   # a model's features
+    return long.select(*by, "target", "feature", F.abs("weight").alias("importance")).withColumn("rank", F.row_number().over(order))

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from ..functions.calendar import add_basic_calendar, add_full_calendar
 from . import metrics as M
-from .features import drop_incomplete, global_positions, lag_features
+from .features import drop_incomplete, global_positions, lag_features, random_split
 from .profile import TableProfile, fill_missing_features, profile
 
 SEED = 42
@@ -122,9 +123,12 @@ def prepare_data(df: DataFrame, targets: Sequence[str] | None = None, group_cols
 
     Lags group by every categorical column unless ``group_cols`` is given
     (Q14) and use the skew-proof positional strategy: the generic input has
-    no bound on group size.
+    no bound on group size.  The input is written once
+    (``session.cut_lineage``); profile and positions read that copy.
     """
-    prof = prof or profile(df)
+    if prof is None:
+        df = cut_lineage(df)
+        prof = profile(df)
     targets = list(targets or prof.default_targets())
     numerical = [c for c in prof.numerical if c not in targets]
     categorical = list(prof.categorical)
@@ -149,7 +153,7 @@ def split(prep: PreparedData, test_size: float = 0.2, method: str | None = None,
     data = prep.data
     method = method or ("positional" if prep.date_column else "random")
     if method == "random":
-        return data.randomSplit([1.0 - test_size, test_size], seed=SEED)
+        return random_split(data, test_size, SEED)
     if method == "date":
         d = F.col(prep.date_column).cast("date")
         if cut is None:

@@ -156,6 +156,16 @@ def dataset_info(df: DataFrame, prof: TableProfile | None = None, sample_rows: i
             "sample": [r.asDict() for r in df.limit(sample_rows).collect()]}
 
 
+def info_frame(df: DataFrame, prof: TableProfile | None = None) -> DataFrame:
+    """The dataset info as (item, value) rows: row and column counts, the date column, feature lists in column order."""
+    prof = prof or profile(df)
+    told = {"columns": str(len(df.columns)), "date_column": prof.date, "numerical": ",".join(prof.numerical),
+            "categorical": ",".join(prof.categorical), "potential_targets": ",".join(prof.potential_targets),
+            "default_targets": ",".join(prof.default_targets())}
+    rows = df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("rows").alias("item"), "value")
+    return rows.unionByName(df.sparkSession.createDataFrame(list(told.items()), "item string, value string"))
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None, quartiles: bool = True) -> DataFrame:
     """count / mean / sample std / min / quartiles / max per numeric column.
 

@@ -1,6 +1,6 @@
 """Accuracy report tables.
 
-The report is a set of small tables computed from one cached scored frame;
+The report is a set of small tables computed from one written scored frame;
 each is a Spark aggregation, the executive summary is a ``unionByName`` of
 key/value frames.  Only the final write touches storage.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from . import metrics as M
 
 
@@ -70,7 +71,12 @@ def executive_summary(holdout: DataFrame, rolling_avg: DataFrame | None, recs: D
 
 def accuracy_report(scored: DataFrame, cut: str, window_days: int = 30, n_windows: int = 5) -> dict[str, DataFrame]:
     """All report tables from one scored frame (K2): summary, holdout,
-    rolling windows, segments, detailed predictions, model info."""
+    rolling windows, segments, detailed predictions, model info.
+
+    The frame is written once (``session.cut_lineage``); every table starts
+    from that copy, so however many are asked for, the input is read once.
+    """
+    scored = cut_lineage(scored)
     holdout = M.holdout_metrics(scored, cut)
     rolling = M.rolling_metrics(scored, window_days, n_windows)
     rolling_avg = M.rolling_average(scored, window_days, n_windows)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.exprs import round_half_up, round_stat
 from ..operators import features, linear, metrics
+from ..operators.profile import info_frame
 from ..session import cut_lineage
-from ..sources.testtables import sales_fact
+from ..sources.testtables import read_table, sales_fact
 from . import sql as Q
-from .catalog import HOLDOUT_CUT, KEYS, SCAFFOLD_HORIZON, register
+from .catalog import HOLDOUT_CUT, KEYS, SCAFFOLD_HORIZON, _profile_sql, register
 
 LAG = f"{S.REVENUE}_lag1"
 FOLDS = 5
@@ -230,3 +231,76 @@ def generic_forecast(spark, sf_dir):
     table = cut_lineage(linear.coefficient_table(linear.fit_groups(fact, KEYS, FORECAST_X, PREDICT_Y, pooled=True), KEYS))
     rows, _ = linear.forecast_table(fact, table, S.DATE, KEYS, FORECAST_X, PREDICT_Y, SCAFFOLD_HORIZON)
     return rows.select(S.DATE, *KEYS, *[round_half_up(f"predicted_{y}", 1).alias(f"predicted_{y}") for y in PREDICT_Y])
+
+
+# ------------------------------------------------------------------ M15, M13
+@register("naive_voting", f"""WITH {Q.CANDIDATES_CTE[1:]},
+v AS (SELECT date, {Q.KEYS}, target, ANY_VALUE({Q.D('actual')}) AS actual,
+  (MAX(CASE WHEN model = 'naive_lag1' THEN {Q.D('predicted')} END) + MAX(CASE WHEN model = 'naive_lag7' THEN {Q.D('predicted')} END)
+   + MAX(CASE WHEN model = 'naive_lag30' THEN {Q.D('predicted')} END)) / 3.0 AS predicted
+  FROM cands GROUP BY date, {Q.KEYS}, target)
+SELECT target, COUNT(*) AS n, {Q.RS('AVG(ABS(actual - predicted))', 2)} AS mae,
+  {Q.RS('1 - SUM((actual - predicted) * (actual - predicted)) / (COUNT(*) * VAR_POP(actual))')} AS r2 FROM v GROUP BY target""")
+def naive_voting(spark, sf_dir):
+    lags = list(metrics.CANDIDATES.values())
+    rows = features.domain_lags(sales_fact(spark, sf_dir), lags=lags)
+    rows = features.drop_incomplete(rows, [f"{c}_lag{k}" for c in S.DOMAIN_TARGETS.values() for k in lags])
+    for t, c in S.DOMAIN_TARGETS.items():
+        rows = linear.vote(rows, [f"{c}_lag{k}" for k in lags], f"predicted_{t}")
+    scored = metrics.stack_targets(rows, {t: (c, f"predicted_{t}") for t, c in S.DOMAIN_TARGETS.items()})
+    return metrics.accuracy(scored).select("target", "n", round_stat("mae", 2).alias("mae"), round_stat("r2").alias("r2"))
+
+
+@register("linear_importance", f"""WITH {Q.FACT_CTE[1:]}{Q._lag_cte([1])},
+rows AS (SELECT * FROM lagged WHERE {_complete_sql(LAG)}),
+sums AS (SELECT {_sums_sql(CV_X, CV_Y)} FROM rows),
+{_models_sql('', CV_Y, 1.0)},
+l AS (SELECT target, '{CV_X[0]}' AS feature, ABS(w0) AS v FROM models UNION ALL SELECT target, '{CV_X[1]}', ABS(w1) FROM models)
+SELECT target, feature, {Q.RS('v')} AS importance, CAST(ROW_NUMBER() OVER (PARTITION BY target ORDER BY v DESC, feature) AS INTEGER) AS rank FROM l""")
+def linear_importance(spark, sf_dir):
+    rows = features.domain_lags(sales_fact(spark, sf_dir))
+    got = linear.importances(linear.fit_groups(rows, [], CV_X, CV_Y, 1.0))
+    return got.withColumn("importance", round_stat("importance"))
+
+
+# ------------------------------------------------------------------ M5
+def _digest_sql() -> str:
+    cols = ["STRFTIME(\"Date\", '%Y-%m-%d')", *KEYS]
+    return "MD5('42'" + "".join(f" || '|' || LENGTH({c}) || ':' || {c}" for c in cols) + ")"
+
+
+@register("random_split", f"""WITH {Q.FACT_CTE[1:]},
+h AS (SELECT "Date", {Q.KEYS}, ROW_NUMBER() OVER (ORDER BY {_digest_sql()}) - 1 AS pos, COUNT(*) OVER () AS n FROM fact)
+SELECT "Date", {Q.KEYS}, CASE WHEN pos < FLOOR(CAST(n AS DOUBLE) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM h""")
+def random_split(spark, sf_dir):
+    rows = sales_fact(spark, sf_dir).select(S.DATE, *KEYS)
+    train, test = features.random_split(rows, 0.2, key_cols=[S.DATE, *KEYS])
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+# ------------------------------------------------------------------ P7
+EVENT_COLS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+def _info_sql() -> str:
+    head = _profile_sql({c: c for c in EVENT_COLS}, "", "events")
+
+    def listed(cond: str) -> str:
+        return f"(SELECT COALESCE(STRING_AGG(column_name, ',' ORDER BY ord), '') FROM roles2 WHERE {cond})"
+    base = head[:head.rindex("SELECT column_name, data_type")]
+    keywords = " OR ".join(f"CONTAINS(LOWER(column_name), '{k}')" for k in S.TARGET_KEYWORDS)
+    return f"""{base.rstrip()},
+roles2 AS (SELECT *, role = 'numerical' AND ({keywords}) AS target FROM roles)
+SELECT 'rows' AS item, CAST(COUNT(*) AS VARCHAR) AS value FROM events
+UNION ALL SELECT 'columns', '{len(EVENT_COLS)}'
+UNION ALL SELECT 'date_column', (SELECT ARG_MAX(column_name, ord) FROM roles2 WHERE role = 'date')
+UNION ALL SELECT 'numerical', {listed("role = 'numerical'")}
+UNION ALL SELECT 'categorical', {listed("role = 'categorical'")}
+UNION ALL SELECT 'potential_targets', {listed('target')}
+UNION ALL SELECT 'default_targets', (SELECT COALESCE(STRING_AGG(column_name, ',' ORDER BY ord), '')
+  FROM (SELECT * FROM roles2 WHERE target ORDER BY ord LIMIT 3))"""
+
+
+@register("dataset_info", _info_sql())
+def dataset_info(spark, sf_dir):
+    return info_frame(read_table(spark, sf_dir, "events"))

@@ -1,8 +1,10 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from kpispark import schema as S
+from kpispark.sources.testtables import sales_fact
 from kpispark.operators import kpi
 from tests.fixtures import sales_fixture
 
@@ -123,3 +125,31 @@ def test_segment_maps_general_form(spark):
     for country, per_channel in m.items():
         assert len(per_channel) == 3
         assert abs(sum(per_channel.values()) - float(totals[country])) < 0.05
+
+
+@pytest.mark.parametrize("keys", [[], [S.COUNTRY], [S.COUNTRY, S.CHANNEL], list(S.SEGMENT_KEYS)])
+def test_full_summary_in_one_pass(spark, keys):
+    """The nested summary equals its parts computed apart, reads the rows once and needs no sorting aggregate."""
+    daily = kpi.daily_kpis(sales_fact(spark, "/root/testdata/sf0.001")).persist()
+    full = kpi.forecast_summary(daily, keys)
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("InMemoryTableScan") == 1
+    rows = [r.asDict() for r in daily.collect()]
+    plain = {tuple(r[k] for k in keys): r for r in kpi.forecast_summary(daily, keys, nested=False).collect()}
+    for r in full.collect():
+        key = tuple(r[k] for k in keys)
+        mine = [x for x in rows if tuple(x[k] for k in keys) == key]
+        assert all(r[c] == plain[key][c] for c in plain[key].asDict())
+        for d in S.SEGMENT_KEYS:
+            totals = {}
+            for x in mine:
+                totals[x[d]] = totals.get(x[d], 0) + x["sales_revenue_eur"]
+            assert r[f"sales_by_{d.lower()}"] == pytest.approx({k: float(v) for k, v in totals.items()}, abs=0.006)
+        best = min(mine, key=lambda x: (-x["sales_revenue_eur"], x["date"]))
+        worst = min(mine, key=lambda x: (x["sales_revenue_eur"], x["date"]))
+        margin = min(mine, key=lambda x: (-x["gross_profit_margin_pct"], x["date"]))
+        assert (r.best_day_sales.date, r.worst_day_sales.date) == (best["date"], worst["date"])
+        assert r.highest_margin_day.date == margin["date"]
+        if len([x for x in mine if x["date"] == best["date"] and x["sales_revenue_eur"] == best["sales_revenue_eur"]]) == 1:
+            assert r.best_day_sales.gross_profit_eur == float(best["gross_profit_eur"])
+    daily.unpersist()
