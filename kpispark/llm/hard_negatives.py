@@ -17,12 +17,12 @@ their ids, and every shard gets a cover tree: a node's children are a net whose
 centres lie more than radius / ``BASE`` apart and cover its rows within that,
 down to leaves of ``LEAF`` rows; covering radii are the true ones.
 
-A search descends best-first by upper bounds.  It skips nodes outside all of
-its windows of scores and those that can't beat what it has found; leaves are
-scored exactly.  First come the positives (one window without an upper end),
-then the negatives of all windows of an anchor in one descent.  An anchor
-visits only pivots whose ball may hold what it looks for; the best of the
-sample tell from the start what has to be beaten, and give no results.
+A search descends best-first by upper bounds, for a block of anchors at once.
+It skips nodes outside all windows of scores and those that can't beat what a
+window has found; leaves are scored exactly.  First come the positives (one
+window without an upper end), then the negatives, a window per positive.  A
+window visits only pivots whose ball may hold what it looks for; the best of
+the sample tell from the start what has to be beaten, and give no results.
 
 Exactness: vectors with a squared norm of 2^53 or more take no part, so every
 partial sum of a score is an integer that a double holds.  Bounds get a margin
@@ -35,6 +35,7 @@ import heapq
 import math
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,24 @@ def _bounds(ip: np.ndarray, radius: np.ndarray, whole):
     return (whole - (d + radius) ** 2) / 2 - slack, (whole - np.maximum(d - radius, 0) ** 2) / 2 + slack
 
 
+@dataclass
+class Asked:
+    """Anchors and their windows of scores; window i belongs to anchor ``of[i]`` and is its ``number[i]``-th."""
+    ids: np.ndarray
+    labels: np.ndarray
+    q: np.ndarray
+    of: np.ndarray
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def part(self, windows: np.ndarray) -> bytes:
+        """Some of the windows with their anchors, packed."""
+        anchors, of = np.unique(self.of[windows], return_inverse=True)
+        return pickle.dumps((self.ids[anchors], self.labels[anchors], self.q[anchors], of, self.number[windows],
+                             self.low[windows], self.high[windows]))
+
+
 class CoverTree:
     """A cover tree over integer vectors; its attributes are plain lists and arrays, so that it travels as bytes."""
 
@@ -155,53 +174,60 @@ class CoverTree:
         self.inside.append(rows)
         return len(self.inside) - 1
 
-    def search(self, q: np.ndarray, own: int, label: int, same: bool, low: np.ndarray, high: np.ndarray, k: int
-               ) -> list[tuple[int, int, int]]:
-        """(window, id, score) of the ``k`` best rows in each window low .. high of scores; ties to smaller ids.
+    def search(self, asked: Asked, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, id, score) of the ``k`` best rows in each of the windows; ties to smaller ids.
 
-        Rows of the same label as the query's, without itself, or of other labels.
+        Rows of the same label as the anchor's, without itself, or of other
+        labels.  All anchors descend together: the node that promises most to
+        any open window comes first, and it is looked at for those anchors
+        only that have a window open there.
         """
-        whole = float(q @ q) + self.ceiling
-        best: list[list[tuple[int, int]]] = [[] for _ in low]   # heaps of (score, -id)
-        floor = low.astype(np.float64).copy()
+        q, of, high = asked.q, asked.of, asked.high
+        whole = (q * q).sum(1) + self.ceiling
+        floor, best = asked.low.copy(), np.full((len(of), k), -np.inf)
+        todo: list = []
+        found: list = []
 
         def push(nodes: list[int]) -> None:
-            nodes = [i for i in nodes if self.only[i] is None or (self.only[i] == label) == same]
-            if not nodes:
-                return
-            lower, upper = _bounds(self.centers[nodes] @ q, self.radii[nodes], whole)
-            for i, lo, up in zip(nodes, lower.tolist(), upper.tolist()):
-                if ((up >= floor) & (lo <= high)).any():
-                    heapq.heappush(todo, (-up, i, lo))
-        todo: list[tuple[float, int, float]] = []
+            lower, upper = _bounds(self.centers[nodes] @ q.T, self.radii[nodes][:, None], whole)
+            for node, lo, up in zip(nodes, lower, upper):
+                if self.only[node] is not None:
+                    up = np.where((asked.labels == self.only[node]) == same, up, -np.inf)
+                open_ = (up[of] >= floor) & (lo[of] <= high)
+                if open_.any():
+                    heapq.heappush(todo, (-float(up[of[open_]].max()), node, lo, up))
         push([0])
         while todo:
-            up, node, lo = heapq.heappop(todo)
-            open_ = (-up >= floor) & (lo <= high)
-            if not open_.any():
-                if -up < floor.min():
-                    break
+            _, node, lo, up = heapq.heappop(todo)
+            open_ = np.flatnonzero((up[of] >= floor) & (lo[of] <= high))
+            if not len(open_):
                 continue
             rows = self.inside[node]
             if rows is None:
                 push(self.below[node])
                 continue
-            rows = rows[(self.labels[rows] == label) == same]
+            anchors, mine = np.unique(of[open_], return_inverse=True)
+            fits = (self.labels[rows] == asked.labels[anchors][:, None]) == same
             if same:
-                rows = rows[self.ids[rows] != own]
-            scores = self.x[rows] @ q
-            for w in np.flatnonzero(open_):
-                fit = np.flatnonzero((scores >= floor[w]) & (scores <= high[w]))
-                heap = best[w]
-                for at in fit.tolist():
-                    entry = (int(scores[at]), -int(self.ids[rows[at]]))
-                    if len(heap) < k:
-                        heapq.heappush(heap, entry)
-                    elif entry > heap[0]:
-                        heapq.heapreplace(heap, entry)
-                if len(heap) == k:
-                    floor[w] = heap[0][0]  # equal scores may still bring a smaller id
-        return [(w, -i, s) for w, heap in enumerate(best) for s, i in heap]
+                fits &= self.ids[rows] != asked.ids[anchors][:, None]
+            scores = np.where(fits, q[anchors] @ self.x[rows].T, -np.inf)[mine]
+            hit = (scores >= floor[open_][:, None]) & (scores <= high[open_][:, None])
+            some = np.flatnonzero(hit.any(1))
+            if not len(some):
+                continue
+            at, row = np.nonzero(hit)
+            found.append((open_[at], self.ids[rows[row]], scores[at, row]))
+            here = open_[some]
+            merged = np.hstack((best[here], np.where(hit[some], scores[some], -np.inf)))
+            best[here] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            floor[here] = np.maximum(floor[here], best[here].min(1))  # equal scores may still bring a smaller id
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        win, ids, scores = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.lexsort((ids, -scores, win))
+        win, ids, scores = win[order], ids[order], scores[order]
+        rank = np.arange(len(win)) - np.searchsorted(win, win)
+        return win[rank < k], ids[rank < k], scores[rank < k]
 
 
 class Pivots:
@@ -226,11 +252,11 @@ class Pivots:
         at = gaps.argmin(1)
         return at, np.sqrt(((lifted - self.centers[at]) ** 2).sum(1))
 
-    def visits(self, q: np.ndarray, floor: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which pivots may hold scores between a query's least ``floor`` and its largest ``high``."""
-        whole = (q * q).sum(1)[:, None] + self.ceiling
-        lower, upper = _bounds(q @ self.centers[:, :-1].T, self.radii, whole)
-        return (upper >= floor[:, None]) & (lower <= high[:, None]) & self.there
+    def visits(self, asked: Asked) -> np.ndarray:
+        """Which pivots may hold scores of each window (windows x pivots)."""
+        whole = (asked.q * asked.q).sum(1)[:, None] + self.ceiling
+        lower, upper = _bounds(asked.q @ self.centers[:, :-1].T, self.radii, whole)
+        return (upper[asked.of] >= asked.low[:, None]) & (lower[asked.of] <= asked.high[:, None]) & self.there
 
 
 def _place(pivots: Pivots, width: int):
@@ -263,29 +289,26 @@ def _ask(pivots: Pivots, width: int, same: bool, k: int, low: int, high: int):
                 part = rb.slice(start, ASKED)
                 q = _matrix(part.column("v"), width)
                 ids, labels = part.column("id").to_numpy(), part.column("label").to_numpy()
+                if same:
+                    of, number = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+                    lows, highs = np.full(len(ids), -np.inf), np.full(len(ids), np.inf)
+                else:  # low% .. high% of each positive's score, in whole numbers
+                    told = [(i, n, -(-low * p["score"] // 100), high * p["score"] // 100)
+                            for i, positives in enumerate(part.column("found").to_pylist()) for n, p in enumerate(positives)]
+                    of, number = np.array([t[0] for t in told], np.int64), np.array([t[1] for t in told], np.int64)
+                    lows, highs = np.array([t[2] for t in told], np.float64), np.array([t[3] for t in told], np.float64)
                 scores = q @ pivots.x.T
-                allowed = ((pivots.labels[None, :] == labels[:, None]) == same) & (pivots.ids[None, :] != ids[:, None])
-                lows, highs, found = [], [], part.column("found").to_pylist() if not same else [None] * len(ids)
-                for i, positives in enumerate(found):
-                    if same:
-                        lo, hi = np.array([-np.inf]), np.array([np.inf])
-                    else:  # low% .. high% of each positive's score, in whole numbers
-                        lo = np.array([-(-low * p["score"] // 100) for p in positives], np.float64)
-                        hi = np.array([high * p["score"] // 100 for p in positives], np.float64)
-                    mine = scores[i, allowed[i]]
-                    for w in range(len(lo)):
-                        fit = mine[(mine >= lo[w]) & (mine <= hi[w])]
-                        if len(fit) >= k:
-                            lo[w] = np.partition(fit, len(fit) - k)[len(fit) - k]
-                    lows.append(lo)
-                    highs.append(hi)
-                some = np.array([bool((lo <= hi).any()) for lo, hi in zip(lows, highs)], bool)
-                floor = np.array([min(lo[lo <= hi], default=np.inf) for lo, hi in zip(lows, highs)])
-                top = np.array([max(hi[lo <= hi], default=-np.inf) for lo, hi in zip(lows, highs)])
-                seen = pivots.visits(q, floor, top) & some[:, None]
+                scores[(pivots.labels[None, :] == labels[:, None]) != same] = np.nan
+                scores[pivots.ids[None, :] == ids[:, None]] = np.nan
+                for w in range(len(of)):
+                    mine = scores[of[w]]
+                    fit = mine[(mine >= lows[w]) & (mine <= highs[w])]
+                    if len(fit) >= k:
+                        lows[w] = np.partition(fit, len(fit) - k)[len(fit) - k]
+                asked = Asked(ids, labels, q, of, number, lows, highs)
+                seen = pivots.visits(asked) & (lows <= highs)[:, None]
                 for p in np.flatnonzero(seen.any(0)):
-                    asked = [(int(ids[i]), int(labels[i]), q[i], lows[i], highs[i]) for i in np.flatnonzero(seen[:, p])]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), binary_column([pickle.dumps(asked)])],
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), binary_column([asked.part(np.flatnonzero(seen[:, p]))])],
                                                      ["pivot", "asked"])
     return run
 
@@ -299,12 +322,11 @@ def _search(same: bool, k: int):
                 if (p, s) != last:
                     last, tree = (p, s), CoverTree.__new__(CoverTree)
                     vars(tree).update(pickle.loads(packed.as_buffer()))
-                out = [(i, *hit) for i, label, q, lo, hi in pickle.loads(asked.as_buffer())
-                       for hit in tree.search(q, i, label, same, lo, hi, k)]
-                cols = list(zip(*out)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
-                                                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                                                 ["id", "win", "other", "score"])
+                block = Asked(*pickle.loads(asked.as_buffer()))
+                win, other, score = tree.search(block, same, k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(block.ids[block.of[win]]), pa.array(block.number[win].astype(np.int32)), pa.array(other),
+                    pa.array(score.astype(np.int64))], ["id", "win", "other", "score"])
     return run
 
 
