@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to differ from all columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession, least: float = 0) -> int:
     """Partitions for an explicit shuffle: the session's setting, or more where the data needs it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(least), 1)

@@ -10,27 +10,30 @@ to solve
 
     least squares over least_rate <= x <= most_rate of  sum_d x_d n_d p_d  against  budget * weights
 
-Documents of equal posterior have equal rates (the gradient with respect to a
-document, a token counting as the unit, is p_d . g): the tokens are summed per
-grid point first, and at most (GRID + 1) (GRID + 2) / 2 rows take part in the
-iterations, whatever the input.  A step is
-
-    x <- clip(y - p . (M + ridge)^-1 g(y)),   y = x + momentum * (x - previous x)
-
-with g the residual as a share of all tokens (one distributed sum per step)
-and M the token-weighted second moment of the posteriors, which scales the
-three directions alike.  A rate is a function of the posterior and the
-residuals so far, so the driver keeps only three numbers per step, and the
-same fold over them gives every document its rate in the end.  Rates have no
-upper bound unless ``most_rate`` is given.  The steps end when the residual is
-gone, or when a step no longer moves the rates: then no rates come nearer.
-What is left of the targets is returned by ``fit_rates`` and warned of by
-``mixing_rates``, as is a fit that ``STEPS`` did not bring to its end.
+With tokens as the measure, the gradient with respect to a document's rate is
+p_d . g, g being the residual as a share of all tokens.  So documents of equal
+posterior have equal rates: tokens are summed per grid point first, and at
+most (GRID + 1) (GRID + 2) / 2 rows take part from then on, whatever the input.
+Projected-gradient steps are taken implicitly (backward), from x0 and longer
+and longer (``STEPS``),
+
+    x = clip(x0 - length * p . g(x)),   x0 = 1 within the bounds,
+
+which is the exact minimum of the squared residual plus |x - x0|^2 / length; an
+explicit step would have to be short and repeated many times.  A step is an
+equation in the three numbers u = length * g alone, the derivative of a convex
+function of u: Newton steps with a line search solve it, each evaluation one
+distributed sum over the grid points.  The rates are a closed expression of
+the posterior, so the driver holds three numbers, and the optimality
+conditions hold to rates / length: p . g is 0 at rates within the bounds, >= 0
+at the lower and <= 0 at the upper one.  The residual is never larger than that of the rates x0, and of equally
+good rates those nearest to x0 are taken.  Rates have no upper bound unless
+``most_rate`` is given.  What is left of the targets comes with every row
+(``unmet_<domain>``) and is warned of.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 
 import numpy as np
@@ -38,12 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import fresh
 
 DOMAINS = ("english", "other", "low")
 TARGETS = {"english": 0.55, "other": 0.37, "low": 0.08}
 SLACK = 1.05      # of the default budget over the least at which every domain has least_rate
 GRID = 200
-STEPS, CLOSE, RIDGE = 100, 1e-6, 1e-6
+STEPS, CLOSE, ROUGH, MOST_TRIES = (1.0, 1e2, 1e4, 1e6, 1e8), 1e-9, 1e-3, 400
 UNMET = 1e-3      # share of the mixed tokens that a domain may miss without a warning
 
 _CUTS = {
@@ -123,89 +127,95 @@ def posterior(feats: DataFrame, model: dict) -> DataFrame:
                       (F.greatest(GRID - F.col("c0") - F.col("c1"), F.lit(0)) / GRID).alias("p_low"))
 
 
-def _rate(steps: list[tuple[float, list[float]]], least_rate: float, most_rate: float | None, momentum: float = 0.0) -> Column:
-    """The rate after ``steps`` (momentum, scaled residual), from 1, for a row's posterior.
+def _bounded(least_rate: float, most_rate: float | None, x: Column) -> Column:
+    x = F.greatest(F.lit(float(least_rate)), x)
+    return x if most_rate is None else F.least(F.lit(float(most_rate)), x)
+
+
+def _start(least_rate: float, most_rate: float | None) -> float:
+    """The rate nearest to 1 within the bounds."""
+    x = max(1.0, float(least_rate))
+    return x if most_rate is None else min(x, float(most_rate))
 
-    With ``momentum`` the point ahead of it, where the next residual is taken.
-    """
-    start = max(1.0, least_rate)
-    if not steps:
-        return F.lit(start)
-    # one literal: building it number by number would cost the driver a call each
-    told = F.expr("array(" + ", ".join(
-        "array(" + ", ".join(f"{v!r}D" for v in (b, *g)) + ")" for b, g in steps) + ")")
-    zero = F.struct(F.lit(start).alias("x"), F.lit(start).alias("old"))
-
-    def step(acc, s):
-        y = acc["x"] + s[0] * (acc["x"] - acc["old"])
-        move = sum((F.col(f"p_{d}") * s[i + 1] for i, d in enumerate(DOMAINS)), F.lit(0.0))
-        x = F.greatest(F.lit(float(least_rate)), y - move)
-        x = x if most_rate is None else F.least(F.lit(float(most_rate)), x)
-        return F.struct(x.alias("x"), acc["x"].alias("old"))
-    return F.aggregate(told, zero, step, lambda acc: acc["x"] + F.lit(float(momentum)) * (acc["x"] - acc["old"]))
+
+def rate(u, least_rate: float, most_rate: float | None) -> Column:
+    """A row's rate for its posterior: x0 - p . u within the bounds."""
+    move = sum((F.col(f"p_{d}") * F.lit(float(v)) for d, v in zip(DOMAINS, u)), F.lit(0.0))
+    return _bounded(least_rate, most_rate, F.lit(_start(least_rate, most_rate)) - move)
 
 
 def fit_rates(classes: DataFrame, targets: dict[str, float], budget: float | None, least_rate: float,
-              most_rate: float | None = None) -> tuple[list[tuple[float, list[float]]], dict[str, float], bool]:
-    """Residual steps that take the rates to the least-squares solution over ``classes`` (p_*, w).
+              most_rate: float | None = None) -> tuple[np.ndarray, dict[str, float]]:
+    """(u, unmet): the step that takes the rates to the least-squares solution over ``classes`` (p_*, w).
 
-    With them what the rates bring beyond each domain's target (negative:
-    short of it) as a share of the mixed tokens, and whether the steps ended
-    at the solution.
+    ``unmet`` is what the rates bring beyond each domain's target (negative:
+    short of it) as a share of the mixed tokens.
     """
+    k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
     total = classes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     if not total:
-        return [], dict.fromkeys(DOMAINS, 0.0), True
+        return np.zeros(k), dict.fromkeys(DOMAINS, 0.0)
     share = F.col("w") / F.lit(float(total))
-    got = classes.agg(*[F.sum(share * a).alias(f"m{i}") for i, a in enumerate(p)],
-                      *[F.sum(share * a * b).alias(f"h{i}{j}") for i, a in enumerate(p) for j, b in enumerate(p) if j >= i]).first()
-    k = len(DOMAINS)
-    moment = np.array([[got[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
-    weights = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    mean = np.array(classes.agg(*[F.sum(share * a) for a in p]).first(), float)
+    weights = np.array([float(targets.get(d, 0.0)) for d in DOMAINS])
     weights = weights / weights.sum()
     if budget is None:  # room for every domain at least_rate and SLACK more, as posteriors are soft
-        needed = max((least_rate * got[f"m{i}"] / w for i, w in enumerate(weights) if w > 0), default=0.0)
+        needed = max((least_rate * m / w for m, w in zip(mean, weights) if w > 0), default=0.0)
         scale = max(1.0, SLACK * needed)
     else:
         scale = budget / total
-    scaled = np.linalg.inv(moment + RIDGE * np.eye(k))
-    steps: list[tuple[float, list[float]]] = []
-
-    def residual(x):
-        now = classes.agg(*[F.sum(share * x * a) for a in p]).first()
-        return np.array([float(v) for v in now]) - scale * weights
-    t, before, done = 1.0, None, False
-    for _ in range(STEPS):
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        momentum = (t - 1) / after if len(steps) > 1 else 0.0
-        ahead = _rate(steps, least_rate, most_rate, momentum)
-        g = residual(ahead)
-        move = scaled @ g
-        if momentum == 0.0 and np.abs(g).max() < CLOSE:
-            done = True  # these rates meet the targets
-            break
-        steps.append((momentum, [float(v) for v in move]))
-        t = after
-        if np.abs(g).max() < CLOSE or before is not None and np.abs(g - before).max() < CLOSE:
-            # a step from there that moves no token leads nowhere else: the solution
-            moved = classes.agg(F.sum(share * F.abs(_rate(steps, least_rate, most_rate) - ahead))).first()[0]
-            if moved < 10 * CLOSE:
-                done = True
+    want = scale * weights
+
+    x0 = F.lit(_start(least_rate, most_rate))
+
+    def look(u):
+        """Residual at the rates of ``u``, its slope, and the function whose derivative it is, but for the |u|^2 term."""
+        x = rate(u, least_rate, most_rate)
+        z = sum((a * F.lit(float(v)) for a, v in zip(p, u)), F.lit(0.0))
+        inside = x > F.lit(float(least_rate))
+        inside = inside if most_rate is None else inside & (x < F.lit(float(most_rate)))
+        got = classes.agg(*[F.sum(share * x * a) for a in p], F.sum(share * ((x0 * x0 - x * x) / 2.0 + x * (z - x0 + x))),
+                          *[F.coalesce(F.sum(F.when(inside, share * a * b)), F.lit(0.0))
+                            for i, a in enumerate(p) for j, b in enumerate(p) if j >= i]).first()
+        slope, at = np.zeros((k, k)), k + 1
+        for i in range(k):
+            for j in range(i, k):
+                slope[i, j] = slope[j, i] = got[at]
+                at += 1
+        return np.array(got[:k], float) - want, slope, float(want @ u) - got[k]
+
+    u = np.zeros(k)
+    (residual, slope, height), tries = look(u), 0
+    for length in STEPS:  # longer and longer steps, each from the solution of the one before
+        while tries < MOST_TRIES:
+            miss = u / length - residual
+            if np.abs(miss).max() < (CLOSE if length == STEPS[-1] else ROUGH) * max(1.0, scale):
                 break
-        before = g
-    left = residual(_rate(steps, least_rate, most_rate)) / scale
-    return steps, dict(zip(DOMAINS, left.tolist())), done
+            turn = -np.linalg.solve(np.eye(k) / length + slope, miss)
+            part, now = 1.0, height + u @ u / (2 * length)
+            while True:
+                there = u + part * turn
+                ahead, tries = look(there), tries + 1
+                if ahead[2] + there @ there / (2 * length) <= now + 1e-4 * part * (miss @ turn) + 1e-15 * abs(now) or part < 1e-12:
+                    break
+                part /= 4
+            if part < 1e-12:
+                break  # rounding: there is no lower point
+            u, (residual, slope, height) = there, ahead
+    return u, dict(zip(DOMAINS, (residual / scale).tolist()))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
                  budget: float | None = None, least_rate: float = 0.0, most_rate: float | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, p_english, p_other, p_low, domain, rate, copies.
+    """Per document: doc_id, n_tokens, p_english, p_other, p_low, domain, rate, copies, unmet_english, unmet_other, unmet_low.
 
     ``targets`` are the domains' shares of the mixed tokens (scaled to 1),
     ``budget`` the mixed tokens (default: as many as there are, or ``SLACK`` x
     what ``least_rate`` asks for), ``most_rate`` a bound of the rates if there
-    is to be one.  Targets that no rates meet are warned of with what is left.
+    is to be one.  ``unmet_`` columns hold the share of the mixed tokens that a
+    domain has beyond its target (short of it: negative), the same in every
+    row; more than ``UNMET`` is warned of, too.
     ``copies`` rounds the rate by the document's
     hash, so that it is right on average and the same in every run.  A null
     text has no tokens; a null doc_id is never labelled; repeated rows are
@@ -217,19 +227,19 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     grid = [f"p_{d}" for d in DOMAINS]
     classes = cut_lineage(probs.groupBy(*grid).agg(F.sum("n_tokens").cast("double").alias("w"))
                           .coalesce(4))
-    steps, left, done = fit_rates(classes, targets, budget, least_rate, most_rate)
-    if not done or max(map(abs, left.values())) > UNMET:
+    u, left = fit_rates(classes, targets, budget, least_rate, most_rate)
+    if max(map(abs, left.values())) > UNMET:
         told = ", ".join(f"{d} {v:+.4f}" for d, v in left.items())
-        warnings.warn(f"mixing targets not met ({'no rates come nearer' if done else f'stopped after {STEPS} steps'}); "
-                      f"shares beyond the targets: {told}", stacklevel=2)
-    rates = classes.select(*grid, F.round(_rate(steps, least_rate, most_rate), 9).alias("rate"))
+        warnings.warn(f"mixing targets not met: no rates come nearer; shares beyond the targets: {told}", stacklevel=2)
+    rates = classes.select(*grid, F.round(rate(u, least_rate, most_rate), 9).alias("rate"))
     likeliest = F.when((F.col("p_english") >= F.col("p_other")) & (F.col("p_english") >= F.col("p_low")), "english").when(
         F.col("p_other") >= F.col("p_low"), "other").otherwise("low")
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1_000_000)) / 1e6
     # the classes are grid points: 20,301 rows at most
     return (probs.join(F.broadcast(rates), grid)
             .select("doc_id", "n_tokens", *grid, likeliest.alias("domain"), "rate",
-                    F.floor(F.col("rate") + chance).cast("long").alias("copies")))
+                    F.floor(F.col("rate") + chance).cast("long").alias("copies"),
+                    *[F.lit(float(v)).alias(f"unmet_{d}") for d, v in left.items()]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -240,10 +250,10 @@ def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     checked number is small, else by a shuffle.
     """
     rates = mixing_rates(docs, labels, **options).where("doc_id IS NOT NULL AND copies <> 1")
-    other = cut_lineage(rates.groupBy("doc_id").agg(F.max("copies").alias("_copies")))
+    key, times, copy = fresh(docs.columns, "mixed", "copies", "copy")
+    other = cut_lineage(rates.groupBy("doc_id").agg(F.max("copies").alias("copies")))
     other = F.broadcast(other) if other.count() <= 500_000 else other
-    renamed = other.select(F.col("doc_id").alias("_mixed"), "_copies")
-    out = docs.join(renamed, F.col("doc_id") == F.col("_mixed"), "left").withColumn(
-        "_copies", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return out.where("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    renamed = other.select(F.col("doc_id").alias(key), F.col("copies").alias(times))
+    out = docs.join(renamed, F.col("doc_id") == F.col(key), "left").withColumn(
+        times, F.coalesce(times, F.lit(1)).cast("int"))
+    return out.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -6,7 +6,7 @@ import warnings
 import numpy as np
 import pytest
 
-from kpispark.llm.mixing import SLACK, TARGETS, mix, mixing_rates
+from kpispark.llm.mixing import SLACK, TARGETS, fit_rates, mix, mixing_rates
 
 from .fixtures import EDGE, documents, empty, labels
 
@@ -33,17 +33,37 @@ def tagged(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, n int")
 
 
-def solve(p, w, t, least, steps=200_000):
-    """Dense projected gradient on the same objective."""
-    x = np.ones(len(w))
-    scale = np.linalg.inv((p * w[:, None]).T @ p / w.sum() + 1e-6 * np.eye(3))
-    for _ in range(steps):
-        g = scale @ ((p * (w * x)[:, None]).sum(0) / w.sum() - t)
-        new = np.maximum(least, x - 0.5 * p @ g)
-        if np.abs(new - x).max() < 1e-13:
+def solve(p, w, t, least, most=np.inf):
+    """An independent solution: bounded least squares, coordinate by coordinate, on the distinct posteriors."""
+    p, at = np.unique(np.round(p * 200).astype(int), axis=0, return_inverse=True)
+    p, w = p / 200.0, np.bincount(at.ravel(), w) / w.sum()
+    keep = w > 0
+    a = p[keep] * w[keep, None]
+    x = np.full(keep.sum(), min(max(1.0, least), most))
+    g = a.T @ x - t
+    for _ in range(20_000):
+        before = g.copy()
+        for i in np.random.default_rng(0).permutation(len(x)):
+            new = np.clip(x[i] - (a[i] @ g) / (a[i] @ a[i]), least, most)
+            g += a[i] * (new - x[i])
+            x[i] = new
+        if np.abs(g - before).max() < 1e-13:
             break
-        x = new
-    return x
+    return g
+
+
+def left_of(got, t):
+    p, w, x = got[["p_english", "p_other", "p_low"]].to_numpy(), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
+    return (p * (w * x)[:, None]).sum(0) / w.sum() - t
+
+
+def conditions(got, t, least, most=np.inf):
+    """The largest violation of the optimality conditions."""
+    g = left_of(got, t)
+    slope, x = got[["p_english", "p_other", "p_low"]].to_numpy() @ g, got["rate"].to_numpy()
+    at_low, at_high = x <= least + 1e-9, x >= most - 1e-9
+    return max(np.abs(slope[~at_low & ~at_high]).max(initial=0), np.maximum(0, -slope[at_low]).max(initial=0),
+               np.maximum(0, slope[at_high]).max(initial=0))
 
 
 def test_rates_meet_targets(spark):
@@ -56,10 +76,9 @@ def test_rates_meet_targets(spark):
         total = (p * (w * x)[:, None]).sum(0)
         want = np.array(list(targets.values()))
         scale = budget / w.sum() if budget else max(1.0, SLACK * (least * (p * w[:, None]).sum(0) / w.sum() / want).max())
-        dense = solve(p, w, scale * want, least)
-        best = (p * (w * dense)[:, None]).sum(0)
-        target = scale * want * w.sum()
-        assert np.abs(total - target).max() <= np.abs(best - target).max() + 2e-3 * w.sum()
+        left = solve(p, w, scale * want, least)
+        assert np.abs(total / w.sum() - scale * want - left).max() < 1e-6
+        assert conditions(got, scale * want, least) < 1e-6
         assert abs((got["copies"] * w).sum() - (w * x).sum()) < 0.1 * (w * x).sum()
         assert ((got["copies"] - x).abs() <= 1).all()
 
@@ -120,17 +139,52 @@ def test_a_rare_domain_meets_its_target(spark):
 
 def test_what_is_left_of_the_targets_is_told(spark):
     texts, lab = rare()
-    with pytest.warns(UserWarning, match="mixing targets not met .*low -0"):
+    with pytest.warns(UserWarning, match="mixing targets not met.*low -0"):
         got = mixing_rates(tagged(spark, texts), labels(spark, lab), most_rate=16.0).toPandas()
     assert got["rate"].max() <= 16
 
 
-def test_rates_are_as_near_as_the_dense_solver(spark):
+@pytest.mark.parametrize("least,most,targets,budget", [
+    (1.0, None, {"english": 0.05, "other": 0.05, "low": 0.9}, 3000.0), (0.0, 2.0, {"english": 0.05, "other": 0.05, "low": 0.9}, None),
+    (1.0, 1.5, {"english": 0.9, "other": 0.05, "low": 0.05}, 90_000.0), (0.5, 0.75, {"low": 1.0}, None), (0.0, None, {"low": 1.0}, None)])
+def test_targets_out_of_reach(spark, least, most, targets, budget):
+    """As near as any rates come, never further than the rates of 1, and the rest is told per domain."""
     texts, lab = corpus()
-    for least, targets in ((0.0, TARGETS), (1.0, {"english": 0.5, "other": 0.33, "low": 0.17})):
-        got = mixing_rates(tagged(spark, texts), labels(spark, lab), targets, None, least).toPandas()
-        p, w = got[["p_english", "p_other", "p_low"]].to_numpy(), got["n_tokens"].to_numpy(float)
-        want = np.array(list(targets.values()))
-        target = max(1.0, SLACK * (least * (p * w[:, None]).sum(0) / w.sum() / want).max()) * want
-        best = (p * (w * solve(p, w, target, least))[:, None]).sum(0) / w.sum()
-        assert np.abs(shares(got) - target).max() <= np.abs(best - target).max() + 1e-3
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = mixing_rates(tagged(spark, texts), labels(spark, lab), targets, budget, least, most).toPandas()
+    p, w = got[["p_english", "p_other", "p_low"]].to_numpy(), got["n_tokens"].to_numpy(float)
+    want = np.array([targets.get(d, 0.0) for d in ("english", "other", "low")])
+    mean = (p * w[:, None]).sum(0) / w.sum()
+    scale = budget / w.sum() if budget else max(1.0, SLACK * max(least * m / t for m, t in zip(mean, want) if t > 0))
+    t, upper = scale * want, np.inf if most is None else most
+    assert got["rate"].between(least, upper).all()
+    start = mean * np.clip(1.0, least, upper) - t
+    mine, best = left_of(got, t), solve(p, w, t, least, upper)
+    assert (mine ** 2).sum() <= (start ** 2).sum() + 1e-9
+    assert (mine ** 2).sum() == pytest.approx((best ** 2).sum(), abs=1e-6) and conditions(got, t, least, upper) < 1e-6
+    assert got[["unmet_english", "unmet_other", "unmet_low"]].drop_duplicates().to_numpy()[0] == pytest.approx(mine / scale, abs=1e-6)
+
+
+def test_random_posteriors_against_the_independent_solver(spark):
+    rng = np.random.default_rng(12)
+    for trial in range(3):
+        cells = np.unique(rng.multinomial(200, rng.dirichlet([1, 1, 1]), 12) / 200.0, axis=0)
+        w = rng.integers(1, 1000, len(cells)).astype(float)
+        classes = spark.createDataFrame([(*map(float, c), float(v)) for c, v in zip(cells, w)], "p_english double, p_other double, p_low double, w double")
+        for least in (0.0, 1.0):
+            targets = dict(zip(("english", "other", "low"), rng.dirichlet([0.3, 0.3, 0.3]).tolist()))
+            u, left = fit_rates(classes, targets, w.sum() * 0.8, least)
+            x = np.maximum(least, 1.0 - cells @ u)
+            t = 0.8 * np.array(list(targets.values()))
+            mine = (cells * (w * x)[:, None]).sum(0) / w.sum() - t
+            assert (mine ** 2).sum() == pytest.approx((solve(cells, w, t, least) ** 2).sum(), abs=1e-7)
+            assert np.array(list(left.values())) == pytest.approx(mine / 0.8, abs=1e-7)
+
+
+def test_columns_of_any_name_pass_by(spark):
+    texts, lab = corpus(60)
+    docs = tagged(spark, texts).selectExpr("*", "'a' AS mixed", "'b' AS copies", "'c' AS Copy", "'d' AS _copies")
+    out = mix(docs, labels(spark, lab), least_rate=1.0)
+    assert out.columns == docs.columns
+    assert {(r["mixed"], r["copies"], r["Copy"], r["_copies"]) for r in out.collect()} == {("a", "b", "c", "d")}
