@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
@@ -50,6 +52,7 @@ TELLING = {
 }
 DOUBTFUL = r"version|example|sample|test"
 RAISE, LOWER, NEAR, LEAST = 0.2, 0.2, 40, 0.5
+CHUNK = 2048          # characters that a text is cut into to find places in it
 
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -88,25 +91,59 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, kind: str) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a function of elements would compute it for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, op) -> Column:
+    """For every int of an array what ``op`` (sum or maximum) makes of those before it, from 0.
+
+    In blocks of about sqrt(n), as appending to an array copies it: n^1.5 small
+    steps at most.
+    """
+    return _let(values, lambda vs: _before_bound(vs, op))
+
+
+def _before_bound(values: Column, op) -> Column:
+    n, ints = F.size(values), "array<int>"
+    block = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / block).cast("int")),
+                         lambda b: F.slice(values, b * block + 1, block))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(ints).alias("all"))
+    inner = F.transform(blocks, lambda xs: F.aggregate(xs, empty, lambda acc, x: F.struct(
+        op(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{ints}>").alias("all"))
+    return F.aggregate(inner, none, lambda acc, x: F.struct(
+        op(acc["at"], x["at"]).alias("at"),
+        F.concat(acc["all"], F.array(F.transform(x["all"], lambda v: op(v, acc["at"])))).alias("all")), lambda acc: F.flatten(acc["all"]))
+
+
+def _chunks(text: Column) -> Column:
+    """A text cut into pieces of ``CHUNK`` characters: finding a place in it does not start at its beginning then."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, n: Column) -> Column:
+    """``n`` characters of a chunked text from ``start`` (from 0)."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor(F.greatest(start + n - 1, start) / CHUNK).cast("int")
+    return F.when(n > 0, F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, n)).otherwise("")
+
+
+def _found(text: Column, chunks: Column, kind: str) -> Column:
     """array<struct<start, ord, end, kind, score>> of a kind's confirmed spans."""
     pattern = F.lit(PATTERNS[kind])
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     kinds = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
     pieces = F.arrays_zip(F.slice(between, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("all"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["hit"])).alias("at"),
-                        F.concat(acc["all"], F.array(F.struct(start.alias("start"), x["hit"].alias("hit")))).alias("all"))
-    placed = F.aggregate(pieces, empty, step, lambda acc: acc["all"])
+    ahead = _before(F.transform(pieces, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, b: a + b)
+    placed = F.zip_with(pieces, ahead, lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), x["hit"].alias("hit")))
 
     def span(x):
         start, end = x["start"], x["start"] + F.length(x["hit"])
-        around = F.lower(F.concat_ws(
-            "\n", F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))),
-            F.substr(text, end + 1, F.lit(NEAR))))
+        around = F.lower(F.concat_ws("\n", _cut(chunks, F.greatest(start - NEAR, F.lit(0)), F.least(start, F.lit(NEAR))),
+                                     _cut(chunks, end, F.lit(NEAR))))
         score = (F.lit(SCORES[kind]) + F.when(F.rlike(around, F.lit(TELLING[kind])), RAISE).otherwise(0.0)
                  - F.when(F.rlike(around, F.lit(DOUBTFUL)), LOWER).otherwise(0.0))
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"),
@@ -125,7 +162,9 @@ def _listed(spans: Column) -> Column:
 def add_spans(docs: DataFrame, column: str = "_spans") -> DataFrame:
     """``docs`` with a struct of one span array per kind; other columns pass by untouched."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn(column, F.struct(*[_found(text, k).alias(k) for k in KINDS]))
+    chunks = fresh([*docs.columns, column], "chunks")[0]
+    cut = docs.withColumn(chunks, _chunks(text))
+    return cut.withColumn(column, F.struct(*[_found(text, F.col(chunks), k).alias(k) for k in KINDS])).drop(chunks)
 
 
 def _all(column: str, kinds=KINDS) -> Column:
@@ -152,20 +191,19 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first (then the longest) gives the name and all their
     characters go.  Null texts stay null.
     """
-    found = add_spans(docs)
+    spans, chunks = fresh(docs.columns, "spans", "chunks")
     text = F.col("text").cast("string")
-    order = F.array_sort(_all("_spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+    found = add_spans(docs, spans).withColumn(chunks, _chunks(text))
+    every = _all(spans)
+    order = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                          .when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["ord"] - b["ord"]))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(
-            acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-            .otherwise(acc["out"]).alias("out"))
-    clean = F.aggregate(order, empty, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    out = found.withColumn("text", F.when(F.size(_all("_spans")) > 0, clean).otherwise(text))
+    ends = F.transform(order, lambda x: x["end"])
+    parts = F.zip_with(order, _before(ends, F.greatest), lambda x, at: F.when(
+        x["start"] >= at, F.concat(_cut(F.col(chunks), at, x["start"] - at), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+    last = F.array_max(ends)
+    clean = F.concat(F.array_join(parts, ""), _cut(F.col(chunks), last, F.greatest(F.length(text) - last, F.lit(0))))
+    out = found.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(_all("_spans")) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

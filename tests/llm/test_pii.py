@@ -85,3 +85,42 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 def test_long_runs_take_linear_time(spark):
     rows = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "a.b" * 60_000 + "@x", "+1" + " " * 100_000, "1.2.3." * 30_000]
     assert personal_data(documents(spark, rows, extra=False)).count() == len(rows)
+
+
+def test_many_hits_in_one_text(spark):
+    """40,000 addresses in one text: places, digest and redaction, in little more than linear time."""
+    import time
+    n = 40_000
+    text = " ".join(f"u{i % 7}@ex.org" for i in range(n))
+    docs = documents(spark, [text, "🙂" * 3000 + text[:5000]], extra=False)
+    personal_data(documents(spark, ["a@b.cd"], extra=False)).collect()  # compiled code
+    start = time.time()
+    got = {r["doc_id"]: r for r in personal_data(docs).collect()}
+    assert time.time() - start < 20
+    assert got[0]["n_email"] == n and got[0]["spans"].startswith("email:0:9,email:10:19") and got[0]["spans"].endswith(f"email:{len(text) - 9}:{len(text)}")
+    assert got[1]["spans"].startswith("email:3000:3009,email:3010:3019")
+    start = time.time()
+    out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert time.time() - start < 20
+    assert out[0] == " ".join(["<EMAIL>"] * n) and out[1].startswith("🙂" * 3000 + "<EMAIL> <EMAIL>")
+
+
+def test_places_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr("kpispark.llm.pii.CHUNK", 7)
+    rows = ["ab 🙂 jo@example.org, 10.0.0.1 and +1 555 123 4567; visa 4111 1111 1111 1111 é x@y.zz", "x@y.zz", "é" * 50 + " call +1 555 123 4567"]
+    small = sorted((r["doc_id"], r["spans"], r["top_score"]) for r in personal_data(documents(spark, rows, extra=False)).collect())
+    clean = sorted((r["doc_id"], r["text"]) for r in redact(documents(spark, rows, extra=False)).collect())
+    monkeypatch.undo()
+    assert small == sorted((r["doc_id"], r["spans"], r["top_score"]) for r in personal_data(documents(spark, rows, extra=False)).collect())
+    assert clean == sorted((r["doc_id"], r["text"]) for r in redact(documents(spark, rows, extra=False)).collect())
+    for doc, spans, _ in small:
+        for kind, a, b in (x.split(":") for x in spans.split(",")):
+            assert rows[doc][int(a):int(b)].strip() and (kind != "email" or "@" in rows[doc][int(a):int(b)])
+    assert clean[1][1] == "<EMAIL>"
+
+
+def test_columns_of_any_name_pass_by(spark):
+    docs = documents(spark, ["a@b.cd"], extra=False).selectExpr("*", "'x' AS _spans", "'y' AS spans", "'z' AS Chunks")
+    out = redact(docs)
+    assert out.columns == docs.columns
+    assert [(r["text"], r["_spans"], r["spans"], r["Chunks"]) for r in out.collect()] == [("<EMAIL>", "x", "y", "z")]
