@@ -17,13 +17,14 @@ from .hard_negatives import hard_negatives
 from .licenses import license_scan
 from .mixing import mixing_rates
 from .ngram_join import ngram_components
+from .oracle import ORACLE  # noqa: F401
 from .pieces import sentencepiece_ids
 from .pii import personal_data
 from .toxicity import toxicity_scores
 from .warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+
 
 
 def _query(fn):
