@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, scratch_folder
 from .common import slices
 
 REVISIT_BYTES = 1000     # payloads from this size on are written once
@@ -166,12 +164,14 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 _PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                   ("record_type", pa.string()), ("refers_to", pa.int64()), ("segments", pa.int64()), ("intact", pa.bool_())])
+                   ("record_type", pa.string()), ("refers_to", pa.int64()), ("segments", pa.int64()), ("intact", pa.bool_()),
+                   ("uri", pa.string()), ("payload", pa.binary())])
 _PART = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("page_id", pa.int64()),
-                   ("digest", pa.string()), ("block", pa.binary())])
+                   ("uri", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
 
 
-def _page_row(page_id, block: bytes, digest: str | None, segments: int, whole: bool = True) -> dict:
+def _page_row(page_id, block: bytes, digest: str | None, segments: int, whole: bool = True, uri: str | None = None,
+              payloads: bool = False) -> dict:
     """Decode a response block and check it against its digest."""
     try:
         head, _, body = block.partition(b"\r\n\r\n")
@@ -181,7 +181,7 @@ def _page_row(page_id, block: bytes, digest: str | None, segments: int, whole: b
     sha = hashlib.sha1(payload)
     good = whole and (digest is None or base64.b32encode(sha.digest()).decode() == digest)
     return {"page_id": page_id, "payload_bytes": len(payload), "payload_digest": sha.hexdigest(), "record_type": "response",
-            "refers_to": None, "segments": segments, "intact": good}
+            "refers_to": None, "segments": segments, "intact": good, "uri": uri, "payload": payload if payloads else None}
 
 
 def _number(text: str | None):
@@ -192,25 +192,42 @@ def _digest(fields) -> str | None:
     return fields["WARC-Payload-Digest"].removeprefix("sha1:") if "WARC-Payload-Digest" in fields else None
 
 
+def plain_bytes(content: bytes) -> bytes:
+    """An archive's bytes; gzip files may have a member for every record, or one for all."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(content))
+        if not member.eof:
+            raise ValueError("gzip member cut short")
+        content = member.unused_data.lstrip(b"\0")  # zeros may pad a file
+    return b"".join(out)
+
+
 def _parsed(content: bytes):
-    return parse(zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content)
+    return parse(plain_bytes(content))
 
 
-def _whole(batches):
+def _whole(payloads: bool):
     """Pages of the records that are not segmented."""
-    for rb in batches:
-        for content in rb.column("content"):
-            out = []
-            for fields, block in _parsed(content.as_py()):
-                page = _number(fields.get("X-Page-Id"))
-                if fields["WARC-Type"] == "revisit":
-                    size = int(block.split(b"Content-Length: ")[1].split(b"\r\n")[0])
-                    sha = base64.b32decode(_digest(fields)).hex()
-                    out.append({"page_id": page, "payload_bytes": size, "payload_digest": sha, "record_type": "revisit",
-                                "refers_to": int(fields["WARC-Refers-To"].strip("<>").split(":")[2]), "segments": 1, "intact": True})
-                elif fields["WARC-Type"] == "response" and "WARC-Segment-Number" not in fields:
-                    out.append(_page_row(page, block, _digest(fields), 1))
-            yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
+    def run(batches):
+        for rb in batches:
+            for content in rb.column("content"):
+                out = []
+                for fields, block in _parsed(content.as_py()):
+                    page, uri = _number(fields.get("X-Page-Id")), fields.get("WARC-Target-URI")
+                    if fields["WARC-Type"] == "revisit":
+                        size = int(block.split(b"Content-Length: ")[1].split(b"\r\n")[0])
+                        sha = base64.b32decode(_digest(fields)).hex()
+                        out.append({"page_id": page, "payload_bytes": size, "payload_digest": sha, "record_type": "revisit",
+                                    "refers_to": int(fields["WARC-Refers-To"].strip("<>").split(":")[2]), "segments": 1, "intact": True,
+                                    "uri": uri, "payload": None})
+                    elif fields["WARC-Type"] == "response" and "WARC-Segment-Number" not in fields:
+                        out.append(_page_row(page, block, _digest(fields), 1, True, uri, payloads))
+                yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
+    return run
 
 
 def _parts(batches):
@@ -222,41 +239,49 @@ def _parts(batches):
                 if "WARC-Segment-Number" in fields:
                     out.append({"origin": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]),
                                 "number": int(fields["WARC-Segment-Number"]), "total": _number(fields.get("WARC-Segment-Total-Length")),
-                                "page_id": _number(fields.get("X-Page-Id")), "digest": _digest(fields), "block": block})
+                                "page_id": _number(fields.get("X-Page-Id")), "uri": fields.get("WARC-Target-URI"),
+                                "digest": _digest(fields), "block": block})
             yield pa.RecordBatch.from_pylist(out, schema=_PART)
 
 
-def _joined(batches):
+def _joined(payloads: bool):
     """Pages of gathered segments: numbers 1 to n without gaps, and the total length that the last one tells."""
-    for rb in batches:
-        out = []
-        for r in rb.to_pylist():
-            parts = sorted(r["parts"], key=lambda p: p["number"])
-            block = b"".join(p["block"] for p in parts)
-            whole = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
-            out.append(_page_row(parts[0]["page_id"], block, parts[0]["digest"], len(parts), whole))
-        yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
+    def run(batches):
+        for rb in batches:
+            out = []
+            for r in rb.to_pylist():
+                parts = sorted(r["parts"], key=lambda p: p["number"])
+                block = b"".join(p["block"] for p in parts)
+                whole = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
+                out.append(_page_row(parts[0]["page_id"], block, parts[0]["digest"], len(parts), whole, parts[0]["uri"], payloads))
+            yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
+    return run
 
 
 _PAGE_DDL = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments long, "
-             "intact boolean")
+             "intact boolean, uri string, payload binary")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, segments, intact.
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, segments, intact, uri, payload.
 
     ``intact`` is false where a segment is missing, the total length differs,
-    the framing is broken or the payload does not have its digest.
+    the framing is broken or the payload does not have its digest.  ``payload``
+    holds the decoded bytes of responses (null for revisits, and without
+    ``payloads``).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    parts = files.mapInArrow(_parts, "origin string, number long, total long, page_id long, digest string, block binary")
-    gathered = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "page_id", "digest", "block")).alias("parts"))
-    return files.mapInArrow(_whole, _PAGE_DDL).unionByName(gathered.select("parts").mapInArrow(_joined, _PAGE_DDL))
+    parts = files.mapInArrow(_parts, "origin string, number long, total long, page_id long, uri string, digest string, block binary")
+    gathered = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "page_id", "uri", "digest", "block")).alias("parts"))
+    return files.mapInArrow(_whole(payloads), _PAGE_DDL).unionByName(gathered.select("parts").mapInArrow(_joined(payloads), _PAGE_DDL))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives into the checkpoint folder and read them back."""
+    """Write ``pages`` as archives into the checkpoint folder and read back what they tell of the payloads.
+
+    The archives are deleted with the other copies (``session.release``).
+    """
     spark = pages.sparkSession
-    folder = os.path.join(ensure_checkpoint_dir(spark), f"warc-{uuid.uuid4().hex}")
+    folder = scratch_folder(spark, "warc")
     write_archives(pages, folder)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, payloads=False).drop("uri", "payload")

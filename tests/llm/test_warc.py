@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kpispark.llm.warc import (_page_row, archive_round_trip, chunked, page_records, parse, read_archives, unchunked,
+from kpispark.llm.warc import (_page_row, archive_round_trip, chunked, page_records, parse, plain_bytes, read_archives, unchunked,
                                write_archives)
 
 from .fixtures import EDGE
@@ -76,3 +76,25 @@ def test_damage_is_told(spark, tmp_path):
         folders[name] = read_archives(spark, str(tmp_path / name)).first()["intact"]
     assert folders == {"whole": True, "gap": False, "short": False}
     assert not _page_row(1, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab", None, 1)["intact"]
+
+
+def test_a_gzip_member_for_every_record(spark, tmp_path):
+    import gzip
+    payloads = {7: b"q" * 5000, 8: "é漢🙂".encode() * 400, 9: b""}
+    records = [r for p, raw in payloads.items() for r in page_records(p, f"http://x/{p}", raw, None, "0", 1000)]
+    (tmp_path / "members").mkdir()
+    (tmp_path / "members" / "a.warc.gz").write_bytes(b"".join(gzip.compress((r + "\r\n\r\n").encode("utf-8", "surrogateescape")) for r in records))
+    (tmp_path / "members" / "b.warc.gz").write_bytes(gzip.compress(
+        (page_records(10, "http://x/10", b"one member", None, "0")[0] + "\r\n\r\n").encode()) + b"\0" * 9)
+    got = {r.page_id: r for r in read_archives(spark, str(tmp_path / "members")).collect()}
+    assert {p: bytes(r.payload) for p, r in got.items()} == payloads | {10: b"one member"}
+    assert all(r.intact and r.uri == f"http://x/{p}" for p, r in got.items()) and got[7].segments == 6
+    with pytest.raises(ValueError, match="cut short"):
+        plain_bytes(gzip.compress(b"whole")[:-9])
+
+
+def test_archives_are_deleted(spark):
+    from kpispark import session
+    before = len(session._WRITTEN)
+    archive_round_trip(spark.createDataFrame(pages()[:3], SCHEMA)).collect()
+    assert any("warc-" in path for _, path in session._WRITTEN[before:])
