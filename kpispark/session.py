@@ -80,15 +80,21 @@ def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
     ``DataFrame.checkpoint``.  Never a local checkpoint, whose blocks die with
     the executor.
     """
-    folder = ensure_checkpoint_dir(df.sparkSession)
     if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
-    path = os.path.join(folder, f"kpispark-{uuid.uuid4().hex}")
-    _WRITTEN.append((df.sparkSession, path))
+    path = scratch_folder(df.sparkSession)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, kind: str = "kpispark") -> str:
+    """A new path under the shared checkpoint folder; what is written there goes with ``release``."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    _WRITTEN.append((spark, path))
+    return path
+
+
 # copies that this process has written: (session, path)
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
