@@ -1,31 +1,32 @@
 """Licence scan by a positional rare-token index, by built-in functions only.
 
-The index maps each licence word to its postings (template, position).  Of
-every template the ``AGREE`` words of highest IDF among its mandatory key
-phrases are looked up in the text; a posting and a place in the text agree on
-where the template would begin (their difference).  Spots on which all looked
-up words of a template agree are candidates, and a candidate counts once all
-of its key phrases stand there word by word; as the looked up words are among
-those, no such spot is missed, whatever else the file holds.
-
-The templates are few and fixed, so the index is a constant of the plan.  The
-corpus is read once: texts without any licence word only get their word count,
-the others keep their words for the second step, which needs the words'
-document frequencies over the whole corpus (one number per licence word).
-No step after the count shuffles.
+The index maps each licence word to its postings (template, position).  A file
+looks up its own ``RARE`` licence words of highest IDF; each posting and place
+tell where the template would begin (their difference), and a spot on which
+``AGREE`` different words agree is a candidate.  A candidate counts once all
+mandatory key phrases of its template stand there word by word.  Templates of
+which the file has ``AGREE`` words or more and that this did not settle are
+looked up by all of the file's licence words, the next rarest and so on: as
+the words of a key phrase that stands agree on its spot, no template that can
+be verified is missed, whatever else the file holds.
+
+The corpus is read once: texts without any licence word only get their word
+count, the others keep their words.  What is shuffled then are places of
+licence words, a few numbers each, and the words of files with a candidate.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-AGREE = 2      # rarest words of a template's key phrases that have to place it alike
+AGREE = 2      # different words of a file that have to place a template alike
+RARE = 6       # licence words of highest IDF that a file looks up first
 
 #: Base phrases (fixed by the specification) and their labels.
 PHRASES = (
@@ -68,11 +69,19 @@ TEMPLATES = (
 #: Function words are no index words.
 STOP = frozenset("a and any are as by for in is it may of or that the this to use with you not 0 2 3 4 v".split())
 
-INDEX: dict[str, list[dict]] = {}
-for _t, (_, _text, _) in enumerate(TEMPLATES):
-    for _p, _w in enumerate(_text.split()):
-        if _w not in STOP:
-            INDEX.setdefault(_w, []).append({"t": _t, "p": _p})
+def positions(templates) -> dict[str, list[tuple[int, int]]]:
+    """word -> its postings (template, position)."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, text, keys) in enumerate(templates):
+        for p, w in enumerate(text.split()):
+            if w not in STOP:
+                out.setdefault(w, []).append((t, p))
+        for key in keys:
+            if len({w for w in key.split() if w not in STOP}) < AGREE or f" {key} " not in f" {text} ":
+                raise ValueError(f"key phrase {key!r} is not of its template or has too few licence words")
+    return out
+
+
 #: Every text with a base phrase, or with a template's key phrase, holds one of these.
 SIGNS = (r"licen|permission|redistribution|mozilla|creative|unencumbered|software|public"
          r"|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
@@ -97,100 +106,112 @@ def _places(words: Column, phrase: str) -> Column:
         F.array().cast("array<int>"))
 
 
-def scan_words(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, words (only of texts with a licence word, else null)."""
+def scan_words(docs: DataFrame, index) -> DataFrame:
+    """Per document: row (a number of its own), doc_id, n_words, words (only of texts with a licence word, else null)."""
     low = _lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     told = docs.select("doc_id", low.alias("low"))
     words = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
-    return told.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
-                       F.when(F.rlike("low", F.lit(SIGNS)), words).alias("words"))
+    signs = SIGNS if index is None else SIGNS + "|" + "|".join(sorted(index))
+    return told.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
+                       F.when(F.rlike("low", F.lit(signs)), words).alias("words"))
 
 
-def word_weights(scanned: DataFrame) -> dict[str, float]:
-    """IDF of every index word over the whole corpus."""
-    n = scanned.count()
-    known = scanned.where("words IS NOT NULL").select(F.explode(F.array_distinct(F.filter(
-        "words", lambda w: w.isin(sorted(INDEX))))).alias("w"))
-    df = {r["w"]: r["count"] for r in known.groupBy("w").count().collect()}  # index words at most
-    return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in INDEX}
+def word_weights(hits: DataFrame, n: int, index) -> dict[str, float]:
+    """IDF of every index word over the whole corpus of ``n`` documents."""
+    df = {r["w"]: r["n"] for r in hits.groupBy("w").agg(F.count_distinct("row").alias("n")).collect()}  # index words at most
+    return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in index}
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def _verified(templates, t: int, words: Column, s: Column) -> Column:
+    """Whether all key phrases of a template stand where a spot has them."""
+    out = F.lit(True)
+    for key in templates[t][2]:
+        out = out & _stands(words, key, s + _offset(templates[t][1], key))
+    return out
+
+
+def _share(templates, t: int, idf: dict[str, float], words: Column, s: Column) -> Column:
+    """Share of a template's IDF that the words standing at their places make up."""
+    own: dict[str, list[int]] = {}
+    for p, w in enumerate(templates[t][1].split()):
+        if w not in STOP:
+            own.setdefault(w, []).append(p)
+    out = F.lit(0.0)
+    for w, places in own.items():
+        here = F.lit(False)
+        for p in places:
+            # the template may begin before the text does
+            here = here | ((s + p >= 0) & F.coalesce(F.get(words, F.greatest(s + p, F.lit(0)).cast("int")) == w, F.lit(False)))
+        out = out + F.when(here, idf[w]).otherwise(0.0)
+    return out / (sum(idf[w] for w in own) or 1.0)
+
+
+def _chosen(templates, of) -> Column:
+    """``of(t)`` for a row's template."""
+    out = F.when(F.lit(False), of(0))
+    for t in range(len(templates)):
+        out = out.when(F.col("t") == t, of(t))
+    return out
+
+
+def found_templates(scanned: DataFrame, templates, index) -> DataFrame:
+    """(row, t, share) of the verified templates of every file, the best spot of each."""
+    spark = scanned.sparkSession
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(index)))
+    hits = cut_lineage(scanned.where("words IS NOT NULL").select("row", F.inline(at)))
+    idf = word_weights(hits, scanned.count(), index)
+    postings = F.broadcast(spark.createDataFrame([(w, t, p) for w, ps in index.items() for t, p in ps], "w string, t int, p int"))
+    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
+    rarest = Window.partitionBy("row").orderBy(F.desc("idf"), "w")     # a file's index words: bounded by the index
+    first = hits.select("row", "w").distinct().join(weights, "w").withColumn("rank", F.row_number().over(rarest)).where(
+        F.col("rank") <= RARE).select("row", "w")
+
+    def settled(some: DataFrame) -> DataFrame:
+        """Verified templates by the postings of (row, w, i, t, p)."""
+        spots = some.groupBy("row", "t", (F.col("i") - F.col("p")).alias("s")).agg(F.count_distinct("w").alias("n")).where(
+            F.col("n") >= AGREE)
+        there = spots.join(scanned.select("row", "words"), "row")
+        s, words = F.col("s"), F.col("words")
+        sure = there.where(_chosen(templates, lambda t: _verified(templates, t, words, s)))
+        return sure.groupBy("row", "t").agg(F.max(_chosen(templates, lambda t: _share(templates, t, idf, words, s))).alias("share"))
+    posted = hits.join(postings, "w")
+    sure = cut_lineage(settled(posted.join(first, ["row", "w"], "left_semi")))
+    open_ = (posted.groupBy("row", "t").agg(F.count_distinct("w").alias("n")).where(F.col("n") >= AGREE).select("row", "t")
+             .join(sure, ["row", "t"], "left_anti"))
+    return sure.unionByName(settled(posted.join(open_, ["row", "t"])))
+
+
+def license_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is 1 where a base phrase stands; else the share of the best
     verified template's IDF that the words standing at their places make up;
-    else 0.
+    else 0.  ``templates`` are (label, lower-case text, mandatory key phrases).
     A null text counts as empty: no words, no labels, null places.  Every row
     is scanned by itself; an empty table stays empty; other columns are
     ignored.
     """
-    scanned = cut_lineage(scan_words(docs.select("doc_id", "text")))
-    idf = word_weights(scanned)
-    anchors = [_anchors(t, idf) for t in range(len(TEMPLATES))]
-    listed = sorted({w for ws in anchors for w in ws})
-
+    index = positions(templates)
+    scanned = cut_lineage(scan_words(docs.select("doc_id", "text"), None if templates is TEMPLATES else index))
+    names = F.array(*[F.lit(label) for label, _, _ in templates])
+    found = found_templates(scanned, templates, index).groupBy("row").agg(
+        F.collect_set(F.get(names, F.col("t"))).alias("added"), F.max("share").alias("share"))   # templates at most
     words = F.col("words")
     base = F.array(*[F.struct(F.lit(label).alias("label"), _places(words, phrase).alias("at")) for phrase, label in PHRASES])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(listed))
-    first = scanned.select("doc_id", "n_words", "words", base.alias("base"), hits.alias("hits"))
-    # the words' places, once each
-    def places_of(word):
-        return F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["i"])
-    second = first.select("*", *[places_of(w).alias(f"at_{k}") for k, w in enumerate(listed)])
-
-    def starts(t, word):
-        places = [p["p"] for p in INDEX[word] if p["t"] == t]
-        begins = F.array(*[F.lit(p) for p in places])
-        return F.flatten(F.transform(F.col(f"at_{listed.index(word)}"), lambda i: F.transform(begins, lambda p: i - p)))
-
-    def sure_of(t):
-        label, text, keys = TEMPLATES[t]
-        spots = starts(t, anchors[t][0])
-        for word in anchors[t][1:]:
-            spots = F.array_intersect(spots, starts(t, word))
-
-        def verified(s):
-            out = F.lit(True)
-            for key in keys:
-                out = out & _stands(words, key, s + _offset(text, key))
-            return out
-        own: dict[str, list[int]] = {}
-        for w in text.split():
-            if w not in STOP:
-                own[w] = [p["p"] for p in INDEX[w] if p["t"] == t]
-        whole = sum(idf[w] for w in own) or 1.0
-
-        def share(s):
-            out = F.lit(0.0)
-            for w, places in own.items():
-                here = F.lit(False)
-                for p in places:
-                    # the template may begin before the text does
-                    here = here | ((s + p >= 0) & F.coalesce(F.get(words, F.greatest(s + p, F.lit(0))) == w, F.lit(False)))
-                out = out + F.when(here, idf[w]).otherwise(0.0)
-            return out / whole
-        return F.transform(F.filter(spots, verified), lambda s: F.struct(F.lit(label).alias("label"), share(s).alias("share")))
-    third = second.withColumn("sure", F.flatten(F.array(*[sure_of(t) for t in range(len(TEMPLATES))])))
-    share = F.array_max(F.transform("sure", lambda s: s["share"]))
     places = F.flatten(F.transform("base", lambda x: x["at"]))
     own = F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"])
-    added = F.transform("sure", lambda s: s["label"])
     has = words.isNotNull()
-    n_base = F.when(has, F.size(places)).otherwise(0).cast("long")
-    return third.select(
-        "doc_id", "n_words", n_base.alias("n_base"),
-        F.when(has, F.array_min(places)).cast("long").alias("first_word"),
-        F.when(has, F.array_max(places)).cast("long").alias("last_word"),
-        F.coalesce(F.array_join(F.sort_array(own), ","), F.lit("")).alias("base_labels"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.concat(own, added))), ","), F.lit("")).alias("labels"),
-        F.when(n_base > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))).alias("score"))
-
-
-def _anchors(t: int, idf: dict[str, float]) -> list[str]:
-    """The ``AGREE`` rarest index words of a template's key phrases."""
-    own = {w for key in TEMPLATES[t][2] for w in key.split() if w not in STOP}
-    return sorted(own, key=lambda w: (-idf[w], w))[:AGREE]
+    plain = scanned.select("row", "doc_id", "n_words", has.alias("has"), F.when(has, base).alias("base")).select(
+        "row", "doc_id", "n_words", F.when(F.col("has"), F.size(places)).otherwise(0).cast("long").alias("n_base"),
+        F.when(F.col("has"), F.array_min(places)).cast("long").alias("first_word"),
+        F.when(F.col("has"), F.array_max(places)).cast("long").alias("last_word"),
+        F.coalesce(F.sort_array(own), F.array().cast("array<string>")).alias("own"))
+    out = plain.join(found, "row", "left")
+    added = F.coalesce("added", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("own", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("own", added))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("share", F.lit(0.0)))).alias("score"))
 
 
 def _offset(text: str, phrase: str) -> int:

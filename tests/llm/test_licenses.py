@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from kpispark.llm.licenses import PHRASES, TEMPLATES, license_scan
 
 from .fixtures import EDGE, documents, empty
@@ -72,3 +74,50 @@ def test_all_key_phrases_of_a_template_have_to_stand(spark):
     rows = [whole, whole.replace("version 2 0", "version 1 1")]
     got = {r["doc_id"]: r["labels"] for r in license_scan(documents(spark, rows, extra=False)).collect()}
     assert got == {0: "apache-2", 1: ""}
+
+
+def by_hand(rows, templates=TEMPLATES):
+    """Templates whose key phrases all stand where one beginning has them, found by trying every place."""
+    out = []
+    for text in rows:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        labels = set()
+        for label, t, keys in templates:
+            tw = t.split()
+            for s in range(-len(tw), len(words)):
+                def stands(key):
+                    k = key.split()
+                    at = s + next(i for i in range(len(tw)) if tw[i:i + len(k)] == k)
+                    return at >= 0 and words[at:at + len(k)] == k
+                if all(stands(k) for k in keys):
+                    labels.add(label)
+        out.append(labels | set(filter(None, plain(text)[4].split(","))))
+    return out
+
+
+def test_labels_equal_trying_every_place(spark):
+    """Files of pieces of several templates, in parts, among prose with the rarest words, against brute force."""
+    rnd = random.Random(8)
+    pieces = [t for _, t, _ in TEMPLATES] + [k for _, _, ks in TEMPLATES for k in ks]
+    pieces += ["zero unencumbered sharealike dedication", "universal domain charge", "public license", "software foundation", "Under the MIT License."]
+    rows = []
+    for _ in range(120):
+        some = []
+        for piece in rnd.choices(pieces, k=rnd.randint(1, 5)):
+            w = piece.split()
+            if rnd.random() < 0.4:
+                at = rnd.randrange(len(w))
+                w = w[:at] + rnd.choice([[], ["word"], w[at:at + 1] * 2]) + w[at + rnd.randint(0, 1):]
+            some.append(" ".join(w))
+        rows.append("\n".join(some))
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan(documents(spark, rows, extra=False)).collect()}
+    assert [got[i] for i in range(len(rows))] == by_hand(rows)
+
+
+def test_templates_of_ones_own(spark):
+    own = (("house", "this text belongs to the house of words and nobody may copy it", ("house of words", "nobody may copy it")),)
+    rows = ["This text belongs to the House of Words and nobody may copy it!", "house of words", "nobody may copy it", None]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in license_scan(documents(spark, rows, extra=False), own).collect()}
+    assert got == {0: ("house", 1.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("", 0.0)}
+    with pytest.raises(ValueError, match="key phrase"):
+        license_scan(documents(spark, rows, extra=False), (("x", "some words here", ("other words",)),))
