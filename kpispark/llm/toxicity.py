@@ -12,8 +12,8 @@ two clean training texts or more have, and as many as toxic ones.
 
 Learning takes three passes: the character model over the whole corpus; words
 of a bounded, hash-chosen sample of labelled documents (``max_train``), where
-texts that share a sketch count once, so that groups of copies don't vote
-many times; then scoring.  Features are words and, where several words share
+texts of one label whose three least shingles agree count once, so that groups
+of copies don't vote many times; then scoring.  Features are words and, where several words share
 them, beginnings of 4 to 6 letters, so that inflected forms are known too.  A feature's weight
 is the lower end of the 90 % Wilson interval of the share of toxic texts among
 those that have it; a document's score is the largest weight among its words,
@@ -34,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import slices
+from .common import fresh, slices
+from .wordhash import shingle_hashes, string_buffer, word_hashes
 
 THRESHOLD = 0.7
 MAX_TRAIN = 40_000    # labelled documents that the lexicon is learnt from
-MAX_LEXICON = 20_000  # words kept, by weight
+SKETCH = 3            # least shingles of 5 words that training texts of one label share to count once
 MIN_TEXTS, MIN_WEIGHT = 5, 0.6
 STEMS = (4, 5, 6)     # letters of a word's beginning that are a feature
+HEAD = 3              # letters of a word's beginning that tell whether it can be or have a feature
 ONE_WORD = 0.8        # a beginning whose texts mostly have one and the same word is none
 Z = 1.645             # of the Wilson interval
 ORDINARY = 2          # clean training texts that an ordinary spelling with a doubled letter has at least
-CACHE = 100_000       # tokens that a worker remembers
+CACHE = 200_000       # tokens that a worker remembers
 
 # Characters and the letters that they stand for in disguised words.
 LOOKALIKES = {
@@ -54,11 +56,13 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
 }
 SEPARATORS = set(" .-_*~'`^,/\\|+:;#%\t\n")
-INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
+INVISIBLE = [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF]
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…-_/\\"
 
+_INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 _WORD = re.compile(r"[^\W\d_]+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
+_RUNS = re.compile(r"(.)\1*", re.S)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 _DECORATION = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
@@ -149,32 +153,57 @@ def _letters_apart(token: str) -> str | None:
     return token[::2]
 
 
-def _doubled(words: set[str], model: CharModel, ordinary: frozenset[str]) -> set[str]:
-    """Readings of the words that have a doubled letter and are no ordinary spellings, squeezed ones too."""
+def _doubled(words: set[str], model: CharModel, ordinary: frozenset[str], heads: frozenset[str] | None = None) -> set[str]:
+    """Readings of the words that have a doubled letter and are no ordinary spellings, squeezed ones too.
+
+    With ``heads`` words are left alone of which no reading begins like a
+    feature: their readings could not count.
+    """
     out: set[str] = set()
     for w in words:
         if len(w) > 3 and _DOUBLE.search(w) and w not in ordinary:
+            if heads is not None and not _may_count(w, heads):
+                continue
             readings = restore(w, model).split()
             out.update(x for x in readings if len(x) > 1)
             out.add(squeezed(w))
     return out
 
 
-def words_of_token(token: str, model: CharModel | None, inside: bool = False,
-                   ordinary: frozenset[str] | None = None) -> set[str]:
+def heads_of(lexicon: dict[str, float]) -> frozenset[str]:
+    """First ``HEAD`` letters of all words that have a weight: those of the features and of their plurals."""
+    return frozenset((w.lstrip("^~") + end)[:HEAD] for w in lexicon for end in ("", "s"))
+
+
+def _may_count(w: str, heads: frozenset[str]) -> bool:
+    """Whether a spelling of ``w``, its doubled letters taken once or twice, begins like a feature."""
+    if not _LETTERS.issuperset(w):
+        return True  # a letter that may stand for another one
+    starts = {""}
+    for run in _RUNS.finditer(w):
+        some = [run[1], run[1] * 2] if len(run[0]) > 1 else [run[1]]
+        starts = {(s + x)[:HEAD] for s in starts for x in some}
+        if all(len(s) == HEAD for s in starts):
+            break
+    return not heads.isdisjoint(starts)
+
+
+def words_of_token(token: str, model: CharModel | None, inside: int = 0,
+                   ordinary: frozenset[str] | None = None, heads: frozenset[str] | None = None) -> set[str]:
     """Plain and restored words of one lower-case token; restored ones also ``squeezed``.
 
-    With ``inside``, every run of 4 to 12 letters within a token whose letters
-    stand apart, as such a token may hold several words.  With ``ordinary``,
-    words with a doubled letter that are not among them are restored too.
+    With ``inside``, every run of 4 to that many letters within a token whose
+    letters stand apart, as such a token may hold several words.  With
+    ``ordinary``, words with a doubled letter that are not among them are
+    restored too (those that ``heads`` rule out excepted).
     """
     bare = token.strip(EDGE)
     if bare.isalpha() and not _TRIPLE.search(bare):
         if bare.isascii() or not any(c in LOOKALIKES for c in bare):
-            return {bare} if ordinary is None or model is None else {bare} | _doubled({bare}, model, ordinary)
+            return {bare} if ordinary is None or model is None else {bare} | _doubled({bare}, model, ordinary, heads)
     out = set(_WORD.findall(token))
     if ordinary is not None and model is not None:
-        out |= _doubled(out, model, ordinary)
+        out |= _doubled(out, model, ordinary, heads)
     if model is not None:
         core = _DECORATION.sub("", token).rstrip(EDGE).lstrip(EDGE.replace("!", ""))
         if core[:1] == "!" and not disguised(core[1:]):  # a sign before a plain word, or its first letter
@@ -191,7 +220,7 @@ def words_of_token(token: str, model: CharModel | None, inside: bool = False,
                     whole = restore(close, model).split() + restore(close.replace("1", "l").replace("|", "l"), model).split()
                 readings += whole
                 if inside:
-                    out.update(w[i:i + n] for w in whole for i in range(len(w) - 3) for n in range(4, 13) if i + n <= len(w))
+                    out.update(w[i:i + n] for w in whole for i in range(len(w) - 3) for n in range(4, inside + 1) if i + n <= len(w))
             out.update(x for x in readings if len(x) > 1)
             out.update(squeezed(x) for x in readings if len(x) > 3)
     return out
@@ -206,8 +235,8 @@ def weight_of(word: str, lexicon: dict[str, float]) -> float:
 def tokens_of(text: str) -> set[str]:
     """Lower-case tokens of a text; a row of single characters is one token."""
     low = text.lower()
-    if not low.isascii():
-        low = low.translate(INVISIBLE)
+    if not low.isascii() and _INVISIBLE.search(low):
+        low = _INVISIBLE.sub("", low)
     out = set(low.split())
     out.update(m.group() for m in _SPACED.finditer(low))
     return out
@@ -256,7 +285,7 @@ def _train_rows(grams: dict[str, int]):
         model = CharModel(grams)
         cache: dict[str, set] = {}
         for rb in slices(batches, "text"):
-            sketch, words = [], []
+            words = []
             for t in rb.column("text").to_pylist():
                 got: set[str] = set()
                 for token in tokens_of(t or ""):
@@ -266,22 +295,15 @@ def _train_rows(grams: dict[str, int]):
                             cache.clear()
                         w = cache[token] = words_of_token(token, model)
                     got |= w
-                plain = (t or "").lower().split()
-                sketch.append(min((" ".join(plain[i:i + 5]) for i in range(max(1, len(plain) - 4))),
-                                  key=_stable, default=""))
                 words.append(sorted(w for w in got if w[0] != "~"))
+            shingles, sizes = shingle_hashes(*word_hashes(*string_buffer(rb.column("text"))))
+            ends = np.cumsum(sizes)
+            sketch = [",".join(map(str, shingles[e - n:e][:SKETCH].tolist())) for e, n in zip(ends.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.string()), rb.column("toxic").cast(pa.int32()),
                                               pa.array(words, pa.list_(pa.string()))], ["sketch", "toxic", "words"])
     return run
 
 
-def _stable(s: str) -> int:
-    """A hash that every worker agrees on."""
-    import zlib
-    b = s.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) * 0x9E3779B1 ^ zlib.adler32(b)) & 0xFFFFFFFF
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """Learn the character model from ``docs`` and the lexicon from ``labels`` (doc_id, toxic).
 
@@ -296,8 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
              .join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     rows = (texts.mapInArrow(_train_rows(grams), "sketch string, toxic int, words array<string>")
-            .groupBy("sketch").agg(F.avg("toxic").alias("toxic"), F.min("words").alias("words"))
-            .select(F.when(F.col("toxic") >= 0.5, 1).otherwise(0).alias("toxic"), "words"))
+            .groupBy("sketch", "toxic").agg(F.min("words").alias("words")).select("toxic", "words"))
     rows = cut_lineage(rows)
     stems = F.flatten(F.transform("words", lambda w: F.concat(F.array(w), *[
         F.when(F.length(w) > k, F.array(F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(k))))).otherwise(
@@ -316,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     z2 = Z * Z
     low = f"(h + {z2 / 2} - {Z} * sqrt(h * (n - h) / n + {z2 / 4})) / (n + {z2})"
     best = (counted.selectExpr("feature", f"{low} AS weight").where(f"weight >= {MIN_WEIGHT}")
-            .orderBy(F.desc("weight"), "feature").limit(MAX_LEXICON).toPandas())
+            .orderBy(F.desc("weight"), "feature").toPandas())
     lexicon = dict(zip(best["feature"], best["weight"].astype(float)))
     known = {w for w in lexicon if w[0] != "^"}
     begin = {w[1:] for w in lexicon if w[0] == "^"}
@@ -339,6 +360,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
 def _scorer(model: dict):
     lexicon, base = dict(model["lexicon"]), model["base"]
     lexicon |= {squeezed(w): p for w, p in lexicon.items() if w[0] != "^" and len(w) > 3}
+    heads = heads_of(lexicon)
+    longest = max([12, *(len(w) for w in lexicon if w[0] not in "^~")])
 
     @F.pandas_udf("score double, evidence string")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -347,9 +370,14 @@ def _scorer(model: dict):
         miss = (0.0, "")
 
         def look(token):
-            got = miss
-            for w in words_of_token(token, chars, inside=True, ordinary=model["ordinary"]):
-                p = weight_of(w, lexicon)
+            got, bare = miss, token.strip(EDGE)
+            if bare.isascii() and bare.isalpha() and bare[:HEAD] not in heads and not _DOUBLE.search(bare):
+                words = ()  # a plain word without a feature's beginning
+            else:
+                words = words_of_token(token, chars, longest, model["ordinary"], heads)
+            for w in words:
+                # a word without a feature's beginning has no weight; the mark of a squeezed one is not of it
+                p = weight_of(w, lexicon) if (w[1:HEAD + 1] if w[0] == "~" else w[:HEAD]) in heads else 0.0
                 if p:
                     got = max(got, (p, w.removeprefix("~")))
             if len(cache) > CACHE:
@@ -398,4 +426,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns unchanged."""
     model = fit(docs, labels.where(~held_out()))
-    return add_toxicity(docs, model).where(F.col("_toxicity.score") < threshold).select(*docs.columns)
+    got = fresh(docs.columns, "toxicity")[0]
+    return add_toxicity(docs, model, got).where(F.col(f"{got}.score") < threshold).select(*docs.columns)

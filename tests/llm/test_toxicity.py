@@ -2,9 +2,11 @@
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
+from kpispark.llm import toxicity as T
 from kpispark.llm.toxicity import CharModel, disguised, drop_toxic, fit, restore, tokens_of, toxicity_scores
 
 from .fixtures import EDGE, documents, empty, labels
@@ -98,3 +100,86 @@ def test_an_ordinary_doubled_word_is_not_its_toxic_neighbour(spark):
     got = toxicity_scores(documents(spark, [*texts, "lorem loose", "lorem losse"], extra=False), lab).collect()
     said = {r["doc_id"]: r["predicted"] for r in got}
     assert said[400] == 0 and said[401] == 1 and all(said[i] == i % 2 for i in range(400))
+
+
+def every_path(token, model):
+    """Best reading over all paths of the lattice, scored one by one."""
+    import itertools
+    best = None
+    for arcs in itertools.product(*T._lattice(token), [(" ", 0.0)]):
+        score, state = 0.0, "  "
+        for emit, cost in arcs:
+            score += cost
+            for c in emit:
+                if c == " " and state[1] == " ":
+                    continue
+                score += model.cost(state + c)
+                state = "  " if c == " " else state[1] + c
+        best = max(best, score) if best is not None else score
+    return best
+
+
+def score_of(token, reading, model):
+    """The best score of the paths that give one reading."""
+    import itertools
+    out = []
+    for arcs in itertools.product(*T._lattice(token), [(" ", 0.0)]):
+        if "".join(e for e, _ in arcs).strip() == reading:
+            score, state = 0.0, "  "
+            for emit, cost in arcs:
+                score += cost
+                for c in emit:
+                    if c == " " and state[1] == " ":
+                        continue
+                    score += model.cost(state + c)
+                    state = "  " if c == " " else state[1] + c
+            out.append(score)
+    return max(out)
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    grams = Counter()
+    for w in ["idiot", "toast", "hello", "little", "boot", "sad", "a", "so", "it", "is"] * 5:
+        w = f"  {w} "
+        grams.update(w[i:i + 3] for i in range(len(w) - 2))
+    model = T.CharModel(dict(grams))
+    rnd = random.Random(1)
+    tokens = ["1d10t", "i d i o t", "h3ll0", "b00t", "s.a.d", "t0@$t", "l1ttle", "!d!ot", "idiooot", "h**lo", "it 1s"]
+    tokens += ["".join(rnd.choice("ia1!|0o@s$5t .") for _ in range(rnd.randint(1, 6))) for _ in range(150)]
+    for token in tokens:
+        got = T.restore(token, model)
+        assert score_of(token, got, model) == pytest.approx(every_path(token, model)), (token, got)
+
+
+def test_words_left_alone_could_not_count():
+    """With or without the features' beginnings, every token has the same largest weight."""
+    grams = Counter()
+    for w in ["idiot", "hello", "boot", "moon", "goose", "stupid", "fool"] * 9:
+        w = f"  {w} "
+        grams.update(w[i:i + 3] for i in range(len(w) - 2))
+    model = T.CharModel(dict(grams))
+    lexicon = {"idiot": 0.9, "fool": 0.8, "^stup": 0.7, "ab": 0.6}
+    lexicon |= {T.squeezed(w): p for w, p in lexicon.items() if w[0] != "^" and len(w) > 3}
+    heads = T.heads_of(lexicon)
+    rnd = random.Random(2)
+    tokens = ["iidiot", "foool", "fools", "stuppid", "abs", "ab", "hello", "gooose", "ßtuppid", "idiott,", "f00l", "i.d.i.o.t"]
+    tokens += ["".join(rnd.choice("idotfluspab") for _ in range(rnd.randint(1, 8))) for _ in range(2000)]
+    for token in tokens:
+        every = max((T.weight_of(w, lexicon) for w in T.words_of_token(token, model, 12, frozenset())), default=0.0)
+        some = max((T.weight_of(w, lexicon) for w in T.words_of_token(token, model, 12, frozenset(), heads)
+                    if (w[1:T.HEAD + 1] if w[0] == "~" else w[:T.HEAD]) in heads), default=0.0)
+        assert every == some, token
+
+
+def test_texts_that_share_a_passage_count_apart(spark):
+    """A passage in many labelled texts does not merge them; copies of one label count once, labels stay apart."""
+    rnd = random.Random(3)
+    passage = " ".join(rnd.choice("abcdefgh") * 4 for _ in range(12))
+    rows = [(i, passage + " " + " ".join(rnd.choice(["nice", "good", "warm"]) + str(rnd.randint(0, 99)) for _ in range(30))
+             + (" gnarf" if i % 2 else "")) for i in range(60)]
+    copy = " ".join(f"same{i}" for i in range(40)) + " zork"
+    rows += [(100 + i, copy) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(100 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    model = T.fit(docs, labels)
+    assert model["lexicon"].get("gnarf", 0) > 0.8 and "zork" not in model["lexicon"]
