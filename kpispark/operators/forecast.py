@@ -74,10 +74,12 @@ def future_scaffold(history: DataFrame, date_col: str, categorical: Sequence[str
         segs = both.where("_set = 0").select(*free).crossJoin(F.broadcast(whole))  # one row
     else:
         segs = history.groupBy(*free).agg(last.alias("_start"))
+    if start is None:  # a history without dates has no day to start from
+        segs = segs.where("_start IS NOT NULL")
     first = F.date_add("_start", 1) if start is None else F.to_date(F.lit(start))
     fixed = [F.lit(str(base_values.get(c, S.CATEGORICAL_DEFAULT))).alias(c) if c not in free else F.col(c)
              for c in categorical]
-    grid = segs.where("_start IS NOT NULL").withColumn("_start", first).select(
+    grid = segs.withColumn("_start", first).select(
         F.explode(F.sequence(F.col("_start"), F.date_add(F.col("_start"), horizon - 1))).alias(date_col), *fixed)
     fills: dict[str, Column] = {}
     for c in numerical:
