@@ -46,7 +46,8 @@ HEAD = 3              # letters of a word's beginning that tell whether it can b
 ONE_WORD = 0.8        # a beginning whose texts mostly have one and the same word is none
 Z = 1.645             # of the Wilson interval
 ORDINARY = 2          # clean training texts that an ordinary spelling with a doubled letter has at least
-CACHE = 200_000       # tokens that a worker remembers
+CACHE = 100_000       # tokens that a worker remembers when it scores
+LEARNT = 40_000       # and when it learns (with their words)
 
 # Characters and the letters that they stand for in disguised words.
 LOOKALIKES = {
@@ -291,7 +292,7 @@ def _train_rows(grams: dict[str, int]):
                 for token in tokens_of(t or ""):
                     w = cache.get(token)
                     if w is None:
-                        if len(cache) > CACHE:
+                        if len(cache) > LEARNT:
                             cache.clear()
                         w = cache[token] = words_of_token(token, model)
                     got |= w
