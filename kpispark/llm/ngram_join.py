@@ -29,6 +29,7 @@ lost tasks are recomputed alike.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import binary_column, shuffle_width, slices
+from .common import binary_column, fresh, shuffle_width, slices
 from .components import connected
 from .wordhash import mix64, shingle_hashes, string_buffer, word_hashes
 
@@ -47,6 +48,7 @@ ORDERS = 3           # global token orders whose filters are intersected
 HEAVY_SHARE = 512    # heavy: in at least 1/512 of a batch's documents (and in 8)
 BUCKET_TOKENS = 2_000_000
 TILE_SETS = 1024     # sets on a side of a verification tile
+HOT_SETS = 512       # a set with this part of all documents has its result broadcast
 BROADCAST_ROWS = 500_000  # of (key, label) pairs: 8 MB of data; larger tables are joined by shuffle
 
 _RUN = np.dtype([("key", "<i8"), ("run", "<u4")])
@@ -350,20 +352,9 @@ def _tile(percent: int, orders: int):
     return run
 
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, orders: int = ORDERS,
-                     tile_sets: int = TILE_SETS) -> DataFrame:
-    """Classes of documents linked by shingle similarity.
-
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Returns
-    one row per input row: doc_id, n_shingles, component_id (least doc_id
-    reachable over links) and n_links (other documents it links with).
-
-    A null text counts as empty: no shingles, no links, its own component.
-    Fewer than ``width`` words make one shingle.  Repeated rows are documents
-    of their own that link as copies; a null doc_id takes part but never names
-    a component unless no other id does (then null).  An empty table gives an
-    empty result.  Two different sets share a 64-bit key with odds of 2**-64.
-    """
+def ngram_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, orders: int = ORDERS,
+                  tile_sets: int = TILE_SETS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, n_links, and the key of its set and of its class (null without words)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = cut_lineage(docs.mapInArrow(_members(width), "kind int, doc_id long, n long, key long"))
@@ -407,40 +398,86 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     of_class = sets.join(linked, "key")
     least = of_class.groupBy("label").agg(F.min("least").alias("component"))
     joined = linked.join(least, "label").join(degree, "key", "left").select(
-        "key", "component", F.coalesce("links", F.lit(0)).alias("links"))
-    info = sets.join(joined, "key", "left").select(
-        "key", F.coalesce("component", "least").alias("component"),
-        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    full = members.where("n > 0").join(info, "key").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
-    none = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
-                                         F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        "key", "label", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    info = cut_lineage(sets.join(joined, "key", "left").select(
+        "key", "weight", F.coalesce("label", "key").alias("class"), F.coalesce("component", "least").alias("component"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")))
+    # sets with 1/HOT_SETS of all documents or more (at most HOT_SETS of them) come to their many copies, the rest by shuffle
+    hot = F.broadcast(info.where(F.col("weight") * HOT_SETS >= count).withColumn("hot", F.lit(True)))
+    tried = members.where("n > 0").join(hot, "key", "left")
+    full = tried.where("hot").unionByName(
+        tried.where("hot IS NULL").select("doc_id", "n", "key").join(info, "key"), allowMissingColumns=True).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"), "key", "class")
+    none = members.where("n = 0").select(
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
+        F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("class"))
     return full.unionByName(none)
 
 
+def ngram_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, orders: int = ORDERS,
+                     tile_sets: int = TILE_SETS) -> DataFrame:
+    """Classes of documents linked by shingle similarity.
+
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Returns
+    one row per input row: doc_id, n_shingles, component_id (least doc_id
+    reachable over links) and n_links (other documents it links with).
+
+    A null text counts as empty: no shingles, no links, its own component.
+    Fewer than ``width`` words make one shingle.  Repeated rows are documents
+    of their own that link as copies; a null doc_id takes part but never names
+    a component unless no other id does (then null).  An empty table gives an
+    empty result.  Two different sets share a 64-bit key with odds of 2**-64.
+    """
+    return ngram_classes(docs, percent, width, orders, tile_sets).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def _ddl(schema: pa.Schema) -> str:
     kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def drop_near_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """``docs`` without all but the least doc_id of each class; columns unchanged.
+def _keyed(width: int):
+    """The key of each text's set; null for texts without words."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            keys = []
+            for rb in slices([pa.RecordBatch.from_arrays([col], ["text"])], "text"):
+                _, sizes, own = _sets(rb, width)
+                keys.append(pa.array(own, mask=sizes == 0))
+            yield pa.chunked_array(keys, pa.int64()).combine_chunks() if keys else pa.array([], pa.int64())
+    return run
 
-    Rows without a doc_id stay.  Of rows that repeat one doc_id, the one with
-    the least text stays.  Only the ids that go are matched against the texts:
-    by broadcast while their checked number is small, else by a shuffle.
+
+def drop_near_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """``docs`` without all but one row of each class, that of the least doc_id; columns unchanged.
+
+    Rows without a doc_id or without words stay.  Of rows of one class that
+    repeat the least doc_id, the one with the least text (then columns) stays;
+    rows of one doc_id with texts of different classes are told apart by their
+    sets and stay for each class that they lead.  Only the ids that go, or
+    that repeat, are matched against the texts: by broadcast while their
+    checked number is small, else by a shuffle.
     """
-    result = ngram_components(docs, **options)
-    ids = cut_lineage(result.select("doc_id", "component_id").where("doc_id IS NOT NULL"))
-    gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
-    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    width = options.get("width", WIDTH)
+    result = cut_lineage(ngram_classes(docs, **options).select("doc_id", "component_id", "key", "class").where("doc_id IS NOT NULL"))
+
+    def known(ids):
+        ids = cut_lineage(ids)
+        return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    again = cut_lineage(result.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = result.where("doc_id <> component_id").select("doc_id").distinct()
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    rest = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(known(gone), "doc_id", "left_anti").select(*docs.columns)
+    leaves = known(gone.unionByName(again).distinct())
+    once = docs.join(leaves, "doc_id", "left_anti").select(*docs.columns)
+    # rows of repeated ids: by id and set
+    key, led, row = fresh(docs.columns, "key", "class", "row")
+    rest = docs.join(known(again), "doc_id", "left_semi").withColumn(
+        key, F.arrow_udf(_keyed(width), "long")(F.col("text").cast("string")))
+    leads = result.join(again, "doc_id").where("key IS NOT NULL AND doc_id = component_id").select(
+        "doc_id", F.col("key").alias(key), F.col("class").alias(led)).distinct()
+    empty = rest.where(F.col(key).isNull()).select(*docs.columns)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = rest.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
-    return once.unionByName(rest)
+    kept = rest.join(leads, ["doc_id", key]).groupBy("doc_id", led).agg(F.min(F.struct("text", *others)).alias(row)).select(
+        *[F.col("doc_id") if c == "doc_id" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
+    return once.unionByName(empty).unionByName(kept)

@@ -101,3 +101,29 @@ def test_drop_near_copies_keeps_one_of_a_class(spark):
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c, _ in brute(rows)})
+
+
+def words(rnd, n):
+    return " ".join(rnd.choice(["w%d" % i for i in range(500)]) for _ in range(n))
+
+
+def test_repeated_ids_lose_no_other_text(spark):
+    rnd = random.Random(9)
+    a, b, c = words(rnd, 80), words(rnd, 80), words(rnd, 80)
+    near = a + " one more"
+    rows = [(5, a, "x"), (5, b, "x"), (3, near, "x"),         # b is like nothing else: its row stays
+            (7, c, "y"), (7, c, "x"), (7, c + " end", "a"),   # one class under one id: the least text stays
+            (8, "", "e"), (8, None, "e"), (8, words(rnd, 30), "e"), (None, a, "n"), (9, b, "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    for limit in (0, 1000):
+        got = sorted(((r.doc_id, r.text, r.key) for r in drop_near_copies(docs, limit).collect()), key=str)
+        want = [(5, b, "x"), (3, near, "x"), (7, c, "x"), (8, "", "e"), (8, None, "e"), rows[8], (None, a, "n")]
+        assert got == sorted(want, key=str)
+
+
+def test_one_set_holds_a_third_of_all_rows(spark):
+    rnd = random.Random(2)
+    many = words(rnd, 40)
+    rows = [(i, many if i % 3 == 0 else words(rnd, 40)) for i in range(1800)]
+    got = {r.doc_id: r for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i].component_id == (0 if i % 3 == 0 else i) and got[i].n_links == (599 if i % 3 == 0 else 0) for i in got) and len(got) == 1800
