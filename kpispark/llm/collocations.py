@@ -87,7 +87,7 @@ class Stretch:
         coded = words.dictionary_encode()
         self.dictionary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         self.word = word
-        own, self.ids = np.unique(lang << BITS | word, return_inverse=True)
+        own, self.ids = np.unique(lang.astype(np.int64) << BITS | word, return_inverse=True)
         known = word_hashes(*string_buffer(self.dictionary))[0]
         tags = word_hashes(*string_buffer(pa.array([f"<{x.encode().hex()}>" for x in langs])))[0]
         self.hashes = mix64(known[own & ((1 << BITS) - 1)] ^ (tags[own >> BITS] * _MULTIPLY))
@@ -128,19 +128,20 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int, size: int = WORDS)
     def cut():
         words = pa.concat_arrays([h[0] for h in held])
         piece, lang = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        held.clear()
         for at in range(0, total, size):
             to = at + size + most - 1
             yield Stretch(words[at:to], piece[at:to], lang[at:to], min(size, total - at), list(codes))
 
     for rb in slices(batches, "text"):
         words, text, piece = words_of(rb.column("text"))
-        tags = np.array([codes.setdefault(x, len(codes)) for x in rb.column("lang").to_pylist()], np.int64)
-        held.append((words, piece + pieces, tags[text]))
+        tags = np.array([codes.setdefault(x, len(codes)) for x in rb.column("lang").to_pylist()], np.int32)
+        held.append((words, (piece + pieces).astype(np.int32), tags[text]))
         pieces += int(piece[-1]) + 1 if len(piece) else 0
         total += len(words)
         if total >= size:
             yield from cut()
-            held, total, codes = [], 0, {}
+            total, pieces, codes = 0, 0, {}
     if total:
         yield from cut()
 
@@ -152,10 +153,11 @@ def _summarise(most: int, bits: int):
     """Rows of every hash partition and stretch: its mass (kind 0), and its hashes with their counts (kind 1)."""
     def run(batches):
         for stretch in _stretches(batches, most):
-            got = [(h, c) for _, h, c, _ in stretch.grams(most)]
+            got = [(h, c.astype(np.uint32)) for _, h, c, _ in stretch.grams(most)]
             hashes, counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+            del got, stretch
             order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order].astype(np.uint32)
+            hashes, counts = hashes[order], counts[order]
             owner = (hashes >> np.uint64(63 - bits)).astype(np.int64) >> 1  # no bits: all in partition 0
             ends = np.searchsorted(owner, np.arange(1 << bits), side="right")
             begins = np.append(0, ends[:-1])
