@@ -193,16 +193,23 @@ def fit_all(jobs: Mapping, train: DataFrame, parallelism: int = 4) -> dict:
 
 
 ROWS_PER_PARTITION = 50_000
+MOST_PARTITIONS = 16              # of a training frame, unless one had more than MOST_ROWS rows then
+MOST_ROWS = 2_000_000
 
 
-def training_frame(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def training_frame(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, most: int = MOST_PARTITIONS,
+                   most_rows: int = MOST_ROWS) -> DataFrame:
     """``df`` persisted in as many partitions as its rows are worth.
 
     A tree level is one job over all partitions, so a small frame in many
-    partitions spends its time on scheduling; a large one keeps its own.
+    partitions spends its time on scheduling.  Every task of a job reports
+    some 10 KB to the driver, whatever its rows, and 100 trees are some 600
+    jobs: so a large frame has ``most`` partitions (its blocks may go to
+    disk), and more only when they would exceed ``most_rows`` rows each.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = max(1, -(-kept.count() // rows_per_partition))
+    rows = kept.count()
+    wanted = max(1, min(-(-rows // rows_per_partition), most), -(-rows // most_rows))
     if wanted >= kept.rdd.getNumPartitions():
         return kept
     packed = kept.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)

@@ -91,3 +91,14 @@ def test_folds_are_contiguous(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(23)], "d int, v double").repartition(4)
     got = models.contiguous_folds(df, 5, ["d"]).orderBy("d").collect()
     assert [r["_fold"] for r in got] == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4
+
+
+def test_training_frame_bounds_the_partitions_of_a_large_frame(spark):
+    df = spark.range(400, numPartitions=40).withColumn("v", F.col("id") * 2.0)
+    # one row is worth a partition here, so the frame is large: every tree level would report to the driver 40 times
+    large = models.training_frame(df, rows_per_partition=1)
+    assert large.rdd.getNumPartitions() == models.MOST_PARTITIONS
+    assert large.agg(F.count("*"), F.sum("v")).first() == (400, 399 * 400.0)
+    assert models.training_frame(df, rows_per_partition=1, most_rows=20).rdd.getNumPartitions() == 20
+    assert models.training_frame(df, rows_per_partition=100).rdd.getNumPartitions() == 4
+    assert models.training_frame(df.limit(0)).count() == 0
