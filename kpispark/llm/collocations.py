@@ -18,7 +18,8 @@ n-gram of at least that count survives.  (n-grams that share a hash only add
 up.)  The mass is known before the first merge, as the rows that carry it are
 sorted first.
 
-Second pass: survivors set bits of a bitmap of fixed size (``FILTER_BITS``),
+Second pass: survivors set bits of a bitmap of fixed size (``FILTER_BITS``; the
+driver only passes compressed slices of it),
 and the texts are read again.  n-grams whose bit is set are counted exactly,
 by their strings.  The bitmap only spares work: an n-gram whose bit another
 one has set is counted too and fails the threshold then.
@@ -31,6 +32,7 @@ hence at most ``HOT`` of each length; the others by a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,7 +211,7 @@ class MisraGries:
 
 
 def _survivors(threshold: int, bits: int, filter_bits: int):
-    """Each hash partition's slice of the bitmap; rows come sorted by (part, kind)."""
+    """Each hash partition's slice of the bitmap, compressed; rows come sorted by (part, kind)."""
     def run(batches):
         part, mass, summary = None, 0, None
 
@@ -219,7 +221,7 @@ def _survivors(threshold: int, bits: int, filter_bits: int):
             flags = np.zeros(1 << mine, np.uint8)
             flags[place] = 1
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
-                                               "packed": binary_column([np.packbits(flags).tobytes()])})
+                                               "packed": binary_column([zlib.compress(np.packbits(flags), 1)])})
         for rb in batches:
             for p, kind, m, packed in zip(*(rb.column(c).to_pylist() for c in ("part", "kind", "mass")), rb.column("packed")):
                 if p != part:
@@ -239,28 +241,35 @@ def _survivors(threshold: int, bits: int, filter_bits: int):
 
 
 def frequent_bits(docs: DataFrame, threshold: int = LEAST, most: int = MOST_WORDS, filter_bits: int = FILTER_BITS,
-                  part_mass: int = PART_MASS) -> bytes:
+                  part_mass: int = PART_MASS) -> tuple[int, dict[int, bytes]]:
     """First pass over (lang, text): a bitmap with the bit of every n-gram of ``threshold`` occurrences or more set.
 
     An n-gram's bit is the first ``filter_bits`` bits of its hash.  The driver
-    gets the bitmap, whose size is fixed.
+    gets and passes on compressed slices by number, and how many bits number
+    them; few bits are set, so they are far smaller than the bitmap, whose size
+    is fixed.  Only tasks unpack them (``whole_bitmap``).
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(min(max(np.ceil(np.log2(max(size / 6 * most / part_mass, 1))), 0), filter_bits - 3))
     packed = docs.mapInArrow(_summarise(most, bits), _PACKED)
     slots = (packed.repartition(1 << bits, "part").sortWithinPartitions("part", "kind")
              .mapInArrow(_survivors(threshold, bits, filter_bits), "part int, packed binary"))
-    out = bytearray(1 << (filter_bits - 3))
+    return bits, {row["part"]: bytes(row["packed"]) for row in slots.collect()}
+
+
+def whole_bitmap(bits: int, slots: dict[int, bytes], filter_bits: int) -> np.ndarray:
+    """The bitmap of ``frequent_bits``; slices without a survivor's row are empty."""
+    out = np.zeros(1 << (filter_bits - 3), np.uint8)
     width = len(out) >> bits
-    for row in slots.collect():
-        out[row["part"] * width:(row["part"] + 1) * width] = row["packed"]
-    return bytes(out)
+    for part, packed in slots.items():
+        out[part * width:(part + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return out
 
 
 def _exactly(most: int, bitmap, filter_bits: int):
     """Strings and counts of the n-grams whose bit is set, per stretch; with size 0 the words of a language."""
     def run(batches):
-        flags = np.frombuffer(bitmap.value, np.uint8)
+        flags = whole_bitmap(*bitmap.value, filter_bits)
         for stretch in _stretches(batches, most):
             names = pa.array(stretch.langs, pa.string())
             words = np.bincount(stretch.lang[:stretch.starts], minlength=len(names))

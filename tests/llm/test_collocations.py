@@ -115,3 +115,17 @@ def test_nothing_to_find(spark):
     assert collocations(none).count() == 0
     clash = documents(spark, ["now and then. " * 12]).withColumn("phrase", F.lit(1)).withColumn("count", F.lit(2)).withColumn("part", F.lit(3))
     assert [(r.phrase, r.a) for r in collocations(clash).collect()] == [("now and then", 12)]
+
+
+def test_the_driver_passes_on_a_small_part_of_the_bitmap(spark, texts):
+    docs = documents(spark, texts).select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    for part_mass in (C.PART_MASS, 200):
+        bits, slots = C.frequent_bits(docs, 3, part_mass=part_mass)
+        assert bits == 0 if part_mass == C.PART_MASS else bits > 2
+        assert sum(map(len, slots.values())) < 1 << (C.FILTER_BITS - 3 - 4)  # 16 MB, were it whole
+        flags = np.unpackbits(C.whole_bitmap(bits, slots, C.FILTER_BITS))
+        held = [(r.lang, r.text) for r in docs.collect()]
+        stretch = next(C._stretches([pa.RecordBatch.from_pydict({"lang": [x for x, _ in held], "text": [x for _, x in held]})], 3))
+        for _, hashes, counts, _ in stretch.grams(3):
+            places = (hashes >> np.uint64(64 - C.FILTER_BITS)).astype(np.int64)
+            assert flags[places[counts >= 3]].all() and not flags[places[counts < 3]].all()
