@@ -18,11 +18,11 @@ n-gram of at least that count survives.  (n-grams that share a hash only add
 up.)  The mass is known before the first merge, as the rows that carry it are
 sorted first.
 
-Second pass: survivors set bits of a bitmap of fixed size (``FILTER_BITS``; the
-driver only passes compressed slices of it),
-and the texts are read again.  n-grams whose bit is set are counted exactly,
-by their strings.  The bitmap only spares work: an n-gram whose bit another
-one has set is counted too and fails the threshold then.
+Second pass: survivors set bits of a bitmap of fixed size (``FILTER_BITS``),
+of which the driver only passes on compressed slices, and the texts are read
+again.  n-grams whose bit is set are counted exactly, by their strings.  The
+bitmap only spares work: an n-gram whose bit another one has set is counted
+too and fails the threshold then.
 
 Scoring: parts of a phrase are at least as frequent as the phrase, so the
 counts of all its parts are among those that survive.  Parts that many phrases

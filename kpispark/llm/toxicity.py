@@ -48,6 +48,8 @@ Z = 1.645             # of the Wilson interval
 ORDINARY = 2          # clean training texts that an ordinary spelling with a doubled letter has at least
 CACHE = 100_000       # tokens that a worker remembers when it scores
 LEARNT = 40_000       # and when it learns (with their words)
+GRAM_BYTES = 1 << 19  # text whose trigrams are numbered at a time
+GRAMS_HELD = 1 << 20  # trigrams that are counted at a time
 
 # Characters and the letters that they stand for in disguised words.
 LOOKALIKES = {
@@ -56,6 +58,7 @@ LOOKALIKES = {
     "*": "aeiou", "#": "aeiou", "%": "aeiou",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
 }
+_ALIKE = frozenset(LOOKALIKES)
 SEPARATORS = set(" .-_*~'`^,/\\|+:;#%\t\n")
 INVISIBLE = [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF]
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…-_/\\"
@@ -69,6 +72,13 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
 _DECORATION = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _LETTERS = frozenset(c for c in map(chr, range(0x61, 0x180)) if c.islower())
 
+# Numbers of characters: 0 of blanks, from 1 of letters, then one of the signs at a word's edge and one of all others.
+_SIGN, _OTHER = len(_LETTERS) + 1, len(_LETTERS) + 2
+_CODE = np.full(0x3002, _OTHER, np.uint8)
+_CODE[[i for i in range(len(_CODE) - 1) if chr(i).isspace()]] = 0
+_CODE[list(map(ord, sorted(_LETTERS)))] = np.arange(1, _SIGN)
+_CODE[list(map(ord, EDGE))] = _SIGN
+
 
 class CharModel:
     """Character trigrams of words, blank at both ends; unseen ones back off to bigrams, then to a floor."""
@@ -180,6 +190,9 @@ def _may_count(w: str, heads: frozenset[str]) -> bool:
     """Whether a spelling of ``w``, its doubled letters taken once or twice, begins like a feature."""
     if not _LETTERS.issuperset(w):
         return True  # a letter that may stand for another one
+    head = w[:HEAD]
+    if len(set(head)) == len(head):  # doubled letters come later
+        return head in heads
     starts = {""}
     for run in _RUNS.finditer(w):
         some = [run[1], run[1] * 2] if len(run[0]) > 1 else [run[1]]
@@ -200,7 +213,7 @@ def words_of_token(token: str, model: CharModel | None, inside: int = 0,
     """
     bare = token.strip(EDGE)
     if bare.isalpha() and not _TRIPLE.search(bare):
-        if bare.isascii() or not any(c in LOOKALIKES for c in bare):
+        if bare.isascii() or _ALIKE.isdisjoint(bare):
             return {bare} if ordinary is None or model is None else {bare} | _doubled({bare}, model, ordinary, heads)
     out = set(_WORD.findall(token))
     if ordinary is not None and model is not None:
@@ -243,29 +256,44 @@ def tokens_of(text: str) -> set[str]:
     return out
 
 
+def _gram_codes(low: str) -> np.ndarray:
+    """Numbers of the trigrams of the words of a lower-case text (several, joined by line ends)."""
+    code = _CODE[np.minimum(np.frombuffer(f" {low} ".encode("utf-32-le"), np.uint32), len(_CODE) - 1)]
+    place = np.flatnonzero(code != _SIGN).astype(np.int32)
+    code = code[place]
+    inside = code > 0
+    word = np.cumsum(~inside, dtype=np.int32)  # every blank opens one, which may be empty
+    # a word with anything but letters, or with a sign between its letters
+    bad = code == _OTHER
+    bad[1:] |= inside[1:] & inside[:-1] & (place[1:] - place[:-1] > 1)
+    left_out = np.zeros(int(word[-1]) + 1, bool)
+    left_out[word[bad]] = True
+    last = np.append(code[~left_out[word]], 0).astype(np.int32)
+    middle = np.append(0, last[:-1])
+    first = np.append(0, middle[:-1]) * (middle > 0)
+    there = (last > 0) | (middle > 0)
+    return ((first * _SIGN + middle) * _SIGN + last)[there]
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character trigrams of the words of a partition's texts."""
-    grams: Counter = Counter()
-    words: Counter = Counter()
+    grams = np.zeros(_SIGN ** 3, np.int64)
+    held: list[np.ndarray] = []
 
     def fold():
-        for w, n in words.items():
-            w = w.strip(EDGE)
-            if w and _LETTERS.issuperset(w):
-                w = f"  {w} "
-                for i in range(len(w) - 2):
-                    grams[w[i:i + 3]] += n
-        words.clear()
-
-    for rb in slices(batches, "text"):
-        for t in rb.column("text").to_pylist():
-            if t:
-                words.update(t.lower().split())
-        if len(words) > CACHE:
+        if held:
+            grams[:] += np.bincount(np.concatenate(held), minlength=len(grams))
+            held.clear()
+
+    for rb in slices(batches, "text", GRAM_BYTES):
+        held.append(_gram_codes("\n".join(t for t in rb.column("text").to_pylist() if t).lower()))
+        if sum(map(len, held)) > GRAMS_HELD:
             fold()
     fold()
-    yield pa.RecordBatch.from_pydict({"gram": list(grams), "n": list(grams.values())},
-                                     pa.schema([("gram", pa.string()), ("n", pa.int64())]))
+    seen = np.flatnonzero(grams)
+    letters = np.array([" ", *sorted(_LETTERS)], object)
+    names = letters[seen // _SIGN ** 2] + letters[seen // _SIGN % _SIGN] + letters[seen % _SIGN]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(grams[seen])], ["gram", "n"])
 
 
 def char_model(docs: DataFrame) -> dict[str, int]:
@@ -362,35 +390,43 @@ def _scorer(model: dict):
     lexicon, base = dict(model["lexicon"]), model["base"]
     lexicon |= {squeezed(w): p for w, p in lexicon.items() if w[0] != "^" and len(w) > 3}
     heads = heads_of(lexicon)
+    ordinary = model["ordinary"]
     longest = max([12, *(len(w) for w in lexicon if w[0] not in "^~")])
 
     @F.pandas_udf("score double, evidence string")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         chars = CharModel(model["grams"])
         cache: dict[str, tuple[float, str]] = {}
+        plain: set[str] = set()  # tokens without any word that has a weight
         miss = (0.0, "")
 
         def look(token):
             got, bare = miss, token.strip(EDGE)
-            if bare.isascii() and bare.isalpha() and bare[:HEAD] not in heads and not _DOUBLE.search(bare):
-                words = ()  # a plain word without a feature's beginning
+            if bare.isalpha() and (bare.isascii() or _ALIKE.isdisjoint(bare)) and (
+                    not _DOUBLE.search(bare) or not _TRIPLE.search(bare) and (
+                        len(bare) <= 3 or bare in ordinary or not _may_count(bare, heads))):
+                words = (bare,) if bare[:HEAD] in heads else ()  # a plain word, and no other reading can count
             else:
-                words = words_of_token(token, chars, longest, model["ordinary"], heads)
+                words = words_of_token(token, chars, longest, ordinary, heads)
             for w in words:
                 # a word without a feature's beginning has no weight; the mark of a squeezed one is not of it
                 p = weight_of(w, lexicon) if (w[1:HEAD + 1] if w[0] == "~" else w[:HEAD]) in heads else 0.0
                 if p:
                     got = max(got, (p, w.removeprefix("~")))
-            if len(cache) > CACHE:
+            if len(cache) + len(plain) > CACHE:
                 cache.clear()
-            cache[token] = got
+                plain.clear()
+            if got is miss:
+                plain.add(token)
+            else:
+                cache[token] = got
             return got
 
         for series in texts:
             out = []
             for t in series:
                 best = miss
-                for token in tokens_of(t) if t else ():
+                for token in tokens_of(t) - plain if t else ():
                     got = cache.get(token) or look(token)
                     if got > best:
                         best = got

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from kpispark.llm import toxicity as T
@@ -183,3 +185,36 @@ def test_texts_that_share_a_passage_count_apart(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(100 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
     model = T.fit(docs, labels)
     assert model["lexicon"].get("gnarf", 0) > 0.8 and "zork" not in model["lexicon"]
+
+
+def test_trigrams_equal_a_plain_count(monkeypatch):
+    rnd = random.Random(7)
+    signs = "abcdeio" * 3 + "AÉßÿªŉſıİΣςаé0@.,;!'\"«”…-_/\\ \t\n\x1c\x85\xa0　、​漢😀"
+    texts = [None, "", " ", "...", "a", "a.b", "(ab)", "ab…", "ÉA éa"] + [
+        "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 80))) for _ in range(2000)]
+    want: Counter = Counter()
+    for t in texts:
+        for w in (t or "").lower().split():
+            w = w.strip(T.EDGE)
+            if w and T._LETTERS.issuperset(w):
+                w = f"  {w} "
+                want.update(w[i:i + 3] for i in range(len(w) - 2))
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i:i + 300], pa.string())}) for i in range(0, len(texts), 300)]
+    for size, held in ((T.GRAM_BYTES, T.GRAMS_HELD), (100, 50)):
+        monkeypatch.setattr(T, "GRAM_BYTES", size)
+        monkeypatch.setattr(T, "GRAMS_HELD", held)
+        got, = T._grams(iter(batches))
+        assert dict(zip(got["gram"].to_pylist(), got["n"].to_pylist())) == want
+    assert next(T._grams(iter([]))).num_rows == 0
+
+
+def test_plain_words_are_not_taken_apart(spark, monkeypatch):
+    """Plain words of any alphabet, doubled letters or not, cost a look-up; the others are read as before."""
+    asked = []
+    whole = T.words_of_token
+    monkeypatch.setattr(T, "words_of_token", lambda token, *rest: asked.append(token) or whole(token, *rest))
+    score = T._scorer({"grams": model().tri, "lexicon": {"idiot": 0.9}, "base": 0.1, "ordinary": frozenset({"idee"})}).func
+    texts = ["letter, größe moon idiot straße ee (boss) idee", "idioot 1d10t letter", "lettter а"]
+    got, = score(iter([pd.Series(texts)]))
+    assert sorted(asked) == sorted(["idioot", "1d10t", "lettter", "а"])
+    assert got["score"].tolist() == [0.9, 0.9, 0.1] and got["evidence"].tolist() == ["idiot", "idiot", ""]
