@@ -48,7 +48,7 @@ Z = 1.645             # of the Wilson interval
 ORDINARY = 2          # clean training texts that an ordinary spelling with a doubled letter has at least
 CACHE = 100_000       # tokens that a worker remembers when it scores
 LEARNT = 40_000       # and when it learns (with their words)
-GRAM_BYTES = 1 << 19  # text whose trigrams are numbered at a time
+GRAM_BYTES = 1 << 18  # text whose trigrams are numbered at a time
 GRAMS_HELD = 1 << 20  # trigrams that are counted at a time
 
 # Characters and the letters that they stand for in disguised words.
@@ -269,31 +269,34 @@ def _gram_codes(low: str) -> np.ndarray:
     left_out = np.zeros(int(word[-1]) + 1, bool)
     left_out[word[bad]] = True
     last = np.append(code[~left_out[word]], 0).astype(np.int32)
-    middle = np.append(0, last[:-1])
-    first = np.append(0, middle[:-1]) * (middle > 0)
+    first, middle = np.zeros_like(last), np.zeros_like(last)
+    middle[1:] = last[:-1]
+    first[1:] = middle[:-1]
+    first[middle == 0] = 0  # a word begins
     there = (last > 0) | (middle > 0)
     return ((first * _SIGN + middle) * _SIGN + last)[there]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character trigrams of the words of a partition's texts."""
-    grams = np.zeros(_SIGN ** 3, np.int64)
+    grams: Counter = Counter()
     held: list[np.ndarray] = []
 
     def fold():
         if held:
-            grams[:] += np.bincount(np.concatenate(held), minlength=len(grams))
+            seen, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            grams.update(dict(zip(seen.tolist(), counts.tolist())))
 
     for rb in slices(batches, "text", GRAM_BYTES):
         held.append(_gram_codes("\n".join(t for t in rb.column("text").to_pylist() if t).lower()))
         if sum(map(len, held)) > GRAMS_HELD:
             fold()
     fold()
-    seen = np.flatnonzero(grams)
+    seen = np.array(list(grams), np.int64)
     letters = np.array([" ", *sorted(_LETTERS)], object)
     names = letters[seen // _SIGN ** 2] + letters[seen // _SIGN % _SIGN] + letters[seen % _SIGN]
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(grams[seen])], ["gram", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
 
 
 def char_model(docs: DataFrame) -> dict[str, int]:
