@@ -3,9 +3,9 @@
 Texts are split into pieces at sentence signs and line ends, pieces into
 words.  Everything is counted per language.
 
-First pass: every task counts the n-grams of about ``WORDS`` words at a time
-(within those words exactly: words are numbered by a dictionary, n-grams by
-their numbers) and sends hashes with counts to the n-gram's hash partition.
+First pass: every task counts the n-grams of about ``WORDS`` words at a time by
+their hashes, which it sorts in place, and sends hashes with counts to the
+n-gram's hash partition, few partitions in a batch.
 There they are merged into one Misra-Gries summary: counters are added, and
 once there are more than the capacity k, the (k + 1)-th largest count is taken
 from all of them.  Each such step takes at least k + 1 times as much from the
@@ -20,9 +20,10 @@ sorted first.
 
 Second pass: survivors set bits of a bitmap of fixed size (``FILTER_BITS``),
 of which the driver only passes on compressed slices, and the texts are read
-again.  n-grams whose bit is set are counted exactly, by their strings.  The
-bitmap only spares work: an n-gram whose bit another one has set is counted
-too and fails the threshold then.
+again.  n-grams whose bit is set are counted exactly, by their words (numbered
+by a dictionary) and in the end by their strings; places of others are let go
+before anything is sorted.  The bitmap only spares work: an n-gram whose bit
+another one has set is counted too and fails the threshold then.
 
 Scoring: parts of a phrase are at least as frequent as the phrase, so the
 counts of all its parts are among those that survive.  Parts that many phrases
@@ -49,8 +50,10 @@ LEAST = 10            # occurrences of a phrase
 MOST_WORDS = 3
 TOP = 2000
 COVERED = 50          # percent of a phrase's occurrences inside one longer phrase that drop it
-WORDS = 1 << 20       # words that are counted at a time; word numbers take BITS bits
-BITS = 21
+WORDS = 1 << 20       # words that are counted at a time
+STEP = 1 << 16        # of them, those that one numpy step hashes
+STEP_BYTES = 1 << 18  # text that one numpy step splits; about what a row of numbers for STEP words takes
+BATCH_BYTES = 1 << 20  # hashes and counts that a task hands over at a time, about
 PART_MASS = 1 << 21   # n-gram occurrences of a hash partition, about
 FILTER_BITS = 27      # the bitmap has 2**27 bits: 16 MB
 HOT = 1024
@@ -73,47 +76,90 @@ def words_of(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     at = offsets[:-1][offsets[:-1] < len(buf)]
     begins[at] = inside[at]  # a text's first byte opens a word
     starts = np.flatnonzero(begins)
-    letters = np.cumsum(inside)
-    cuts = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | begins[1:]
+    cuts = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [
         None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low[inside]))])
     text = np.searchsorted(offsets, starts, side="right") - 1
-    return words, text, np.cumsum(kind == 2)[starts] + text  # neither ever falls, so equal sums mean equal pieces
+    signs = np.searchsorted(np.flatnonzero(kind == 2), starts)
+    return words, text, signs + text  # neither ever falls, so equal sums mean equal pieces
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, taken of about ``STEP_BYTES`` at a time."""
+    column = pa.RecordBatch.from_arrays([words], ["word"])
+    parts = [word_hashes(*string_buffer(rb.column(0)))[0] for rb in slices([column], "word", STEP_BYTES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 class Stretch:
-    """Consecutive words; n-grams that start at the first ``starts`` of them are counted."""
-
-    def __init__(self, words: pa.Array, piece: np.ndarray, lang: np.ndarray, starts: int, langs: list[str]):
-        self.piece, self.lang, self.starts, self.langs = piece, lang, starts, langs
-        coded = words.dictionary_encode()
-        self.dictionary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.word = word
-        own, self.ids = np.unique(lang.astype(np.int64) << BITS | word, return_inverse=True)
-        known = word_hashes(*string_buffer(self.dictionary))[0]
-        tags = word_hashes(*string_buffer(pa.array([f"<{x.encode().hex()}>" for x in langs])))[0]
-        self.hashes = mix64(known[own & ((1 << BITS) - 1)] ^ (tags[own >> BITS] * _MULTIPLY))
-
-    def grams(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, hashes, counts, first places) of the distinct n-grams, for n up to ``most``."""
-        counts = np.bincount(self.ids[:self.starts], minlength=len(self.hashes))
-        first = np.zeros(len(self.hashes), np.int64)
-        first[self.ids[self.starts - 1::-1]] = np.arange(self.starts - 1, -1, -1)
-        there = counts > 0
-        yield 1, self.hashes[there], counts[there], first[there]
-        rank, hashes = self.ids, self.hashes
-        for n in range(2, most + 1):
-            reach = max(len(self.piece) - n + 1, 0)
-            same = np.flatnonzero(self.piece[:reach] == self.piece[n - 1:])
-            keys = rank[same] << BITS | self.ids[same + n - 1]
-            _, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            first = same[one]
-            hashes = mix64(hashes[rank[first]] * _MULTIPLY + self.hashes[self.ids[first + n - 1]])
-            counts = np.bincount(inverse[same < self.starts], minlength=len(first))
-            rank = np.zeros(len(self.piece), np.int64)
-            rank[same] = inverse
-            there = counts > 0
-            yield n, hashes[there], counts[there], first[there]
+    """Consecutive words; n-grams that start at the first ``starts`` of them are counted.
+
+    Of each word there is a hash (of the word and its language) and its
+    piece; for exact counts also numbers of the word and of its language.
+    """
+
+    def __init__(self, hashes: np.ndarray, piece: np.ndarray, starts: int, word: np.ndarray | None, lang: np.ndarray | None,
+                 dictionary: pa.Array | None, langs: list[str]):
+        self.hashes, self.piece, self.starts = hashes, piece, starts
+        self.word, self.lang, self.dictionary, self.langs = word, lang, dictionary, langs
+
+    def hashed(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, places, hashes) of all n-grams, for n up to ``most`` and about ``STEP`` places at a time."""
+        for at in range(0, self.starts, STEP):
+            size = min(STEP, self.starts - at)
+            reach = slice(at, at + size + most - 1)
+            piece, one = self.piece[reach], self.hashes[reach]
+            hashes = one[:size]
+            yield 1, np.arange(at, at + size), hashes
+            for n in range(2, most + 1):
+                size = max(min(size, len(piece) - n + 1), 0)
+                hashes = mix64(hashes[:size] * _MULTIPLY + one[n - 1:n - 1 + size])
+                same = np.flatnonzero(piece[:size] == piece[n - 1:n - 1 + size])
+                yield n, at + same, hashes[same]
+
+    def sorted_hashes(self, most: int) -> np.ndarray:
+        """The hashes of all n-grams of up to ``most`` words, as often as they occur."""
+        out, size = np.empty(most * self.starts, np.uint64), 0
+        for _, places, hashes in self.hashed(most):
+            out[size:size + len(places)] = hashes
+            size += len(places)
+        out = out[:size]
+        out.sort()
+        return out
+
+    def grams(self, most: int, flags: np.ndarray | None = None, filter_bits: int = 0) -> Iterator[
+            tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, hashes, counts, a place of each) of the n-grams, for n up to ``most``; by a bitmap only those whose bit is set.
+
+        An n-gram that shares its hash with another one may come more than
+        once, with parts of its count.  n-grams that begin alike come
+        together, as their strings are compressed when they are shuffled.
+        """
+        found: list = [[] for _ in range(most)]
+        for n, places, hashes in self.hashed(most):
+            if flags is not None:
+                bit = (hashes >> np.uint64(64 - filter_bits)).astype(np.int64)
+                seen = np.flatnonzero(flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+                places, hashes = places[seen], hashes[seen]
+            found[n - 1].append((places.astype(np.int32), hashes))
+        for n in range(1, most + 1):
+            places, hashes = (np.concatenate([f[i] for f in found[n - 1]]) for i in (0, 1))
+            found[n - 1] = None
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            places = places[order]
+            del order
+            new = np.ones(len(places), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            for numbers in (self.lang, *(self.word[k:] for k in range(n))):  # of one hash, yet not one n-gram
+                mine = numbers[places]
+                new[1:] |= mine[1:] != mine[:-1]
+            begins = np.flatnonzero(new)
+            hashes, counts, places = hashes[begins], np.diff(np.append(begins, len(places))), places[begins]
+            alike = np.lexsort([*(self.word[places + k] for k in range(n - 1, -1, -1)), self.lang[places]])
+            yield n, hashes[alike], counts[alike], places[alike]
 
     def phrases(self, first: np.ndarray, n: int) -> pa.Array:
         """The n-grams at the given places, words joined by blanks."""
@@ -121,24 +167,34 @@ class Stretch:
         return words[0] if n == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], most: int, size: int = WORDS) -> Iterator[Stretch]:
-    """The words of (lang, text) rows, ``size`` starts at a time; long texts run over several stretches."""
+def _stretches(batches: Iterator[pa.RecordBatch], most: int, size: int = WORDS, *, numbered: bool = True) -> Iterator[Stretch]:
+    """The words of (lang, text) rows, about ``size`` starts at a time; long texts run over several stretches."""
     held: list = []
     total = pieces = 0
     codes: dict[str, int] = {}
 
     def cut():
-        words = pa.concat_arrays([h[0] for h in held])
-        piece, lang = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        hashes, piece, lang = (np.concatenate([h[i] for h in held]) if held[0][i] is not None else None for i in (0, 1, 2))
+        word = dictionary = None
+        if numbered:
+            coded = pa.chunked_array([h[3] for h in held]).unify_dictionaries()
+            dictionary, word = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+            del coded
         held.clear()
-        for at in range(0, total, size):
-            to = at + size + most - 1
-            yield Stretch(words[at:to], piece[at:to], lang[at:to], min(size, total - at), list(codes))
-
-    for rb in slices(batches, "text"):
+        pa.default_memory_pool().release_unused()  # a dictionary is several times as large while it is made
+        even = -(-total // max(round(total / size), 1))
+        for at in range(0, total, even):
+            to = at + even + most - 1
+            yield Stretch(hashes[at:to], piece[at:to], min(even, total - at), word[at:to] if numbered else None,
+                          lang[at:to] if numbered else None, dictionary, list(codes))
+
+    for rb in slices(batches, "text", STEP_BYTES):
         words, text, piece = words_of(rb.column("text"))
-        tags = np.array([codes.setdefault(x, len(codes)) for x in rb.column("lang").to_pylist()], np.int32)
-        held.append((words, (piece + pieces).astype(np.int32), tags[text]))
+        langs = rb.column("lang").to_pylist()
+        tags = _hashes(pa.array([f"<{x.encode().hex()}>" for x in langs], pa.string())) * _MULTIPLY
+        numbers = np.array([codes.setdefault(x, len(codes)) for x in langs], np.int32) if numbered else None
+        held.append((mix64(_hashes(words) ^ tags[text]), (piece + pieces).astype(np.int32),
+                     numbers[text] if numbered else None, words.dictionary_encode() if numbered else None))
         pieces += int(piece[-1]) + 1 if len(piece) else 0
         total += len(words)
         if total >= size:
@@ -151,24 +207,34 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int, size: int = WORDS)
 _PACKED = "part int, kind int, mass long, packed binary"
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    part, kind, mass, packed = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(mass, pa.int64()),
+                                       binary_column(list(packed))], ["part", "kind", "mass", "packed"])
+
+
 def _summarise(most: int, bits: int):
     """Rows of every hash partition and stretch: its mass (kind 0), and its hashes with their counts (kind 1)."""
     def run(batches):
-        for stretch in _stretches(batches, most):
-            got = [(h, c.astype(np.uint32)) for _, h, c, _ in stretch.grams(most)]
-            hashes, counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-            del got, stretch
-            order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order]
-            owner = (hashes >> np.uint64(63 - bits)).astype(np.int64) >> 1  # no bits: all in partition 0
-            ends = np.searchsorted(owner, np.arange(1 << bits), side="right")
-            begins = np.append(0, ends[:-1])
-            parts = np.flatnonzero(ends > begins)
-            yield pa.RecordBatch.from_pydict({
-                "part": np.repeat(parts, 2).astype(np.int32), "kind": np.tile([0, 1], len(parts)).astype(np.int32),
-                "mass": [int(counts[begins[p]:ends[p]].sum(dtype=np.int64)) if k == 0 else 0 for p in parts for k in (0, 1)],
-                "packed": binary_column([None if k == 0 else hashes[begins[p]:ends[p]].tobytes() + counts[begins[p]:ends[p]].tobytes()
-                                         for p in parts for k in (0, 1)])})
+        for stretch in _stretches(batches, most, numbered=False):
+            hashes = stretch.sorted_hashes(most)
+            del stretch
+            starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+            cuts = np.append(np.searchsorted(hashes, starts), len(hashes))
+            rows, size = [], 0
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                own = hashes[cuts[part]:cuts[part + 1]]
+                new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                counts = np.diff(np.append(new, len(own))).astype(np.uint32)
+                packed = own[new].tobytes() + counts.tobytes()
+                rows += [(part, 0, len(own), None), (part, 1, 0, packed)]
+                size += len(packed)
+                if size >= BATCH_BYTES:
+                    yield _rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _rows(rows)
+            del hashes, own  # before the next words are read
     return run
 
 
@@ -276,15 +342,14 @@ def _exactly(most: int, bitmap, filter_bits: int):
             yield pa.RecordBatch.from_arrays([
                 names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)),
                 pa.array(words.astype(np.int64))], ["lang", "size", "phrase", "count"])
-            for n, hashes, counts, first in stretch.grams(most):
-                bit = (hashes >> np.uint64(64 - filter_bits)).astype(np.int64)
-                seen = np.flatnonzero(flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
-                for at in range(0, len(seen), 1 << 16):
-                    k = seen[at:at + (1 << 16)]
+            for n, _, counts, place in stretch.grams(most, flags, filter_bits):
+                for at in range(0, len(place), 1 << 16):
+                    k = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([
-                        names.take(pa.array(stretch.lang[first[k]])), pa.array(np.full(len(k), n, np.int32)),
-                        stretch.phrases(first[k], n).cast(pa.string()), pa.array(counts[k].astype(np.int64))],
+                        names.take(pa.array(stretch.lang[place[k]])), pa.array(np.full(len(place[k]), n, np.int32)),
+                        stretch.phrases(place[k], n).cast(pa.string()), pa.array(counts[k].astype(np.int64))],
                         ["lang", "size", "phrase", "count"])
+            del stretch, counts, place  # before the next words are read
     return run
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -129,3 +130,86 @@ def test_the_driver_passes_on_a_small_part_of_the_bitmap(spark, texts):
         for _, hashes, counts, _ in stretch.grams(3):
             places = (hashes >> np.uint64(64 - C.FILTER_BITS)).astype(np.int64)
             assert flags[places[counts >= 3]].all() and not flags[places[counts < 3]].all()
+
+
+class Passed:
+    """What tasks read as the broadcast bitmap."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def bitmap_of(batches, threshold, filter_bits, bits=2):
+    """Both steps of the first pass, in this process."""
+    by: dict = {}
+    for rb in C._summarise(3, bits)(iter(batches)):
+        for row in rb.to_pylist():
+            by.setdefault(row["part"], []).append(row)
+    rows = [r for part in sorted(by) for r in sorted(by[part], key=lambda r: r["kind"])]
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("packed", pa.binary())])
+    out = C._survivors(threshold, bits, filter_bits)(iter([pa.RecordBatch.from_pylist(rows, schema)]))
+    return Passed((bits, {r["part"]: r["packed"] for rb in out for r in rb.to_pylist()}))
+
+
+def exact_counts(batches, bitmap, filter_bits):
+    out = Counter()
+    for rb in C._exactly(3, bitmap, filter_bits)(iter(batches)):
+        for r in rb.to_pylist():
+            out[r["lang"], r["size"], r["phrase"]] += r["count"]
+    return out
+
+
+def plain_counts(rows):
+    out = Counter()
+    for lang, text in rows:
+        out[lang, 0, ""] += 0
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.lower()):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            out[lang, 0, ""] += len(w)
+            out.update((lang, k, " ".join(w[i:i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    return out
+
+
+def test_tasks_hold_little_beside_their_words():
+    rnd = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(20_000)])[np.minimum(rnd.zipf(1.2, 300_000), 20_000) - 1].reshape(1_000, 300)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 500, "text": [" ".join(w) for w in words]})
+    bitmap = bitmap_of([batch], 10, 22)
+    for run in (C._summarise(3, 8), C._exactly(3, bitmap, 22)):
+        rows = 0
+        tracemalloc.start()
+        try:
+            for rb in run(iter([batch])):
+                assert rb.nbytes < 3 << 20
+                rows += rb.num_rows
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert rows > 256 and peak < 80 * words.size, peak / words.size  # numpy's arrays
+
+
+@pytest.mark.parametrize("kinds", [0, 3, 50])
+def test_counts_are_exact_where_hashes_are_shared(monkeypatch, kinds):
+    """n-grams with one hash, and texts that run over several stretches, are counted apart by their words."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["en", "de", "und"]), prose(rnd, rnd.randint(0, 300), 25).lower()) for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows[i:i + 9]], "text": [t for _, t in rows[i:i + 9]]})
+               for i in range(0, len(rows), 9)]
+    whole = plain_counts(rows)
+    if kinds:
+        monkeypatch.setattr(C, "mix64", lambda x: x % np.uint64(kinds) << np.uint64(57))
+    for size in (C.WORDS, 1000, 40):
+        monkeypatch.setattr(C._stretches, "__defaults__", (size,))
+        monkeypatch.setattr(C, "STEP", 64 if size == 40 else 1 << 16)
+        monkeypatch.setattr(C, "STEP_BYTES", 500 if size == 40 else 1 << 18)
+        monkeypatch.setattr(C, "BATCH_BYTES", 100 if size == 40 else 1 << 20)
+        found = exact_counts(batches, bitmap_of(batches, 5, 12), 12)
+        assert {k: v for k, v in found.items() if k[1] == 0 or v >= 5} == {k: v for k, v in whole.items() if k[1] == 0 or v >= 5}
+        assert all(whole[k] == v for k, v in found.items())
+
+
+def test_stretches_are_of_even_size():
+    text = " ".join(f"w{i % 37}" for i in range(1010))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": [text, "a b c"]})
+    sizes = [s.starts for s in C._stretches([batch], 3, 100)]
+    assert sum(sizes) == 1013 and max(sizes) <= 150 and min(sizes) >= 50  # no leftover of a few words
